@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from market_signals.llm import mixing
+from market_signals.llm import mixing, pieces
 
 QUERIES = {
     "op4_mixing": mixing.op4_mixing,
+    "op9_sentencepiece": pieces.op9_sentencepiece,
 }
 
 ORACLES = {
