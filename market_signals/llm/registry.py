@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from market_signals.llm import mixing, pieces
+from market_signals.llm import language, mixing, pieces, quality
 
 QUERIES = {
     "op4_mixing": mixing.op4_mixing,
+    "op8_language": language.op8_language,
     "op9_sentencepiece": pieces.op9_sentencepiece,
+    "op10_quality": quality.op10_quality,
 }
 
 ORACLES = {
