@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from market_signals.llm import language, mixing, pieces, quality
+from market_signals.llm import language, mixing, pieces, quality, toxicity
 
 QUERIES = {
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_mixing": mixing.op4_mixing,
     "op8_language": language.op8_language,
     "op9_sentencepiece": pieces.op9_sentencepiece,
