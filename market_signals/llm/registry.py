@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from market_signals.llm import language, mixing, pieces, quality, toxicity
+from market_signals.llm import language, mixing, pieces, quality, secrets, toxicity
 
 QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_mixing": mixing.op4_mixing,
+    "op7_secrets": secrets.op7_secrets,
     "op8_language": language.op8_language,
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_quality": quality.op10_quality,

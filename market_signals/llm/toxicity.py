@@ -171,10 +171,11 @@ def train(docs: DataFrame, labels: DataFrame, held: int = 0, folds: int = 5, mos
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\p{L}+"), 0))
     each = sample.select((F.col("label") == 1).alias("toxic"), words.alias("words"))
     sizes = F.array(*[F.lit(n) for n in stem_sizes])
-    begin = F.transform(sizes, lambda n: F.array_distinct(F.transform(F.filter("words", lambda w: F.length(w) >= n), lambda w: F.struct(F.substring(w, F.lit(1), n).alias("t"), n.alias("n")))))
-    whole = F.transform("words", lambda w: F.struct(w.alias("t"), F.lit(0).alias("n")))
-    long = each.select("toxic", F.explode(F.concat(whole, F.flatten(begin))).alias("e"))
-    counts = long.groupBy("e.t", "e.n").agg(F.count_if("toxic").alias("bad"), F.count_if(~F.col("toxic")).alias("good"))
+    begin = F.flatten(F.transform(sizes, lambda n: F.transform(F.filter("words", lambda w: F.length(w) >= n), lambda w: F.concat(n.cast("string"), F.lit(":"), F.substring(w, F.lit(1), n)))))
+    whole = F.transform("words", lambda w: F.concat(F.lit("0:"), w))
+    long = each.select("toxic", F.explode(F.concat(whole, F.array_distinct(begin))).alias("e"))
+    counts = long.groupBy("e").agg(F.count_if("toxic").alias("bad"), F.count_if(~F.col("toxic")).alias("good"))
+    counts = counts.select(F.substring("e", 1, 1).cast("int").alias("n"), F.substring("e", 3, 1_000_000_000).alias("t"), "bad", "good")
     total = sample.agg(F.count_if(F.col("label") == 1).alias("bad"), F.count_if(F.col("label") != 1).alias("good")).first()
     nb, ng = total["bad"], total["good"]
     none = Model([], [], [], np.zeros(len(FEATURES)), -10.0 if not nb else float(np.log(nb / max(1, ng))) if ng else 10.0)
