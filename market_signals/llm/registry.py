@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from market_signals.llm import language, mixing, pieces, quality, secrets, toxicity
+from market_signals.llm import imatch, language, mixing, pieces, quality, secrets, toxicity
 
 QUERIES = {
+    "op2_imatch": imatch.op2_imatch,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_mixing": mixing.op4_mixing,
     "op7_secrets": secrets.op7_secrets,
