@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from market_signals.llm import imatch, language, mixing, pieces, quality, secrets, shingles, toxicity
+from market_signals.llm import embeddings, imatch, language, mixing, pieces, quality, secrets, shingles, toxicity
 
 QUERIES = {
     "op2_imatch": imatch.op2_imatch,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_mixing": mixing.op4_mixing,
+    "op5_embeddings": embeddings.op5_embeddings,
     "op6_partenum": shingles.op6_partenum,
     "op7_secrets": secrets.op7_secrets,
     "op8_language": language.op8_language,
