@@ -46,10 +46,17 @@ class Lexicon:
             for c in t:
                 node = node.next.setdefault(c, Node())
             node.term, node.open = i, node.open or i >= len(terms)
-        # with one edit, the first or the second half of a term stays as it is: words without such a half need no search
-        self.heads = {(n := (len(t) + 1) // 2, t[:n]) for t in terms if len(t) >= 5} | {(n := (len(t) + 1) // 2, t[:n]) for t in stems if len(t) >= 5}
-        self.tails = {(n := len(t) // 2, t[-n:]) for t in terms if len(t) >= 5}
-        self.head_sizes, self.tail_sizes = sorted({n for n, _ in self.heads}), sorted({n for n, _ in self.tails})
+        # with one edit, the first or the second half of a term stays as it is, and the length changes by one at most:
+        # other words need no search
+        self.heads, self.tails, self.swapped = set(), set(), set()
+        for t in terms:
+            if len(t) >= 5:
+                n = (len(t) + 1) // 2
+                # a swap across the halves spoils both
+                self.swapped.add(t[: n - 1] + t[n] + t[n - 1] + t[n + 1 :])
+                self.heads |= {(size, t[:n]) for size in range(len(t) - 1, len(t) + 2)}
+                self.tails |= {(size, t[n:]) for size in range(len(t) - 1, len(t) + 2)}
+        self.head_sizes, self.tail_sizes = sorted({len(x) for _, x in self.heads}), sorted({len(x) for _, x in self.tails})
         self.longest = max(map(len, terms), default=0)
         self.seen: dict[str, tuple[int, int]] = {}
 
@@ -88,15 +95,29 @@ class Lexicon:
                 return 2, self.stem[word[:n]]
         if len(word) < 4 or len(word) > self.longest + 1:
             return 0, -1
-        if not any((n, word[:n]) in self.heads for n in self.head_sizes) and not any((n, word[-n:]) in self.tails for n in self.tail_sizes):
-            return 0, -1
+        size = len(word)
+        for n in self.head_sizes:
+            if (size, word[:n]) in self.heads:
+                break
+        else:
+            for n in self.tail_sizes:
+                if (size, word[-n:]) in self.tails:
+                    break
+            else:
+                if word not in self.swapped:
+                    return 0, -1
+        term = self.search(word)
+        return (3, term) if term >= 0 else (0, -1)
+
+    def find(self, word: str) -> tuple[int, int]:
+        """look(), remembered for as many words as a worker can hold."""
         found = self.seen.get(word)
         if found is None:
-            term = self.search(word)
-            found = (3, term) if term >= 0 else (0, -1)
-            if len(self.seen) >= 200_000:
+            found = self.look(word)
+            if len(self.seen) >= 300_000:
                 self.seen.clear()
-            self.seen[word] = found
+            if len(word) <= 32:
+                self.seen[word] = found
         return found
 
 
@@ -107,7 +128,7 @@ def features(text: str | None, lexicon: Lexicon, clean: frozenset[str] = frozens
     Fuzzy hits on `clean` words, which are common in clean training texts, don't count.
     """
     low = (text or "").lower()
-    look = lexicon.look
+    look = lexicon.find
     wanted = {w for w in set(WORDS.findall(low)) if (k := look(w)[0]) and not (k == 3 and w in clean)}
     if not wanted:
         return [0.0] * len(FEATURES), []
@@ -184,13 +205,14 @@ def train(docs: DataFrame, labels: DataFrame, held: int = 0, folds: int = 5, mos
     # log odds against the clean documents, less its standard error
     odds = F.log((F.col("bad") + 0.1) / F.lit(nb + 0.2)) - F.log((F.col("good") + 0.1) / F.lit(ng + 0.2))
     error = F.sqrt(1 / (F.col("bad") + 0.1) + 1 / (F.col("good") + 0.5))
+    least = max(least, nb // 100)
     telling = counts.withColumn("z", odds - error).where((F.col("bad") >= least) & (F.col("z") > 1.5) & (F.col("bad") > 3 * F.col("good")))
     terms = [r["t"] for r in telling.where("n = 0").orderBy(F.desc("z"), "t").limit(lexicon).collect()]
     rows = telling.where("n > 0").orderBy(F.desc("bad"), F.desc("z"), "n", "t").limit(4 * lexicon).collect()
     # of the beginnings of one word keep the shortest that is clean
     stems: list[str] = []
     for r in sorted(rows, key=lambda r: (r["n"], r["t"])):
-        if r["bad"] >= 4 * least and r["good"] * 50 <= r["bad"] and not any(r["t"].startswith(s) for s in stems):
+        if r["bad"] >= 2 * least and r["good"] * 50 <= r["bad"] and not any(r["t"].startswith(s) for s in stems):
             stems.append(r["t"])
     stems = stems[:lexicon]
     terms = [t for t in terms if not any(t.startswith(s) for s in stems) or any(t == s for s in stems)]
