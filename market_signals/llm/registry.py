@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from market_signals.llm import embeddings, imatch, language, mixing, pieces, quality, secrets, shingles, toxicity
+from market_signals.llm import embeddings, imatch, language, mixing, pieces, quality, secrets, shingles, suffixes, toxicity
 
 QUERIES = {
+    "op1_suffixes": suffixes.op1_suffixes,
     "op2_imatch": imatch.op2_imatch,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_mixing": mixing.op4_mixing,
