@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +38,22 @@ def keep(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete a table of keep() that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs now: it does so when the driver has collected their handles."""
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def fold(doc_id: str | Column, n: int) -> Column:
     """crc32(doc_id as text) mod n; a null doc_id counts as the empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -50,7 +69,7 @@ def blocks(batches: Iterable[pa.RecordBatch], most: int = 4_000_000) -> Iterator
     """Cut Arrow batches (with a `text` column) into slices of about `most` bytes of text; a longer text stands alone."""
     for batch in batches:
         text = batch.column(batch.schema.get_field_index("text"))
-        sizes = [len(x) if x is not None else 0 for x in text.cast(pa.binary()).to_pylist()] if batch.num_rows else []
+        sizes = pc.fill_null(pc.binary_length(text), 0).to_pylist()
         start = held = 0
         for i, n in enumerate(sizes):
             if held and held + n > most:

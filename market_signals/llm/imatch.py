@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from market_signals.llm.common import blocks, documents, read
+from market_signals.llm.common import blocks, documents, read, release
 
 #: Lexicon subsets of a fingerprint, and thinning levels kept of each.
 SUBSETS, LEVELS = 32, 3
@@ -49,7 +49,10 @@ def lexicon(docs: DataFrame, low: float = 0.0005, high: float = 0.05) -> np.ndar
     n = docs.count()
     found = docs.select("text").mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
     found = found.where((F.col("n") >= max(2, low * n)) & (F.col("n") <= max(2, high * n)))
-    return np.sort(found.select("term").toPandas()["term"].to_numpy(np.int64))
+    out = np.sort(found.select("term").toPandas()["term"].to_numpy(np.int64))
+    del found
+    release(docs.sparkSession)
+    return out
 
 
 class Printer:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 from functools import cache
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from market_signals.llm.common import blocks, documents, keep, read
+from market_signals.llm.common import blocks, documents, forget, keep, read, release
 
 #: Length of the repeats that are removed, and of the grams whose least one in a window places it in a bucket.
 LENGTH, GRAM = 50, 20
@@ -25,6 +24,8 @@ STEP = 8
 PERIOD, COVER = 7, (0, 1, 3)
 #: Suffix buckets that are handled one after the other.
 BUCKETS = 2
+#: Bytes of text that a task hashes at once.
+BLOCK = 400_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -183,7 +184,7 @@ def find_anchors(docs: DataFrame, bucket: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in blocks(batches, 1_000_000):
+        for rows in blocks(batches, BLOCK):
             block = Block(encoded(rows.column(1).to_pylist()))
             doc, p, lo, hi, h, c = block.anchors()
             own = h % np.uint64(BUCKETS) == bucket
@@ -247,7 +248,7 @@ def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | Non
 
 def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, context, doc, at) of the windows of undecided anchors, STEP windows a piece; key: hash of the bytes that all of them hold."""
-    for rows in blocks(batches, 1_000_000):
+    for rows in blocks(batches, BLOCK):
         data = encoded(rows.column(1).to_pylist())
         block = Block(data)
         ats = rows.column(2)
@@ -322,12 +323,6 @@ def repeated_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield batch_of(names, [list(x) for x in zip(*out, strict=True)])
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs now: it does once their handles are collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc, begin, end) of byte ranges of docs (doc, text) that repeat LENGTH bytes of a document with a smaller doc.
 
@@ -350,7 +345,8 @@ def repeats(docs: DataFrame) -> DataFrame:
         parts = parts.repartition("key").sortWithinPartitions("key", "context", "doc", "at")
         sorted_out = parts.mapInArrow(repeated_windows, "doc bigint, begin bigint, end bigint")
         ranges = keep(certain.unionByName(sorted_out))
-        del parts, sorted_out
+        del parts, sorted_out, certain, open_
+        forget(flags)
         release(spark)
         found = ranges if found is None else found.unionByName(ranges)
     return found
