@@ -6,33 +6,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from market_signals.functions import dictionaries as d
-from market_signals.functions.text import has_any, has_term, hits, labels, or_default, tokens
+from market_signals.functions.text import has_any, has_word, hits, labels, or_default, tokens
 
 ANGLE = "Explain why this signal matters for offshore wind investors and supply chain players."
 
 
 def theme_tags(low: Column, themes: dict[str, list[str]] = d.THEMES) -> Column:
-    def cond(terms: list[str]) -> Column:
-        out = F.lit(False)
-        for t in terms:
-            out = out | has_term(low, t)
-        return out
-
-    return or_default(labels([(k, cond(v)) for k, v in themes.items()]), "general_news")
+    return or_default(labels([(k, has_word(low, v)) for k, v in themes.items()]), "general_news")
 
 
 def geography_tags(low: Column, places: dict[str, list[str]] = d.GEOGRAPHIES) -> Column:
-    def cond(terms: list[str]) -> Column:
-        out = F.lit(False)
-        for t in terms:
-            out = out | has_term(low, t)
-        return out
-
-    return or_default(F.sort_array(labels([(k, cond(v)) for k, v in places.items()])), "Global")
+    return or_default(F.sort_array(labels([(k, has_word(low, v)) for k, v in places.items()])), "Global")
 
 
 def actors(low: Column, names: list[str] = d.ACTORS) -> Column:
-    return labels([(n, low.contains(n.lower())) for n in names])
+    return F.filter(F.array(*map(F.lit, names)), lambda n: low.contains(F.lower(n)))
 
 
 def signal_score(themes: Column, places: Column, names: Column, text: Column) -> Column:

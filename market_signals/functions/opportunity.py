@@ -59,7 +59,7 @@ def company_fit(low: Column, country: Column, company: str, profiles: list[dict]
     """Struct(fit, place, profile_name, services, qualifiers) of one company's profiles, or null if it doesn't match."""
     negative = sorted({t for p in profiles for t in p["negative_keywords"]})
     qualifiers = sorted({t for p in profiles for t in p["qualifier"]})
-    found = F.array_compact(F.array(*[F.when(low.contains(t), F.lit(t)) for t in qualifiers])) if qualifiers else F.array().cast("array<string>")
+    found = F.filter(F.array(*map(F.lit, qualifiers)), lambda t: low.contains(t)) if qualifiers else F.array().cast("array<string>")
     hit = [has_any(low, p["keywords"]) for p in profiles]
     n = sum((h.cast("int") for h in hit), F.lit(0))
     services = F.sort_array(F.array_distinct(F.array_compact(F.array(*[F.when(h & F.lit(p["name"].strip() != ""), F.lit(p["name"])) for h, p in zip(hit, profiles, strict=True)]))))

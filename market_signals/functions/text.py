@@ -26,28 +26,23 @@ def lead(c: Column, sentences: int = 3, most: int = 700) -> Column:
     return F.when(c == "", "No summary available.").otherwise(F.substring(F.trim(F.array_join(parts, " ")), 1, most))
 
 
-def has_term(low: Column, term: str) -> Column:
-    """Whether a lower-case text holds a term; alphabetic terms of up to three letters only as words of their own."""
-    t = term.strip().lower()
-    if len(t) <= 3 and t.isalpha():
-        return low.rlike(rf"(^|[^\p{{L}}\p{{N}}_]){t}([^\p{{L}}\p{{N}}_]|$)")
-    return low.contains(t)
+def has_word(low: Column, terms: list[str]) -> Column:
+    """Whether a lower-case text holds one of the terms; alphabetic terms of up to three letters only as words of their own."""
+    terms = [t.strip().lower() for t in terms]
+    short = [t for t in terms if len(t) <= 3 and t.isalpha()]
+    rest = [t for t in terms if t and t not in short]
+    out = has_any(low, rest) if rest else F.lit(False)
+    return out | low.rlike(rf"(^|[^\p{{L}}\p{{N}}_])({'|'.join(short)})([^\p{{L}}\p{{N}}_]|$)") if short else out
 
 
 def has_any(low: Column, terms: list[str]) -> Column:
     """Whether a lower-case text holds one of the terms as a plain substring."""
-    out = F.lit(False)
-    for t in terms:
-        out = out | low.contains(t)
-    return out
+    return F.exists(F.array(*map(F.lit, terms)), lambda t: low.contains(t)) if terms else F.lit(False)
 
 
 def hits(low: Column, terms: list[str]) -> Column:
     """How many of the terms a lower-case text holds."""
-    out = F.lit(0)
-    for t in terms:
-        out = out + low.contains(t).cast("int")
-    return out
+    return F.size(F.filter(F.array(*map(F.lit, terms)), lambda t: low.contains(t))) if terms else F.lit(0)
 
 
 def labels(pairs: list[tuple[str, Column]]) -> Column:
@@ -71,7 +66,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def from_csv(c: Column, trim: bool = True) -> Column:
     parts = F.split(F.coalesce(c, F.lit("")), ",")
-    return F.filter(F.transform(parts, F.trim) if trim else parts, lambda x: x != "")
+    return F.filter(F.transform(parts, lambda x: F.trim(x)) if trim else parts, lambda x: x != "")
 
 
 def csv(c: Column) -> Column:

@@ -45,7 +45,7 @@ def parse_enrichment(answers: DataFrame) -> DataFrame:
     """raw_item_id, summary, theme_tags, geography_tags, actors, confidence of model answers; null fields where absent."""
     v = answers.withColumn("v", json_object(F.col("response")))
     text = lambda k: F.try_variant_get("v", f"$.{k}", "string")
-    array = lambda k: F.filter(F.transform(F.try_variant_get("v", f"$.{k}", "array<string>"), F.trim), lambda x: x != "")
+    array = lambda k: F.filter(F.transform(F.try_variant_get("v", f"$.{k}", "array<string>"), lambda x: F.trim(x)), lambda x: x != "")
     return v.select("raw_item_id", F.col("v").isNotNull().alias("parsed"), text("summary").alias("summary"), array("theme_tags").alias("theme_tags"), array("geography_tags").alias("geography_tags"), array("actors").alias("actors"), n.confidence(text("confidence"), 0.65).alias("confidence"))
 
 

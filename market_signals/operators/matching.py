@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from market_signals.functions.news import compatible, match_tokens
 from market_signals.functions.text import jaccard, parse_time, tokens
 from market_signals.operators.state import top_per
+from market_signals.session import keep
 
 LEAST = 0.14
 TITLE, ACTORS = 0.75, 0.25
@@ -40,7 +41,7 @@ def candidate_pairs(items: DataFrame, days_window: int = 7) -> DataFrame:
     joined within buckets of days; undated items, which pair with every day, are joined apart on the token alone.
     """
     window = max(days_window, 1)
-    items = prepared(items)
+    items = keep(prepared(items))
     share = LEAST / TITLE
     words = items.select("pos", F.explode("words").alias("t"))
     counts = words.groupBy("t").agg(F.count("*").alias("df"))

@@ -31,7 +31,11 @@ def profile_table(spark: SparkSession, profiles: list[dict] = d.PROFILES, active
 
 def bundle_sets(table: DataFrame) -> DataFrame:
     """Sorted distinct CPVs, qualifiers and keywords of each company."""
-    each = table.select("company", F.explode(F.concat(*[F.transform(c, lambda x, k=k: F.struct(F.lit(k).alias("kind"), x.alias("term"))) for k, c in (("cpv", "cpv"), ("qualifier", "qualifier"), ("keyword", "keywords"))])).alias("e"))
+
+    def tagged(kind: str, column: str) -> Column:
+        return F.transform(column, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("term")))
+
+    each = table.select("company", F.explode(F.concat(tagged("cpv", "cpv"), tagged("qualifier", "qualifier"), tagged("keyword", "keywords"))).alias("e"))
     of = lambda k: F.array_join(F.sort_array(F.collect_set(F.when(F.col("e.kind") == k, F.col("e.term")))), ",")
     return each.groupBy("company").agg(of("cpv").alias("cpv_codes"), of("qualifier").alias("qualifiers"), of("keyword").alias("keywords"))
 
@@ -146,7 +150,7 @@ def _property(kind: str, value: Column) -> Column:
     if kind == "select":
         return F.when(full.isNotNull(), F.struct(F.struct(F.substring(text, 1, 100).alias("name")).alias("select")))
     if kind == "multi_select":
-        names = F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+        names = F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
         return F.when(F.size(names) > 0, F.struct(F.transform(names, lambda x: F.struct(F.substring(x, 1, 100).alias("name"))).alias("multi_select")))
     if kind == "url":
         return F.when(full.isNotNull(), F.struct(F.substring(text, 1, 2000).alias("url")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,9 +20,11 @@ from market_signals.operators import registry as rg
 from market_signals.operators import signals as sg
 from market_signals.operators import state as st
 from market_signals.plans.oracles import DATE, any_plain, oracle, quoted, top
+from market_signals.session import keep, shared_dir
 from market_signals.sources import notices as src
 from market_signals.sources.fixtures import AS_OF, AS_OF_TEXT, view
 from market_signals.sources.html import extract_article_text, extract_links
+from market_signals.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,8 +51,13 @@ def processed(s: SparkSession, sf: str) -> DataFrame:
     return it.process(raw(s, sf), AS_OF_TEXT)
 
 
+def stored(s: SparkSession, sf: str) -> DataFrame:
+    """Processed items as a table: what filters and joins read, so that tags are made once."""
+    return keep(processed(s, sf).drop("cleaned_text"))
+
+
 def items(s: SparkSession, sf: str) -> DataFrame:
-    return it.with_domain(processed(s, sf))
+    return keep(it.with_domain(processed(s, sf).drop("cleaned_text")))
 
 
 def overrides(s: SparkSession, sf: str) -> DataFrame:
@@ -72,7 +80,7 @@ def verdicts(found: DataFrame) -> DataFrame:
 
 
 def judged(s: SparkSession, sf: str) -> DataFrame:
-    best = m.best_pairs(pairs(s, sf))
+    best = keep(m.best_pairs(pairs(s, sf)))
     return m.judge(best, verdicts(best))
 
 
@@ -81,7 +89,7 @@ def profiles(s: SparkSession) -> dict[str, list[dict]]:
 
 
 def opportunities(s: SparkSession, sf: str) -> DataFrame:
-    return nt.process(view(s, sf, "notice_raw"), profiles(s), AS_OF, AS_OF_TEXT)
+    return keep(nt.process(view(s, sf, "notice_raw"), profiles(s), AS_OF, AS_OF_TEXT))
 
 
 def normalized(s: SparkSession, sf: str) -> DataFrame:
@@ -103,7 +111,7 @@ query("news_theme_tags", oracle("items", "SELECT id, themes FROM items"))(lambda
 query("news_geo_tags", oracle("items", "SELECT id, geos FROM items"))(lambda s, sf: processed(s, sf).select("id", csv(F.col("geography_tags")).alias("geos")))
 query("news_actors", oracle("items", "SELECT id, names FROM items"))(lambda s, sf: processed(s, sf).select("id", csv(F.col("actors")).alias("names")))
 query("news_signal_score", oracle("items", "SELECT id, signal_score, linkedin_candidate FROM items"))(lambda s, sf: processed(s, sf).select("id", "signal_score", "linkedin_candidate"))
-query("news_paywall", oracle("items", "SELECT id, title, summary, confidence FROM items WHERE paid"))(lambda s, sf: processed(s, sf).where("confidence < 0.5").select("id", "title", "summary", "confidence"))
+query("news_paywall", oracle("items", "SELECT id, title, summary, confidence FROM items WHERE paid"))(lambda s, sf: stored(s, sf).where("confidence < 0.5").select("id", "title", "summary", "confidence"))
 query("news_why_it_matters", oracle("items", "SELECT id, why_it_matters FROM items"))(lambda s, sf: processed(s, sf).select("id", "why_it_matters"))
 _P = "id, title, cleaned_text, summary, themes, geos, names, why_it_matters, signal_score, confidence, linkedin_angle, linkedin_candidate, processed_at"
 query("news_processed", oracle("items", f"SELECT {_P} FROM items"))(
@@ -185,18 +193,18 @@ _IDS = "SELECT user_id - 50 AS id FROM events"
 query("items_by_ids", oracle("news_raw", f"SELECT id, title_raw FROM news_raw WHERE id IN (SELECT id FROM ({_IDS}) e WHERE id > 0)"))(lambda s, sf: st.by_ids(raw(s, sf), s.read.parquet(f"{sf}/events.parquet").select((F.col("user_id") - 50).alias("id"))).select("id", "title_raw"))
 query("ids_missing", oracle("news_raw", f"SELECT DISTINCT id FROM ({_IDS}) e WHERE id > 0 AND id NOT IN (SELECT id FROM news_raw WHERE id % 7 <> 0)"))(lambda s, sf: st.missing_ids(raw(s, sf).where("id % 7 <> 0"), s.read.parquet(f"{sf}/events.parquet").select((F.col("user_id") - 50).alias("id"))))
 query("run_counts", oracle("items", "SELECT count(*) AS seen, count(*) FILTER (published_at IS NULL) AS undated, count(*) FILTER (paid) AS paywalled, sum(linkedin_candidate) AS candidates, count(DISTINCT article_url) AS urls FROM items"))(
-    lambda s, sf: processed(s, sf).agg(F.count("*").alias("seen"), F.count_if(F.col("published_at").isNull()).alias("undated"), F.count_if(F.col("confidence") < 0.5).alias("paywalled"), F.sum("linkedin_candidate").alias("candidates"), F.countDistinct("article_url").alias("urls"))
+    lambda s, sf: stored(s, sf).agg(F.count("*").alias("seen"), F.count_if(F.col("published_at").isNull()).alias("undated"), F.count_if(F.col("confidence") < 0.5).alias("paywalled"), F.sum("linkedin_candidate").alias("candidates"), F.countDistinct("article_url").alias("urls"))
 )
 
 # --- news: rankings
 
 _L, _S = "coalesce(published_at, processed_at) DESC, processed_at DESC, id", "signal_score DESC, processed_at DESC, id"
 _C = ["id", "title", "signal_score", "published_at", "domain_bucket"]
-query("news_latest", oracle("items", top("", _L, 20, "offshore_wind", ", ".join(_C))))(lambda s, sf: it.ranked(processed(s, sf), it.latest_order(), 20, "offshore-wind").select(_C))
-query("news_top_signals", oracle("items", top("", _S, 20, "offshore_wind", ", ".join(_C))))(lambda s, sf: it.ranked(processed(s, sf), it.score_order(), 20, "offshore_wind").select(_C))
-query("news_linkedin_candidates", oracle("items", top("WHERE linkedin_candidate = 1", _S, 20, "offshore_wind", ", ".join(_C))))(lambda s, sf: it.ranked(processed(s, sf).where("linkedin_candidate = 1"), it.score_order(), 20, "offshore_wind").select(_C))
-query("news_by_source", oracle("items", top("WHERE lower(source_name) = 'src3'", _L, 20, None, ", ".join(_C))))(lambda s, sf: it.ranked(processed(s, sf), it.latest_order(), 20, "all", source=" SRC3 ").select(_C))
-query("news_processed_since", oracle("items", f"SELECT id, published_at FROM items WHERE coalesce(published_at, processed_at) >= '2024-01-24' ORDER BY {_L} LIMIT 400"))(lambda s, sf: processed(s, sf).where(F.coalesce("published_at", "processed_at") >= "2024-01-24").orderBy(*it.latest_order()).limit(400).select("id", "published_at"))
+query("news_latest", oracle("items", top("", _L, 20, "offshore_wind", ", ".join(_C))))(lambda s, sf: it.ranked(stored(s, sf), it.latest_order(), 20, "offshore-wind").select(_C))
+query("news_top_signals", oracle("items", top("", _S, 20, "offshore_wind", ", ".join(_C))))(lambda s, sf: it.ranked(stored(s, sf), it.score_order(), 20, "offshore_wind").select(_C))
+query("news_linkedin_candidates", oracle("items", top("WHERE linkedin_candidate = 1", _S, 20, "offshore_wind", ", ".join(_C))))(lambda s, sf: it.ranked(stored(s, sf).where("linkedin_candidate = 1"), it.score_order(), 20, "offshore_wind").select(_C))
+query("news_by_source", oracle("items", top("WHERE lower(source_name) = 'src3'", _L, 20, None, ", ".join(_C))))(lambda s, sf: it.ranked(stored(s, sf), it.latest_order(), 20, "all", source=" SRC3 ").select(_C))
+query("news_processed_since", oracle("items", f"SELECT id, published_at FROM items WHERE coalesce(published_at, processed_at) >= '2024-01-24' ORDER BY {_L} LIMIT 400"))(lambda s, sf: stored(s, sf).where(F.coalesce("published_at", "processed_at") >= "2024-01-24").orderBy(*it.latest_order()).limit(400).select("id", "published_at"))
 _REL = "SELECT processed_id, arg_max(coalesce(relevance, -1), (ts, event_id)) AS relevance FROM relevance_log GROUP BY processed_id"
 query("state_relevance_current", oracle("relevance_log", f"SELECT processed_id, relevance FROM ({_REL}) x WHERE relevance >= 0"))(lambda s, sf: st.latest_state(view(s, sf, "relevance_log"), "processed_id", "relevance", ["ts", "event_id"]))
 query("state_overrides_current", oracle("overrides", "SELECT processed_id, o AS collection_key FROM overrides"))(overrides)
@@ -204,7 +212,7 @@ query("news_relevance_status", oracle(["news_raw", "relevance_log"], f"SELECT id
     lambda s, sf: raw(s, sf).join(st.latest_state(view(s, sf, "relevance_log"), "processed_id", "relevance", ["ts", "event_id"]), F.col("id") == F.col("processed_id"), "left").select("id", n.relevance_status(F.col("relevance")).alias("status"))
 )
 query("news_domain_attach", oracle("items", "SELECT id, CASE WHEN id % 5 = 0 THEN 'adjacent_energy' ELSE domain_bucket END AS domain_bucket, CASE WHEN id % 5 = 0 THEN 0.7::DOUBLE ELSE domain_confidence END AS domain_confidence, id % 5 <> 0 AS is_new FROM items"))(
-    lambda s, sf: it.with_domain(processed(s, sf), raw(s, sf).where("id % 5 = 0").select(F.col("id").alias("processed_id"), F.lit("adjacent_energy").alias("domain_bucket"), F.lit(0.7).alias("domain_confidence"))).select("id", "domain_bucket", "domain_confidence", (F.col("id") % 5 != 0).alias("is_new"))
+    lambda s, sf: it.with_domain(stored(s, sf), raw(s, sf).where("id % 5 = 0").select(F.col("id").alias("processed_id"), F.lit("adjacent_energy").alias("domain_bucket"), F.lit(0.7).alias("domain_confidence"))).select("id", "domain_bucket", "domain_confidence", (F.col("id") % 5 != 0).alias("is_new"))
 )
 
 # --- collections
@@ -220,13 +228,13 @@ def _primary(column: str) -> str:
 
 
 query("news_collection_primary_tags", oracle("keyed", f"SELECT t.collection_key, t.x AS primary_theme, g.x AS primary_geography FROM ({_primary('theme_tags')}) t JOIN ({_primary('geography_tags')}) g ON t.collection_key = g.collection_key"))(
-    lambda s, sf: keyed(s, sf).transform(lambda k: it.primary_tags(k, "theme_tags", "primary_theme", "general_news").join(it.primary_tags(k, "geography_tags", "primary_geography", "Global"), "collection_key"))
+    lambda s, sf: keep(keyed(s, sf).select("collection_key", "pos", "theme_tags", "geography_tags")).transform(lambda k: it.primary_tags(k, "theme_tags", "primary_theme", "general_news").join(it.primary_tags(k, "geography_tags", "primary_geography", "Global"), "collection_key"))
 )
 query("news_collection_items", oracle("keyed", "SELECT collection_key, id, signal_score, published_at FROM (SELECT *, row_number() OVER (PARTITION BY collection_key ORDER BY signal_score DESC, coalesce(published_at, '') DESC, pos) AS r FROM keyed) x WHERE r <= 5"))(
     lambda s, sf: it.top_items(keyed(s, sf), 5).select("collection_key", "id", "signal_score", "published_at")
 )
-query("news_by_theme", oracle("items", "SELECT tag, count(*) AS n FROM (SELECT unnest(theme_tags) AS tag FROM items) x GROUP BY tag"))(lambda s, sf: it.tag_counts(processed(s, sf), "theme_tags"))
-query("news_by_geography", oracle("items", "SELECT tag, count(*) AS n FROM (SELECT unnest(geography_tags) AS tag FROM items) x GROUP BY tag"))(lambda s, sf: it.tag_counts(processed(s, sf), "geography_tags"))
+query("news_by_theme", oracle("items", "SELECT tag, count(*) AS n FROM (SELECT unnest(theme_tags) AS tag FROM items) x GROUP BY tag"))(lambda s, sf: it.tag_counts(stored(s, sf), "theme_tags"))
+query("news_by_geography", oracle("items", "SELECT tag, count(*) AS n FROM (SELECT unnest(geography_tags) AS tag FROM items) x GROUP BY tag"))(lambda s, sf: it.tag_counts(stored(s, sf), "geography_tags"))
 
 # --- matching and review
 
@@ -241,11 +249,12 @@ def _stored_pairs(s: SparkSession, sf: str) -> DataFrame:
 
 
 def _reviewed(s: SparkSession, sf: str) -> DataFrame:
-    q = _stored_pairs(s, sf)
+    q = keep(_stored_pairs(s, sf))
     old = q.where("(item_a_id + item_b_id) % 3 = 0").select("item_a_id", "item_b_id", F.lit("no").alias("ai_same_story"), F.lit(0.1).alias("ai_confidence"), F.when((F.col("item_a_id") + F.col("item_b_id")) % 4 == 0, "accepted").otherwise("pending").alias("status"), F.lit("2024-01-01T00:00:00+00:00").alias("created_at"))
     return st.upsert_pairs(old, q)
 
 
+
 _UPSERTED = f"SELECT a AS item_a_id, b AS item_b_id, same_story AS ai_same_story, confidence AS ai_confidence, CASE WHEN (a + b) % 12 = 0 THEN 'accepted' ELSE 'pending' END AS status, CASE WHEN (a + b) % 3 = 0 THEN '2024-01-01T00:00:00+00:00' ELSE '{AS_OF_TEXT}' END AS created_at FROM (SELECT least(left_id, right_id) AS a, greatest(left_id, right_id) AS b, confidence, same_story FROM queued WHERE enqueue) p"
 query("match_pair_upsert", oracle("queued", _UPSERTED))(_reviewed)
 query("match_review_list", oracle("queued", f"SELECT item_a_id, item_b_id, ai_confidence, a.title AS title_a, b.title AS title_b FROM ({_UPSERTED}) u JOIN items a ON a.id = item_a_id JOIN items b ON b.id = item_b_id WHERE status = 'pending' AND a.domain_bucket = 'offshore_wind' AND b.domain_bucket = 'offshore_wind' ORDER BY ai_confidence DESC, created_at DESC, item_a_id, item_b_id LIMIT 30"))(
@@ -253,7 +262,7 @@ query("match_review_list", oracle("queued", f"SELECT item_a_id, item_b_id, ai_co
 )
 
 
-@query("match_decisions", oracle("queued", f"SELECT processed_id, arg_max(key, (at, pair_id)) AS collection_key FROM (SELECT pair_id, at, 'manual:review:' || pair_id AS key, unnest([item_a_id, item_b_id]) AS processed_id FROM (SELECT item_a_id, item_b_id, item_a_id * 1000000 + item_b_id AS pair_id, (item_a_id * 7 + item_b_id) % 50 AS at FROM ({_UPSERTED}) u WHERE (item_a_id + item_b_id) % 2 = 0) v) w GROUP BY processed_id"))
+@query("match_decisions", oracle("queued", f"SELECT processed_id, arg_max(ckey, (decided, pair_id)) AS collection_key FROM (SELECT pair_id, decided, 'manual:review:' || pair_id AS ckey, unnest([item_a_id, item_b_id]) AS processed_id FROM (SELECT item_a_id, item_b_id, item_a_id * 1000000 + item_b_id AS pair_id, (item_a_id * 7 + item_b_id) % 50 AS decided FROM ({_UPSERTED}) u WHERE (item_a_id + item_b_id) % 2 = 0) v) w GROUP BY processed_id"))
 def _(s: SparkSession, sf: str) -> DataFrame:
     p = _reviewed(s, sf).withColumn("pair_id", F.col("item_a_id") * 1_000_000 + F.col("item_b_id"))
     said = p.select("pair_id", F.when((F.col("item_a_id") + F.col("item_b_id")) % 2 == 0, "accepted").otherwise("rejected").alias("decision"), ((F.col("item_a_id") * 7 + F.col("item_b_id")) % 50).alias("decided_at"))
@@ -272,7 +281,7 @@ query("source_host_key", oracle("sources", "SELECT position, host, CASE WHEN hos
 )
 
 
-@query("source_import", oracle("sources", "SELECT min(page_id) AS ord, source AS host FROM crawl_pages WHERE source NOT IN (SELECT host FROM sources WHERE position % 2 = 0) GROUP BY source").replace("WITH ", "WITH crawl_pages AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS source FROM pages), ", 1))
+@query("source_import", oracle("sources", "SELECT min(page_id) AS ord, replace(source, 'www.', '') AS host FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS source FROM pages) c WHERE replace(source, 'www.', '') NOT IN (SELECT host FROM sources WHERE position % 2 = 0) GROUP BY replace(source, 'www.', '')"))
 def _(s: SparkSession, sf: str) -> DataFrame:
     pages = view(s, sf, "crawl_pages")
     line = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("Site "), "source", F.lit(" - "), "source")).otherwise(F.concat(F.lit("https://www."), "source", F.lit("/ News")))
@@ -361,9 +370,9 @@ _KEYS = [k for p in d.PROFILES for k in sorted({x.lower() for x in [*p["keywords
   WHEN 'DOFFIN' THEN CAST(substring(id, 8) AS BIGINT) % 5 <> 0 AND CAST(substring(id, 8) AS BIGINT) % 3 <> 0 AND (cpv IN {quoted(_CPV)} OR {any_plain('description', _QUAL[:12])}) ELSE {any_plain('description', _KEYS)} END"""))
 def _(s: SparkSession, sf: str) -> DataFrame:
     rows = view(s, sf, "notice_json").withColumn("ord", F.col("id"))
-    ted = src.keep_ted(src.normalize_ted(rows.where("source_name = 'TED'")), _CPV, SINCE)
-    doffin = src.keep_doffin(src.normalize_doffin(rows.where("source_name = 'DOFFIN'")), _CPV, _QUAL, SINCE)
-    bank = src.keep_worldbank(src.normalize_worldbank(rows.where("source_name = 'WORLDBANK'")), _KEYS, SINCE)
+    ted = src.keep_ted(keep(src.normalize_ted(rows.where("source_name = 'TED'"))), _CPV, SINCE)
+    doffin = src.keep_doffin(keep(src.normalize_doffin(rows.where("source_name = 'DOFFIN'"))), _CPV, _QUAL, SINCE)
+    bank = src.keep_worldbank(keep(src.normalize_worldbank(rows.where("source_name = 'WORLDBANK'"))), _KEYS, SINCE)
     return ted.select("id", "source").unionByName(doffin.select("id", "source")).unionByName(bank.select("id", "source"))
 
 
@@ -411,12 +420,12 @@ query("export_selected", oracle("opps", f"SELECT id, dedup_key, signal_score FRO
 query("export_payload", oracle("opps", f"SELECT dedup_key, {_PAYLOAD} AS payload FROM ({_EXP}) z"))(lambda s, sf: nt.payloads(_to_export(s, sf), _TARGET, AS_OF))
 _SIG = """SELECT 'news_' || id AS signal_id, 'news' AS module_type, title, 'unknown' AS country, themes, names AS actors, signal_score, confidence, NULL AS deadline, linkedin_candidate = 1 AS linkedin_candidate FROM items
 UNION ALL SELECT 'opportunity_' || id, 'opportunities', title, country, opportunity_family, buyer, signal_score, confidence, deadline, NULL FROM opps"""
-_signals = lambda s, sf: sg.united(processed(s, sf), opportunities(s, sf))
+_signals = lambda s, sf: sg.united(stored(s, sf), opportunities(s, sf))
 query("signals_union", oracle(["items", "opps"], _SIG))(lambda s, sf: _signals(s, sf).select("signal_id", "module_type", "title", "country", csv(F.col("theme_tags")).alias("themes"), csv(F.col("actors")).alias("actors"), "signal_score", "confidence", "deadline", "linkedin_candidate"))
 query("top_cross_module", oracle(["items", "opps"], f"SELECT *, row_number() OVER (ORDER BY signal_score DESC, signal_id) AS overall_rank FROM (SELECT * FROM (SELECT signal_id, module_type, signal_score, row_number() OVER (PARTITION BY module_type ORDER BY signal_score DESC, signal_id) AS module_rank FROM ({_SIG}) q) r WHERE module_rank <= 20) t"))(
     lambda s, sf: sg.top_across(_signals(s, sf)).select("signal_id", "module_type", "signal_score", "module_rank", "overall_rank")
 )
-query("idea_export", oracle("items", "SELECT 'idea_' || id AS idea_id, title, signal_score, why_it_matters, linkedin_angle, 'idea' AS status FROM items WHERE signal_score >= 65"))(lambda s, sf: sg.ideas(processed(s, sf)))
+query("idea_export", oracle("items", "SELECT 'idea_' || id AS idea_id, title, signal_score, why_it_matters, linkedin_angle, 'idea' AS status FROM items WHERE signal_score >= 65"))(lambda s, sf: sg.ideas(stored(s, sf)))
 
 # --- enrichment
 
@@ -426,5 +435,37 @@ query("enrichment_parse", oracle("enrichment", """SELECT raw_item_id, raw_item_i
 )
 query("enrichment_overlay", oracle("items", """SELECT id, CASE WHEN id % 12 = 0 THEN 'Model summary' ELSE summary END AS summary, CASE id % 12 WHEN 0 THEN 'policy' WHEN 4 THEN 'finance,policy' ELSE themes END AS themes, CASE WHEN id % 12 = 4 THEN 'Norway' ELSE geos END AS geos,
   CASE WHEN id % 12 = 0 THEN 'Equinor' ELSE names END AS names, CASE id % 12 WHEN 0 THEN 0.9::DOUBLE WHEN 4 THEN 0.84::DOUBLE ELSE confidence END AS confidence FROM items"""))(
-    lambda s, sf: it.overlay(processed(s, sf), it.parse_enrichment(view(s, sf, "enrichment"))).select("id", "summary", csv(F.col("theme_tags")).alias("themes"), csv(F.col("geography_tags")).alias("geos"), csv(F.col("actors")).alias("names"), "confidence")
+    lambda s, sf: it.overlay(stored(s, sf), it.parse_enrichment(view(s, sf, "enrichment"))).select("id", "summary", csv(F.col("theme_tags")).alias("themes"), csv(F.col("geography_tags")).alias("geos"), csv(F.col("actors")).alias("names"), "confidence")
 )
+
+# --- the incremental rules as streams, drained over the landed files
+
+
+def _landed(s: SparkSession, sf: str) -> DataFrame:
+    """Raw items as a stream of the files of a kept copy of the view, in four arrivals."""
+    rows = keep(raw(s, sf).repartition(4, (F.col("id") % 4)))
+    return jobs.landed(s, rows.inputFiles()[0].rsplit("/", 1)[0], rows.schema.simpleString()[7:-1].replace(":", " "))
+
+
+def _checkpoint(s: SparkSession) -> str:
+    return f"{shared_dir(s).rstrip('/')}/{uuid.uuid4().hex}"
+
+
+query("stream_processed", oracle("items", "SELECT id, title, signal_score, themes FROM items"))(
+    lambda s, sf: jobs.drain(jobs.processed(_landed(s, sf), AS_OF_TEXT).select("id", "title", "signal_score", csv(F.col("theme_tags")).alias("themes")), _checkpoint(s))
+)
+query("stream_first_seen", oracle("news_raw", "SELECT DISTINCT article_url FROM news_raw"))(lambda s, sf: jobs.drain(jobs.first_seen(_landed(s, sf)).select("article_url"), _checkpoint(s)))
+
+
+@query("stream_insert_if_absent", oracle("news_raw", "SELECT DISTINCT article_url FROM news_raw WHERE published_at IS NULL OR CAST(published_at AS TIMESTAMPTZ) >= TIMESTAMPTZ '2024-01-17 00:00:00+00'"))
+def _(s: SparkSession, sf: str) -> DataFrame:
+    table = _checkpoint(s)
+    jobs.each_batch(_landed(s, sf), jobs.insert_batches(table, "article_url", "id", AS_OF, 14), _checkpoint(s))
+    return s.read.parquet(table).select("article_url")
+
+
+@query("stream_relevance", oracle("relevance_log", f"SELECT processed_id, CASE WHEN relevance >= 0 THEN relevance END AS relevance FROM ({_REL}) x"))
+def _(s: SparkSession, sf: str) -> DataFrame:
+    log = keep(view(s, sf, "relevance_log"))
+    stream = jobs.landed(s, log.inputFiles()[0].rsplit("/", 1)[0], log.schema.simpleString()[7:-1].replace(":", " "))
+    return jobs.drain(jobs.current_values(stream, "processed_id", "relevance", ["ts", "event_id"]), _checkpoint(s), "complete")

@@ -1,9 +1,10 @@
-"""Makes the package importable on executors."""
+"""Makes the package importable on executors, and keeps results in the shared folder."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable
 from functools import wraps
@@ -36,3 +37,20 @@ def shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
         return f(spark, sf_dir)
 
     return run
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one only where it is unset, as in tests."""
+    there = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not there:
+        there = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", there)
+    return there
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Write a result that several branches of a plan read as Parquet into the shared folder, and read it again."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
