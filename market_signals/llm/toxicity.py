@@ -25,49 +25,52 @@ FEATURES = ("exact", "stem", "fuzzy", "quoted", "crowded", "share", "any")
 
 @dataclass
 class Node:
-    """A trie node; `term` is the lexicon's term that ends here, `open` that any ending may follow."""
+    """A trie node; `term` is the lexicon's term that ends here."""
 
     next: dict[str, Node] = field(default_factory=dict)
     term: int = -1
-    open: bool = False
 
 
 class Lexicon:
-    """A trie of terms, searched with a Levenshtein automaton for each queried word."""
+    """Tries of terms, searched with a Levenshtein automaton for each queried word. Stems match with any ending."""
 
     def __init__(self, terms: list[str], stems: list[str]):
         self.terms, self.stems = list(terms), list(stems)
         self.exact = {t: i for i, t in enumerate(terms)}
         self.stem = {t: len(terms) + i for i, t in enumerate(stems)}
         self.stem_sizes = sorted({len(t) for t in stems})
-        self.root = Node()
-        for i, t in enumerate([*terms, *stems]):
-            node = self.root
-            for c in t:
-                node = node.next.setdefault(c, Node())
-            node.term, node.open = i, node.open or i >= len(terms)
         # with one edit, the first or the second half of a term stays as it is, and the length changes by one at most:
         # other words need no search
-        self.heads, self.tails, self.swapped = set(), set(), set()
-        for t in terms:
+        # their terms stand in small tries of their own, by the word's length and that half
+        self.heads: dict[tuple[int, str], Node] = {}
+        self.tails: dict[tuple[int, str], Node] = {}
+        self.swapped: dict[str, Node] = {}
+        for i, t in enumerate(terms):
             if len(t) >= 5:
                 n = (len(t) + 1) // 2
                 # a swap across the halves spoils both
-                self.swapped.add(t[: n - 1] + t[n] + t[n - 1] + t[n + 1 :])
-                self.heads |= {(size, t[:n]) for size in range(len(t) - 1, len(t) + 2)}
-                self.tails |= {(size, t[n:]) for size in range(len(t) - 1, len(t) + 2)}
+                self.put(self.swapped.setdefault(t[: n - 1] + t[n] + t[n - 1] + t[n + 1 :], Node()), t, i)
+                for size in range(len(t) - 1, len(t) + 2):
+                    self.put(self.heads.setdefault((size, t[:n]), Node()), t, i)
+                    self.put(self.tails.setdefault((size, t[n:]), Node()), t, i)
         self.head_sizes, self.tail_sizes = sorted({len(x) for _, x in self.heads}), sorted({len(x) for _, x in self.tails})
         self.longest = max(map(len, terms), default=0)
         self.seen: dict[str, tuple[int, int]] = {}
 
-    def search(self, word: str, edits: int = 1) -> int:
+    @staticmethod
+    def put(root: Node, term: str, i: int) -> None:
+        for c in term:
+            root = root.next.setdefault(c, Node())
+        root.term = i
+
+    def search(self, word: str, root: Node, edits: int = 1) -> int:
         """Index of a term within `edits` insertions, deletions, substitutions or swaps of neighbours of `word`, or -1.
 
         The automaton's state is the row of edit distances to the prefixes of `word`; it steps along the trie's edges
         and drops a branch when the whole row exceeds `edits`. Terms of under 5 letters match only exactly.
         """
         n = len(word)
-        stack = [(self.root, tuple(range(n + 1)), None, "")]
+        stack = [(root, tuple(range(n + 1)), None, "")]
         best = (edits + 1, -1)
         while stack:
             node, row, above, last = stack.pop()
@@ -79,9 +82,7 @@ class Lexicon:
                         d = min(d, above[i - 2] + 1)
                     new.append(d)
                 if child.term >= 0:
-                    size = len(self.terms[child.term] if child.term < len(self.terms) else self.stems[child.term - len(self.terms)])
-                    if child.term < len(self.terms) and (size >= 5 or new[n] == 0):
-                        best = min(best, (new[n], child.term))
+                    best = min(best, (new[n], child.term))
                 if min(new) <= edits:
                     stack.append((child, tuple(new), row, c))
         return best[1]
@@ -96,17 +97,8 @@ class Lexicon:
         if len(word) < 4 or len(word) > self.longest + 1:
             return 0, -1
         size = len(word)
-        for n in self.head_sizes:
-            if (size, word[:n]) in self.heads:
-                break
-        else:
-            for n in self.tail_sizes:
-                if (size, word[-n:]) in self.tails:
-                    break
-            else:
-                if word not in self.swapped:
-                    return 0, -1
-        term = self.search(word)
+        roots = [self.heads.get((size, word[:n])) for n in self.head_sizes] + [self.tails.get((size, word[-n:])) for n in self.tail_sizes] + [self.swapped.get(word)]
+        term = max((self.search(word, r) for r in roots if r is not None), default=-1)
         return (3, term) if term >= 0 else (0, -1)
 
     def find(self, word: str) -> tuple[int, int]:
