@@ -14,13 +14,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from market_signals.llm.common import blocks, documents, keep, read
+from market_signals.llm.common import blocks, documents, keep, read, release
 from market_signals.llm.graph import components
 
 UPPER = {c: c + 32 for c in range(65, 91)}
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 #: Band ends are sizes at powers of (1 / similarity) ** BAND.
-BAND = 3
+BAND = 2
+#: Shingles in this share of all documents (and in LEAST_COMMON) are common.
+COMMON, LEAST_COMMON = 1 / 4000, 24
+#: A set with up to the first share of common shingles is signed without them, one with at least the second share with them.
+WITHOUT, WITH = 0.65, 0.45
 #: Documents of one chunk of a cluster: a verifying task holds two chunks at most.
 CHUNK = 1500
 
@@ -81,15 +85,35 @@ def choices(n2: int, k2: int) -> np.ndarray:
     return np.array([[c in chosen for c in range(n2)] for chosen in combinations(range(n2), n2 - k2)], np.uint64)
 
 
-def signatures(s: np.ndarray, share: int) -> np.ndarray:
-    """PartEnum signatures of a set: hashes of its elements in every choice of agreeing second-level partitions.
+def all_signatures(s: np.ndarray, share: int, common: np.ndarray) -> np.ndarray:
+    """Signatures of a set without its common shingles, or with them where they make up much of it, or both.
+
+    Leaving out the same shingles everywhere can't add to two sets' differences, so the bound of the whole sets holds.
+    It keeps passages that many documents share from making signatures of their own. The shares of common shingles of
+    two sets that link differ by less than WITHOUT - WITH, so both are signed in at least one same way.
+    """
+    if not len(common) or not len(s):
+        return signatures(s, share, len(s))
+    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+    rare = s[common[at] != s]
+    part = 1 - len(rare) / len(s)
+    out = []
+    if part <= WITHOUT:
+        out.append(signatures(rare, share, len(s)) ^ np.uint64(0x5851F42D4C957F2D))
+    if part >= WITH:
+        out.append(signatures(s, share, len(s)))
+    return np.concatenate(out)
+
+
+def signatures(s: np.ndarray, share: int, size: int) -> np.ndarray:
+    """PartEnum signatures of (part of) a set of `size` elements: hashes of its elements in every choice of agreeing second-level partitions.
 
     Projections without elements say little and are shared by many sets. Where spare partitions exist they are left
     out, unless the set has more such partitions than there are spare ones: two sets can agree on nothing else only if
     both have.
     """
     out = []
-    for band, top in bands(len(s), share):
+    for band, top in bands(size, share):
         n1, n2, k2, spare = scheme(apart(top, share))
         cell = ((s >> np.uint64(20)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
         cell = (cell % np.uint64(n1 * n2)).astype(np.int64)
@@ -150,11 +174,11 @@ class Forest:
         return True
 
 
-def tree_of(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, share: int) -> list[tuple[int, int]]:
+def tree_of(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, share: int, common: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of the links among sets that share a signature. side: 0 in the first chunk, 1 in the second, and only links
     between chunks are sought if both occur. Pairs that are connected already are not compared."""
     forest, out, tested = Forest(len(ids)), [], set()
-    sigs = [signatures(s, share) for s in sets]
+    sigs = [all_signatures(s, share, common) for s in sets]
     flat, owner = np.concatenate(sigs), np.repeat(np.arange(len(sets)), [len(x) for x in sigs])
     order = np.lexsort((owner, flat))
     flat, owner = flat[order], owner[order]
@@ -187,9 +211,44 @@ def tree_of(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, share: in
     return out
 
 
+def common_shingles(docs: DataFrame, n: int) -> np.ndarray:
+    """Sorted hashes of common shingles: at most the mean number of shingles of a document over COMMON, whatever the corpus.
+
+    Shingles are counted over all documents, but one that is alone among a task's last million is left uncounted there;
+    the list steers which signatures are made, never which documents link.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+
+        def told() -> pa.RecordBatch:
+            found, times = np.unique(np.concatenate(held), return_counts=True)
+            many = times > 1
+            return pa.RecordBatch.from_arrays([pa.array(found[many].view(np.int64)), pa.array(times[many])], names=["s", "n"])
+
+        for block in blocks(batches):
+            for text in block.column(1).to_pylist():
+                held.append(shingle_set(text, n))
+                size += len(held[-1])
+                if size >= 1_000_000:
+                    yield told()
+                    held, size = [], 0
+        if held:
+            yield told()
+
+    least = max(LEAST_COMMON, int(COMMON * docs.count()))
+    found = docs.mapInArrow(count, "s bigint, n bigint").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("s").toPandas()
+    out = np.sort(found["s"].to_numpy(np.int64).view(np.uint64))
+    del found
+    release(docs.sparkSession)
+    return out
+
+
 def join_components(docs: DataFrame, share: int = 80, n: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id of every row: documents link when 100 * common >= share * union of their shingle sets.
 
+    0. Shingles that very many documents share are listed (see all_signatures).
     1. Every document gives its set's 128-bit key; equal sets are one class, whose smallest doc_id stands for it.
     2. Every class gives its PartEnum signatures, once for each block of rows, so that a class of many copies is a few
        rows. Classes that share a signature make candidate clusters (chains over the sorted rows of a signature: what
@@ -205,6 +264,8 @@ def join_components(docs: DataFrame, share: int = 80, n: int = 5) -> DataFrame:
     spark = docs.sparkSession
     docs = documents(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
+    usual = spark.sparkContext.broadcast(common_shingles(docs, n))
+
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             sets = [shingle_set(x, n) for x in block.column(1).to_pylist()]
@@ -213,7 +274,7 @@ def join_components(docs: DataFrame, share: int = 80, n: int = 5) -> DataFrame:
             sigs: list[np.ndarray | None] = []
             for s, key, doc_id in zip(sets, keys, block.column(0).to_pylist(), strict=True):
                 new = key not in seen and doc_id is not None
-                sigs.append(signatures(s, share).view(np.int64) if new else None)
+                sigs.append(all_signatures(s, share, usual.value).view(np.int64) if new else None)
                 if new:
                     seen.add(key)
             cols = [block.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(sigs, pa.list_(pa.int64()))]
@@ -239,6 +300,7 @@ def join_components(docs: DataFrame, share: int = 80, n: int = 5) -> DataFrame:
     near = signed.repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(chain, "a bigint, b bigint")
     # clusters of set keys; should two sets share half a key, both are in its cluster
     clusters = keep(components(near).withColumnsRenamed({"node": "k1", "component": "cluster"}))
+    release(spark)
     described = described.drop("sigs")
     classes = described.where("k1 is not null and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     clusters = classes.join(clusters, "k1").select(F.col("rep").alias("node"), "cluster").distinct()
@@ -261,7 +323,7 @@ def join_components(docs: DataFrame, share: int = 80, n: int = 5) -> DataFrame:
     def verify(frame: pd.DataFrame) -> pd.DataFrame:
         sets = [np.frombuffer(x, np.uint64) for x in frame["s"]]
         side = (frame["chunk"] != frame["x"]).to_numpy()
-        found = tree_of(frame["doc_id"].to_numpy(), sets, side, share)
+        found = tree_of(frame["doc_id"].to_numpy(), sets, side, share, usual.value)
         return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
     linked = members.groupBy("cluster", "x", "y").applyInPandas(verify, "a bigint, b bigint")
