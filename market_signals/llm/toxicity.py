@@ -199,11 +199,15 @@ def train(docs: DataFrame, labels: DataFrame, held: int = 0, folds: int = 5, mos
     error = F.sqrt(1 / (F.col("bad") + 0.1) + 1 / (F.col("good") + 0.5))
     least = max(least, nb // 100)
     telling = counts.withColumn("z", odds - error).where((F.col("bad") >= least) & (F.col("z") > 1.5) & (F.col("bad") > 3 * F.col("good")))
-    terms = [r["t"] for r in telling.where("n = 0").orderBy(F.desc("z"), "t").limit(lexicon).collect()]
+    whole_words = telling.where("n = 0").orderBy(F.desc("z"), "t").limit(lexicon).collect()
+    terms = [r["t"] for r in whole_words]
     rows = telling.where("n > 0").orderBy(F.desc("bad"), F.desc("z"), "n", "t").limit(4 * lexicon).collect()
     # of the beginnings of one word keep the shortest that is clean
     stems: list[str] = []
     for r in sorted(rows, key=lambda r: (r["n"], r["t"])):
+        # one word alone makes no stem
+        if r["bad"] <= 1.2 * max((w["bad"] for w in whole_words if w["t"].startswith(r["t"])), default=0):
+            continue
         if r["bad"] >= 2 * least and r["good"] * 50 <= r["bad"] and not any(r["t"].startswith(s) for s in stems):
             stems.append(r["t"])
     stems = stems[:lexicon]
