@@ -21,7 +21,7 @@ SPACE = "▁"
 #: A chunk: marks of spaces, then other characters. Pieces never join two chunks (checked for the vocabulary).
 CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 #: Chunks whose pieces a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 @dataclass

@@ -22,7 +22,7 @@ WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 #: Band ends are sizes at powers of (1 / similarity) ** BAND.
 BAND = 2
 #: Shingles in this share of all documents (and in LEAST_COMMON) are common.
-COMMON, LEAST_COMMON = 1 / 4000, 24
+COMMON, LEAST_COMMON = 1 / 20000, 8
 #: A set with up to the first share of common shingles is signed without them, one with at least the second share with them.
 WITHOUT, WITH = 0.65, 0.45
 #: Documents of one chunk of a cluster: a verifying task holds two chunks at most.
@@ -177,7 +177,8 @@ class Forest:
 def tree_of(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, share: int, common: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of the links among sets that share a signature. side: 0 in the first chunk, 1 in the second, and only links
     between chunks are sought if both occur. Pairs that are connected already are not compared."""
-    forest, out, tested = Forest(len(ids)), [], set()
+    forest, out, n = Forest(len(ids)), [], len(ids)
+    tested = bytearray(n * n)
     sigs = [all_signatures(s, share, common) for s in sets]
     flat, owner = np.concatenate(sigs), np.repeat(np.arange(len(sets)), [len(x) for x in sigs])
     order = np.lexsort((owner, flat))
@@ -189,10 +190,10 @@ def tree_of(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, share: in
     def meet(these: list[int], those: list[int]) -> None:
         for i in these:
             for j in those:
-                pair = (i, j) if i < j else (j, i)
-                if (cross and side[i] == side[j]) or pair in tested:
+                pair = min(i, j) * n + max(i, j)
+                if tested[pair] or (cross and side[i] == side[j]):
                     continue
-                tested.add(pair)
+                tested[pair] = 1
                 if links(sets[i], sets[j], share):
                     forest.join(i, j)
                     out.append((int(ids[i]), int(ids[j])))
