@@ -154,6 +154,12 @@ def links(a: np.ndarray, b: np.ndarray, share: int) -> bool:
     return 100 * both >= share * (len(a) + len(b) - both)
 
 
+def parity(s: np.ndarray, bits: int = 4096) -> int:
+    """The parity of a set's elements in each of `bits` cells. The cells in which two sets differ are at most as many as the elements in which they do."""
+    odd = np.bincount(((s >> np.uint64(11)) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return int.from_bytes(np.packbits(odd.astype(np.uint8)).tobytes(), "big")
+
+
 class Forest:
     """Union-find over places 0..n-1."""
 
@@ -179,6 +185,7 @@ def tree_of(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, share: in
     between chunks are sought if both occur. Pairs that are connected already are not compared."""
     forest, out, n = Forest(len(ids)), [], len(ids)
     tested = bytearray(n * n)
+    odd, counts = [parity(s) for s in sets], [len(s) for s in sets]
     sigs = [all_signatures(s, share, common) for s in sets]
     flat, owner = np.concatenate(sigs), np.repeat(np.arange(len(sets)), [len(x) for x in sigs])
     order = np.lexsort((owner, flat))
@@ -194,7 +201,8 @@ def tree_of(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, share: in
                 if tested[pair] or (cross and side[i] == side[j]):
                     continue
                 tested[pair] = 1
-                if links(sets[i], sets[j], share):
+                # linked sets differ in (a + b) * (100 - share) / (100 + share) elements at most
+                if (odd[i] ^ odd[j]).bit_count() * (100 + share) <= (counts[i] + counts[j]) * (100 - share) and links(sets[i], sets[j], share):
                     forest.join(i, j)
                     out.append((int(ids[i]), int(ids[j])))
                     return
