@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,8 @@ STEP = 8
 PERIOD, COVER = 7, (0, 1, 3)
 #: Suffix buckets that are handled one after the other.
 BUCKETS = 2
+#: Pieces of one key that a task holds and sorts at most; the windows of a key with more are compared one by one.
+HOT = 20_000
 #: Bytes of text that a task hashes at once.
 BLOCK = 400_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -274,15 +276,27 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(["key", "context", "doc", "at"], [key, context, rows.column(0).to_numpy()[i], begin - block.starts[i]])
 
 
-def repeated_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def repeated_windows(batches: Iterator[pa.RecordBatch], most: int = HOT) -> Iterator[pa.RecordBatch]:
     """From pieces sorted by (key, context, doc, at): (doc, begin, end) of bytes that repeat a smaller document.
 
     Equal contexts are one: the first document holds it, the others repeat it. The distinct contexts of a key are
     suffix-sorted together; a key with one context needs no more. The last key of a batch waits for the next one,
-    with its distinct contexts and the rows of their first documents alone.
+    with its distinct contexts and the rows of their first documents alone. Once over `most` of these wait, the key's
+    windows leave with their bytes in `window`, undecided, and only the row that holds the last context stays.
     """
-    names = ["doc", "begin", "end"]
+    names = ["doc", "begin", "end", "window"]
+
+    def decided(doc: np.ndarray | list, begin: np.ndarray | list, end: np.ndarray | list) -> pa.RecordBatch:
+        return batch_of(names, [doc, begin, end, pa.nulls(len(doc), pa.binary())])
+
+    def undecided(context: list[bytes], doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        counts = np.array([len(x) - LENGTH + 1 for x in context], np.int64)
+        begin = np.repeat(at, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        window = pa.array([x[k : k + LENGTH] for x in context for k in range(len(x) - LENGTH + 1)], pa.binary())
+        return batch_of(names, [np.repeat(doc, counts), begin, begin + LENGTH, window])
+
     held: tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray] = (np.zeros(0, np.int64), [], np.zeros(0, np.int64), np.zeros(0, np.int64))
+    hot = False  # the held row has left already, and its key's others shall leave
     for batch in _and_end(batches):
         key, context, doc, at = held
         if batch is not None:
@@ -293,13 +307,24 @@ def repeated_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         new = np.concatenate([[True], (key[1:] != key[:-1]) | np.array([x != y for x, y in zip(context[1:], context, strict=False)], bool)])
         later = doc > holders(new, doc)
         if later.any():
-            yield batch_of(names, [doc[later], at[later], (at + size)[later]])
+            yield decided(doc[later], at[later], (at + size)[later])
         keep_rows = np.flatnonzero(~later)
-        key, doc, at, new, size = key[keep_rows], doc[keep_rows], at[keep_rows], new[keep_rows], size[keep_rows]
+        key, doc, at, new = key[keep_rows], doc[keep_rows], at[keep_rows], new[keep_rows]
         context = [context[i] for i in keep_rows.tolist()]
-        whole = len(key) if batch is None else int(np.searchsorted(key, key[-1])) if (key[1:] >= key[:-1]).all() else int(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))[-1])
-        held = (key[whole:], context[whole:], doc[whole:], at[whole:])
-        key, context, doc, at, new, size = key[:whole], context[:whole], doc[:whole], at[:whole], new[:whole], size[:whole]
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        whole = len(key) if batch is None else int(start[-1])
+        gone = 0
+        if hot:
+            gone = int(start[1]) if len(start) > 1 else len(key)
+            if gone > 1:
+                yield undecided(context[1:gone], doc[1:gone], at[1:gone])
+            hot = gone == len(key)
+        if batch is not None and not hot and len(key) - whole > most:
+            yield undecided(context[whole:], doc[whole:], at[whole:])
+            hot = True
+        wait = slice(int(np.flatnonzero(new)[-1]), int(np.flatnonzero(new)[-1]) + 1) if hot else slice(whole, None)
+        held = (key[wait], context[wait], doc[wait], at[wait])
+        key, context, doc, at, new = key[gone:whole], context[gone:whole], doc[gone:whole], at[gone:whole], new[gone:whole]
         if not len(key):
             continue
         # keys with contexts of several documents
@@ -320,7 +345,17 @@ def repeated_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 for a, b in zip(hit[np.append(0, cut + 1)].tolist(), hit[np.append(cut, len(hit) - 1)].tolist(), strict=True):
                     out.append((int(doc[i]), int(at[i]) + a, int(at[i]) + b + LENGTH))
         if out:
-            yield batch_of(names, [list(x) for x in zip(*out, strict=True)])
+            yield decided(*[list(x) for x in zip(*out, strict=True)])
+
+
+def again(windows: DataFrame) -> DataFrame:
+    """(doc, begin, end) of the windows (doc, begin, end, window) whose bytes stand in a smaller document.
+
+    The least documents are aggregated before the shuffle and written, so that Spark can split the join of a window that very many share.
+    """
+    least = windows.groupBy("window").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
+    least = keep(least.where("low < high").select("window", "low"))
+    return windows.join(least, "window").where("low < doc").select("doc", "begin", "end")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -328,7 +363,8 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     Suffix buckets are sorted one after the other, so the disk holds one bucket's rows at a time. A suffix's bucket is the
     least gram of its first LENGTH bytes; suffixes whose gram stands in one document alone leave at once. Of the rest,
-    equal surroundings are settled by counting them once; what remains goes, as pieces of text, to the tasks that sort them.
+    equal surroundings are settled by counting them once; what remains goes, as pieces of text, to the tasks that sort
+    them. Pieces of one key beyond HOT are cut into their windows, which are dealt anew by all their bytes.
     """
     spark = docs.sparkSession
     found: DataFrame | None = None
@@ -343,11 +379,16 @@ def repeats(docs: DataFrame) -> DataFrame:
         open_ = flags.where("at >= 0").groupBy("doc").agg(F.sort_array(F.collect_list("at")).alias("ats"))
         parts = docs.join(open_, "doc").select("doc", "text", "ats").mapInArrow(pieces, "key bigint, context binary, doc bigint, at bigint")
         parts = parts.repartition("key").sortWithinPartitions("key", "context", "doc", "at")
-        sorted_out = parts.mapInArrow(repeated_windows, "doc bigint, begin bigint, end bigint")
-        ranges = keep(certain.unionByName(sorted_out))
+        sorted_out = parts.mapInArrow(partial(repeated_windows, most=HOT), "doc bigint, begin bigint, end bigint, window binary")
+        ranges = keep(certain.withColumn("window", F.lit(None).cast("binary")).unionByName(sorted_out))
         del parts, sorted_out, certain, open_
         forget(flags)
         release(spark)
+        windows = ranges.where("window is not null")
+        ranges = ranges.where("window is null").select("doc", "begin", "end")
+        if windows.limit(1).count():
+            ranges = ranges.unionByName(keep(again(windows)))
+            release(spark)
         found = ranges if found is None else found.unionByName(ranges)
     return found
 

@@ -71,6 +71,33 @@ def test_repeats_with_repeated_and_null_ids(spark):
     assert suffixes.removed(frame(spark, [])).count() == 0
 
 
+def test_repeats_of_hot_keys_leave_as_windows(spark, mixed, monkeypatch):
+    monkeypatch.setattr(suffixes, "HOT", 3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    left = []
+    monkeypatch.setattr(suffixes, "again", lambda w, f=suffixes.again: left.append(w.count()) or f(w))
+    rng = random.Random(12)
+    line = "this header of sixty bytes or so stands in every document of it. "
+    texts = [(i, f"{rng.randrange(10**8)} {line}{rng.randrange(10**8)} {mixed[i % len(mixed)][1] or ''}"[:400] * (1 + i % 5 // 4)) for i in range(90)]
+    try:
+        got = suffixes.removed(frame(spark, texts)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == brute_repeats(texts)
+    assert sum(left) > 0
+
+
+def test_pieces_that_a_task_holds_are_bounded(monkeypatch):
+    sorted_at_once = []
+    monkeypatch.setattr(suffixes, "least_docs", lambda c, d, f=suffixes.least_docs: sorted_at_once.append(len(c)) or f(c, d))
+    contexts = sorted(b"%07d" % (i * 7919 % 10**7) + b"-" * 43 + b"%07d" % i for i in range(60_000))
+    ends = [0, *range(10_000, 60_001, 10_000)]
+    rows = (suffixes.batch_of(["key", "context", "doc", "at"], [np.full(b - a, 5), suffixes.pa.array(contexts[a:b], suffixes.pa.binary()), np.arange(a, b), np.zeros(b - a, np.int64)]) for a, b in zip(ends, ends[1:], strict=False))
+    out = [x.to_pydict() for x in suffixes.repeated_windows(rows)]
+    assert sum(w is not None for x in out for w in x["window"]) == 8 * len(contexts)
+    assert max(sorted_at_once, default=0) <= 30_000
+
+
 def test_suffix_order_is_lexicographic():
     rng = random.Random(2)
     text = "".join(rng.choice("ab") for _ in range(700)).encode() * 2
