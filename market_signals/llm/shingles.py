@@ -23,8 +23,8 @@ WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 BAND = 2
 #: Shingles in this share of all documents (and in LEAST_COMMON) are common.
 COMMON, LEAST_COMMON = 1 / 20000, 8
-#: A set with up to the first share of common shingles is signed without them, one with at least the second share with them.
-WITHOUT, WITH = 0.65, 0.45
+#: A set with up to the first percentage of common shingles is signed without them, one with at least the second with them (see least_with).
+WITHOUT, WITH = 65, 45
 #: Documents of one chunk of a cluster: a verifying task holds two chunks at most.
 CHUNK = 1500
 
@@ -85,22 +85,31 @@ def choices(n2: int, k2: int) -> np.ndarray:
     return np.array([[c in chosen for c in range(n2)] for chosen in combinations(range(n2), n2 - k2)], np.uint64)
 
 
+def least_with(share: int) -> int:
+    """The percentage of common shingles from which a set is signed with them.
+
+    Those of two sets that link differ by 100 - share at most: it is reached where one set holds the other and all of
+    the rest is common, or none of it. So WITHOUT may be higher by no more than that.
+    """
+    return min(WITH, WITHOUT - (100 - share))
+
+
 def all_signatures(s: np.ndarray, share: int, common: np.ndarray) -> np.ndarray:
     """Signatures of a set without its common shingles, or with them where they make up much of it, or both.
 
     Leaving out the same shingles everywhere can't add to two sets' differences, so the bound of the whole sets holds.
-    It keeps passages that many documents share from making signatures of their own. The shares of common shingles of
-    two sets that link differ by less than WITHOUT - WITH, so both are signed in at least one same way.
+    It keeps passages that many documents share from making signatures of their own. Two sets that link are both
+    signed in at least one same way (see least_with).
     """
     if not len(common) or not len(s):
         return signatures(s, share, len(s))
     at = np.minimum(np.searchsorted(common, s), len(common) - 1)
     rare = s[common[at] != s]
-    part = 1 - len(rare) / len(s)
+    part = 100 * (len(s) - len(rare))
     out = []
-    if part <= WITHOUT:
+    if part <= WITHOUT * len(s):
         out.append(signatures(rare, share, len(s)) ^ np.uint64(0x5851F42D4C957F2D))
-    if part >= WITH:
+    if part >= least_with(share) * len(s):
         out.append(signatures(s, share, len(s)))
     return np.concatenate(out)
 
@@ -323,6 +332,9 @@ def join_components(docs: DataFrame, share: int = 80, n: int = 5) -> DataFrame:
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             sets = [shingle_set(x, n).tobytes() for x in block.column(1).to_pylist()]
+            # a row without shingles may repeat the id of one that has some; it links with nothing
+            full = pa.array([len(x) > 0 for x in sets], pa.bool_())
+            block, sets = block.filter(full), [x for x in sets if x]
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array(sets, pa.binary()), block.column(2), block.column(3), block.column(4)], names=["doc_id", "s", "cluster", "chunk", "pairs"])
 
     member_schema = "doc_id bigint, s binary, cluster bigint, chunk int, pairs array<struct<x: int, y: int>>"

@@ -257,6 +257,20 @@ def test_shingle_join_edges(spark):
     assert shingles.join_components(frame(spark, [])).count() == 0
 
 
+def test_shingle_join_of_ids_with_and_without_text(spark):
+    body = words(random.Random(3), 60)
+    got = shingles.join_components(frame(spark, [(1, body), (1, ""), (1, None), (1, " \t"), (4, body + " more"), (6, "")])).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == [(1, 0, 1)] * 3 + [(1, 56, 1), (4, 57, 1), (6, 0, 6)]
+
+
+def test_sets_that_link_below_80_share_a_signature():
+    a = np.arange(1, 101, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    b, common = np.sort(a[:60]), np.sort(np.concatenate([a[:26], a[60:]]))
+    a = np.sort(a)
+    assert shingles.links(a, b, 60)
+    assert len(np.intersect1d(shingles.all_signatures(a, 60, common), shingles.all_signatures(b, 60, common)))
+
+
 @pytest.mark.parametrize("share", [80, 90])
 def test_linked_sets_share_a_signature(share):
     rng = np.random.default_rng(share)
