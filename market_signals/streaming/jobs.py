@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,13 +53,18 @@ def insert_batches(path: str, key: str, order: str, as_of: str, days_back: int |
 
 
 def drain(stream: DataFrame, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what there is and return its rows (for results that fit a table in memory)."""
-    name = f"ms_{uuid.uuid4().hex}"
-    query: StreamingQuery = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
-
-
-def each_batch(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """Run a stream over what there is and return its rows, which executors write to a Parquet table beside the checkpoint."""
+    spark, table = stream.sparkSession, f"{checkpoint.rstrip('/')}_rows"
+    if mode == "complete":
+        spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(table)
+        # every batch brings all rows
+        each_batch(stream, lambda batch, number: batch.write.mode("overwrite").parquet(table), checkpoint, mode)
+    else:
+        query: StreamingQuery = stream.writeStream.format("parquet").option("path", table).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(table)
+
+
+def each_batch(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
     """Run a stream over what there is, batch by batch."""
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

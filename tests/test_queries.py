@@ -59,3 +59,21 @@ def test_blocked_pairs_equal_brute_force_with_edges(spark):
     a, b = p.alias("l"), p.alias("r")
     brute = a.join(b, F.col("l.pos") < F.col("r.pos")).select(F.col("l.pos").alias("lpos"), F.col("r.pos").alias("rpos"))
     assert got == {(r["left_id"], r["right_id"]) for r in m._verified(brute, p, 7).collect()}
+
+
+@pytest.mark.parametrize("mode", ["append", "complete"])
+def test_drained_rows_are_files(spark, tmp_path, mode):
+    from market_signals.streaming import jobs
+
+    def run(name):
+        stream = jobs.landed(spark, str(tmp_path / name), "id long, k long, v long", 1)
+        out = jobs.current_values(stream, "k", "v", ["id"]) if mode == "complete" else stream.select("k", "v")
+        return jobs.drain(out, str(tmp_path / f"{name}_checkpoint"), mode)
+
+    spark.range(40).selectExpr("id", "id % 7 AS k", "id * 2 AS v").repartition(4).write.parquet(str(tmp_path / "some"))
+    (tmp_path / "none").mkdir()
+    got = run("some")
+    assert got.inputFiles()
+    rows = sorted((r["k"], r["v"]) for r in got.collect())
+    assert rows == (sorted((i % 7, i * 2) for i in range(33, 40)) if mode == "complete" else sorted((i % 7, i * 2) for i in range(40)))
+    assert run("none").count() == 0
