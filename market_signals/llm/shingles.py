@@ -2,40 +2,119 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from market_signals.llm.common import blocks, documents, keep, read, release
+from market_signals.llm.common import blocks, documents, forget, keep, read, release
 from market_signals.llm.graph import components
 
-UPPER = {c: c + 32 for c in range(65, 91)}
-WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+#: Bytes with A-Z lower-cased, and which of them separate words.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+SEPARATES = np.isin(np.arange(256), [32, *range(9, 14)])
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 256
+#: Masks for the last 0 to 8 bytes of a word.
+TAIL = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 #: Band ends are sizes at powers of (1 / similarity) ** BAND.
 BAND = 2
-#: Shingles in this share of all documents (and in LEAST_COMMON) are common.
-COMMON, LEAST_COMMON = 1 / 20000, 8
+#: The first count of shingles covers this part of their domain (see join_components).
+THIRD = 3
+#: Shingles that a task of a count holds, about, and those a dealing task holds before it sends them.
+HELD = 700_000
+#: Bits of the table of sets that remain after the first count: 2 MB at any size of the corpus.
+TABLE_BITS = 24
+#: Shingles in this share of the remaining sets (and in LEAST_COMMON) are common.
+COMMON, LEAST_COMMON = 1 / 5000, 8
 #: A set with up to the first percentage of common shingles is signed without them, one with at least the second with them (see least_with).
 WITHOUT, WITH = 65, 45
-#: Documents of one chunk of a cluster: a verifying task holds two chunks at most.
-CHUNK = 1500
+#: Signatures that a signing task holds before it sends them.
+SIGNED = 500_000
+#: Sets of one chunk of a cluster, and their shingles: a verifying task holds two chunks at most.
+CHUNK, CHUNK_SHINGLES = 1500, 2_000_000
+#: Up to so many sets of a cluster are compared without looking for shared signatures again.
+FEW = 64
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of all texts, and where each begins (and the last ends). Null texts are empty."""
+    texts = pc.fill_null(texts, "")
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    _, places, data = texts.buffers()
+    if not len(texts) or data is None:
+        return np.zeros(0, np.uint8), np.zeros(len(texts) + 1, np.int64)
+    begins = np.frombuffer(places, kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    return np.frombuffer(data, np.uint8)[begins[0] : begins[-1]], begins - begins[0]
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word of the texts with A-Z lower-cased, in order, and how many words each text has."""
+    data, begins = text_bytes(texts)
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    low = np.zeros(len(data) + 8, np.uint8)
+    low[:-8] = LOWER[data]
+    inside = ~SEPARATES[data]
+    # a word begins behind a separator or where a text does, and ends likewise
+    behind, before = np.zeros(len(data) + 1, bool), np.zeros(len(data) + 1, bool)
+    behind[begins] = before[begins] = True
+    behind[1:] |= ~inside
+    before[:-1] |= ~inside
+    first, last = np.flatnonzero(inside & behind[:-1]), np.flatnonzero(inside & before[1:]) + 1
+    sizes = last - first
+    eight = np.ndarray((len(low) - 7,), "<u8", low, strides=(1,))
+    h = sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    live = np.flatnonzero(sizes <= LONG_WORD)
+    for j in range(0, LONG_WORD, 8):
+        live = live[sizes[live] > j] if j else live
+        if not len(live):
+            break
+        part = eight[first[live] + j] & TAIL[np.minimum(sizes[live] - j, 8)]
+        h[live] = mixed((h[live] ^ part) * np.uint64(0x2545F4914F6CDD1D))
+    for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(low[first[i] : last[i]].tobytes())
+    return h, np.bincount(np.searchsorted(begins, first, "right") - 1, minlength=len(texts))
+
+
+def shingle_sets(texts: pa.Array, n: int = 3) -> list[np.ndarray]:
+    """Of every text the sorted distinct 64-bit hashes of its word n-grams; fewer words are one shingle, none are no shingle."""
+    w, counts = word_hashes(texts)
+    ends = np.cumsum(counts)
+    starts = ends - counts
+
+    def chained(h: np.ndarray, rest: list[np.ndarray]) -> np.ndarray:
+        h = h ^ np.uint64(0x632BE59BD9B4E019 * (len(rest) + 1) % 2**64)
+        for x in rest:
+            h = mixed(h * np.uint64(0x2545F4914F6CDD1D) + x)
+        return mixed(h)
+
+    k = max(0, len(w) - n + 1)
+    whole = chained(w[:k], [w[j : j + k] for j in range(1, n)])
+    out = [np.unique(whole[a : b - n + 1]) if b - a >= n else np.zeros(0, np.uint64) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    for c in range(1, n):
+        rows = np.flatnonzero(counts == c)
+        short = chained(w[starts[rows]], [w[starts[rows] + j] for j in range(1, c)])
+        for i, h in zip(rows.tolist(), short, strict=True):
+            out[i] = np.array([h], np.uint64)
+    return out
 
 
 def shingle_set(text: str | None, n: int = 3) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word n-grams of a text with A-Z lower-cased; fewer words are one shingle."""
-    words = WORDS.findall((text or "").translate(UPPER))
-    if not words:
-        return np.zeros(0, np.uint64)
-    grams = {" ".join(words)} if len(words) < n else set(map(" ".join, zip(*[words[i:] for i in range(n)], strict=False)))
-    return np.sort(np.fromiter(map(xxhash.xxh3_64_intdigest, grams), np.uint64, len(grams)))
+    return shingle_sets(pa.array([text], pa.string()), n)[0]
 
 
 def apart(size: int, share: int) -> int:
@@ -189,13 +268,14 @@ class Forest:
         return True
 
 
-def tree_of(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, share: int, common: np.ndarray) -> list[tuple[int, int]]:
+def tree_of(ids: list[int], sets: list[np.ndarray], side: np.ndarray, share: int, common: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of the links among sets that share a signature. side: 0 in the first chunk, 1 in the second, and only links
     between chunks are sought if both occur. Pairs that are connected already are not compared."""
     forest, out, n = Forest(len(ids)), [], len(ids)
     tested = bytearray(n * n)
     odd, counts = [parity(s) for s in sets], [len(s) for s in sets]
-    sigs = [all_signatures(s, share, common) for s in sets]
+    # of a few sets every pair is compared, as if all shared one signature
+    sigs = [all_signatures(s, share, common) for s in sets] if n > FEW else [np.zeros(1, np.uint64)] * n
     flat, owner = np.concatenate(sigs), np.repeat(np.arange(len(sets)), [len(x) for x in sigs])
     order = np.lexsort((owner, flat))
     flat, owner = flat[order], owner[order]
@@ -229,134 +309,288 @@ def tree_of(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, share: in
     return out
 
 
-def common_shingles(docs: DataFrame, n: int) -> np.ndarray:
-    """Sorted hashes of common shingles: at most the mean number of shingles of a document over COMMON, whatever the corpus.
+def deal(found: Iterator[tuple[list[int], list[np.ndarray]]], parts: int, third: int) -> Iterator[pa.RecordBatch]:
+    """Shingles (of a `third` of their domain) to the parts that count them: (part, h, k, n, own_k, own_n).
 
-    Shingles are counted over all documents, but one that is alone among a task's last million is left uncounted there;
-    the list steers which signatures are made, never which documents link.
+    h are shingles and k the keys of the sets that hold them. A shingle of several sets of one task's load goes once,
+    with k = 0 and the number of sets in n, and counts as shared for these sets at once (own_n for set own_k): so
+    a shingle that very many sets hold is a few rows.
     """
+    held: dict[int, np.ndarray] = {}
+    size = 0
+
+    def told() -> pa.RecordBatch:
+        keys, h = np.fromiter(held, np.int64, len(held)), np.concatenate(list(held.values()))
+        k = np.repeat(keys, [len(x) for x in held.values()])
+        order = np.argsort(h, kind="stable")
+        s = h[order]
+        first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
+        times = np.diff(np.append(first, len(s)))
+        shared = np.zeros(len(h), bool)
+        shared[order] = np.repeat(times > 1, times)
+        many = times > 1
+        own_k, own_n = np.unique(k[shared], return_counts=True)
+        h, k, n = np.concatenate([h[~shared], s[first[many]]]), np.concatenate([k[~shared], np.zeros(many.sum(), np.int64)]), np.concatenate([np.zeros((~shared).sum(), np.int64), times[many]])
+        part = (h >> np.uint64(33)) % np.uint64(parts)
+        order = np.argsort(part, kind="stable")
+        h, k, n, ends = h[order], k[order], n[order], np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
+        none = np.zeros(0, np.int64)
+        rows = [(i, h[a:b].view(np.int64), k[a:b], n[a:b][k[a:b] == 0], none if i else own_k, none if i else own_n) for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)) if b > a or (not i and len(own_k))]
+        longs = pa.list_(pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[i] for r in rows], longs) for i in range(1, 6)]], names=["part", "h", "k", "n", "own_k", "own_n"])
+
+    for keys, sets in found:
+        for key, s in zip(keys, sets, strict=True):
+            if key not in held:
+                held[key] = s[(s >> np.uint64(7)) % np.uint64(third) == 0]
+                size += len(held[key])
+        if size >= HELD:
+            yield told()
+            held, size = {}, 0
+    if held:
+        yield told()
+
+
+def gather(batches: Iterator[pa.RecordBatch], least: int | None) -> Iterator[pa.RecordBatch]:
+    """What one part says of its shingles: (0, set's key, how many of its shingles other sets share), and with `least`
+    (1, shingle, number of sets) of those in so many sets."""
+    rows = [b for b in batches if b.num_rows]
+    if not rows:
+        return
+    flat = {c: np.concatenate([b.column(c).flatten().to_numpy(zero_copy_only=False) for b in rows]) for c in ("h", "k", "n", "own_k", "own_n")}
+    del rows
+    order = np.lexsort((flat["k"], flat["h"]))
+    h, k = flat["h"][order], flat["k"][order]
+    # how many sets a row stands for: those of another task's load, or one that isn't the row before
+    stands = np.ones(len(h), np.int64)
+    sent = np.zeros(len(h), np.int64)
+    sent[flat["k"] == 0] = flat["n"]
+    new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
+    stands[k == 0] = sent[order][k == 0]
+    stands[1:][~new[1:] & (k[1:] == k[:-1]) & (k[1:] != 0)] = 0
+    first = np.flatnonzero(new)
+    df = np.add.reduceat(stands, first) if len(first) else stands
+    shared = np.repeat(df > 1, np.diff(np.append(first, len(h)))) & (stands > 0) & (k != 0)
+    keys, n = np.concatenate([k[shared], flat["own_k"]]), np.concatenate([np.ones(shared.sum(), np.int64), flat["own_n"]])
+    keys, at = np.unique(keys, return_inverse=True)
+    n = np.bincount(at, weights=n, minlength=len(keys)).astype(np.int64)
+    common = df >= least if least else np.zeros(len(df), bool)
+    kind = np.concatenate([np.zeros(len(keys), np.int32), np.ones(common.sum(), np.int32)])
+    yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([keys, h[first[common]]])), pa.array(np.concatenate([n, df[common]]))], names=["kind", "v", "n"])
+
+
+DEALT = "part int, h array<bigint>, k array<bigint>, n array<bigint>, own_k array<bigint>, own_n array<bigint>"
+
+
+def counted(source: DataFrame, of: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[list[int], list[np.ndarray]]]], shingles: int, third: int, least: int | None = None) -> DataFrame:
+    """(kind, v, n) as gather() says them, of the sets that `of` makes of `source`; about `shingles` in all."""
+    parts = 1 + shingles // third // HELD
+    dealt = source.mapInArrow(lambda batches: deal(of(batches), parts, third), DEALT)
+    return dealt.repartitionById(parts, F.col("part")).mapInArrow(lambda batches: gather(batches, least), "kind int, v bigint, n bigint")
+
+
+def described(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, n_shingles, how many of them the first count covers (n_counted), and the key (k1, k2) of the set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, 2_000_000):
+            sets = shingle_sets(block.column(1), n)
+            keys = [set_key(s) if len(s) else (None, None) for s in sets]
+            part = [int(((s >> np.uint64(7)) % np.uint64(THIRD) == 0).sum()) for s in sets]
+            cols = [block.column(0), *[pa.array(x, pa.int64()) for x in ([len(s) for s in sets], part, [k[0] for k in keys], [k[1] for k in keys])]]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "n_counted", "k1", "k2"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
+    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, n_counted bigint, k1 bigint, k2 bigint")
 
-        def told() -> pa.RecordBatch:
-            found, times = np.unique(np.concatenate(held), return_counts=True)
-            many = times > 1
-            return pa.RecordBatch.from_arrays([pa.array(found[many].view(np.int64)), pa.array(times[many])], names=["s", "n"])
 
-        for block in blocks(batches):
-            for text in block.column(1).to_pylist():
-                held.append(shingle_set(text, n))
-                size += len(held[-1])
-                if size >= 1_000_000:
-                    yield told()
-                    held, size = [], 0
-        if held:
-            yield told()
+def bit_table(keys: DataFrame) -> np.ndarray:
+    """A table of 2 ** TABLE_BITS bits, of which that of every `key` is set: what the driver gets is bounded."""
+    low = F.col("key").bitwiseAND(F.lit((1 << TABLE_BITS) - 1))
+    words = keys.select(F.shiftright(low, 6).alias("w"), F.expr(f"shiftleft(1L, cast(key & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(1 << TABLE_BITS >> 6, np.int64)
+    out[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool) if len(words) else np.zeros(1 << TABLE_BITS, bool)
 
-    least = max(LEAST_COMMON, int(COMMON * docs.count()))
-    found = docs.mapInArrow(count, "s bigint, n bigint").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("s").toPandas()
-    out = np.sort(found["s"].to_numpy(np.int64).view(np.uint64))
-    del found
-    release(docs.sparkSession)
-    return out
 
+def paired(ids: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of different ids."""
+    pairs = np.unique(np.stack([ids, other], 1)[ids != other], axis=0)
+    return pairs[:, 0], pairs[:, 1]
 
-def join_components(docs: DataFrame, share: int = 80, n: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row: documents link when 100 * common >= share * union of their shingle sets.
 
-    0. Shingles that very many documents share are listed (see all_signatures).
-    1. Every document gives its set's 128-bit key; equal sets are one class, whose smallest doc_id stands for it.
-    2. Every class gives its PartEnum signatures, once for each block of rows, so that a class of many copies is a few
-       rows. Classes that share a signature make candidate clusters (chains over the sorted rows of a signature: what
-       is emitted grows with the rows, not with their pairs).
-    3. The sets of the candidates go to their cluster's tasks, in pairs of chunks of CHUNK sets, where every pair
-       that shares a signature and isn't connected yet is compared exactly.
-    4. The links' components, mapped back to all documents by class.
+def sign(batches: Iterator[pa.RecordBatch], share: int, common: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Signatures of sets (k1, s): (sig, key, other).
 
-    Null and empty texts have no shingles and link with nothing, so their component is themselves. Rows that repeat a
-    doc_id with other text are classes of their own that share the component of that id. A null doc_id links with
-    nothing; further columns are ignored; an empty table gives no rows.
+    Of the sets of a task's load that share a signature the first alone goes on with it (other null); the rest are tied
+    to that one (other), so that a signature of very many sets is a few rows.
     """
-    spark = docs.sparkSession
-    docs = documents(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-
-    usual = spark.sparkContext.broadcast(common_shingles(docs, n))
 
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
-            sets = [shingle_set(x, n) for x in block.column(1).to_pylist()]
-            keys = [set_key(s) if len(s) else (None, None) for s in sets]
-            seen: set[tuple[int | None, int | None]] = {(None, None)}
-            sigs: list[np.ndarray | None] = []
-            for s, key, doc_id in zip(sets, keys, block.column(0).to_pylist(), strict=True):
-                new = key not in seen and doc_id is not None
-                sigs.append(all_signatures(s, share, usual.value).view(np.int64) if new else None)
-                if new:
-                    seen.add(key)
-            cols = [block.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(sigs, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "k1", "k2", "sigs"])
-
-    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Links of neighbouring classes of a signature; rows come sorted by signature and class."""
-        last = None
-        for batch in batches:
-            sig, key = (batch.column(i).to_numpy() for i in range(2))
-            if not len(sig):
-                continue
+    def told(keys: list[int], sigs: list[np.ndarray]) -> pa.RecordBatch:
+        flat, owner = np.concatenate(sigs).view(np.int64), np.repeat(np.array(keys, np.int64), [len(x) for x in sigs])
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+        head = np.repeat(owner[first], np.diff(np.append(first, len(flat))))
+        a, b = paired(owner, head)
+        cols = [np.concatenate([flat[first], a ^ b]), np.concatenate([owner[first], a])]
+        other = pa.array(np.concatenate([np.zeros(len(first), np.int64), b]), mask=np.arange(len(first) + len(b)) < len(first))
+        return pa.RecordBatch.from_arrays([*map(pa.array, cols), other], names=["sig", "key", "other"])
+
+    keys: list[int] = []
+    sigs: list[np.ndarray] = []
+    size = 0
+    for batch in batches:
+        for key, s in zip(batch.column("k1").to_pylist(), batch.column("s"), strict=True):
+            keys.append(key)
+            sigs.append(all_signatures(np.frombuffer(s.as_buffer(), np.uint64), share, common))
+            size += len(sigs[-1])
+            if size >= SIGNED:
+                yield told(keys, sigs)
+                keys, sigs, size = [], [], 0
+    if keys:
+        yield told(keys, sigs)
+
+
+def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of neighbouring keys of a signature, and those that are given; rows come sorted by signature and key."""
+    last: tuple[int, int] | None = None
+    for batch in batches:
+        given = np.asarray(batch.column(2).is_valid())
+        sig, key = (batch.column(i).to_numpy() for i in range(2))
+        a, b = key[given], batch.column(2).drop_null().to_numpy()
+        sig, key = sig[~given], key[~given]
+        if len(sig):
             old_sig, old_key = (np.concatenate([[last[i] if last else 0], x[:-1]]) for i, x in enumerate((sig, key)))
-            near = (old_sig == sig) & (old_key != key)
+            near = old_sig == sig
             if last is None:
                 near[0] = False
-            pairs = np.unique(np.stack([key[near], old_key[near]], 1), axis=0)
+            a, b = np.concatenate([a, key[near]]), np.concatenate([b, old_key[near]])
             last = sig[-1], key[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["a", "b"])
+        a, b = paired(a, b)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
 
-    described = keep(docs.mapInArrow(describe, "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, sigs array<bigint>"))
-    signed = described.where("sigs is not null").select(F.explode("sigs").alias("sig"), F.col("k1").alias("key"))
+def verify(batches: Iterator[pa.RecordBatch], share: int, common: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of the sets of one pair of chunks after another; rows (cluster, x, y, chunk, rep, s) come sorted by cluster, x, y."""
+    group, ids, sets, side = None, [], [], []
+
+    def told() -> pa.RecordBatch:
+        found = tree_of(ids, sets, np.array(side), share, common)
+        return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(2)], names=["a", "b"])
+
+    for batch in batches:
+        rows = zip(*(batch.column(c).to_pylist() for c in ("cluster", "x", "y", "chunk", "rep", "s")), strict=True)
+        for cluster, x, y, chunk, rep, s in rows:
+            if (cluster, x, y) != group:
+                if len(ids) > 1:
+                    yield told()
+                group, ids, sets, side = (cluster, x, y), [], [], []
+            ids.append(rep)
+            sets.append(np.frombuffer(s, np.uint64))
+            side.append(chunk != x)
+    if len(ids) > 1:
+        yield told()
+
+
+def linked_sets(docs: DataFrame, classes: DataFrame, share: int, n: int) -> DataFrame:
+    """Links (a, b) among the `rep`s of classes (k1, k2, rep, n_shingles, n_counted): a spanning forest of all links."""
+    spark = docs.sparkSession
+
+    def of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+        for block in blocks(batches, 2_000_000):
+            sets = [s for s in shingle_sets(block.column(1), n) if len(s)]
+            yield [set_key(s)[0] for s in sets], sets
+
+    def of_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                yield part.column("k1").to_pylist(), [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("s")]
+
+    total = classes.agg(F.sum("n_shingles")).first()[0] or 0
+    shared = counted(docs, of_texts, total, THIRD).groupBy("v").agg(F.sum("n").alias("shared"))
+    own = F.col("n_counted") - F.coalesce("shared", F.lit(0))
+    left = classes.join(shared, F.col("k1") == F.col("v"), "left").where(100 * own <= (100 - share) * F.col("n_shingles"))
+    table = spark.sparkContext.broadcast(np.packbits(bit_table(left.select(F.col("k1").bitwiseXOR(F.col("rep")).alias("key")))))
+    release(spark)
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, seen = table.value, set()
+        for block in blocks(batches, 2_000_000):
+            rows = []
+            for doc_id, s in zip(block.column(0).to_pylist(), shingle_sets(block.column(1), n), strict=True):
+                if doc_id is None or not len(s):
+                    continue
+                k1, k2 = set_key(s)
+                low = (k1 ^ doc_id) & ((1 << TABLE_BITS) - 1)
+                if bits[low >> 3] >> (7 - (low & 7)) & 1 and (k1, k2) not in seen:
+                    seen.add((k1, k2))
+                    rows.append((k1, k2, doc_id, len(s), s.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate([*[pa.int64()] * 4, pa.binary()])], names=["k1", "k2", "rep", "n_shingles", "s"])
+
+    first = keep(docs.mapInArrow(sets_of, "k1 bigint, k2 bigint, rep bigint, n_shingles bigint, s binary"))
+    size = first.agg(F.sum("n_shingles").alias("s"), F.count("*").alias("n")).first()
+    least = max(LEAST_COMMON, int(COMMON * size["n"]))
+    counts = keep(counted(first, of_sets, size["s"] or 0, 1, least))
+    usual = spark.sparkContext.broadcast(np.sort(counts.where("kind = 1").select("v").toArrow().column("v").to_numpy().view(np.uint64)))
+    shared = counts.where("kind = 0").groupBy("v").agg(F.sum("n").alias("shared"))
+    left = first.join(shared, F.col("k1") == F.col("v")).where(100 * (F.col("n_shingles") - F.col("shared")) <= (100 - share) * F.col("n_shingles"))
+    # a row that is repeated in several tasks is one set
+    sets = keep(left.groupBy("k1", "k2", "rep").agg(F.first("n_shingles").alias("n_shingles"), F.first("s").alias("s")))
+    forget(first)
+    forget(counts)
+    release(spark)
+
+    signed = sets.select("k1", "s").mapInArrow(lambda batches: sign(batches, share, usual.value), "sig bigint, key bigint, other bigint")
     near = signed.repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(chain, "a bigint, b bigint")
     # clusters of set keys; should two sets share half a key, both are in its cluster
-    clusters = keep(components(near).withColumnsRenamed({"node": "k1", "component": "cluster"}))
+    clusters = components(near).withColumnsRenamed({"node": "k1", "component": "cluster"})
+    placed = keep(sets.select("k1", "rep", "n_shingles").join(clusters, "k1"))
     release(spark)
-    described = described.drop("sigs")
-    classes = described.where("k1 is not null and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    clusters = classes.join(clusters, "k1").select(F.col("rep").alias("node"), "cluster").distinct()
     # chunks of a cluster; each pair of chunks is one task's work
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("members"))
-    placed = clusters.join(sizes, "cluster").withColumn("chunks", F.ceil(F.col("members") / CHUNK).cast("int"))
-    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    sizes = placed.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n_shingles") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
+    placed = placed.join(sizes, "cluster").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least("chunk", c).alias("x"), F.greatest("chunk", c).alias("y")))
-    placed = placed.select(F.col("node").alias("doc_id"), "cluster", "chunk", pair.alias("pairs"))
+    members = sets.select("k1", "rep", "s").join(placed.select("k1", "rep", "cluster", "chunk", pair.alias("pairs")), ["k1", "rep"])
+    members = members.select("rep", "s", "cluster", "chunk", F.explode("pairs").alias("p")).select("cluster", "p.x", "p.y", "chunk", "rep", "s")
+    members = members.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y")
+    found = keep(members.mapInArrow(lambda batches: verify(batches, share, usual.value), "a bigint, b bigint"))
+    forget(sets)
+    return found
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
-            sets = [shingle_set(x, n).tobytes() for x in block.column(1).to_pylist()]
-            # a row without shingles may repeat the id of one that has some; it links with nothing
-            full = pa.array([len(x) > 0 for x in sets], pa.bool_())
-            block, sets = block.filter(full), [x for x in sets if x]
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(sets, pa.binary()), block.column(2), block.column(3), block.column(4)], names=["doc_id", "s", "cluster", "chunk", "pairs"])
-
-    member_schema = "doc_id bigint, s binary, cluster bigint, chunk int, pairs array<struct<x: int, y: int>>"
-    members = docs.join(placed, "doc_id").select("doc_id", "text", "cluster", "chunk", "pairs").mapInArrow(sets_of, member_schema)
-    members = members.select("doc_id", "s", "cluster", "chunk", F.explode("pairs").alias("p")).select("doc_id", "s", "cluster", "chunk", "p.x", "p.y")
-
-    def verify(frame: pd.DataFrame) -> pd.DataFrame:
-        sets = [np.frombuffer(x, np.uint64) for x in frame["s"]]
-        side = (frame["chunk"] != frame["x"]).to_numpy()
-        found = tree_of(frame["doc_id"].to_numpy(), sets, side, share, usual.value)
-        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
-
-    linked = members.groupBy("cluster", "x", "y").applyInPandas(verify, "a bigint, b bigint")
+
+def join_components(docs: DataFrame, share: int = 80, n: int = 5) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row: documents link when 100 * common >= share * union of their shingle sets.
+
+    1. Every document gives its set's 128-bit key; equal sets are one class, whose smallest doc_id stands for it.
+    2. A shingle that only one set has can't be common to two: a set with more than 100 - share in a hundred of these
+       links with nothing. Shingles are counted twice, those of a third of their domain over all sets, then all of
+       them over the sets that remain.
+    3. What remains gives its PartEnum signatures. Sets that share one make candidate clusters (stars within a task's
+       load and chains over the sorted rows of a signature: what is emitted grows with the rows, not with their pairs).
+    4. The sets go to their cluster's tasks, in pairs of chunks of CHUNK sets, where pairs that share a signature and
+       aren't connected yet are compared exactly.
+    5. The links' components, mapped back to all documents by class.
+
+    Null and empty texts have no shingles and link with nothing, so their component is themselves. Rows that repeat a
+    doc_id with other text are classes of their own that share the component of that id. A null doc_id links with
+    nothing; further columns are ignored; an empty table gives no rows.
+    """
+    docs = documents(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = keep(described(docs, n))
+    full = rows.where("k1 is not null and doc_id is not null")
+    classes = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("n_counted").alias("n_counted"))
+    classes = keep(classes)
+    links_found = linked_sets(docs, classes, share, n)
     # rows that repeat an id with other text tie their classes together
-    own = described.where("k1 is not null and doc_id is not null").join(classes, ["k1", "k2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    groups = components(keep(linked)).withColumnsRenamed({"node": "rep", "component": "group"})
+    own = full.join(classes.select("k1", "k2", "rep"), ["k1", "k2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    groups = components(links_found).withColumnsRenamed({"node": "rep", "component": "group"})
     tied = own.join(groups, F.col("b") == F.col("rep"), "left").select("a", F.coalesce("group", "b").alias("b"))
-    flat = tied.groupBy("a").agg(F.min("b").alias("least"), F.max("b").alias("greatest"))
+    flat = keep(tied.groupBy("a").agg(F.min("b").alias("least"), F.max("b").alias("greatest")))
     if flat.where("least <> greatest").limit(1).count():
         groups = components(tied).withColumnsRenamed({"node": "a", "component": "least"})
         flat = own.select("a").distinct().join(groups, "a", "left").select("a", F.coalesce("least", "a").alias("least"))
-    out = described.join(flat, F.col("doc_id") == F.col("a"), "left")
+    out = rows.join(flat.select("a", "least"), F.col("doc_id") == F.col("a"), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
@@ -365,9 +599,16 @@ def op6_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, similarity 0.8): the one with the smallest id."""
-    found = join_components(docs).where("doc_id = component_id").select("doc_id").distinct()
+    """One document of each group of near-duplicates (five words, similarity 0.8): the one with the smallest id.
+
+    Of rows that share an id one stays, the least by its columns. Rows without an id stay.
+    """
+    found = keep(join_components(docs))
     names = docs.columns
-    # of rows with one id, one stays
-    kept = docs.join(found, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[c for c in names if c != "doc_id"])).alias("r")).select("doc_id", "r.*")
-    return kept.select(*names).unionByName(docs.where("doc_id is null").select(*names))
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti")
+    repeated = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if not repeated.limit(1).count():
+        return kept.select(*names)
+    once = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[c for c in names if c != "doc_id"])).alias("r")).select("doc_id", "r.*")
+    return kept.join(repeated, "doc_id", "left_anti").select(*names).unionByName(once.select(*names))
