@@ -20,8 +20,18 @@ from market_signals.llm.common import blocks, read
 SPACE = "▁"
 #: A chunk: marks of spaces, then other characters. Pieces never join two chunks (checked for the vocabulary).
 CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-#: Chunks whose pieces a worker remembers.
-REMEMBERED = 200_000
+#: The last character of a chunk and the first one of the next.
+BORDER = re.compile(f"[^{SPACE}]{SPACE}")
+#: Chunks whose pieces a worker remembers in each of two generations, and the longest such chunk.
+REMEMBERED, SHORT = 100_000, 32
+#: Characters of a text that are cut into chunks at once, and chunks that are resolved at once.
+SEGMENT, LOAD = 500_000, 100_000
+#: Chunks of more characters are merged one by one with a heap.
+LONG = 128
+
+
+#: The level of what isn't a piece.
+NEVER = np.iinfo(np.int32).max
 
 
 @dataclass
@@ -90,9 +100,14 @@ class Tokenizer:
         self.low = min(self.byte_of, default=0)
         self.high = max(self.byte_of, default=-1)
         self.surface = ["" if k == kinds.CONTROL else n.replace(SPACE, " ") for n, k in zip(self.names, self.kind, strict=True)]
+        if 0 <= self.unknown < len(self.surface):
+            self.surface[self.unknown] = self.unknown_text
         self.norm_bytes = np.array([0 if i in self.control else 1 if i in self.byte_of else len(n.encode()) for i, n in enumerate(self.names)], np.int64)
         self.source_bytes = self.norm_bytes - np.array([0 if i in self.byte_of else n.count(SPACE) * (len(SPACE.encode()) - 1) for i, n in enumerate(self.names)], np.int64)
-        self.seen: dict[str, tuple[int, ...]] = {}
+        self.controls = np.isin(np.arange(len(self.names)), list(self.control))
+        self.seen: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.prepare()
 
     def normalize(self, text: str) -> tuple[str, np.ndarray | None]:
         """The normalised text, and for each of its bytes (and its end) the byte of `text` that it stems from.
@@ -135,35 +150,101 @@ class Tokenizer:
         origin.append(len(data))
         return out.decode("utf-8", "replace"), np.array(origin, np.int64)
 
-    def merge(self, chunk: str) -> tuple[int, ...]:
-        """Ids of one chunk: the best-scored pair of neighbours merges first, the leftmost among equals."""
-        ids, score = self.ids, self.score
-        parts = list(chunk)
-        if len(parts) <= 24:
-            get = score.get
-            while len(parts) > 1:
-                best, at, left = None, -1, parts[0]
-                for i in range(1, len(parts)):
-                    right = parts[i]
-                    s = get(left + right)
-                    if s is not None and (best is None or s > best):
-                        best, at = s, i
-                    left = right
-                if best is None:
+    def prepare(self) -> None:
+        """Symbols are the pieces' ids, then numbers for characters that only stand inside pieces; pairs of them that make a piece."""
+        names = sorted(self.score, key=lambda x: (-self.score[x], self.ids[x]))
+        levels = {x: i for i, x in enumerate(sorted({-v for v in self.score.values()}))}
+        symbol = {x: self.ids[x] for x in names}
+        for x in names:
+            for c in x:
+                symbol.setdefault(c, len(self.names) + len(symbol))
+        self.none = len(self.names) + len(symbol)
+        self.scored = np.zeros(self.none + 1, bool)
+        self.scored[[self.ids[x] for x in names]] = True
+        self.level = np.full(self.none + 2, NEVER, np.int32)
+        self.level[[self.ids[x] for x in names]] = [levels[-self.score[x]] for x in names]
+        self.of_char = np.full(0x110000, self.none, np.int32)
+        for x, i in symbol.items():
+            if len(x) == 1:
+                self.of_char[ord(x)] = i
+        pairs = {(symbol[x[:i]], symbol[x[i:]]): self.ids[x] for x in names for i in range(1, len(x)) if x[:i] in symbol and x[i:] in symbol}
+        self.pairs = Pairs(np.array(list(pairs), np.int64).reshape(-1, 2), np.array(list(pairs.values()), np.int32))
+
+    def merge_all(self, chunks: list[str]) -> list[bytes]:
+        """Ids (little-endian, 32 bits) of the pieces of every chunk.
+
+        In each chunk the best-scored pair of neighbours merges first, the leftmost among equals; one merge of every
+        chunk is done at once, until no chunk has a pair that makes a piece. Pieces don't join chunks, so this is the
+        order of the whole text.
+        """
+        if not chunks:
+            return []
+        long = [i for i, x in enumerate(chunks) if len(x) > LONG]
+        if long:
+            out = [b""] * len(chunks)
+            rest = [i for i, x in enumerate(chunks) if len(x) <= LONG]
+            for i, x in zip(rest, self.merge_all([chunks[i] for i in rest]), strict=True):
+                out[i] = x
+            for i in long:
+                out[i] = np.array([j for p in self.merge_long(list(chunks[i])) for j in self.of_part(p)], "<u4").tobytes()
+            return out
+        chars = np.frombuffer("".join(chunks).encode("utf-32-le", "replace"), "<u4")
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        at, chunk, sym = np.arange(len(chars)), np.repeat(np.arange(len(chunks)), sizes), self.of_char[chars]
+        joint = self.joint(sym, chunk)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(sym):
+            level = self.level[joint]
+            first = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]]))
+            lengths = np.diff(np.append(first, len(chunk)))
+            best = np.minimum.reduceat(level, first)
+            best = np.repeat(best, lengths)
+            over = best == NEVER
+            if over.any():
+                done.append((at[over], sym[over]))
+                at, chunk, sym, joint, level, best = (x[~over] for x in (at, chunk, sym, joint, level, best))
+                if not len(sym):
                     break
-                parts[at - 1 : at + 1] = [parts[at - 1] + parts[at]]
-        else:
-            parts = self.merge_long(parts)
-        out: list[int] = []
-        for p in parts:
-            i = ids.get(p) if p in score else None
-            if i is not None:
-                out.append(i)
-            elif self.bytes:
-                out += [self.bytes[b] for b in p.encode("utf-8", "replace")]
-            else:
-                out.append(self.unknown)
-        return tuple(out)
+            place = np.flatnonzero(level == best)
+            owner = chunk[place]
+            place = place[np.concatenate([[True], owner[1:] != owner[:-1]])]
+            sym[place] = joint[place]
+            stay = np.ones(len(sym), bool)
+            stay[place + 1] = False
+            moved = place - np.arange(len(place))
+            at, chunk, sym, joint = at[stay], chunk[stay], sym[stay], joint[stay]
+            # the new piece's pairs with its neighbours
+            for i in (moved, moved[moved > 0] - 1):
+                i = i[i + 1 < len(sym)]
+                joint[i] = np.where(chunk[i] == chunk[i + 1], self.pairs.find(sym[i], sym[i + 1]), -1)
+            if len(sym):
+                joint[-1] = -1
+        where, what = (np.concatenate([d[i] for d in done]) for i in range(2))
+        order = np.argsort(where, kind="stable")
+        where, what = where[order], what[order]
+        counts = np.ones(len(what), np.int64)
+        odd = np.flatnonzero(~self.scored[what])
+        spelled = [self.of_part(chr(c)) for c in chars[where[odd]].tolist()]
+        counts[odd] = [len(x) for x in spelled]
+        ids = np.repeat(what, counts).astype("<u4")
+        ends = np.cumsum(counts)
+        for i, x in zip(odd.tolist(), spelled, strict=True):
+            ids[ends[i] - len(x) : ends[i]] = x
+        data = ids.tobytes()
+        last = np.cumsum(np.bincount(np.repeat(np.arange(len(chunks)), sizes)[where], weights=counts, minlength=len(chunks)).astype(np.int64)) * 4
+        return [data[a:b] for a, b in zip([0, *last[:-1].tolist()], last.tolist(), strict=True)]
+
+    def joint(self, sym: np.ndarray, chunk: np.ndarray) -> np.ndarray:
+        """For each symbol the piece that it makes with the next one of its chunk, or -1."""
+        out = np.full(len(sym), -1, np.int32)
+        out[:-1] = np.where(chunk[1:] == chunk[:-1], self.pairs.find(sym[:-1], sym[1:]), -1)
+        return out
+
+    def of_part(self, part: str) -> list[int]:
+        """Ids of one part that no longer merges."""
+        if part in self.score:
+            return [self.ids[part]]
+        return [self.bytes[b] for b in part.encode("utf-8", "replace")] if self.bytes else [self.unknown]
 
     def merge_long(self, parts: list[str]) -> list[str]:
         """The same with a heap of pairs over a linked list, for long chunks."""
@@ -189,45 +270,76 @@ class Tokenizer:
             offer(i, after[i])
         return [p for p in parts if p]
 
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids with begin and end (little-endian, 32 bits) of every text."""
+        parts: list[list[bytes]] = [[struct.pack("<I", self.begin)] for _ in texts]
+        held: list[tuple[int, list[str]]] = []
+        n = 0
+        for i, text in enumerate(texts):
+            norm, _ = self.normalize(text)
+            at = 0
+            while at < len(norm):
+                border = BORDER.search(norm, at + SEGMENT) if len(norm) > at + SEGMENT else None
+                end = border.start() + 1 if border else len(norm)
+                held.append((i, CHUNK.findall(norm[at:end] if at or border else norm)))
+                n += len(held[-1][1])
+                at = end
+                if n >= LOAD:
+                    self.resolve(held, parts)
+                    held, n = [], 0
+        self.resolve(held, parts)
+        last = struct.pack("<I", self.end)
+        return [b"".join([*x, last]) for x in parts]
+
+    def resolve(self, held: list[tuple[int, list[str]]], parts: list[list[bytes]]) -> None:
+        """Append the pieces of chunks to their texts' parts. A generation of remembered chunks that is full becomes the old one."""
+        if len(self.seen) >= REMEMBERED:
+            self.old, self.seen = self.seen, {}
+        seen, old = self.seen, self.old
+        distinct: set[str] = set().union(*[chunks for _, chunks in held])
+        new = [x for x in distinct if x not in seen]
+        missing = [x for x in new if x not in old]
+        for x in new:
+            if x in old:
+                seen[x] = old[x]
+        seen.update(zip(missing, self.merge_all(missing), strict=True))
+        for i, chunks in held:
+            parts[i].append(b"".join(map(seen.__getitem__, chunks)))
+        for x in missing:
+            if len(x) > SHORT:
+                del seen[x]
+
     def encode(self, text: str) -> list[int]:
         """Ids with begin and end."""
-        norm, _ = self.normalize(text)
-        out, seen = [self.begin], self.seen
-        for chunk in CHUNK.findall(norm):
-            got = seen.get(chunk)
-            if got is None:
-                got = self.merge(chunk)
-                if len(chunk) <= 32:
-                    if len(seen) >= REMEMBERED:
-                        seen.clear()
-                    seen[chunk] = got
-            out += got
-        out.append(self.end)
-        return out
+        return np.frombuffer(self.encode_all([text])[0], "<u4").tolist()
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray) -> str:
         """The text of ids; a run of byte pieces is read as UTF-8, each byte that isn't becomes U+FFFD."""
-        surface, low, high = self.surface, self.low, self.high
-        if not any(low <= i <= high for i in ids):
-            text = "".join([surface[i] if i != self.unknown else self.unknown_text for i in ids]) if self.unknown in ids else "".join([surface[i] for i in ids])
+        ids = np.asarray(ids, np.int64)
+        surface = self.surface
+        if not ((ids >= self.low) & (ids <= self.high)).any():
+            text = "".join(map(surface.__getitem__, ids.tolist()))
         else:
             parts, run = [], bytearray()
-            for i in ids:
+            for i in ids.tolist():
                 if i in self.byte_of:
                     run.append(self.byte_of[i])
                     continue
                 if run:
                     parts.append(utf8(bytes(run)))
                     run.clear()
-                parts.append(self.unknown_text if i == self.unknown else surface[i])
+                parts.append(surface[i])
             parts.append(utf8(bytes(run)))
             text = "".join(parts)
-        first = next((i for i in ids if i not in self.control), None)
-        return text[1:] if self.prefix and first is not None and self.surface[first].startswith(" ") and first not in self.byte_of else text
+        plain = np.flatnonzero(~self.controls[ids])
+        if not self.prefix or not len(plain):
+            return text
+        first = int(ids[plain[0]])
+        return text[1:] if surface[first].startswith(" ") and first not in self.byte_of else text
 
-    def spans(self, text: str, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Begin and end bytes of `text` from which each id stems; begin, end and the added space are empty."""
-        given = np.array(ids, np.int64)
+        given = np.asarray(ids, np.int64)
         norm, origin = self.normalize(text)
         if origin is None and SPACE not in text:
             # identity map: a piece covers its bytes, a space mark one byte, the added mark none
@@ -252,6 +364,47 @@ class Tokenizer:
         return np.array([*out, at], np.int64)
 
 
+class Pairs:
+    """A table from pairs of symbols to the pieces that they make: each pair lies in one of two places (cuckoo hashing)."""
+
+    FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+
+    def __init__(self, pairs: np.ndarray, made: np.ndarray):
+        keys = (pairs[:, 0].astype(np.uint64) << np.uint64(32)) | pairs[:, 1].astype(np.uint64)
+        bits = max(4, int(len(keys) * 1.5).bit_length())
+        while not self.fill(keys, made, bits):
+            bits += 1
+
+    def places(self, keys: np.ndarray) -> list[np.ndarray]:
+        return [((keys * np.uint64(f)) >> self.shift).astype(np.int64) for f in self.FACTORS]
+
+    def fill(self, keys: np.ndarray, made: np.ndarray, bits: int) -> bool:
+        self.shift = np.uint64(64 - bits)
+        held = np.full((2, 1 << bits), -1, np.int64)
+        places = self.places(keys)
+        side, moving = 0, np.arange(len(keys))
+        for _ in range(200):
+            # whoever comes last stays; the one that was there, and the others, go to their other place
+            spot = places[side][moving]
+            gone = held[side][spot]
+            held[side][spot] = moving
+            lost = moving[held[side][spot] != moving]
+            moving = np.unique(np.concatenate([gone[gone >= 0], lost]))
+            if not len(moving):
+                break
+            side = 1 - side
+        else:
+            return False
+        self.keys = [np.where(h >= 0, keys[h], np.uint64(2**64 - 1)) for h in held]
+        self.made = [np.where(h >= 0, made[h], -1).astype(np.int32) for h in held]
+        return True
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = (left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64)
+        a, b = self.places(keys)
+        return np.where(self.keys[0][a] == keys, self.made[0][a], np.where(self.keys[1][b] == keys, self.made[1][b], np.int32(-1)))
+
+
 def utf8(run: bytes) -> str:
     """UTF-8 text of byte pieces: every byte outside a valid character becomes U+FFFD."""
     out, at = [], 0
@@ -294,7 +447,7 @@ def encode_documents(docs: DataFrame, model: str, offsets: bool = False) -> Data
         tok = tokenizer(name)
         for block in blocks(batches):
             texts = [x or "" for x in block.column(1).to_pylist()]
-            ids = [tok.encode(x) for x in texts]
+            ids = [np.frombuffer(x, "<u4") for x in tok.encode_all(texts)]
             cols = [block.column(0).cast(pa.int64()), lists(ids), pa.array([tok.decode(x) for x in ids], pa.string())]
             if offsets:
                 spans = [tok.spans(t, x) for t, x in zip(texts, ids, strict=True)]
@@ -311,20 +464,25 @@ def lists(rows: list) -> pa.Array:
 
 
 def digests(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, and spans_sha256 over the end bytes of all pieces (int64), made in the encoding task."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, and spans_sha256 over the end bytes of all pieces (int64), made in the encoding task.
+
+    A null text counts as empty (begin and end alone); rows that repeat and null ids pass through, each with its row; an
+    empty table gives none; further columns are ignored. A long text is cut into chunks segment by segment.
+    """
     docs.sparkSession.sparkContext.addFile(model)
     name = model.rsplit("/", 1)[-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(name)
-        for block in blocks(batches):
+        for block in blocks(batches, 2_000_000):
             n, a, b, c = [], [], [], []
-            for text in block.column(1).to_pylist():
-                ids = tok.encode(text or "")
+            texts = [x or "" for x in block.column(1).to_pylist()]
+            for text, data in zip(texts, tok.encode_all(texts), strict=True):
+                ids = np.frombuffer(data, "<u4")
                 n.append(len(ids))
-                a.append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+                a.append(hashlib.sha256(data).hexdigest())
                 b.append(hashlib.sha256(tok.decode(ids).encode("utf-8", "replace")).hexdigest())
-                c.append(hashlib.sha256(tok.spans(text or "", ids)[1].astype("<i8").tobytes()).hexdigest())
+                c.append(hashlib.sha256(tok.spans(text, ids)[1].astype("<i8").tobytes()).hexdigest())
             yield pa.RecordBatch.from_arrays([block.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(c, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, spans_sha256 string")
