@@ -8,6 +8,7 @@ import time
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -80,10 +81,22 @@ def blocks(batches: Iterable[pa.RecordBatch], most: int = 4_000_000) -> Iterator
             yield batch.slice(start)
 
 
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of all texts, and where each begins (and the last ends). Null texts are empty."""
+    texts = pc.fill_null(texts, "")
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    _, places, data = texts.buffers()
+    if not len(texts) or data is None:
+        return np.zeros(0, np.uint8), np.zeros(len(texts) + 1, np.int64)
+    begins = np.frombuffer(places, kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    return np.frombuffer(data, np.uint8)[begins[0] : begins[-1]], begins - begins[0]
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, most: int) -> DataFrame:
     """Training rows (doc_id, text, label): fold != held, label not null, at most `most` rows chosen by hash of doc_id.
 
-    The id list is bounded by `most`, so its broadcast is bounded as well.
+    The id list is bounded by `most`, so its broadcast is bounded as well. Of rows that repeat an id the one with the
+    least text counts.
     """
     chosen = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != held))
@@ -92,4 +105,10 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: i
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(most)
     )
-    return documents(docs).join(F.broadcast(chosen), "doc_id")
+    rows = documents(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "label")).alias("r"))
+    return rows.select("doc_id", "r.text", "r.label")
+
+
+def small(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """The table with a hint to broadcast it if it has at most `most` rows (it is counted), or as it is. `df` is best a table of keep()."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -8,12 +8,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from market_signals.llm.common import blocks, documents, forget, keep, read, release
+from market_signals.llm.common import blocks, documents, forget, keep, read, release, text_bytes
 from market_signals.llm.graph import components
 
 #: Bytes with A-Z lower-cased, and which of them separate words.
@@ -50,17 +49,6 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of all texts, and where each begins (and the last ends). Null texts are empty."""
-    texts = pc.fill_null(texts, "")
-    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
-    _, places, data = texts.buffers()
-    if not len(texts) or data is None:
-        return np.zeros(0, np.uint8), np.zeros(len(texts) + 1, np.int64)
-    begins = np.frombuffer(places, kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-    return np.frombuffer(data, np.uint8)[begins[0] : begins[-1]], begins - begins[0]
-
-
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of every word of the texts with A-Z lower-cased, in order, and how many words each text has."""
     data, begins = text_bytes(texts)
