@@ -28,7 +28,7 @@ BAND = 2
 #: The first count of shingles covers this part of their domain (see join_components).
 THIRD = 3
 #: Shingles that a task of a count holds, about, and those a dealing task holds before it sends them.
-HELD = 700_000
+HELD = 500_000
 #: Bits of the table of sets that remain after the first count: 2 MB at any size of the corpus.
 TABLE_BITS = 24
 #: Shingles in this share of the remaining sets (and in LEAST_COMMON) are common.
@@ -339,9 +339,9 @@ def deal(found: Iterator[tuple[list[int], list[np.ndarray]]], parts: int, third:
         yield told()
 
 
-def gather(batches: Iterator[pa.RecordBatch], least: int | None) -> Iterator[pa.RecordBatch]:
-    """What one part says of its shingles: (0, set's key, how many of its shingles other sets share), and with `least`
-    (1, shingle, number of sets) of those in so many sets."""
+def gather(batches: Iterator[pa.RecordBatch], parts: int, least: int | None) -> Iterator[pa.RecordBatch]:
+    """What one part says of its shingles, as (part, v, n): of sets' keys v how many of their shingles other sets share
+    (n), to the parts that add these up, and with `least` as part -1 the shingles v in so many sets."""
     rows = [b for b in batches if b.num_rows]
     if not rows:
         return
@@ -363,25 +363,44 @@ def gather(batches: Iterator[pa.RecordBatch], least: int | None) -> Iterator[pa.
     keys, at = np.unique(keys, return_inverse=True)
     n = np.bincount(at, weights=n, minlength=len(keys)).astype(np.int64)
     common = df >= least if least else np.zeros(len(df), bool)
-    kind = np.concatenate([np.zeros(len(keys), np.int32), np.ones(common.sum(), np.int32)])
-    yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([keys, h[first[common]]])), pa.array(np.concatenate([n, df[common]]))], names=["kind", "v", "n"])
+    part = (keys.view(np.uint64) >> np.uint64(17)) % np.uint64(parts)
+    order = np.argsort(part, kind="stable")
+    keys, n, ends = keys[order], n[order], np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64)).tolist()
+    out = [(i, keys[a:b], n[a:b]) for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if b > a]
+    out += [(-1, h[first[common]], df[common])] * bool(common.any())
+    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())))], names=["part", "v", "n"])
+
+
+def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of n by v."""
+    rows = [b for b in batches if b.num_rows]
+    if rows:
+        v, n = (np.concatenate([b.column(c).flatten().to_numpy() for b in rows]) for c in ("v", "n"))
+        keys, at = np.unique(v, return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(at, weights=n).astype(np.int64))], names=["v", "shared"])
 
 
 DEALT = "part int, h array<bigint>, k array<bigint>, n array<bigint>, own_k array<bigint>, own_n array<bigint>"
 
 
 def counted(source: DataFrame, of: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[list[int], list[np.ndarray]]]], shingles: int, third: int, least: int | None = None) -> DataFrame:
-    """(kind, v, n) as gather() says them, of the sets that `of` makes of `source`; about `shingles` in all."""
+    """(part, v, n) as gather() says them, of the sets that `of` makes of `source`; about `shingles` in all."""
     parts = 1 + shingles // third // HELD
     dealt = source.mapInArrow(lambda batches: deal(of(batches), parts, third), DEALT)
-    return dealt.repartitionById(parts, F.col("part")).mapInArrow(lambda batches: gather(batches, least), "kind int, v bigint, n bigint")
+    return dealt.repartitionById(parts, F.col("part")).mapInArrow(lambda batches: gather(batches, parts, least), "part int, v array<bigint>, n array<bigint>")
+
+
+def shared_of(counts: DataFrame, shingles: int, third: int) -> DataFrame:
+    """v, shared: of each set's key how many of its shingles other sets have, from a table of counted()."""
+    parts = 1 + shingles // third // HELD
+    return counts.where("part >= 0").repartitionById(parts, F.col("part")).mapInArrow(added, "v bigint, shared bigint")
 
 
 def described(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, n_shingles, how many of them the first count covers (n_counted), and the key (k1, k2) of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, 2_000_000):
+        for block in blocks(batches, 1_000_000):
             sets = shingle_sets(block.column(1), n)
             keys = [set_key(s) if len(s) else (None, None) for s in sets]
             part = [int(((s >> np.uint64(7)) % np.uint64(THIRD) == 0).sum()) for s in sets]
@@ -485,7 +504,7 @@ def linked_sets(docs: DataFrame, classes: DataFrame, share: int, n: int) -> Data
     spark = docs.sparkSession
 
     def of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
-        for block in blocks(batches, 2_000_000):
+        for block in blocks(batches, 1_000_000):
             sets = [s for s in shingle_sets(block.column(1), n) if len(s)]
             yield [set_key(s)[0] for s in sets], sets
 
@@ -496,7 +515,7 @@ def linked_sets(docs: DataFrame, classes: DataFrame, share: int, n: int) -> Data
                 yield part.column("k1").to_pylist(), [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("s")]
 
     total = classes.agg(F.sum("n_shingles")).first()[0] or 0
-    shared = counted(docs, of_texts, total, THIRD).groupBy("v").agg(F.sum("n").alias("shared"))
+    shared = shared_of(counted(docs, of_texts, total, THIRD), total, THIRD)
     own = F.col("n_counted") - F.coalesce("shared", F.lit(0))
     left = classes.join(shared, F.col("k1") == F.col("v"), "left").where(100 * own <= (100 - share) * F.col("n_shingles"))
     table = spark.sparkContext.broadcast(np.packbits(bit_table(left.select(F.col("k1").bitwiseXOR(F.col("rep")).alias("key")))))
@@ -504,7 +523,7 @@ def linked_sets(docs: DataFrame, classes: DataFrame, share: int, n: int) -> Data
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = table.value, set()
-        for block in blocks(batches, 2_000_000):
+        for block in blocks(batches, 1_000_000):
             rows = []
             for doc_id, s in zip(block.column(0).to_pylist(), shingle_sets(block.column(1), n), strict=True):
                 if doc_id is None or not len(s):
@@ -520,8 +539,8 @@ def linked_sets(docs: DataFrame, classes: DataFrame, share: int, n: int) -> Data
     size = first.agg(F.sum("n_shingles").alias("s"), F.count("*").alias("n")).first()
     least = max(LEAST_COMMON, int(COMMON * size["n"]))
     counts = keep(counted(first, of_sets, size["s"] or 0, 1, least))
-    usual = spark.sparkContext.broadcast(np.sort(counts.where("kind = 1").select("v").toArrow().column("v").to_numpy().view(np.uint64)))
-    shared = counts.where("kind = 0").groupBy("v").agg(F.sum("n").alias("shared"))
+    usual = spark.sparkContext.broadcast(np.sort(counts.where("part < 0").select(F.explode("v").alias("v")).toArrow().column("v").to_numpy().view(np.uint64)))
+    shared = shared_of(counts, size["s"] or 0, 1)
     left = first.join(shared, F.col("k1") == F.col("v")).where(100 * (F.col("n_shingles") - F.col("shared")) <= (100 - share) * F.col("n_shingles"))
     # a row that is repeated in several tasks is one set
     sets = keep(left.groupBy("k1", "k2", "rep").agg(F.first("n_shingles").alias("n_shingles"), F.first("s").alias("s")))
