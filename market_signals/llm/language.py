@@ -74,14 +74,21 @@ def load(data: bytes) -> Model:
 def train(docs: DataFrame, held: int = 2, folds: int = 4, per_language: int = 1500, bits: int = 13) -> Model:
     """Learn from at most `per_language` documents of each language, chosen by hash of doc_id; fold `held` is left out.
 
-    One pass counts n-grams by language and a second one, over the same bounded sample, measures each bit's accuracy,
+    Rows whose lang or text is null teach nothing. An id with several languages counts for the first of them, one with
+    several texts with the least one. Hashes are cut so that about twice `per_language` ids of a language are ranked,
+    however many there are. One pass counts n-grams by language and a second one, over the same bounded sample, measures each bit's accuracy,
     which weights its loss.
     """
     ids = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != held))
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = ids.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language)
-    chosen = chosen.select("doc_id", F.col("lang").alias("label")).dropDuplicates(["doc_id"])
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text")
+    counts = ids.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    cuts = [x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1 << 30, (2 * per_language << 30) // r["n"])))]
+    some = ids.where(place < F.create_map(*cuts)[F.col("lang")]) if cuts else ids
+    order = W.partitionBy("lang").orderBy("place", "doc_id")
+    chosen = some.select("doc_id", "lang", place.alias("place")).distinct().withColumn("row", F.row_number().over(order)).where(F.col("row") <= per_language)
+    chosen = chosen.groupBy("doc_id").agg(F.min("lang").alias("lang"))
+    sample = docs.where("text is not null").select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])
+    sample = sample.groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("r")).select(F.col("r.lang").alias("label"), "r.text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

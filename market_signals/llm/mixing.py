@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from market_signals.llm.common import WORD, keep, read
+from market_signals.llm.common import WORD, keep, read, small
 
 BUCKETS = 65536
 
@@ -36,7 +36,14 @@ def source_targets(sized: DataFrame, weights: list[float], share: float, most: f
     return by.select("source", "source_size", target.alias("target"), F.when(F.col("source_size") > 0, F.col("sg") / F.col("source_size")).otherwise(0.0).alias("mean_g"))
 
 
-def mix(docs: DataFrame, weights: list[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, tilt: float = 0.5, seed: int = 17) -> DataFrame:
+def measured(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, source, size (words), its tilt g (and `more`)."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    sized = docs.select("doc_id", "source", size.alias("size"), *more)
+    return sized.withColumn("g", F.floor(F.col("size") * 1000 / (F.col("size") + 200)).cast("long"))
+
+
+def mix(docs: DataFrame, weights: list[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, tilt: float = 0.5, seed: int = 17, carry: bool = False) -> DataFrame:
     """Copies of every document in a mix whose sources come near their target words.
 
     Sources take `weights` by code point (null last), repeating, and share `share` of all words; no source gets over
@@ -46,38 +53,44 @@ def mix(docs: DataFrame, weights: list[float] = (5, 2, 1), share: float = 1.5, m
     taken. The ranking is not one sort of a source: a histogram of ranks finds the bucket in which the words run out,
     and only that bucket (about 1 / 65536 of a source) is sorted.
 
-    Returns doc_id, source, size, source_size, target, copies, taken. Null or empty texts have size 0 and take 0 words
+    Returns doc_id, source, size, source_size, target, copies, taken, and with `carry` the whole row as a struct `r`
+    (it isn't shuffled, but for the bucket that is sorted). Null or empty texts have size 0 and take 0 words
     (whole copies are still counted); a null doc_id ranks as the empty id; repeated rows each count; an empty table
     gives no rows. Further columns are ignored.
     """
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = docs.select("doc_id", "source", size.alias("size"))
-    sized = keep(sized.withColumn("g", F.floor(F.col("size") * 1000 / (F.col("size") + 200)).cast("long")))
-    targets = source_targets(sized, list(weights), share, most)
-    rows = sized.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.*", "source_size", "target", "mean_g")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = rows.withColumn("rate", rate).withColumn("base", F.floor("rate")).withColumn("part", F.col("rate") - F.col("base"))
-    rows = rows.withColumn("rest", F.col("target") - F.col("base") * F.col("source_size"))
-    chance = F.col("part") + F.lit(float(tilt)) * F.col("part") * (1 - F.col("part")) * (F.col("g") - F.col("mean_g")) / 1000.0
-    u = uniform(F.col("doc_id"), seed)
-    rows = rows.withColumn("pi", chance).withColumn("u", u)
-    rank = F.when(F.col("pi") > 0, F.col("u") / (1 - F.col("u")) * ((1 - F.col("pi")) / F.col("pi")))
-    rows = rows.withColumn("q", rank).withColumn("bucket", F.floor(F.col("q") / (1 + F.col("q")) * BUCKETS))
+    sized = keep(measured(docs))
+    targets = small(keep(source_targets(sized, list(weights), share, most)))
+    rows = ranked(sized, targets, tilt, seed)
     filled = rows.where("q is not null").groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.max("rest").alias("rest"))
     along = W.partitionBy("source").orderBy("bucket")
     filled = filled.withColumn("upto", F.sum("words").over(along)).withColumn("below", F.col("upto") - F.col("words"))
     edge = filled.where("upto > rest").groupBy("source").agg(F.min_by(F.struct("bucket", "below"), "bucket").alias("e"))
     edge = edge.select(F.col("source").alias("edge_source"), "e.bucket", "e.below").withColumnsRenamed({"bucket": "edge", "below": "edge_below"})
-    rows = rows.join(edge, F.col("source").eqNullSafe(F.col("edge_source")), "left")
+    if carry:
+        rows = ranked(measured(docs, F.struct(*docs.columns).alias("r")), targets, tilt, seed)
+    rows = rows.join(small(keep(edge)), F.col("source").eqNullSafe(F.col("edge_source")), "left")
     inside = W.partitionBy("source").orderBy("q", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(W.unboundedPreceding, 0)
     at_edge = rows.where("q is not null and bucket = edge").withColumn("cum", F.col("edge_below") + F.sum("size").over(inside))
     at_edge = at_edge.withColumn("more", F.when(2 * F.col("cum") - F.col("size") <= 2 * F.col("rest"), 1).otherwise(0))
     others = rows.where("q is null or edge is null or bucket <> edge")
     others = others.withColumn("more", F.when(F.col("q").isNotNull() & (F.col("edge").isNull() | (F.col("bucket") < F.col("edge"))), 1).otherwise(0))
-    names = ["doc_id", "source", "size", "source_size", "target", "base", "more"]
+    names = ["doc_id", "source", "size", "source_size", "target", "base", "more", *["r"] * carry]
     both = at_edge.select(names).unionByName(others.select(names))
     copies = (F.col("base") + F.col("more")).cast("long")
-    return both.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return both.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *["r"] * carry)
+
+
+def ranked(sized: DataFrame, targets: DataFrame, tilt: float, seed: int) -> DataFrame:
+    """Rows with their certain copies (base), the words that remain for their source (rest), and their Pareto rank q and its bucket."""
+    rows = sized.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.*", "source_size", "target", "mean_g")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    rows = rows.withColumn("rate", rate).withColumn("base", F.floor("rate")).withColumn("part", F.col("rate") - F.col("base"))
+    rows = rows.withColumn("rest", F.col("target") - F.col("base") * F.col("source_size"))
+    chance = F.col("part") + F.lit(float(tilt)) * F.col("part") * (1 - F.col("part")) * (F.col("g") - F.col("mean_g")) / 1000.0
+    u = uniform(F.col("doc_id"), seed)
+    rows = rows.withColumn("pi", chance).withColumn("u", u)
+    rank = F.when(F.col("pi") > 0, F.col("u") / (1 - F.col("u")) * ((1 - F.col("pi")) / F.col("pi")))
+    return rows.withColumn("q", rank).withColumn("bucket", F.floor(F.col("q") / (1 + F.col("q")) * BUCKETS))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,17 +98,9 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix itself: every document repeated by its copies. Rows that take no copy go.
-
-    Copies belong to rows with one id, source and size; equal ids of different texts draw by their own size.
-    """
-    own = mix(docs).select("doc_id", "source", "size", "copies")
-    own = own.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("all_copies"), F.count("*").alias("n"))
-    size = F.coalesce(F.regexp_count("d.text", F.lit(WORD)), F.lit(0)).cast("long")
-    same = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & F.col("d.source").eqNullSafe(F.col("c.source")) & (size == F.col("c.size"))
-    each = F.ceil(F.col("c.all_copies") / F.col("c.n")).cast("int")
-    out = docs.alias("d").join(own.where("all_copies > 0").alias("c"), same).select("d.*", F.explode(F.sequence(F.lit(1), each)).alias("copy_of_mix"))
-    return out.drop("copy_of_mix")
+    """The mix itself: every row repeated by its copies. Rows that take no copy go. Nulls and repeated rows are as in mix()."""
+    each = F.sequence(F.lit(1), F.col("copies").cast("int"))
+    return mix(docs, carry=True).where("copies > 0").select("r", F.explode(each).alias("copy_of_mix")).select("r.*")
 
 
 SQL = r"""

@@ -90,7 +90,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", held: int
             yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), pa.array(rows, pa.binary())], names=["doc_id", "label", "x"])
 
     found = sample.repartition(16).mapInArrow(count, "doc_id bigint, label int, x binary").collect()
-    found = sorted(found, key=lambda r: (r["doc_id"], r["x"]))[: 2 * most]
+    found = sorted(found, key=lambda r: r["doc_id"])
     size = (1 << BITS) + REPEATS
     truth = np.array([int(r["label"] == 1) for r in found], np.int64)
     if not found:

@@ -10,7 +10,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from market_signals.llm.common import blocks, documents, forget, keep, read, release
 
@@ -22,8 +21,8 @@ REACH = LENGTH - GRAM + 1
 STEP = 8
 #: Difference cover: every difference modulo PERIOD is one of two members of COVER.
 PERIOD, COVER = 7, (0, 1, 3)
-#: Suffix buckets that are handled one after the other.
-BUCKETS = 2
+#: Suffix buckets that are handled one after the other: at least so many, and one for so many bytes of text.
+BUCKETS, BUCKET_BYTES = 2, 64_000_000_000
 #: Pieces of one key that a task holds and sorts at most; the windows of a key with more are compared one by one.
 HOT = 20_000
 #: Bytes of text that a task hashes at once.
@@ -178,7 +177,7 @@ def least_docs(contexts: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
     return np.split(least, np.cumsum(counts)[:-1])
 
 
-def find_anchors(docs: DataFrame, bucket: int) -> DataFrame:
+def find_anchors(docs: DataFrame, bucket: int, buckets: int) -> DataFrame:
     """(h, c, doc, at) of the bucket's anchors. at: place << 10 | bytes before it << 5 | least such bytes of a window.
 
     Of equal anchors with equal surroundings in one block of rows only those of the first document go on. The others
@@ -189,7 +188,7 @@ def find_anchors(docs: DataFrame, bucket: int) -> DataFrame:
         for rows in blocks(batches, BLOCK):
             block = Block(encoded(rows.column(1).to_pylist()))
             doc, p, lo, hi, h, c = block.anchors()
-            own = h % np.uint64(BUCKETS) == bucket
+            own = h % np.uint64(buckets) == bucket
             doc, p, lo, hi, h, c = (x[own] for x in (doc, p, lo, hi, h, c))
             at = ((p - block.starts[doc]) << 10) | ((p - lo) << 5) | (p - hi)
             doc = rows.column(0).to_numpy()[doc]
@@ -358,7 +357,7 @@ def again(windows: DataFrame) -> DataFrame:
     return windows.join(least, "window").where("low < doc").select("doc", "begin", "end")
 
 
-def repeats(docs: DataFrame) -> DataFrame:
+def repeats(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """(doc, begin, end) of byte ranges of docs (doc, text) that repeat LENGTH bytes of a document with a smaller doc.
 
     Suffix buckets are sorted one after the other, so the disk holds one bucket's rows at a time. A suffix's bucket is the
@@ -368,8 +367,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     found: DataFrame | None = None
-    for bucket in range(BUCKETS):
-        rows = find_anchors(docs, bucket).repartition("h").sortWithinPartitions("h", "c", "doc", "at")
+    for bucket in range(buckets):
+        rows = find_anchors(docs, bucket, buckets).repartition("h").sortWithinPartitions("h", "c", "doc", "at")
         flags = keep(rows.mapInArrow(shared_anchors, "doc bigint, at bigint"))
         del rows
         release(spark)
@@ -393,23 +392,44 @@ def repeats(docs: DataFrame) -> DataFrame:
     return found
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with a number `doc` of its own for every row, in order of doc_id (null first) and text's digest.
+
+    Rows are dealt by ranges, equal ones among themselves by where they were read, so that many copies of one row fall
+    into several ranges. The driver gets one count for each range.
+    """
+    order = [F.col("doc_id").asc_nulls_first(), "digest", "read"]
+    rows = docs.withColumn("digest", F.xxhash64("text")).withColumn("read", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text", F.spark_partition_id().alias("part"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = 0
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.arange(at, at + batch.num_rows))], names=["doc_id", "text", "part", "place"])
+            at += batch.num_rows
+
+    rows = keep(rows.mapInArrow(run, "doc_id bigint, text string, part int, place bigint"))
+    counts = sorted((r["part"], r["n"]) for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect())
+    starts = np.cumsum([0, *(n for _, n in counts)]).tolist()
+    offset = F.create_map(*[F.lit(x) for (part, _), start in zip(counts, starts, strict=False) for x in (part, start)])[F.col("part")] if counts else F.lit(0)
+    return rows.select((offset + F.col("place")).alias("doc"), "doc_id", "text")
+
+
 def removed(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans (array of begin, end), kept_sha256 of every row.
 
     Every byte goes that is covered by LENGTH bytes which also start in a document with a smaller doc_id; strings are
     judged on the input. Null texts count as empty. Rows that repeat a doc_id count as documents one after the other,
-    by text (null ids come first): a later equal row loses all its strings. Texts under LENGTH bytes stay whole. An
+    by a digest of their text (null ids come first): a later equal row loses all its strings. Texts under LENGTH bytes stay whole. An
     empty table gives no rows; further columns are ignored.
     """
     docs = documents(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    counted = docs.agg(F.count("*").alias("n"), F.count("doc_id").alias("ids")).first()
+    counted = docs.agg(F.count("*").alias("n"), F.count("doc_id").alias("ids"), F.sum(F.octet_length("text")).alias("bytes")).first()
     if counted["n"] == counted["ids"] and docs.groupBy("doc_id").count().where("count > 1").limit(1).count() == 0:
         docs = docs.withColumn("doc", F.col("doc_id"))
     else:
-        ordered = docs.orderBy(F.col("doc_id").asc_nulls_first(), "text")
-        kind = T.StructType([T.StructField("doc", T.LongType()), *docs.schema.fields])
-        docs = keep(docs.sparkSession.createDataFrame(ordered.rdd.zipWithIndex().map(lambda x: (x[1], *x[0])), kind))
-    ranges = repeats(docs.select("doc", "text"))
+        docs = numbered(docs)
+    ranges = repeats(docs.select("doc", "text"), max(BUCKETS, -(-(counted["bytes"] or 0) // BUCKET_BYTES)))
     by = ranges.groupBy("doc").agg(F.collect_set(F.struct("begin", "end")).alias("ranges"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

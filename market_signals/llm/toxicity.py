@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from market_signals.llm.common import blocks, fold, labelled, read
+from market_signals.llm.common import blocks, fold, keep, labelled, read
 
 #: Runs of letters; digits and punctuation inside a word split it.
 WORDS = re.compile(r"[^\W\d_]+")
@@ -19,6 +19,8 @@ WORDS = re.compile(r"[^\W\d_]+")
 QUOTES = "\"'“”„«»‘’‹›"
 #: Words to each side of a hit whose marks and hits make its context.
 WINDOW = 6
+#: Words that a worker remembers.
+REMEMBERED = 150_000
 #: Names of a document's features, in the order of Model.weights.
 FEATURES = ("exact", "stem", "fuzzy", "quoted", "crowded", "share", "any")
 
@@ -106,7 +108,7 @@ class Lexicon:
         found = self.seen.get(word)
         if found is None:
             found = self.look(word)
-            if len(self.seen) >= 300_000:
+            if len(self.seen) >= REMEMBERED:
                 self.seen.clear()
             if len(word) <= 32:
                 self.seen[word] = found
@@ -172,13 +174,17 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, steps: int = 50)
     return w[:-1], float(w[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, held: int = 0, folds: int = 5, most: int = 8_000, least: int = 3, lexicon: int = 400, stem_sizes: tuple[int, ...] = (4, 5, 6, 7)) -> Model:
+def train(docs: DataFrame, labels: DataFrame, held: int = 0, folds: int = 5, most: int = 8_000, least: int = 3, surprise: float = 6.0, stem_sizes: tuple[int, ...] = (4, 5, 6, 7)) -> Model:
     """Learn a lexicon and context weights from at most `most` labelled documents (by hash of doc_id; fold `held` is left out).
 
     Spark counts, for every word and every word's beginnings of `stem_sizes` letters, in how many toxic and clean
-    documents it stands. Terms that are far commoner in toxic ones (log odds with a margin of one standard error)
-    enter, at most `lexicon` of each kind, so that what the driver gets and sends is bounded. A beginning becomes a stem
-    only if it is at least as telling as its words, and has several.
+    documents it stands. Terms enter that are far commoner in toxic ones: log odds with a margin of one standard error,
+    and so many toxic documents that chance would give as many with a probability under exp(-surprise), by Chernoff's
+    bound. A beginning becomes a stem only if it is at least as telling as its words, and has several. Every term over
+    these thresholds counts; their number, and so what the driver gets and sends, is bounded by the sample's words.
+
+    Null texts have no words; repeated rows count once (see labelled); without labels of both kinds, as with an empty
+    table, the lexicon is empty and all documents score alike.
     """
     sample = labelled(docs, labels, "toxic", folds, held, most).select("doc_id", "label", "text")
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\p{L}+"), 0))
@@ -198,10 +204,13 @@ def train(docs: DataFrame, labels: DataFrame, held: int = 0, folds: int = 5, mos
     odds = F.log((F.col("bad") + 0.1) / F.lit(nb + 0.2)) - F.log((F.col("good") + 0.1) / F.lit(ng + 0.2))
     error = F.sqrt(1 / (F.col("bad") + 0.1) + 1 / (F.col("good") + 0.5))
     least = max(least, nb // 100)
-    telling = counts.withColumn("z", odds - error).where((F.col("bad") >= least) & (F.col("z") > 1.5) & (F.col("bad") > 3 * F.col("good")))
-    whole_words = telling.where("n = 0").orderBy(F.desc("z"), "t").limit(lexicon).collect()
+    expected = (F.col("bad") + F.col("good")) * F.lit(nb / (nb + ng))
+    chance = F.col("bad") * F.log(expected / F.col("bad")) + F.col("bad") - expected
+    counts = keep(counts.where(F.col("bad") + F.col("good") >= least))
+    telling = counts.withColumn("z", odds - error).where((F.col("bad") >= least) & (F.col("z") > 1.5) & (F.col("bad") > 3 * F.col("good")) & (chance < -surprise))
+    whole_words = telling.where("n = 0").orderBy(F.desc("z"), "t").collect()
     terms = [r["t"] for r in whole_words]
-    rows = telling.where("n > 0").orderBy(F.desc("bad"), F.desc("z"), "n", "t").limit(4 * lexicon).collect()
+    rows = telling.where("n > 0").collect()
     # of the beginnings of one word keep the shortest that is clean
     stems: list[str] = []
     for r in sorted(rows, key=lambda r: (r["n"], r["t"])):
@@ -210,11 +219,15 @@ def train(docs: DataFrame, labels: DataFrame, held: int = 0, folds: int = 5, mos
             continue
         if r["bad"] >= 2 * least and r["good"] * 50 <= r["bad"] and not any(r["t"].startswith(s) for s in stems):
             stems.append(r["t"])
-    stems = stems[:lexicon]
     terms = [t for t in terms if not any(t.startswith(s) for s in stems) or any(t == s for s in stems)]
-    near = [r["t"] for r in counts.where((F.col("n") == 0) & (F.col("good") >= least) & (F.col("bad") <= 3 * F.col("good"))).orderBy(F.desc("good"), "t").limit(20_000).collect()]
-    draft = Lexicon(terms, stems)
-    clean = sorted(w for w in near if draft.look(w)[0] == 3)
+
+    def clashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        draft = Lexicon(terms, stems)
+        for batch in batches:
+            yield batch.filter(pa.array([draft.look(w)[0] == 3 for w in batch.column(0).to_pylist()], pa.bool_()))
+
+    common = counts.where((F.col("n") == 0) & (F.col("good") >= least) & (F.col("bad") <= 3 * F.col("good"))).select("t")
+    clean = sorted(r["t"] for r in common.mapInArrow(clashes, "t string").collect())
     data = docs.sparkSession.sparkContext.broadcast((terms, stems, clean))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +270,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is under 0.5; what isn't toxic stays as it is."""
+    """Documents whose score is under 0.5; what isn't toxic stays as it is.
+
+    Null and empty texts, null ids and repeated rows stay, each with its row; an empty table stays empty.
+    """
     model = train(docs, read(spark, sf_dir, "labels"))
     data = spark.sparkContext.broadcast(model)
     names = docs.columns
