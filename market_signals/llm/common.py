@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import sys
 import tempfile
 import time
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +21,29 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of a batch between Spark and Python: two tasks' batches, with their copies, stand beside the heap of an executor.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A table of the folder. Where the session has larger batches, they are cut to BATCH; tables of one file are spread over the cores."""
+    if int(spark.conf.get(BATCH[0]).rstrip("b")) > int(BATCH[1]):
+        spark.conf.set(*BATCH)
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of one file in as many partitions as there are cores: one file has few row groups, which alone make tasks. Larger tables stay as they are."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if len(df.inputFiles()) == 1 else df
+
+
+def tidy() -> None:
+    """Give freed memory of a Python worker back at the end of a task: workers stay, and stand beside the heap of an executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        with suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from market_signals.llm.common import forget, keep
+from market_signals.llm.common import forget, keep, tidy
 
 #: Edges that a task thins out at once.
 HELD = 500_000
@@ -46,17 +46,19 @@ def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, size = [], 0
     if size:
         yield told(held)
+    tidy()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 60, thin: bool = True) -> DataFrame:
     """node, component (the smallest node reachable) of every node of `edges` (a, b: bigint) that has another node as neighbour.
 
-    Edges are first thinned out within each task, and again once those of one node are together. Then large-star and small-star steps alternate: each node links its
+    Edges are first thinned out within each task (unless `thin` is False: they are already), and again once those of one node are together. Then large-star and small-star steps alternate: each node links its
     larger (or all smaller) neighbours to its smallest one, until every node has one edge, to a root. Groups are
     aggregated to their minimum, never collected, and every step's edges are written to the shared folder. An empty
     edge set gives no rows. Raises an error if `most_rounds` don't suffice.
     """
-    edges = edges.where("a is not null and b is not null").mapInArrow(thinned, "a bigint, b bigint")
+    edges = edges.where("a is not null and b is not null")
+    edges = edges.mapInArrow(thinned, "a bigint, b bigint") if thin else edges
     edges = keep(edges.repartition("a").mapInArrow(thinned, "a bigint, b bigint"))
     for _ in range(most_rounds):
         # a star forest: every node with an edge to a smaller one has one such edge, and none leads to it

@@ -15,7 +15,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from market_signals.llm.common import blocks, read
+from market_signals.llm.common import blocks, read, tidy
 
 SPACE = "▁"
 #: A chunk: marks of spaces, then other characters. Pieces never join two chunks (checked for the vocabulary).
@@ -23,7 +23,7 @@ CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 #: The last character of a chunk and the first one of the next.
 BORDER = re.compile(f"[^{SPACE}]{SPACE}")
 #: Chunks whose pieces a worker remembers in each of two generations, and the longest such chunk.
-REMEMBERED, SHORT = 100_000, 32
+REMEMBERED, SHORT = 70_000, 32
 #: Characters of a text that are cut into chunks at once, and chunks that are resolved at once.
 SEGMENT, LOAD = 500_000, 100_000
 #: Chunks of more characters are merged one by one with a heap.
@@ -445,7 +445,7 @@ def encode_documents(docs: DataFrame, model: str, offsets: bool = False) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(name)
-        for block in blocks(batches):
+        for block in blocks(batches, 1_000_000):
             texts = [x or "" for x in block.column(1).to_pylist()]
             ids = [np.frombuffer(x, "<u4") for x in tok.encode_all(texts)]
             cols = [block.column(0).cast(pa.int64()), lists(ids), pa.array([tok.decode(x) for x in ids], pa.string())]
@@ -453,6 +453,7 @@ def encode_documents(docs: DataFrame, model: str, offsets: bool = False) -> Data
                 spans = [tok.spans(t, x) for t, x in zip(texts, ids, strict=True)]
                 cols += [lists([a for a, _ in spans]), lists([b for _, b in spans])]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "ids", "decoded", "begins", "ends"][: len(cols)])
+        tidy()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
@@ -474,7 +475,7 @@ def digests(docs: DataFrame, model: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(name)
-        for block in blocks(batches, 2_000_000):
+        for block in blocks(batches, 1_000_000):
             n, a, b, c = [], [], [], []
             texts = [x or "" for x in block.column(1).to_pylist()]
             for text, data in zip(texts, tok.encode_all(texts), strict=True):

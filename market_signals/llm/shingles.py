@@ -12,8 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from market_signals.llm.common import blocks, documents, forget, keep, read, release, text_bytes
-from market_signals.llm.graph import components
+from market_signals.llm.common import blocks, documents, forget, keep, read, release, text_bytes, tidy
+from market_signals.llm.graph import components, thinned
 
 #: Bytes with A-Z lower-cased, and which of them separate words.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -337,6 +337,7 @@ def deal(found: Iterator[tuple[list[int], list[np.ndarray]]], parts: int, third:
             held, size = {}, 0
     if held:
         yield told()
+    tidy()
 
 
 def gather(batches: Iterator[pa.RecordBatch], parts: int, least: int | None) -> Iterator[pa.RecordBatch]:
@@ -378,6 +379,7 @@ def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, n = (np.concatenate([b.column(c).flatten().to_numpy() for b in rows]) for c in ("v", "n"))
         keys, at = np.unique(v, return_inverse=True)
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(at, weights=n).astype(np.int64))], names=["v", "shared"])
+    tidy()
 
 
 DEALT = "part int, h array<bigint>, k array<bigint>, n array<bigint>, own_k array<bigint>, own_n array<bigint>"
@@ -406,6 +408,7 @@ def described(docs: DataFrame, n: int) -> DataFrame:
             part = [int(((s >> np.uint64(7)) % np.uint64(THIRD) == 0).sum()) for s in sets]
             cols = [block.column(0), *[pa.array(x, pa.int64()) for x in ([len(s) for s in sets], part, [k[0] for k in keys], [k[1] for k in keys])]]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "n_counted", "k1", "k2"])
+        tidy()
 
     return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, n_counted bigint, k1 bigint, k2 bigint")
 
@@ -456,6 +459,7 @@ def sign(batches: Iterator[pa.RecordBatch], share: int, common: np.ndarray) -> I
                 keys, sigs, size = [], [], 0
     if keys:
         yield told(keys, sigs)
+    tidy()
 
 
 def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -497,6 +501,7 @@ def verify(batches: Iterator[pa.RecordBatch], share: int, common: np.ndarray) ->
             side.append(chunk != x)
     if len(ids) > 1:
         yield told()
+    tidy()
 
 
 def linked_sets(docs: DataFrame, classes: DataFrame, share: int, n: int) -> DataFrame:
@@ -549,9 +554,9 @@ def linked_sets(docs: DataFrame, classes: DataFrame, share: int, n: int) -> Data
     release(spark)
 
     signed = sets.select("k1", "s").mapInArrow(lambda batches: sign(batches, share, usual.value), "sig bigint, key bigint, other bigint")
-    near = signed.repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(chain, "a bigint, b bigint")
+    near = signed.repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(lambda batches: thinned(chain(batches)), "a bigint, b bigint")
     # clusters of set keys; should two sets share half a key, both are in its cluster
-    clusters = components(near).withColumnsRenamed({"node": "k1", "component": "cluster"})
+    clusters = components(near, thin=False).withColumnsRenamed({"node": "k1", "component": "cluster"})
     placed = keep(sets.select("k1", "rep", "n_shingles").join(clusters, "k1"))
     release(spark)
     # chunks of a cluster; each pair of chunks is one task's work

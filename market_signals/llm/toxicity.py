@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from market_signals.llm.common import blocks, fold, keep, labelled, read
+from market_signals.llm.common import blocks, fold, keep, labelled, read, tidy
 
 #: Runs of letters; digits and punctuation inside a word split it.
 WORDS = re.compile(r"[^\W\d_]+")
@@ -285,5 +285,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         for block in blocks(batches):
             x = np.array([features(t, lex, known)[0] for t in block.column(at).to_pylist()])
             yield block.filter(pa.array(m.score(x) < 0.5))
+        del lex
+        tidy()
 
     return docs.mapInArrow(run, docs.schema)
