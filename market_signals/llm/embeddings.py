@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from market_signals.llm.common import keep, read
+from market_signals.llm.common import forget, keep, read
 from market_signals.llm.graph import components
 from market_signals.llm.shingles import Forest
 
@@ -148,15 +148,17 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, recall: float = 0.9
                     some = rows[at : at + 256]
                     keys = buckets(np.stack([units[i] for i in some]), *shape)
                     take = pa.array(np.repeat(some, tables))
-                    cols = [pa.array(keys.ravel()), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(some))), *[batch.column(c).take(take) for c in range(3)]]
-                    yield pa.RecordBatch.from_arrays(cols, names=["bucket", "t", "rep", "members", "v"])
+                    cols = [pa.array(keys.ravel()), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(some))), batch.column(0).take(take)]
+                    yield pa.RecordBatch.from_arrays(cols, names=["bucket", "t", "rep"])
 
-    placed = classes.select("rep", "members", "v").mapInArrow(place, "bucket bigint, t int, rep bigint, members bigint, v binary")
+    # ids alone find the buckets that are shared; vectors go to these only
+    placed = keep(classes.select("rep", "members", "v").mapInArrow(place, "bucket bigint, t int, rep bigint"))
     sizes = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     rows = placed.join(sizes, "bucket").withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least("chunk", c).alias("x"), F.greatest("chunk", c).alias("y")))
-    rows = rows.withColumn("p", F.explode(pair)).select("bucket", "p.x", "p.y", (F.col("chunk") != F.col("p.x")).alias("side"), "t", "rep", "members", "v")
+    rows = rows.withColumn("p", F.explode(pair)).select("bucket", "p.x", "p.y", (F.col("chunk") != F.col("p.x")).alias("side"), "t", "rep")
+    rows = rows.join(classes.select("rep", "members", "v"), "rep").select("bucket", "x", "y", "side", "t", "rep", "members", "v")
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Compares the rows of each (bucket, x, y); they come sorted by it."""
@@ -197,6 +199,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, recall: float = 0.9
             yield from done(pa.Table.from_batches(held))
 
     linked = keep(rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y").mapInArrow(links, "a bigint, b bigint, n bigint"))
+    forget(placed)
     counts = linked.where("b is null").groupBy("a").agg(F.sum("n").alias("more")).withColumnRenamed("a", "rep")
     groups = components(linked.where("b is not null").select("a", "b")).withColumnRenamed("node", "rep")
     known = classes.select("key", "rep", "members").join(counts, "rep", "left").join(groups, "rep", "left")
