@@ -19,6 +19,8 @@ SUBSETS, LEVELS = 32, 3
 #: Terms of a document that a subset holds on average at the first of its levels: this much to twice this much.
 KEPT = 1.5
 EMPTY = np.uint32(0)
+#: Bytes of text of one range of documents.
+PART_BYTES = 32_000_000
 _MULTIPLIERS = (np.arange(1, SUBSETS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -56,10 +58,16 @@ def lexicon(docs: DataFrame, low: float = 0.0005, high: float = 0.05) -> np.ndar
 
 
 class Printer:
-    """Makes fingerprints with one lexicon."""
+    """Makes fingerprints with one lexicon (an array of hashes). A worker that gets it makes its set once and keeps it, with the terms it has hashed, from task to task."""
 
     def __init__(self, lex: np.ndarray):
-        self.known = set(lex.tolist())
+        self.__setstate__(lex)
+
+    def __getstate__(self) -> np.ndarray:
+        return self.lex
+
+    def __setstate__(self, lex: np.ndarray) -> None:
+        self.lex, self.known = lex, set(lex.tolist())
         self.hashes: dict[str, int] = {}
 
     def pick(self, text: str) -> np.ndarray:
@@ -71,7 +79,7 @@ class Printer:
                 h = term_hash(t)
                 h = h if h in known else 0
                 if len(t) <= 32:
-                    if len(hashes) >= 300_000:
+                    if len(hashes) >= 200_000:
                         hashes.clear()
                     hashes[t] = h
             if h:
@@ -138,7 +146,7 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
         also = F.try_element_at(leads, "at")
         rows = F.when(also.isNull(), rows).otherwise(F.concat(rows, F.array(F.struct(also.alias("part"), F.lit(1).alias("late")))))
     every = keyed.withColumn("r", F.explode(rows)).select("r.part", "r.late", "at", "doc_id", "text")
-    return every.repartition(parts, "part").sortWithinPartitions("part", "late", "at", "text")
+    return every.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "late", "at", "text")
 
 
 def fingerprints(docs: DataFrame, lex: np.ndarray, share: int = 4) -> DataFrame:
@@ -149,11 +157,12 @@ def fingerprints(docs: DataFrame, lex: np.ndarray, share: int = 4) -> DataFrame:
     itself); an empty table gives no rows; further columns are ignored.
     """
     spark = docs.sparkSession
-    data = spark.sparkContext.broadcast(lex)
-    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    data = spark.sparkContext.broadcast(Printer(lex))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        printer = Printer(data.value)
+        printer = data.value
         last = None
         for block in blocks(batches):
             out: list[tuple] = []
