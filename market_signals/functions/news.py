@@ -84,10 +84,18 @@ def relevance_status(c: Column) -> Column:
     return F.when(c == 1, "relevant").when(c == 0, "non_relevant").otherwise("unrated")
 
 
-def relevance_value(text: Column) -> Column:
-    """1, 0 or null of a reviewer's word."""
-    t = F.lower(F.trim(text))
-    return F.when(t.isin("relevant", "yes", "true", "1"), 1).when(t.isin("non_relevant", "non-relevant", "irrelevant", "no", "false", "0"), 0)
+def relevance_payload(word: Column, qualified: Column) -> Column:
+    """Struct(action, value) of a reviewer's word, or of `qualified` where there is no word: set to 1 or 0, cleared, or rejected."""
+    t = F.lower(F.trim(word))
+    to = lambda action, value=None: F.struct(F.lit(action).alias("action"), F.lit(value).cast("int").alias("value"))
+    return (
+        F.when(word.isNull() & qualified.isNull(), to("rejected"))
+        .when(word.isNull(), F.when(qualified, to("set", 1)).otherwise(to("set", 0)))
+        .when(t.isin("relevant", "yes", "true", "1"), to("set", 1))
+        .when(t.isin("non_relevant", "non-relevant", "irrelevant", "no", "false", "0"), to("set", 0))
+        .when(t.isin("unrated", "none", "clear", "reset"), to("clear"))
+        .otherwise(to("rejected"))
+    )
 
 
 def confidence(value: Column, fallback: float = 0.5) -> Column:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from market_signals.functions import dictionaries as d
@@ -92,6 +91,18 @@ def score_order() -> list[Column]:
     return [F.col("signal_score").desc(), F.col("processed_at").desc(), F.col("id").asc()]
 
 
+def raw_order(as_of_text: str) -> list[Column]:
+    """latest_order() of raw items that are processed at one time."""
+    return [F.coalesce("published_at", F.lit(as_of_text)).desc(), F.col("id").asc()]
+
+
+def scored(raw: DataFrame) -> DataFrame:
+    """Raw items with their signal_score alone: what a ranking by score needs before its cut."""
+    out = raw.withColumn("_text", clean(F.coalesce(filled("content_raw", "summary_raw", "title_raw"), F.lit("")))).withColumn("_low", F.lower("_text"))
+    out = out.withColumns({"_themes": n.theme_tags(F.col("_low")), "_places": n.geography_tags(F.col("_low")), "_names": n.actors(F.col("_low"))})
+    return out.withColumn("signal_score", n.signal_score(F.col("_themes"), F.col("_places"), F.col("_names"), F.col("_text"))).drop("_text", "_low", "_themes", "_places", "_names")
+
+
 def ranked(items: DataFrame, order: list[Column], limit: int, bucket: str = "all", source: str | None = None, prefetch: int | None = 5) -> DataFrame:
     """The first `limit` items of a domain. With `prefetch`, the filter sees only the first prefetch * limit items; None filters first."""
     rows = of_source(items, source)
@@ -101,9 +112,9 @@ def ranked(items: DataFrame, order: list[Column], limit: int, bucket: str = "all
     return in_domain(with_domain(some), bucket).orderBy(*order).limit(max(limit, 1))
 
 
-def positions(items: DataFrame) -> DataFrame:
-    """Items with their place in the newest-first list. The list is one sorted window: give it a ranked or windowed list, not all history."""
-    return items.withColumn("pos", F.row_number().over(W.orderBy(*latest_order())))
+def placed(items: DataFrame) -> DataFrame:
+    """Items with `place`: of two, the greater one stands earlier in the newest-first list. No item is numbered, so nothing is sorted."""
+    return items.withColumn("place", F.struct(F.coalesce("published_at", "processed_at").alias("at"), F.col("processed_at").alias("made"), (-F.col("id")).alias("last")))
 
 
 def keyed(items: DataFrame, overrides: DataFrame | None) -> DataFrame:
@@ -125,15 +136,15 @@ def collections(items: DataFrame, limit: int = 20) -> DataFrame:
 
 def primary_tags(items: DataFrame, column: str, name: str, default: str) -> DataFrame:
     """The most frequent tag of each collection; of equal ones the one seen first (by list place, then tag place)."""
-    each = items.select("collection_key", "pos", F.posexplode_outer(column).alias("at", "tag"))
-    counted = each.groupBy("collection_key", "tag").agg(F.count("tag").alias("n"), F.min(F.struct("pos", "at")).alias("first"))
-    best = F.max_by("tag", F.struct("n", -F.col("first.pos"), -F.col("first.at")))
+    each = items.select("collection_key", "place", F.posexplode_outer(column).alias("at", "tag"))
+    counted = each.groupBy("collection_key", "tag").agg(F.count("tag").alias("n"), F.max(F.struct("place", (-F.col("at")).alias("at"))).alias("first"))
+    best = F.max_by("tag", F.struct("n", "first"))
     return counted.groupBy("collection_key").agg(F.coalesce(best, F.lit(default)).alias(name))
 
 
 def top_items(items: DataFrame, k: int = 5) -> DataFrame:
     """The best k items of each collection; WindowGroupLimit cuts hot collections before the shuffle."""
-    return top_per(items, ["collection_key"], [F.desc("signal_score"), F.coalesce("published_at", F.lit("")).desc(), F.asc("pos")], max(k, 1))
+    return top_per(items, ["collection_key"], [F.desc("signal_score"), F.coalesce("published_at", F.lit("")).desc(), F.desc("place")], max(k, 1))
 
 
 def tag_counts(items: DataFrame, column: str) -> DataFrame:

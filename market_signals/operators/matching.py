@@ -15,9 +15,9 @@ TITLE, ACTORS = 0.75, 0.25
 
 
 def prepared(items: DataFrame) -> DataFrame:
-    """id, pos, bucket, day (null if undated), at, words, names of items that have a list place `pos`."""
+    """id, place, bucket, at (seconds, null if undated), words, names of items that have a `place` in the list."""
     at = F.unix_seconds(parse_time(F.coalesce(F.nullif("published_at", F.lit("")), "processed_at")))
-    return items.select("id", "pos", F.coalesce("domain_bucket", F.lit("other_energy")).alias("bucket"), at.alias("at"), match_tokens(F.col("title"), F.col("summary")).alias("words"), tokens(F.array_join("actors", ",")).alias("names"))
+    return items.select("id", "place", F.coalesce("domain_bucket", F.lit("other_energy")).alias("bucket"), at.alias("at"), match_tokens(F.col("title"), F.col("summary")).alias("words"), tokens(F.array_join("actors", ",")).alias("names"))
 
 
 def _within(a: str, b: str, window: int) -> Column:
@@ -26,65 +26,77 @@ def _within(a: str, b: str, window: int) -> Column:
 
 
 def _verified(pairs: DataFrame, items: DataFrame, window: int) -> DataFrame:
-    l, r = items.alias("l"), items.alias("r")
-    out = pairs.join(l, F.col("lpos") == F.col("l.pos")).join(r, F.col("rpos") == F.col("r.pos"))
-    out = out.where(compatible(F.col("l.bucket"), F.col("r.bucket")) & _within("l", "r", window))
-    score = F.lit(TITLE) * jaccard(F.col("l.words"), F.col("r.words")) + F.lit(ACTORS) * jaccard(F.col("l.names"), F.col("r.names"))
-    return out.select(F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"), F.col("l.pos").alias("left_pos"), F.col("r.pos").alias("right_pos"), score.alias("score")).where(F.col("score") >= LEAST)
+    """Pairs (a, b: ids) that pass, the one that stands earlier in the list left."""
+    x, y = items.alias("x"), items.alias("y")
+    out = pairs.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id"))
+    first = F.col("x.place") > F.col("y.place")
+    near = F.when(first, _within("x", "y", window)).otherwise(_within("y", "x", window))
+    score = F.lit(TITLE) * jaccard(F.col("x.words"), F.col("y.words")) + F.lit(ACTORS) * jaccard(F.col("x.names"), F.col("y.names"))
+    out = out.where(compatible(F.col("x.bucket"), F.col("y.bucket")) & near).withColumn("score", score).where(F.col("score") >= LEAST)
+    side = lambda c, l, r: F.when(first, F.col(f"{l}.{c}")).otherwise(F.col(f"{r}.{c}"))
+    return out.select(side("id", "x", "y").alias("left_id"), side("id", "y", "x").alias("right_id"), side("place", "y", "x").alias("right_place"), "score")
 
 
 def candidate_pairs(items: DataFrame, days_window: int = 7) -> DataFrame:
     """All pairs (earlier place left) with a score of LEAST and more, found through shared tokens without comparing all.
 
     A pair needs a shared actor token, or, without one, a title overlap of LEAST / TITLE. For the latter it is enough to
-    look at each item's rarest tokens (prefix filter), which leaves the commonest and so the skewed ones out. Both are
-    joined within buckets of days; undated items, which pair with every day, are joined apart on the token alone.
+    look at each item's rarest tokens (prefix filter), which leaves the commonest and so the skewed ones out. Items with
+    one and the same actor match by that alone, so a common actor's pairs are part of the result; Spark splits such a
+    key's join. Both are joined within buckets of days; undated items, which pair with every day, are joined apart on
+    the token alone.
     """
     window = max(days_window, 1)
     items = keep(prepared(items))
     share = LEAST / TITLE
-    words = items.select("pos", F.explode("words").alias("t"))
+    words = items.select("id", F.explode("words").alias("t"))
     counts = words.groupBy("t").agg(F.count("*").alias("df"))
-    rare = words.join(counts, "t").groupBy("pos").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("s"))
+    rare = words.join(counts, "t").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("s"))
     n = F.size("s")
-    prefix = rare.select("pos", F.explode(F.slice("s", 1, (n - F.ceil(n * F.lit(share) - 1e-9) + 1).cast("int"))).alias("s")).select("pos", F.concat(F.lit("w:"), "s.t").alias("t"))
-    names = items.select("pos", F.explode("names").alias("t")).select("pos", F.concat(F.lit("a:"), "t").alias("t"))
-    keys = prefix.unionByName(names).join(items.select("pos", "at", "bucket"), "pos")
+    prefix = rare.select("id", F.explode(F.slice("s", 1, (n - F.ceil(n * F.lit(share) - 1e-9) + 1).cast("int"))).alias("s")).select("id", F.concat(F.lit("w:"), "s.t").alias("t"))
+    names = items.select("id", F.explode("names").alias("t")).select("id", F.concat(F.lit("a:"), "t").alias("t"))
+    keys = prefix.unionByName(names).join(items.select("id", "at", "bucket"), "id")
     keys = keys.withColumn("day", F.floor(F.col("at") / (86400 * (window + 1))))
     # offshore wind and adjacent energy go together, other buckets with themselves
-    keys = keys.withColumn("kind", F.when(F.col("bucket").isin("offshore_wind", "adjacent_energy"), F.lit("wind")).otherwise(F.col("bucket"))).select("pos", "t", "day", "kind")
+    keys = keys.withColumn("kind", F.when(F.col("bucket").isin("offshore_wind", "adjacent_energy"), F.lit("wind")).otherwise(F.col("bucket"))).select("id", "t", "day", "kind")
     dated, undated = keys.where("day is not null"), keys.where("day is null").drop("day")
-    spread = dated.select("pos", "t", "kind", F.explode(F.array(F.col("day") - 1, F.col("day"), F.col("day") + 1)).alias("day"))
-    a = spread.alias("x").join(dated.alias("y"), ["t", "kind", "day"]).where("x.pos < y.pos").select(F.col("x.pos").alias("lpos"), F.col("y.pos").alias("rpos"))
-    b = undated.alias("x").join(keys.drop("day").alias("y"), ["t", "kind"]).where("x.pos <> y.pos").select(F.least("x.pos", "y.pos").alias("lpos"), F.greatest("x.pos", "y.pos").alias("rpos"))
+    spread = dated.select("id", "t", "kind", F.explode(F.array(F.col("day") - 1, F.col("day"), F.col("day") + 1)).alias("day"))
+    a = spread.alias("x").join(dated.alias("y"), ["t", "kind", "day"]).where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    b = undated.alias("x").join(keys.drop("day").alias("y"), ["t", "kind"]).where("x.id <> y.id").select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
     return _verified(a.unionByName(b).distinct(), items, window)
 
 
 def best_pairs(pairs: DataFrame, k: int = 8) -> DataFrame:
     """The best k partners of each left item; of equal ones the earlier in the list."""
-    return top_per(pairs, ["left_pos"], [F.desc("score"), F.asc("right_pos")], max(k, 1))
+    return top_per(pairs, ["left_id"], [F.desc("score"), F.desc("right_place")], max(k, 1))
 
 
 def judge(pairs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Verdicts over pairs; a pair without a verdict falls back on its score. `enqueue`: worth a review."""
-    v = verdicts.select("left_id", "right_id", "same_story", F.col("confidence").alias("_c"))
-    out = pairs.join(v, ["left_id", "right_id"], "left")
-    valid = F.lower(F.trim("same_story")).isin("yes", "no") & F.col("_c").isNotNull()
+    """Verdicts over pairs; a pair without a yes or no falls back on its score. A verdict without confidence is as unsure as can be.
+
+    `overlap_entities` holds the verdict's names without blanks. `enqueue`: worth a review.
+    """
+    v = verdicts.select("left_id", "right_id", F.lower(F.trim("same_story")).alias("_s"), F.col("confidence").alias("_c"), F.col("reason_short").alias("_r"), F.col("overlap_entities").alias("_e"), F.col("overlap_timeframe").alias("_t"))
+    out = pairs.join(v.where(F.col("_s").isin("yes", "no")), ["left_id", "right_id"], "left")
+    valid, none = F.col("_s").isNotNull(), F.array().cast("array<string>")
     guess = F.least(F.greatest(F.col("score") + 0.2, F.lit(0.0)), F.lit(0.49))
+    names = F.filter(F.transform(F.coalesce("_e", none), lambda x: F.trim(x)), lambda x: x != "")
     out = out.select(
-        "left_id", "right_id", "score", F.when(valid, F.lower(F.trim("same_story"))).otherwise("no").alias("same_story"), F.when(valid, F.col("_c")).otherwise(guess).alias("confidence"),
-        F.when(valid, F.lit("")).otherwise("ai_unavailable_or_invalid").alias("reason_short"), (~F.coalesce(valid, F.lit(False))).alias("fallback"),
+        "left_id", "right_id", "score", F.coalesce("_s", F.lit("no")).alias("same_story"), F.when(valid, F.coalesce("_c", F.lit(0.0))).otherwise(guess).alias("confidence"), (~valid).alias("fallback"),
+        F.when(valid, F.coalesce("_r", F.lit(""))).otherwise("ai_unavailable_or_invalid").alias("reason_short"), names.alias("overlap_entities"), F.coalesce("_t", F.lit("")).alias("overlap_timeframe"),
     )
     return out.withColumn("enqueue", F.when(F.col("fallback"), F.col("confidence") >= 0.35).otherwise((F.col("same_story") == "yes") & (F.col("confidence") >= 0.70)))
 
 
 def review_list(pairs: DataFrame, items: DataFrame, status: str = "pending", bucket: str | None = None, limit: int = 30) -> DataFrame:
-    """Pairs of a status with both items' titles and domains; the small pair side is filtered first."""
-    side = lambda x: items.select(F.col("id").alias(f"item_{x}_id"), F.col("title").alias(f"title_{x}"), F.col("source_name").alias(f"source_{x}"), F.coalesce("domain_bucket", F.lit("other_energy")).alias(f"domain_{x}"))
+    """Pairs of a status with their judgement and both items' texts, sources, addresses, times and domains; the small pair side is filtered first."""
+    of = {"id": "item_{}_id", "title": "title_{}", "summary": "summary_{}", "source_name": "source_{}", "article_url": "url_{}", "published_at": "published_{}"}
+    side = lambda x: items.select(*[F.col(c).alias(name.format(x)) for c, name in of.items()], F.coalesce("domain_bucket", F.lit("other_energy")).alias(f"domain_{x}"))
     out = pairs.where(F.col("status") == status).join(side("a"), "item_a_id").join(side("b"), "item_b_id")
     if bucket:
         out = out.where((F.col("domain_a") == bucket) & (F.col("domain_b") == bucket))
-    return out.orderBy(F.desc("ai_confidence"), F.desc("created_at"), "item_a_id", "item_b_id").limit(limit)
+    entities = F.coalesce(F.from_json("overlap_entities", "array<string>"), F.array().cast("array<string>"))
+    return out.withColumn("overlap_entities", entities).orderBy(F.desc("ai_confidence"), F.desc("created_at"), "item_a_id", "item_b_id").limit(limit)
 
 
 def decided_overrides(decisions: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,23 +12,28 @@ from market_signals.functions import opportunity as o
 from market_signals.functions.text import clean, csv, filled, lead
 
 
-def clean_list(value: list | str | None) -> list[str]:
-    parts = value.split(",") if isinstance(value, str) else value or []
-    return [str(x).strip().lower() for x in parts if str(x).strip()]
+def load_profiles(rows: DataFrame, active: list[str] | None = None) -> DataFrame:
+    """company, name, place and the cleaned term arrays of active profiles, from JSON rows (place, profile_json).
+
+    Rows that aren't an object with a company are dropped. Lists may be arrays or comma-separated text.
+    """
+    v = rows.withColumn("v", F.try_parse_json("profile_json")).where(F.schema_of_variant("v").startswith("OBJECT"))
+    text = lambda k: F.trim(F.coalesce(F.try_variant_get("v", f"$.{k}", "string"), F.lit("")))
+    given = lambda k: F.coalesce(F.try_variant_get("v", f"$.{k}", "array<string>"), F.split(F.try_variant_get("v", f"$.{k}", "string"), ","), F.array().cast("array<string>"))
+    listed = lambda k: F.filter(F.transform(F.array_compact(given(k)), lambda x: F.lower(F.trim(x))), lambda x: x != "")
+    company = F.upper(text("company"))
+    wanted = sorted({a.strip().upper() for a in active or [] if a.strip()})
+    out = v.where((company != "") & (company.isin(wanted) if wanted else F.lit(True)))
+    digits = F.array_distinct(F.filter(F.transform(listed("cpv_codes"), lambda x: F.regexp_replace(x, r"\D", "")), lambda x: (F.length(x) == 8) & (x != "00000000") & ~x.endswith("999999")))
+    return out.select(
+        "place", company.alias("company"), F.coalesce(F.nullif(text("name"), F.lit("")), company).alias("name"), F.array_distinct(F.concat(listed("keywords"), listed("aliases"))).alias("keywords"),
+        listed("qualifier").alias("qualifier"), listed("negative_keywords").alias("negative_keywords"), digits.alias("cpv"),
+    )
 
 
 def profile_table(spark: SparkSession, profiles: list[dict] = d.PROFILES, active: list[str] | None = None) -> DataFrame:
-    """company, name, place and the cleaned term arrays of active profiles, as a small table."""
-    wanted = {a.strip().upper() for a in active or [] if a.strip()}
-    rows = []
-    for i, p in enumerate(profiles):
-        company = str(p.get("company") or "").strip().upper()
-        if company and (not wanted or company in wanted):
-            rows.append((i, company, str(p.get("name") or company).strip(), *[clean_list(p.get(k)) for k in ("keywords", "aliases", "qualifier", "negative_keywords", "cpv_codes")]))
-    kind = "place int, company string, name string, keywords array<string>, aliases array<string>, qualifier array<string>, negative_keywords array<string>, cpv array<string>"
-    table = spark.createDataFrame(rows, kind)
-    digits = F.array_distinct(F.filter(F.transform("cpv", lambda x: F.regexp_replace(x, r"\D", "")), lambda x: (F.length(x) == 8) & (x != "00000000") & ~x.endswith("999999")))
-    return table.withColumn("keywords", F.array_distinct(F.concat("keywords", "aliases"))).withColumn("cpv", digits).drop("aliases")
+    """The profiles of the configuration as a small table."""
+    return load_profiles(spark.createDataFrame([(i, json.dumps(p)) for i, p in enumerate(profiles)], "place int, profile_json string"), active)
 
 
 def bundle_sets(table: DataFrame) -> DataFrame:
@@ -75,6 +82,12 @@ def process(raw: DataFrame, profiles: dict[str, list[dict]], as_of: str, as_of_t
     )
 
 
+def latest_of(raw: DataFrame, profiles: dict[str, list[dict]], as_of: str, as_of_text: str, limit: int = 20) -> DataFrame:
+    """latest() of the processed notices, of which only those that are returned are processed."""
+    some = matched(raw, profiles).where("fit is not null").orderBy(F.coalesce("publication_date", F.lit("")).desc(), "id").limit(limit)
+    return latest(process(some.select(*raw.columns), profiles, as_of, as_of_text), limit)
+
+
 def latest(items: DataFrame, limit: int = 20) -> DataFrame:
     return items.orderBy(F.coalesce("publication_date", "processed_at").desc(), F.desc("processed_at"), "id").limit(limit)
 
@@ -104,6 +117,11 @@ def to_export(items: DataFrame, exported: DataFrame, order: list[Column]) -> Dat
     return top_per(keyed, ["dedup_key"], order).join(exported.select("dedup_key").distinct(), "dedup_key", "left_anti")
 
 
+def write_payloads(payloads: DataFrame, path: str) -> None:
+    """One JSON object a line, with its key."""
+    payloads.write.mode("overwrite").json(path)
+
+
 def export_date(c: Column) -> Column:
     t = F.trim(F.coalesce(c, F.lit("")))
     iso = (F.length(t) >= 10) & (F.substring(t, 5, 1) == "-") & (F.substring(t, 8, 1) == "-")

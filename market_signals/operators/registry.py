@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from market_signals.functions import dictionaries as d
 from market_signals.functions.text import filled, has_any
-from market_signals.functions.urls import is_feed_like, name_of, normalize_url, source_host
+from market_signals.functions.urls import is_article_url, is_feed_like, name_of, normalize_url, source_host
 from market_signals.operators.state import top_per
 
 
@@ -16,6 +16,15 @@ def enabled(sources: DataFrame, kind: str) -> DataFrame:
     return sources.where(F.col("enabled") & (F.col("type") == kind))
 
 
+SOURCE = "name string, homepage string, type string, url string, enabled boolean, manual_override boolean"
+
+
+def load_registry(rows: DataFrame) -> DataFrame:
+    """Sources of JSON rows (id, position, source_json); rows that aren't a JSON object are dropped. Order by position and id."""
+    good = F.schema_of_variant(F.try_parse_json("source_json")).startswith("OBJECT")
+    return rows.where(good).withColumn("s", F.from_json("source_json", SOURCE)).select("position", "id", "s.*")
+
+
 def dedupe(sources: DataFrame) -> DataFrame:
     """The best source of each host (feeds before pages, enabled ones first, later rows of equals), in order of a host's first row. Rows without a host stay."""
     host = source_host(F.col("homepage"), F.col("url"))
@@ -31,14 +40,15 @@ def dedupe_counts(sources: DataFrame) -> DataFrame:
 
 
 def parse_lines(text: DataFrame) -> DataFrame:
-    """ord, name, homepage of pasted lines: `Name - address`, or a line that holds an address."""
-    lines = text.select(F.posexplode(F.split("text", r"\R")).alias("ord", "line")).withColumn("line", F.trim("line")).where("line <> ''")
+    """ord, name, homepage of pasted lines: `Name - address`, or a line that holds an address. Further columns of `text` stay."""
+    more = [c for c in text.columns if c != "text"]
+    lines = text.select(*more, F.posexplode(F.split("text", r"\R")).alias("ord", "line")).withColumn("line", F.trim("line")).where("line <> ''")
     pair = F.col("line").contains(" - ")
     found = F.regexp_extract("line", r"(https?://\S+|\b[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\S*)", 1)
     raw = F.when(pair, F.expr("substring(line, instr(line, ' - ') + 3)")).otherwise(found)
     name = F.when(pair, F.trim(F.expr("substring(line, 1, instr(line, ' - ') - 1)"))).otherwise(F.regexp_replace(F.expr("replace(line, found, '')"), r"^[ \-:\t]+|[ \-:\t]+$", ""))
     out = lines.withColumn("found", found).withColumn("homepage", normalize_url(raw)).withColumn("given", name)
-    return out.where("homepage <> ''").select("ord", F.coalesce(F.nullif("given", F.lit("")), name_of(F.col("homepage"))).alias("name"), "homepage")
+    return out.where("homepage <> ''").select(*more, "ord", F.coalesce(F.nullif("given", F.lit("")), name_of(F.col("homepage"))).alias("name"), "homepage")
 
 
 def import_sources(lines: DataFrame, sources: DataFrame, feeds: DataFrame) -> DataFrame:
@@ -134,11 +144,31 @@ def fetch_report(sources: DataFrame, pages: DataFrame) -> DataFrame:
     return s.join(each, "host", "left").select("position", "host", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("kept", "paywalled", "failed")])
 
 
+def source_report(sources: DataFrame, entries: DataFrame, pages: DataFrame) -> DataFrame:
+    """Items, filtered and paywalled ones, status and error of every enabled source of feed entries (host, is_news) or crawled pages.
+
+    A page source whose first page failed is an error without items. Refused or walled pages of articles are items, and
+    counted as paywalled; pages that aren't articles, or failed, are filtered.
+    """
+    s = sources.withColumn("host", source_host(F.col("homepage"), F.col("url"))).select("position", "host", "type", "enabled")
+    fed = entries.groupBy("host").agg(F.count_if("is_news").alias("items"), F.count_if(~F.col("is_news")).alias("filtered"))
+    refused = F.col("status_code").isin(401, 403)
+    wall = refused | has_any(F.lower("html"), d.PAGE_PAYWALL)
+    kept = is_article_url(F.col("url")) & ((F.col("status_code") < 400) | refused)
+    crawled = pages.groupBy(F.col("source").alias("host")).agg(F.count_if(kept).alias("items"), F.count_if(~kept).alias("filtered"), F.count_if(kept & wall).alias("paywalled"), F.min_by("status_code", "page_id").alias("first"))
+    crawled = crawled.withColumn("error", F.when(F.col("first") >= 400, F.concat(F.lit("http_"), F.col("first").cast("string"))))
+    n = lambda c: F.when(F.col("error").isNull(), F.coalesce(c, F.lit(0))).otherwise(0).alias(c)
+    of_feeds = enabled(s, "rss").join(fed, "host", "left").withColumns({"paywalled": F.lit(0), "error": F.lit(None).cast("string")})
+    of_pages = enabled(s, "scrape").join(crawled.drop("first"), "host", "left")
+    both = of_feeds.unionByName(of_pages)
+    return both.select("position", "host", "type", n("items"), n("filtered"), n("paywalled"), F.when(F.col("error").isNull(), "ok").otherwise("error").alias("status"), "error")
+
+
 def health_status(sources: DataFrame, pages: DataFrame) -> DataFrame:
-    """Status of enabled sources by their first crawled page."""
+    """Status of enabled sources by their first crawled page. `auth_configured` of a source tells whether it has credentials (missing: none has)."""
     page = top_per(pages, ["source"], [F.asc("page_id")]).select(F.col("source").alias("host"), "status_code", "content_type", "html")
     s = sources.where("enabled").withColumn("host", source_host(F.col("homepage"), F.col("url"))).join(page, "host", "left")
-    auth = F.col("position") % 5 == 0 if "auth_configured" not in sources.columns else F.col("auth_configured")
+    auth = F.col("auth_configured") if "auth_configured" in sources.columns else F.lit(False)
     wall = has_any(F.lower(F.substring("html", 1, 8000)), d.PAGE_PAYWALL)
     valid = feed_validity(F.col("status_code"), F.col("content_type"), F.col("html"))["ok"]
     status = (

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from market_signals.functions.text import parse_time
+from market_signals.session import keep
 
 
 def top_per(df: DataFrame, keys: list[str], order: list[Column], k: int = 1) -> DataFrame:
@@ -56,12 +57,35 @@ def missing_ids(df: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     return ids.where(F.col(key) > 0).select(key).distinct().join(df.select(key), key, "left_anti")
 
 
+#: What a new judgement of a pair replaces.
+JUDGEMENT = ["ai_same_story", "ai_confidence", "reason_short", "overlap_entities", "overlap_timeframe"]
+
+
 def upsert_pairs(stored: DataFrame, new: DataFrame) -> DataFrame:
     """Pairs with ids in order; a known pair takes the new judgement and keeps its status and creation time."""
-    n = new.select(F.least("item_a_id", "item_b_id").alias("a"), F.greatest("item_a_id", "item_b_id").alias("b"), F.col("ai_confidence").alias("nc"), F.col("ai_same_story").alias("ns"), F.col("created_at").alias("nt"))
-    s = stored.select(F.col("item_a_id").alias("a"), F.col("item_b_id").alias("b"), "ai_confidence", "ai_same_story", "status", "created_at")
-    out = s.join(n, ["a", "b"], "full_outer")
+    ids = [F.least("item_a_id", "item_b_id").alias("a"), F.greatest("item_a_id", "item_b_id").alias("b")]
+    n = new.select(*ids, *[F.col(c).alias(f"n_{c}") for c in JUDGEMENT], F.col("created_at").alias("nt"))
+    out = stored.select(F.col("item_a_id").alias("a"), F.col("item_b_id").alias("b"), *JUDGEMENT, "status", "created_at").join(n, ["a", "b"], "full_outer")
     return out.select(
-        F.col("a").alias("item_a_id"), F.col("b").alias("item_b_id"), F.coalesce("ns", "ai_same_story").alias("ai_same_story"), F.coalesce("nc", "ai_confidence").alias("ai_confidence"),
+        F.col("a").alias("item_a_id"), F.col("b").alias("item_b_id"), *[F.coalesce(f"n_{c}", c).alias(c) for c in JUDGEMENT],
         F.coalesce("status", F.lit("pending")).alias("status"), F.coalesce("created_at", "nt").alias("created_at"),
     )
+
+
+def unprocessed(raw: DataFrame, limit: int | None = None) -> DataFrame:
+    """New and parsed items, the latest fetched first; all of them, or the first `limit` as a guard of small runs."""
+    out = raw.where(F.col("status").isin("new", "parsed")).orderBy(F.desc("fetched_at"), "id")
+    return out if limit is None else out.limit(limit)
+
+
+def append_feedback(log: DataFrame, path: str, at: str) -> None:
+    """Append reviewers' feedback (feedback_type, feedback_value, processed_id, pair_id, actor) to the log at `path`. Zero ids are none."""
+    some = lambda c: F.nullif(F.col(c).cast("long"), F.lit(0)).alias(c)
+    log.select(some("processed_id"), some("pair_id"), F.col("feedback_type").cast("string").alias("feedback_type"), F.col("feedback_value").cast("string").alias("feedback_value"), F.col("actor").cast("string").alias("actor"), F.lit(at).alias("created_at")).write.mode("append").parquet(path)
+
+
+def failures(rows: DataFrame, reason: Column, by: str, samples: int = 5) -> DataFrame:
+    """From the side table of rows that can't be processed (`reason` isn't null): their number in each group, and the first ids with their reasons."""
+    bad = keep(rows.select("id", by, reason.alias("reason"))).where("reason is not null")
+    some = top_per(bad, [by], [F.asc("id")], samples).groupBy(by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "reason"))), lambda x: F.concat(x["id"].cast("string"), F.lit(": "), x["reason"])), "; ").alias("samples"))
+    return bad.groupBy(by).agg(F.count("*").alias("failed")).join(some, by)

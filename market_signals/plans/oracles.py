@@ -86,9 +86,9 @@ def jac(a: str, b: str) -> str:
 CTES["pairs"] = f"""SELECT * FROM (SELECT l.id AS left_id, r.id AS right_id, l.pos AS left_pos, r.pos AS right_pos, 0.75::DOUBLE * {jac('l.w', 'r.w')} + 0.25::DOUBLE * {jac('l.a', 'r.a')} AS score
   FROM m1 l JOIN m1 r ON l.pos < r.pos AND (l.b = r.b OR (l.b <> 'other_energy' AND r.b <> 'other_energy')) AND (l.t IS NULL OR r.t IS NULL OR abs(floor((l.t - r.t) / 86400)) <= 7)) x WHERE score >= 0.14"""
 CTES["best"] = "SELECT left_id, right_id, score FROM (SELECT *, row_number() OVER (PARTITION BY left_pos ORDER BY score DESC, right_pos) AS k FROM pairs) x WHERE k <= 8"
-CTES["judged"] = """SELECT left_id, right_id, score, said IS NULL AS fallback, coalesce(said, 'no') AS same_story, coalesce(conf, least(greatest(score + 0.2::DOUBLE, 0.0::DOUBLE), 0.49::DOUBLE)) AS confidence,
-  CASE WHEN said IS NULL THEN 'ai_unavailable_or_invalid' ELSE '' END AS reason_short FROM (SELECT *, CASE WHEN (left_id + right_id) % 2 = 0 AND (left_id + right_id) % 10 <> 0 THEN CASE WHEN left_id % 3 = 0 THEN 'no' ELSE 'yes' END END AS said,
-  CASE WHEN (left_id + right_id) % 2 = 0 AND (left_id + right_id) % 10 <> 0 THEN (50 + (left_id * 7 + right_id) % 50) / 100.0::DOUBLE END AS conf FROM best) x"""
+CTES["judged"] = """SELECT left_id, right_id, score, said IS NULL AS fallback, CASE WHEN said IS NOT NULL AND left_id % 2 = 0 THEN 'Equinor,BP' ELSE '' END AS entities, CASE WHEN said IS NULL THEN '' ELSE 'same week' END AS overlap_timeframe, coalesce(said, 'no') AS same_story, coalesce(conf, least(greatest(score + 0.2::DOUBLE, 0.0::DOUBLE), 0.49::DOUBLE)) AS confidence,
+  CASE WHEN said IS NULL THEN 'ai_unavailable_or_invalid' ELSE 'seen ' || left_id % 5 END AS reason_short FROM (SELECT *, CASE WHEN (left_id + right_id) % 2 = 0 AND (left_id + right_id) % 10 <> 0 THEN CASE WHEN left_id % 3 = 0 THEN 'no' ELSE 'yes' END END AS said,
+  CASE WHEN (left_id + right_id) % 2 = 0 AND (left_id + right_id) % 10 <> 0 THEN CASE WHEN (left_id + right_id) % 14 = 0 THEN 0.0::DOUBLE ELSE (50 + (left_id * 7 + right_id) % 50) / 100.0::DOUBLE END END AS conf FROM best) x"""
 CTES["queued"] = "SELECT *, CASE WHEN fallback THEN confidence >= 0.35 ELSE same_story = 'yes' AND confidence >= 0.7 END AS enqueue FROM judged"
 # opportunities
 CTES["n1"] = f"SELECT *, {cleaned("coalesce(title_raw, '') || '. ' || coalesce(description_raw, '') || '. ' || coalesce(buyer_raw, '')")} AS text FROM notice_raw"

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from market_signals.functions import dictionaries as d
 from market_signals.functions import news as n
 from market_signals.functions import opportunity as o
-from market_signals.functions.text import csv, lead, parse_time, published_text
+from market_signals.functions.text import csv, from_csv, lead, parse_time, published_text
 from market_signals.functions.urls import host_key, is_article_url, is_news_item, name_of, normalize_url
 from market_signals.operators import items as it
 from market_signals.operators import matching as m
@@ -21,6 +21,7 @@ from market_signals.operators import signals as sg
 from market_signals.operators import state as st
 from market_signals.plans.oracles import DATE, any_plain, oracle, quoted, top
 from market_signals.session import keep, shared_dir
+from market_signals.sources import feeds as fd
 from market_signals.sources import notices as src
 from market_signals.sources.fixtures import AS_OF, AS_OF_TEXT, view
 from market_signals.sources.html import extract_article_text, extract_links
@@ -65,18 +66,21 @@ def overrides(s: SparkSession, sf: str) -> DataFrame:
 
 
 def keyed(s: SparkSession, sf: str) -> DataFrame:
-    return it.keyed(it.positions(items(s, sf)), overrides(s, sf))
+    return it.keyed(it.placed(items(s, sf)), overrides(s, sf))
 
 
 def pairs(s: SparkSession, sf: str) -> DataFrame:
-    return m.candidate_pairs(it.positions(items(s, sf)))
+    return m.candidate_pairs(it.placed(items(s, sf)))
 
 
 def verdicts(found: DataFrame) -> DataFrame:
-    """Verdicts on half of the pairs; every tenth is broken."""
+    """Verdicts on half of the pairs; some are broken, some without confidence."""
     both = F.col("left_id") + F.col("right_id")
-    said = F.when(both % 10 == 0, "maybe").when(F.col("left_id") % 3 == 0, "no").otherwise("yes")
-    return found.where(both % 2 == 0).select("left_id", "right_id", said.alias("same_story"), ((50 + (F.col("left_id") * 7 + F.col("right_id")) % 50) / 100.0).alias("confidence"))
+    said = F.when(both % 10 == 0, "maybe").when(F.col("left_id") % 3 == 0, "no").otherwise(" Yes")
+    sure = F.when(both % 14 != 0, (50 + (F.col("left_id") * 7 + F.col("right_id")) % 50) / 100.0)
+    names = F.when(F.col("left_id") % 2 == 0, F.array(*map(F.lit, ["Equinor", " ", " BP "])))
+    why = F.concat(F.lit("seen "), (F.col("left_id") % 5).cast("string"))
+    return found.where(both % 2 == 0).select("left_id", "right_id", said.alias("same_story"), sure.alias("confidence"), why.alias("reason_short"), names.alias("overlap_entities"), F.lit("same week").alias("overlap_timeframe"))
 
 
 def judged(s: SparkSession, sf: str) -> DataFrame:
@@ -183,11 +187,11 @@ def _(s: SparkSession, sf: str) -> DataFrame:
     return new.unionByName(stored.where("id % 3 <> 0").join(new, "id", "left_anti").select("id", F.lit("backlog").alias("part")))
 
 
-query("news_fetch_union", oracle("news_raw", "SELECT article_url, min(ord) AS ord FROM (SELECT article_url, id AS ord FROM news_raw WHERE id % 2 = 0 UNION ALL SELECT article_url, 1000000 + id FROM news_raw WHERE id % 3 = 0) x GROUP BY article_url"))(
-    lambda s, sf: st.first_wins(raw(s, sf).where("id % 2 = 0").select("article_url", F.col("id").alias("ord")).unionByName(raw(s, sf).where("id % 3 = 0").select("article_url", (F.col("id") + 1_000_000).alias("ord"))), "article_url", "ord")
+query("news_fetch_union", oracle("news_raw", "SELECT article_url, min(ord) AS ord FROM (SELECT article_url, id AS ord FROM news_raw WHERE id % 2 = 0 UNION ALL SELECT article_url, 1000000 + id FROM news_raw WHERE id % 2 = 1 OR id % 3 = 0) x GROUP BY article_url"))(
+    lambda s, sf: st.first_wins(raw(s, sf).where("id % 2 = 0").select("article_url", F.col("id").alias("ord")).unionByName(raw(s, sf).where("id % 2 = 1 or id % 3 = 0").select("article_url", (F.col("id") + 1_000_000).alias("ord"))), "article_url", "ord")
 )
-query("unprocessed_batch", oracle("news_raw", "SELECT id, fetched_at FROM news_raw WHERE id % 3 <> 0 ORDER BY fetched_at DESC, id LIMIT 100"))(
-    lambda s, sf: raw(s, sf).withColumn("status", F.when(F.col("id") % 3 == 0, "processed").when(F.col("id") % 3 == 1, "new").otherwise("parsed")).where(F.col("status").isin("new", "parsed")).orderBy(F.desc("fetched_at"), "id").limit(100).select("id", "fetched_at")
+query("unprocessed_batch", oracle("news_raw", "SELECT id, fetched_at FROM news_raw WHERE id % 3 <> 0"))(
+    lambda s, sf: raw(s, sf).withColumn("status", F.when(F.col("id") % 3 == 0, "processed").when(F.col("id") % 3 == 1, "new").otherwise("parsed")).transform(st.unprocessed).select("id", "fetched_at")
 )
 _IDS = "SELECT user_id - 50 AS id FROM events"
 query("items_by_ids", oracle("news_raw", f"SELECT id, title_raw FROM news_raw WHERE id IN (SELECT id FROM ({_IDS}) e WHERE id > 0)"))(lambda s, sf: st.by_ids(raw(s, sf), s.read.parquet(f"{sf}/events.parquet").select((F.col("user_id") - 50).alias("id"))).select("id", "title_raw"))
@@ -200,10 +204,23 @@ query("run_counts", oracle("items", "SELECT count(*) AS seen, count(*) FILTER (p
 
 _L, _S = "coalesce(published_at, processed_at) DESC, processed_at DESC, id", "signal_score DESC, processed_at DESC, id"
 _C = ["id", "title", "signal_score", "published_at", "domain_bucket"]
-query("news_latest", oracle("items", top("", _L, 20, "offshore_wind", ", ".join(_C))))(lambda s, sf: it.ranked(stored(s, sf), it.latest_order(), 20, "offshore-wind").select(_C))
-query("news_top_signals", oracle("items", top("", _S, 20, "offshore_wind", ", ".join(_C))))(lambda s, sf: it.ranked(stored(s, sf), it.score_order(), 20, "offshore_wind").select(_C))
-query("news_linkedin_candidates", oracle("items", top("WHERE linkedin_candidate = 1", _S, 20, "offshore_wind", ", ".join(_C))))(lambda s, sf: it.ranked(stored(s, sf).where("linkedin_candidate = 1"), it.score_order(), 20, "offshore_wind").select(_C))
-query("news_by_source", oracle("items", top("WHERE lower(source_name) = 'src3'", _L, 20, None, ", ".join(_C))))(lambda s, sf: it.ranked(stored(s, sf), it.latest_order(), 20, "all", source=" SRC3 ").select(_C))
+
+
+def _first(s: SparkSession, sf: str, source: str | None = None) -> DataFrame:
+    """The latest items that a ranking of 20 looks at, processed after the cut: its order needs raw columns alone."""
+    return it.process(it.of_source(raw(s, sf), source).orderBy(*it.raw_order(AS_OF_TEXT)).limit(100), AS_OF_TEXT)
+
+
+def _best(s: SparkSession, sf: str) -> DataFrame:
+    """The best items that a ranking of 20 looks at, of which all else is made after the cut."""
+    best = it.scored(raw(s, sf)).orderBy(F.desc("signal_score"), "id").limit(100)
+    return it.process(best.drop("signal_score"), AS_OF_TEXT)
+
+
+query("news_latest", oracle("items", top("", _L, 20, "offshore_wind", ", ".join(_C))))(lambda s, sf: it.ranked(_first(s, sf), it.latest_order(), 20, "offshore-wind").select(_C))
+query("news_top_signals", oracle("items", top("", _S, 20, "offshore_wind", ", ".join(_C))))(lambda s, sf: it.ranked(_best(s, sf), it.score_order(), 20, "offshore_wind").select(_C))
+query("news_linkedin_candidates", oracle("items", top("WHERE linkedin_candidate = 1", _S, 20, "offshore_wind", ", ".join(_C))))(lambda s, sf: it.ranked(_best(s, sf).where("linkedin_candidate = 1"), it.score_order(), 20, "offshore_wind").select(_C))
+query("news_by_source", oracle("items", top("WHERE lower(source_name) = 'src3'", _L, 20, None, ", ".join(_C))))(lambda s, sf: it.ranked(_first(s, sf, " SRC3 "), it.latest_order(), 20, "all").select(_C))
 query("news_processed_since", oracle("items", f"SELECT id, published_at FROM items WHERE coalesce(published_at, processed_at) >= '2024-01-24' ORDER BY {_L} LIMIT 400"))(lambda s, sf: stored(s, sf).where(F.coalesce("published_at", "processed_at") >= "2024-01-24").orderBy(*it.latest_order()).limit(400).select("id", "published_at"))
 _REL = "SELECT processed_id, arg_max(coalesce(relevance, -1), (ts, event_id)) AS relevance FROM relevance_log GROUP BY processed_id"
 query("state_relevance_current", oracle("relevance_log", f"SELECT processed_id, relevance FROM ({_REL}) x WHERE relevance >= 0"))(lambda s, sf: st.latest_state(view(s, sf, "relevance_log"), "processed_id", "relevance", ["ts", "event_id"]))
@@ -228,7 +245,7 @@ def _primary(column: str) -> str:
 
 
 query("news_collection_primary_tags", oracle("keyed", f"SELECT t.collection_key, t.x AS primary_theme, g.x AS primary_geography FROM ({_primary('theme_tags')}) t JOIN ({_primary('geography_tags')}) g ON t.collection_key = g.collection_key"))(
-    lambda s, sf: keep(keyed(s, sf).select("collection_key", "pos", "theme_tags", "geography_tags")).transform(lambda k: it.primary_tags(k, "theme_tags", "primary_theme", "general_news").join(it.primary_tags(k, "geography_tags", "primary_geography", "Global"), "collection_key"))
+    lambda s, sf: keep(keyed(s, sf).select("collection_key", "place", "theme_tags", "geography_tags")).transform(lambda k: it.primary_tags(k, "theme_tags", "primary_theme", "general_news").join(it.primary_tags(k, "geography_tags", "primary_geography", "Global"), "collection_key"))
 )
 query("news_collection_items", oracle("keyed", "SELECT collection_key, id, signal_score, published_at FROM (SELECT *, row_number() OVER (PARTITION BY collection_key ORDER BY signal_score DESC, coalesce(published_at, '') DESC, pos) AS r FROM keyed) x WHERE r <= 5"))(
     lambda s, sf: it.top_items(keyed(s, sf), 5).select("collection_key", "id", "signal_score", "published_at")
@@ -241,24 +258,29 @@ query("news_by_geography", oracle("items", "SELECT tag, count(*) AS n FROM (SELE
 query("match_pairs", oracle("pairs", "SELECT left_id, right_id, score FROM pairs"))(lambda s, sf: pairs(s, sf).select("left_id", "right_id", "score"))
 query("match_pairs_topk", oracle("best", "SELECT * FROM best"))(lambda s, sf: m.best_pairs(pairs(s, sf)).select("left_id", "right_id", "score"))
 query("match_enqueued", oracle("queued", "SELECT left_id, right_id, same_story, confidence, reason_short, fallback FROM queued WHERE enqueue"))(lambda s, sf: judged(s, sf).where("enqueue").select("left_id", "right_id", "same_story", "confidence", "reason_short", "fallback"))
-query("verdict_validate", oracle("judged", "SELECT left_id, right_id, fallback, same_story FROM judged"))(lambda s, sf: judged(s, sf).select("left_id", "right_id", "fallback", "same_story"))
+query("verdict_validate", oracle("judged", "SELECT left_id, right_id, fallback, same_story, confidence, reason_short, entities, overlap_timeframe FROM judged"))(
+    lambda s, sf: judged(s, sf).select("left_id", "right_id", "fallback", "same_story", "confidence", "reason_short", csv(F.col("overlap_entities")).alias("entities"), "overlap_timeframe")
+)
+
 
 def _stored_pairs(s: SparkSession, sf: str) -> DataFrame:
-    q = judged(s, sf).where("enqueue").select(F.least("left_id", "right_id").alias("item_a_id"), F.greatest("left_id", "right_id").alias("item_b_id"), F.col("same_story").alias("ai_same_story"), F.col("confidence").alias("ai_confidence"), F.lit(AS_OF_TEXT).alias("created_at"))
+    q = judged(s, sf).where("enqueue").select(F.least("left_id", "right_id").alias("item_a_id"), F.greatest("left_id", "right_id").alias("item_b_id"), F.col("same_story").alias("ai_same_story"), F.col("confidence").alias("ai_confidence"), "reason_short", F.to_json("overlap_entities").alias("overlap_entities"), "overlap_timeframe", F.lit(AS_OF_TEXT).alias("created_at"))
     return q
 
 
 def _reviewed(s: SparkSession, sf: str) -> DataFrame:
     q = keep(_stored_pairs(s, sf))
-    old = q.where("(item_a_id + item_b_id) % 3 = 0").select("item_a_id", "item_b_id", F.lit("no").alias("ai_same_story"), F.lit(0.1).alias("ai_confidence"), F.when((F.col("item_a_id") + F.col("item_b_id")) % 4 == 0, "accepted").otherwise("pending").alias("status"), F.lit("2024-01-01T00:00:00+00:00").alias("created_at"))
+    old = q.where("(item_a_id + item_b_id) % 3 = 0").select("item_a_id", "item_b_id", F.lit("no").alias("ai_same_story"), F.lit(0.1).alias("ai_confidence"), F.lit("old").alias("reason_short"), F.lit("[]").alias("overlap_entities"), F.lit("").alias("overlap_timeframe"), F.when((F.col("item_a_id") + F.col("item_b_id")) % 4 == 0, "accepted").otherwise("pending").alias("status"), F.lit("2024-01-01T00:00:00+00:00").alias("created_at"))
     return st.upsert_pairs(old, q)
 
 
 
-_UPSERTED = f"SELECT a AS item_a_id, b AS item_b_id, same_story AS ai_same_story, confidence AS ai_confidence, CASE WHEN (a + b) % 12 = 0 THEN 'accepted' ELSE 'pending' END AS status, CASE WHEN (a + b) % 3 = 0 THEN '2024-01-01T00:00:00+00:00' ELSE '{AS_OF_TEXT}' END AS created_at FROM (SELECT least(left_id, right_id) AS a, greatest(left_id, right_id) AS b, confidence, same_story FROM queued WHERE enqueue) p"
+_UPSERTED = f"""SELECT a AS item_a_id, b AS item_b_id, same_story AS ai_same_story, confidence AS ai_confidence, reason_short, CASE WHEN entities = '' THEN '[]' ELSE '["' || replace(entities, ',', '","') || '"]' END AS overlap_entities, overlap_timeframe, CASE WHEN (a + b) % 12 = 0 THEN 'accepted' ELSE 'pending' END AS status, CASE WHEN (a + b) % 3 = 0 THEN '2024-01-01T00:00:00+00:00' ELSE '{AS_OF_TEXT}' END AS created_at FROM (SELECT least(left_id, right_id) AS a, greatest(left_id, right_id) AS b, confidence, same_story, reason_short, entities, overlap_timeframe FROM queued WHERE enqueue) p """
 query("match_pair_upsert", oracle("queued", _UPSERTED))(_reviewed)
-query("match_review_list", oracle("queued", f"SELECT item_a_id, item_b_id, ai_confidence, a.title AS title_a, b.title AS title_b FROM ({_UPSERTED}) u JOIN items a ON a.id = item_a_id JOIN items b ON b.id = item_b_id WHERE status = 'pending' AND a.domain_bucket = 'offshore_wind' AND b.domain_bucket = 'offshore_wind' ORDER BY ai_confidence DESC, created_at DESC, item_a_id, item_b_id LIMIT 30"))(
-    lambda s, sf: m.review_list(_reviewed(s, sf), items(s, sf), bucket="offshore_wind").select("item_a_id", "item_b_id", "ai_confidence", "title_a", "title_b")
+query("match_review_list", oracle("queued", f"""SELECT item_a_id, item_b_id, ai_confidence, reason_short, array_to_string(from_json(overlap_entities, '["VARCHAR"]'), ',') AS entities, overlap_timeframe, a.title AS title_a, b.title AS title_b, a.summary AS summary_a, b.summary AS summary_b, a.source_name AS source_a, b.source_name AS source_b, a.article_url AS url_a, b.article_url AS url_b, a.published_at AS published_a, b.published_at AS published_b FROM ({_UPSERTED}) u JOIN items a ON a.id = item_a_id JOIN items b ON b.id = item_b_id WHERE status = 'pending' AND a.domain_bucket = 'offshore_wind' AND b.domain_bucket = 'offshore_wind' ORDER BY ai_confidence DESC, created_at DESC, item_a_id, item_b_id LIMIT 30"""))(
+    lambda s, sf: m.review_list(_reviewed(s, sf), items(s, sf), bucket="offshore_wind").select(
+        "item_a_id", "item_b_id", "ai_confidence", "reason_short", csv(F.col("overlap_entities")).alias("entities"), "overlap_timeframe", *[f"{c}_{x}" for c in ("title", "summary", "source", "url", "published") for x in "ab"]
+    )
 )
 
 
@@ -281,15 +303,13 @@ query("source_host_key", oracle("sources", "SELECT position, host, CASE WHEN hos
 )
 
 
-@query("source_import", oracle("sources", "SELECT min(page_id) AS ord, replace(source, 'www.', '') AS host FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS source FROM pages) c WHERE replace(source, 'www.', '') NOT IN (SELECT host FROM sources WHERE position % 2 = 0) GROUP BY replace(source, 'www.', '')"))
+@query("source_import", oracle("sources", "SELECT min(page_id) AS ord, CASE WHEN min(page_id) % 2 = 0 THEN 'Site ' || arg_min(source, page_id) ELSE 'News' END AS name, replace(source, 'www.', '') AS host FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS source FROM pages) c WHERE replace(source, 'www.', '') NOT IN (SELECT host FROM sources WHERE position % 2 = 0) GROUP BY replace(source, 'www.', '')"))
 def _(s: SparkSession, sf: str) -> DataFrame:
     pages = view(s, sf, "crawl_pages")
     line = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("Site "), "source", F.lit(" - "), "source")).otherwise(F.concat(F.lit("https://www."), "source", F.lit("/ News")))
     named = pages.select("page_id", line.alias("text"))
-    parsed = rg.parse_lines(named.select("text")).select("homepage").distinct()
-    own = named.withColumn("homepage", normalize_url(F.when(F.col("page_id") % 2 == 0, F.expr("substring(text, instr(text, ' - ') + 3)")).otherwise(F.regexp_extract("text", r"(\S+)", 1))))
-    ordered = own.join(parsed, "homepage").select(F.col("page_id").alias("ord"), F.col("text").alias("name"), "homepage")
-    return rg.import_sources(ordered, view(s, sf, "registry").where("position % 2 = 0"), feeds(s, sf)).select("ord", "host")
+    parsed = rg.parse_lines(named).select(F.col("page_id").alias("ord"), "name", "homepage")
+    return rg.import_sources(parsed, view(s, sf, "registry").where("position % 2 = 0"), feeds(s, sf)).select("ord", "name", "host")
 
 
 query("source_rediscover", oracle(["sources", "feeds"], """SELECT position, s.host, CASE WHEN type <> 'scrape' THEN 'not_checked' WHEN manual_override THEN 'skipped_manual_override' WHEN homepage = '' AND url = '' THEN 'not_checked' WHEN feed_url IS NULL THEN 'no_feed_found' ELSE 'updated' END AS status,
@@ -307,7 +327,7 @@ _VALID = "CASE WHEN status_code >= 400 THEN false ELSE regexp_matches(lower(left
 query("source_health_status", oracle(["sources", "crawl_pages"], f"""SELECT position, s.host, type, CASE WHEN s.host = '' THEN 'missing_homepage' WHEN type = 'rss' THEN CASE WHEN status_code IS NOT NULL AND {_VALID} THEN 'healthy' ELSE 'rss_invalid' END WHEN status_code IS NULL THEN 'error'
   WHEN status_code IN (401, 403) THEN CASE WHEN position % 5 = 0 THEN 'auth_forbidden' ELSE 'paywall_no_auth' END WHEN {any_plain('lower(left(html, 8000))', d.PAGE_PAYWALL)} THEN CASE WHEN position % 5 = 0 THEN 'paywall_detected_with_auth' ELSE 'paywall_no_auth' END ELSE 'healthy' END AS status
   FROM sources s LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY page_id) AS r FROM crawl_pages) y WHERE r = 1) c ON s.host = c.source WHERE enabled"""))(
-    lambda s, sf: rg.health_status(view(s, sf, "registry"), view(s, sf, "crawl_pages"))
+    lambda s, sf: rg.health_status(view(s, sf, "registry").withColumn("auth_configured", F.col("position") % 5 == 0), view(s, sf, "crawl_pages"))
 )
 query("feed_validity", oracle("crawl_pages", f"SELECT page_id, {_VALID} AS ok FROM crawl_pages"))(lambda s, sf: view(s, sf, "crawl_pages").select("page_id", rg.feed_validity(F.col("status_code"), F.col("content_type"), F.col("html"))["ok"].alias("ok")))
 query("page_text")(lambda s, sf: view(s, sf, "crawl_pages").select("page_id", extract_article_text(F.col("html")).alias("article_text")))
@@ -393,7 +413,7 @@ query("opp_processed", oracle("opps", f"SELECT {', '.join(_O)} FROM opps"))(lamb
 _R = "id, title, signal_score, deadline, publication_date"
 _RC = [c.strip() for c in _R.split(",")]
 _LATE, _HIGH, _DUE = "coalesce(publication_date, processed_at) DESC, processed_at DESC, id", "signal_score DESC, processed_at DESC, id", "deadline, signal_score DESC, id"
-query("opp_latest", oracle("opps", f"SELECT {_R} FROM opps ORDER BY {_LATE} LIMIT 20"))(lambda s, sf: nt.latest(opportunities(s, sf)).select(_RC))
+query("opp_latest", oracle("opps", f"SELECT {_R} FROM opps ORDER BY {_LATE} LIMIT 20"))(lambda s, sf: nt.latest_of(view(s, sf, "notice_raw"), profiles(s), AS_OF, AS_OF_TEXT).select(_RC))
 query("opp_upcoming_deadlines", oracle("opps", f"SELECT {_R} FROM opps WHERE deadline >= '{AS_OF[:10]}' ORDER BY {_DUE} LIMIT 20"))(lambda s, sf: nt.upcoming(opportunities(s, sf), AS_OF).select(_RC))
 query("opp_high_relevance", oracle("opps", f"SELECT {_R} FROM opps ORDER BY {_HIGH} LIMIT 20"))(lambda s, sf: nt.high_relevance(opportunities(s, sf)).select(_RC))
 query("opp_run_counts", oracle("n6", "SELECT count(*) AS seen, count(fit) AS processed, count(*) - count(fit) AS rejected, count(deadline) FILTER (fit IS NOT NULL) AS with_deadline FROM n6"))(
@@ -406,10 +426,10 @@ _SEL = f"SELECT *, notice_id || ':' || profile_name AS dedup_key FROM opps ORDER
 _EXP = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dedup_key ORDER BY {_HIGH}) AS r FROM ({_SEL}) x) y WHERE r = 1 AND dedup_key NOT IN (SELECT notice_id || ':' || profile_name FROM opps WHERE id % 5 = 0)"
 
 
-def _to_export(s: SparkSession, sf: str) -> DataFrame:
+def _to_export(s: SparkSession, sf: str, mode: str = "high_relevance") -> DataFrame:
     rows = opportunities(s, sf)
     log = rows.where("id % 5 = 0").withColumn("dedup_key", nt.dedup_key())
-    return nt.to_export(nt.selected(rows, "high_relevance", AS_OF, 500), log, [F.desc("signal_score"), F.desc("processed_at"), F.asc("id")])
+    return nt.to_export(nt.selected(rows, mode, AS_OF, 500), log, [F.desc("signal_score"), F.desc("processed_at"), F.asc("id")])
 
 
 _TARGET = {"Name": "title", "Source": "select", "Dedup Key": "rich_text", "Lead Path": "select", "Deadline": "date", "Score": "number", "Matched Qualifiers": "multi_select", "Source URL": "url"}
@@ -438,6 +458,156 @@ query("enrichment_overlay", oracle("items", """SELECT id, CASE WHEN id % 12 = 0
     lambda s, sf: it.overlay(stored(s, sf), it.parse_enrichment(view(s, sf, "enrichment"))).select("id", "summary", csv(F.col("theme_tags")).alias("themes"), csv(F.col("geography_tags")).alias("geos"), csv(F.col("actors")).alias("names"), "confidence")
 )
 
+# --- landed files, side tables and sinks
+
+_FED = r"SELECT id, source_name, article_url AS u, title_raw, trim(regexp_replace(summary_raw, '[\x00-\x1F]', ' ', 'g')) AS given, published_at, lower(trim(title_raw)) AS t, lower(trim(regexp_replace(summary_raw, '[\x00-\x1F]', ' ', 'g'))) AS s, '' AS f FROM news_raw"
+
+
+def _feed(s: SparkSession, sf: str) -> DataFrame:
+    """Raw items as landed feed files, read back as feed entries."""
+    path = _folder(s)
+    at = F.date_format(F.to_timestamp("published_at"), "'Mon, 'd MMM yyyy HH:mm:ss 'GMT'")
+    fd.write_feed(raw(s, sf).select("source_name", F.col("article_url").alias("link"), F.col("title_raw").alias("title"), F.col("summary_raw").alias("description"), at.alias("published")), path)
+    return fd.entries(fd.read_feeds(s, path))
+
+
+def _folder(s: SparkSession) -> str:
+    return f"{shared_dir(s).rstrip('/')}/{uuid.uuid4().hex}"
+
+
+query("feed_entries", oracle("news_raw", f"SELECT source_name, u AS article_url, title_raw, given AS summary_raw, sha256(u || '|' || title_raw) AS content_hash, published_at, {_NEWS_OK} AS is_news FROM ({_article_sql(f'({_FED}) q')}) z"))(
+    lambda s, sf: _feed(s, sf).select("source_name", "article_url", "title_raw", "summary_raw", "content_hash", "published_at", "is_news")
+)
+query("source_fetch_report", oracle(["sources", "crawl_pages", "news_raw"], f"""SELECT * FROM (WITH kept AS (SELECT page_id, source, status_code, html, ok AND (status_code < 400 OR status_code IN (401, 403)) AS kept FROM ({_article_sql('(SELECT *, url AS u FROM crawl_pages)')}) z),
+  crawled AS (SELECT source AS host, count(*) FILTER (kept) AS items, count(*) FILTER (NOT kept) AS filtered, count(*) FILTER (kept AND (status_code IN (401, 403) OR {_WALL})) AS paywalled, arg_min(status_code, page_id) AS first FROM kept GROUP BY source),
+  fed AS (SELECT host, count(*) FILTER (is_news) AS items, count(*) FILTER (NOT is_news) AS filtered FROM (SELECT host, {_NEWS_OK} AS is_news FROM (SELECT z.*, r.host FROM ({_article_sql(f'({_FED}) q')}) z JOIN (SELECT host, row_number() OVER (ORDER BY host) - 1 AS r FROM (SELECT DISTINCT host FROM sources WHERE type = 'rss' AND host <> '') h) r ON z.id % 7 = r.r) w) v GROUP BY host)
+  SELECT position, s.host, type, coalesce(items, 0) AS items, coalesce(filtered, 0) AS filtered, 0 AS paywalled, 'ok' AS status, NULL AS error FROM sources s LEFT JOIN fed USING (host) WHERE enabled AND type = 'rss'
+  UNION ALL SELECT position, s.host, type, CASE WHEN first >= 400 THEN 0 ELSE coalesce(items, 0) END, CASE WHEN first >= 400 THEN 0 ELSE coalesce(filtered, 0) END, CASE WHEN first >= 400 THEN 0 ELSE coalesce(paywalled, 0) END, CASE WHEN first >= 400 THEN 'error' ELSE 'ok' END, CASE WHEN first >= 400 THEN 'http_' || first END FROM sources s LEFT JOIN crawled USING (host) WHERE enabled AND type = 'scrape') report"""))(
+    lambda s, sf: _source_report(s, sf)
+)
+
+
+def _source_report(s: SparkSession, sf: str) -> DataFrame:
+    """Entries are dealt to the first seven feed hosts by their number."""
+    from pyspark.sql import Window as W
+
+    sources = view(s, sf, "registry")
+    hosts = rg.enabled(sources.withColumn("enabled", F.lit(True)), "rss").select(rg.source_host(F.col("homepage"), F.col("url")).alias("host")).where("host <> ''").distinct()
+    hosts = hosts.withColumn("r", F.row_number().over(W.orderBy("host")) - 1)
+    rows = raw(s, sf)
+    clean = F.trim(F.regexp_replace("summary_raw", r"[\x00-\x1F]", " "))
+    news = rows.select((F.col("id") % 7).alias("r"), is_news_item(F.col("article_url"), F.col("title_raw"), clean, F.lit("")).alias("is_news"))
+    return rg.source_report(sources, news.join(hosts, "r").select("host", "is_news"), view(s, sf, "crawl_pages"))
+
+
+_WORDS = "['relevant', ' YES', 'non-relevant', '0', 'unrated', 'clear', 'banana', NULL]"
+_TOLD = f"SELECT event_id, lower(trim({_WORDS}[event_id % 8 + 1])) AS w, CASE event_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS q FROM events"
+query("relevance_payload", f"SELECT event_id, CASE WHEN w IS NULL THEN CASE WHEN q IS NULL THEN 'rejected' ELSE 'set' END WHEN w IN ('unrated', 'clear') THEN 'clear' WHEN w = 'banana' THEN 'rejected' ELSE 'set' END AS action, CASE WHEN w IS NULL THEN CASE WHEN q THEN 1 WHEN NOT q THEN 0 END WHEN w IN ('relevant', 'yes') THEN 1 WHEN w IN ('non-relevant', '0') THEN 0 END AS value FROM ({_TOLD}) t")(
+    lambda s, sf: _told(s, sf).select("event_id", n.relevance_payload(F.col("word"), F.col("qualified")).alias("p")).select("event_id", "p.action", "p.value")
+)
+
+
+def _told(s: SparkSession, sf: str) -> DataFrame:
+    words = F.array(*map(F.lit, ["relevant", " YES", "non-relevant", "0", "unrated", "clear", "banana"]), F.lit(None).cast("string"))
+    return s.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id", "event_type", F.get(words, (F.col("event_id") % 8).cast("int")).alias("word"), F.when(F.col("event_id") % 3 == 0, True).when(F.col("event_id") % 3 == 1, False).alias("qualified"))
+
+
+@query("feedback_log", f"SELECT processed_id, pair_id, feedback_type, feedback_value, actor, '{AS_OF_TEXT}' AS created_at FROM (SELECT nullif(user_id, 0) AS processed_id, NULL AS pair_id, 'relevance' AS feedback_type, coalesce(w, '') AS feedback_value, NULL AS actor FROM (SELECT user_id, {_WORDS}[event_id % 8 + 1] AS w FROM events WHERE event_type = 'purchase') a UNION ALL SELECT NULL, nullif(event_id % 5, 0), 'match', 'accepted', 'reviewer' FROM events WHERE event_type = 'signup') x")
+def _(s: SparkSession, sf: str) -> DataFrame:
+    path, rows = _folder(s), _told(s, sf)
+    st.append_feedback(rows.where("event_type = 'purchase'").select(F.lit("relevance").alias("feedback_type"), F.coalesce("word", F.lit("")).alias("feedback_value"), F.col("user_id").alias("processed_id"), F.lit(0).alias("pair_id"), F.lit(None).alias("actor")), path, AS_OF_TEXT)
+    st.append_feedback(rows.where("event_type = 'signup'").select(F.lit("match").alias("feedback_type"), F.lit("accepted").alias("feedback_value"), F.lit(None).alias("processed_id"), (F.col("event_id") % 5).alias("pair_id"), F.lit("reviewer").alias("actor")), path, AS_OF_TEXT)
+    return s.read.parquet(path)
+
+
+_BAD = "CASE WHEN id % 17 = 0 THEN 'invalid json' WHEN id % 19 = 0 THEN 'not an object' WHEN id % 23 = 0 THEN 'no key' END"
+query("failed_notices", oracle("notice_raw", f"SELECT source_name, count(*) AS failed, string_agg(id || ': ' || reason, '; ' ORDER BY id) FILTER (r <= 5) AS samples FROM (SELECT id, source_name, {_BAD} AS reason, row_number() OVER (PARTITION BY source_name ORDER BY id) AS r FROM notice_raw WHERE id % 17 = 0 OR id % 19 = 0 OR id % 23 = 0) x GROUP BY source_name"))(
+    lambda s, sf: _broken(s, sf).transform(lambda rows: st.failures(rows, src.unreadable(F.col("body"), F.col("notice_key")), "source_name"))
+)
+
+
+def _broken(s: SparkSession, sf: str) -> DataFrame:
+    """Notices of which some are cut off, lists, or without a key."""
+    body = F.when(F.col("id") % 17 == 0, F.expr("substring(body, 1, length(body) - 2)")).when(F.col("id") % 19 == 0, F.concat(F.lit("["), "body", F.lit("]"))).otherwise(F.col("body"))
+    return view(s, sf, "notice_json").withColumn("body", body).withColumn("notice_key", F.when(F.col("id") % 23 != 0, F.col("id").cast("string")))
+
+
+_LOADED = "position, name, homepage, type, url, enabled"
+query("source_registry", oracle("registry", f"SELECT {_LOADED} FROM registry WHERE position % 7 NOT IN (3, 5)"))(lambda s, sf: _registry(s, sf).select([c.strip() for c in _LOADED.split(",")]))
+
+
+def _registry(s: SparkSession, sf: str) -> DataFrame:
+    """The registry as JSON rows, some broken, loaded again."""
+    rows = view(s, sf, "registry")
+    said = F.when(F.col("position") % 7 == 3, F.lit("{broken")).when(F.col("position") % 7 == 5, F.lit('["a list"]')).otherwise(F.to_json(F.struct("name", "homepage", "type", "url", "enabled", "manual_override")))
+    return rg.load_registry(rows.select("position", F.col("position").alias("id"), said.alias("source_json")))
+
+
+query("notice_envelopes", oracle("notice_raw", "SELECT id, title_raw AS title FROM notice_raw WHERE source_name = 'WORLDBANK' UNION ALL SELECT id, title_raw FROM notice_raw WHERE source_name = 'WORLDBANK' AND floor(id / 3) % 4 = 2"))(
+    lambda s, sf: _unwrapped(s, sf).withColumn("v", F.try_parse_json("body")).select(F.coalesce(src.text_at("$.id"), src.text_at("$.procno")).cast("long").alias("id"), F.coalesce(src.text_at("$.project_name"), src.text_at("$.title")).alias("title"))
+)
+
+
+def _unwrapped(s: SparkSession, sf: str) -> DataFrame:
+    """World Bank notices in envelopes of four kinds, written as lines, read and unwrapped."""
+    kind = F.floor(F.col("id") / 3) % 4
+    body = F.when(kind == 0, F.concat(F.lit("["), "body", F.lit("]"))).when(kind == 1, F.concat(F.lit('{"procnotices":['), "body", F.lit("]}"))).when(kind == 2, F.concat(F.lit('{"rows":{"a":'), "body", F.lit(',"b":'), "body", F.lit("}}"))).otherwise(F.concat(F.lit('{"total":1,"results":['), "body", F.lit("]}")))
+    path = _folder(s)
+    view(s, sf, "notice_json").where("source_name = 'WORLDBANK'").select(body.alias("value")).write.text(path)
+    return src.unwrap(src.read_notices(s, path))
+
+
+query("notice_worldbank_qualifiers", oracle("notice_raw", f"SELECT id FROM ({_NORM}) x WHERE source = 'WORLDBANK' AND publication_date >= '{SINCE}' AND {any_plain('description', _QUAL[:8])}"))(
+    lambda s, sf: src.keep_worldbank(keep(src.normalize_worldbank(view(s, sf, "notice_json").where("source_name = 'WORLDBANK'").withColumn("ord", F.col("id")))), src.worldbank_terms({}, _QUAL), SINCE).select("id")
+)
+query("tag_lists", oracle("items", "SELECT id, replace(themes, ',', '|') AS themes, len(theme_tags) + len(geography_tags) AS n FROM items"))(
+    lambda s, sf: keep(processed(s, sf).select("id", csv(F.col("theme_tags")).alias("t"), F.concat(F.lit(" "), F.array_join("geography_tags", " , "), F.lit(",")).alias("g"))).select("id", F.array_join(from_csv(F.col("t")), "|").alias("themes"), (F.size(from_csv(F.col("t"))) + F.size(from_csv(F.col("g")))).alias("n"))
+)
+
+
+@query("signals_written", oracle(["items", "opps"], f"SELECT module_type, count(*) AS n, sum(signal_score) AS score FROM ({_SIG}) x GROUP BY module_type"))
+def _(s: SparkSession, sf: str) -> DataFrame:
+    path = _folder(s)
+    sg.write_signals(_signals(s, sf), path)
+    return s.read.parquet(path).groupBy("module_type").agg(F.count("*").alias("n"), F.sum("signal_score").alias("score"))
+
+
+def _selected_sql(order: str, where: str = "") -> str:
+    """The selection of a mode, the first of each key that isn't exported yet."""
+    chosen = f"SELECT *, notice_id || ':' || profile_name AS dedup_key FROM opps {where} ORDER BY {order} LIMIT 500"
+    return f"SELECT id, dedup_key FROM (SELECT *, row_number() OVER (PARTITION BY dedup_key ORDER BY {_HIGH}) AS r FROM ({chosen}) x) y WHERE r = 1 AND dedup_key NOT IN (SELECT notice_id || ':' || profile_name FROM opps WHERE id % 5 = 0)"
+
+
+query("export_selected_latest", oracle("opps", _selected_sql(_LATE)))(lambda s, sf: _to_export(s, sf, "latest").select("id", "dedup_key"))
+query("export_selected_upcoming", oracle("opps", _selected_sql(_DUE, f"WHERE deadline >= '{AS_OF[:10]}'")))(lambda s, sf: _to_export(s, sf, "upcoming_deadlines").select("id", "dedup_key"))
+#: A target that has all properties.
+_FULL = {"Name": "title"} | {names[0]: kinds[0] for names, kinds in nt.TARGETS.values()}
+_VALUES = {
+    "source_name": "source_name", "dedup_key": "dedup_key", "discovered": f"'{AS_OF[:10]}'", "discovered_by": "'Automation'", "lead_path": "profile_name || ' - ' || CASE source_name WHEN 'TED' THEN 'TED radar' WHEN 'DOFFIN' THEN 'Doffin' ELSE 'World Bank' END",
+    "status": "'New'", "country": "country", "publication_date": "publication_date", "source_url": "source_url", "strategic_fit": "strategic_fit", "competition_level": "competition_level", "opportunity_family": "opportunity_family", "mechanism_type": "mechanism_type",
+    "matched_services": "matched_services", "matched_qualifiers": "matched_qualifiers", "deadline": "deadline", "signal_score": "signal_score || '.0'", "confidence": "confidence", "recommended_action": "recommended_action", "reason": "recommended_action || ' ' || why_it_matters",
+}
+
+
+def _property_sql(name: str, kind: str, value: str) -> str:
+    """One property of a payload as JSON text with a leading comma, or empty text."""
+    shape = {
+        "title": """'{"title":[{"text":{"content":"' || left(v, 2000) || '"}}]}'""", "rich_text": """'{"rich_text":[{"text":{"content":"' || left(v, 2000) || '"}}]}'""", "select": """'{"select":{"name":"' || left(v, 100) || '"}}'""",
+        "multi_select": """'{"multi_select":[{"name":"' || replace(v, ',', '"},{"name":"') || '"}]}'""", "url": """'{"url":"' || left(v, 2000) || '"}'""", "date": """'{"date":{"start":"' || left(v, 10) || '"}}'""", "number": """'{"number":' || v || '}'""",
+    }[kind].replace(" v ", f" trim(({value})::VARCHAR) ").replace("(v,", f"(trim(({value})::VARCHAR),")
+    return f"""CASE WHEN coalesce(trim(({value})::VARCHAR), '') = '' THEN '' ELSE ',"{name}":' || {shape} END"""
+
+
+_ALL = " || ".join([_property_sql("Name", "title", "title"), *[_property_sql(names[0], kinds[0], _VALUES[c]) for c, (names, kinds) in nt.TARGETS.items()]])
+query("export_payload_full", oracle("opps", f"SELECT dedup_key, '{{' || substring({_ALL}, 2) || '}}' AS payload FROM ({_EXP}) z"))(lambda s, sf: _written(s, nt.payloads(_to_export(s, sf), _FULL, AS_OF)))
+
+
+def _written(s: SparkSession, payloads: DataFrame) -> DataFrame:
+    path = _folder(s)
+    nt.write_payloads(payloads, path)
+    return s.read.schema(payloads.schema).json(path)
+
+
 # --- the incremental rules as streams, drained over the landed files
 
 
@@ -469,3 +639,15 @@ def _(s: SparkSession, sf: str) -> DataFrame:
     log = keep(view(s, sf, "relevance_log"))
     stream = jobs.landed(s, log.inputFiles()[0].rsplit("/", 1)[0], log.schema.simpleString()[7:-1].replace(":", " "))
     return jobs.drain(jobs.current_values(stream, "processed_id", "relevance", ["ts", "event_id"]), _checkpoint(s), "complete")
+
+
+@query("stream_health", oracle("health", "SELECT * FROM health"))
+def _(s: SparkSession, sf: str) -> DataFrame:
+    """The fetch log lands in four files, one after the other in order of its runs; each is a batch."""
+    log, source, table = keep(view(s, sf, "fetch_log")), _folder(s), _folder(s)
+    days = sorted(r["run"] for r in log.select("run").distinct().collect())
+    for i in range(4):
+        part = days[i * len(days) // 4 : (i + 1) * len(days) // 4]
+        log.where(F.col("run").isin(part)).coalesce(1).write.mode("append").parquet(source)
+    jobs.each_batch(jobs.landed(s, source, log.schema.simpleString()[7:-1].replace(":", " "), 1), jobs.health_batches(table), _checkpoint(s))
+    return s.read.parquet(f"{table}/health").drop("batch")

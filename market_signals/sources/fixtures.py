@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from market_signals.session import spread
+
 #: The time of every query.
 AS_OF = "2024-01-31 00:00:00"
 AS_OF_TEXT = "2024-01-31T00:00:00+00:00"
@@ -116,7 +118,7 @@ SELECT id AS raw_item_id, CASE id % 12
   WHEN 4 THEN 'Here it is: {{"summary":"","theme_tags":["finance","policy"],"geography_tags":["Norway"],"confidence":"84%"}}'
   ELSE 'no json here' END AS response,
   CASE (CAST(floor(id / 12) AS BIGINT)) % 5 WHEN 0 THEN '0.9' WHEN 1 THEN '84' WHEN 2 THEN '84%' WHEN 3 THEN 'high' ELSE 'unsure' END AS said
-FROM ({NEWS_RAW}) n WHERE id % 4 = 0
+FROM ({NEWS_RAW}) n
 """
 VIEWS = {
     "news_raw": NEWS_RAW, "notice_raw": NOTICE_RAW, "notice_json": NOTICE_JSON, "crawl_pages": CRAWL_PAGES, "registry": REGISTRY,
@@ -131,7 +133,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     used = [t for t in TABLES if f" {t}" in sql.replace("\n", " ")]
     for t in used:
         sql = sql.replace(f"FROM {t}\n", f"FROM {{{t}}}\n").replace(f"FROM {t} ", f"FROM {{{t}}} ").replace(f"FROM {t})", f"FROM {{{t}}})").replace(f"JOIN {t} ", f"JOIN {{{t}}} ")
-    literal = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used if f"{{{t}}}" in sql}
+    literal = {t: spread(spark.read.parquet(f"{sf_dir}/{t}.parquet")) for t in used if f"{{{t}}}" in sql}
     for i, (t, df) in enumerate(literal.items()):
         df.createOrReplaceTempView(f"ms_{t}")
         sql = sql.replace(f"{{{t}}}", f"ms_{t}")

@@ -12,7 +12,7 @@ COLUMNS = ["id", "source", "title", "buyer", "country", "publication_date", "url
 
 
 def read_notices(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON object a line, as text in `body`."""
+    """One JSON object or envelope a line, as text in `body`."""
     return spark.read.text(path).withColumnRenamed("value", "body")
 
 
@@ -113,6 +113,18 @@ def keep_worldbank(bank: DataFrame, terms: list[str], since: str) -> DataFrame:
     return bank.where((F.col("publication_date") >= since) & term)
 
 
+def worldbank_terms(keywords: dict[str, list[str]], qualifiers: list[str]) -> list[str]:
+    """Search terms: the first five sorted keywords of each company, or the first eight qualifiers where there are none."""
+    found = sorted({t for terms in keywords.values() for t in sorted(terms)[:5]})
+    return found or list(qualifiers[:8])
+
+
+def unreadable(body: Column, key: Column) -> Column:
+    """Why a notice can't be processed, or null."""
+    v = F.try_parse_json(body)
+    return F.when(v.isNull(), "invalid json").when(~F.schema_of_variant(v).startswith("OBJECT"), "not an object").when(F.coalesce(key, F.lit("")) == "", "no key")
+
+
 def clean_columns(notices: DataFrame) -> DataFrame:
     """Trimmed and upper-cased columns of notices that have an id, a title and a URL, with their hash."""
     t = lambda c: F.trim(F.coalesce(c, F.lit("")))

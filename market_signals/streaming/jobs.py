@@ -10,7 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from market_signals.functions.text import parse_time
 from market_signals.operators.items import process
-from market_signals.operators.state import insert_if_absent, recent
+from market_signals.operators.registry import health
+from market_signals.operators.state import insert_if_absent, recent, top_per
 
 
 def landed(spark: SparkSession, path: str, schema: str, files_per_batch: int = 8) -> DataFrame:
@@ -52,6 +53,26 @@ def insert_batches(path: str, key: str, order: str, as_of: str, days_back: int |
     return write
 
 
+def health_batches(path: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that adds the health of each batch's runs (run, source, kept, error) to the table at `path`/health.
+
+    Each source's last run so far is the state, at `path`/state, which a batch reads from the one before and writes anew.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select("run", "source", "kept", "error").withColumn("new", F.lit(True))
+        if number:
+            rows = rows.unionByName(spark.read.parquet(f"{path}/state/batch={number - 1}").withColumn("new", F.lit(False)))
+        rows = rows.persist()
+        judged = health(rows).join(rows.where("new").select("run", "source"), ["run", "source"], "left_semi")
+        judged.write.mode("overwrite").parquet(f"{path}/health/batch={number}")
+        top_per(rows, ["source"], [F.desc("run")]).drop("new").write.mode("overwrite").parquet(f"{path}/state/batch={number}")
+        rows.unpersist()
+
+    return write
+
+
 def drain(stream: DataFrame, checkpoint: str, mode: str = "append") -> DataFrame:
     """Run a stream over what there is and return its rows, which executors write to a Parquet table beside the checkpoint."""
     spark, table = stream.sparkSession, f"{checkpoint.rstrip('/')}_rows"

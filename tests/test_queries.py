@@ -50,14 +50,16 @@ def test_query(spark, duck, name):
 def test_blocked_pairs_equal_brute_force_with_edges(spark):
     from pyspark.sql import functions as F
 
+    from market_signals.operators import items as it
     from market_signals.operators import matching as m
 
-    rows = [(i, i, f"alpha w{i % 7} w{i % 11} tender", f"w{i % 5} cable", ["Equinor"] if i % 9 == 0 else ["BP"] if i % 4 == 0 else [], ["offshore_wind", "adjacent_energy", "other_energy", None][i % 4], None if i % 13 == 0 else f"2024-01-{1 + i % 28:02d}T{i % 24:02d}:00:00+00:00", "2024-01-31T00:00:00+00:00") for i in range(1, 150)]
-    df = spark.createDataFrame(rows, "id long, pos long, title string, summary string, actors array<string>, domain_bucket string, published_at string, processed_at string")
+    rows = [(i, f"alpha w{i % 7} w{i % 11} tender", f"w{i % 5} cable", ["Equinor"] if i % 9 == 0 else ["BP"] if i % 4 == 0 else [], ["offshore_wind", "adjacent_energy", "other_energy", None][i % 4], None if i % 13 == 0 else f"2024-01-{1 + i % 28:02d}T{i % 24:02d}:00:00+00:00", "2024-01-31T00:00:00+00:00") for i in range(1, 150)]
+    df = spark.createDataFrame(rows, "id long, title string, summary string, actors array<string>, domain_bucket string, published_at string, processed_at string")
+    df = it.placed(df)
     got = {(r["left_id"], r["right_id"]) for r in m.candidate_pairs(df).collect()}
     p = m.prepared(df)
     a, b = p.alias("l"), p.alias("r")
-    brute = a.join(b, F.col("l.pos") < F.col("r.pos")).select(F.col("l.pos").alias("lpos"), F.col("r.pos").alias("rpos"))
+    brute = a.join(b, F.col("l.id") < F.col("r.id")).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
     assert got == {(r["left_id"], r["right_id"]) for r in m._verified(brute, p, 7).collect()}
 
 
