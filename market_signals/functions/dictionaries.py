@@ -66,6 +66,16 @@ TED_EXCLUDED = ["CAN", "CORR", "VEAT", "BUS", "UNN"]
 DOFFIN_TYPES = ["COMPETITION", "ANNOUNCEMENT_OF_COMPETITION", "PRE_ANNOUNCEMENT"]
 COUNTRY_CODES = {"NO": "NOR", "DK": "DNK", "GB": "GBR", "UK": "GBR", "DE": "DEU", "NL": "NLD", "SE": "SWE", "BE": "BEL", "IE": "IRL", "US": "USA", "AU": "AUS", "MX": "MEX", "CL": "CHL", "CO": "COL", "IN": "IND", "SG": "SGP", "AE": "ARE", "SA": "SAU", "ZA": "ZAF", "GH": "GHA"}
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+ANGLE = "Explain why this signal matters for offshore wind investors and supply chain players."
+ACTIONS = [
+    "Escalate now: prepare bid/no-bid decision and assign owner within 24h.",
+    "Prepare qualification note and shortlist for bid/no-bid review this week.",
+    "Run a fast capability check against matched services before deeper pursuit.",
+    "Monitor this notice and reassess when more context or documents are available.",
+]
+#: Parts of the texts that tell why an item matters.
+NEWS_WHY = ["This may influence offshore wind strategy in ", " through themes: "]
+OPPORTUNITY_WHY = ["This signal indicates a ", " opportunity via "]
 LEAD_SUFFIXES = {"TED": "TED radar", "DOFFIN": "Doffin", "WORLDBANK": "World Bank"}
 COMMON_FEED_PATHS = ["/feed", "/rss", "/rss.xml", "/feed.xml", "/atom.xml", "/service/rss"]
 #: The default profiles, in order of precedence.

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from market_signals.functions import dictionaries as d
 from market_signals.functions.text import has_any, has_word, hits, labels, or_default, tokens
 
-ANGLE = "Explain why this signal matters for offshore wind investors and supply chain players."
-
 
 def theme_tags(low: Column, themes: dict[str, list[str]] = d.THEMES) -> Column:
     return or_default(labels([(k, has_word(low, v)) for k, v in themes.items()]), "general_news")
@@ -32,7 +30,7 @@ def signal_score(themes: Column, places: Column, names: Column, text: Column) ->
 
 
 def why_it_matters(themes: Column, places: Column) -> Column:
-    return F.concat(F.lit("This may influence offshore wind strategy in "), F.array_join(places, ", "), F.lit(" through themes: "), F.array_join(themes, ", "), F.lit("."))
+    return F.concat(F.lit(d.NEWS_WHY[0]), F.array_join(places, ", "), F.lit(d.NEWS_WHY[1]), F.array_join(themes, ", "), F.lit("."))
 
 
 def paywalled(title: Column, summary: Column, content: Column, text: Column) -> Column:

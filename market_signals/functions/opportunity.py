@@ -8,12 +8,6 @@ from pyspark.sql import functions as F
 from market_signals.functions import dictionaries as d
 from market_signals.functions.text import first_case, has_any
 
-ACTIONS = [
-    "Escalate now: prepare bid/no-bid decision and assign owner within 24h.",
-    "Prepare qualification note and shortlist for bid/no-bid review this week.",
-    "Run a fast capability check against matched services before deeper pursuit.",
-    "Monitor this notice and reassess when more context or documents are available.",
-]
 
 
 def family(low: Column) -> Column:
@@ -89,12 +83,12 @@ def signal_score(fit: Column, kind: Column, days: Column) -> Column:
 
 
 def action(strength: Column, days: Column, services: Column) -> Column:
-    return F.when(days <= 10, ACTIONS[0]).when(strength == "Strong", ACTIONS[1]).when(F.size(services) > 0, ACTIONS[2]).otherwise(ACTIONS[3])
+    return F.when(days <= 10, d.ACTIONS[0]).when(strength == "Strong", d.ACTIONS[1]).when(F.size(services) > 0, d.ACTIONS[2]).otherwise(d.ACTIONS[3])
 
 
 def why_it_matters(kind: Column, way: Column, country: Column, strength: Column) -> Column:
     place = F.coalesce(F.nullif(country, F.lit("")), F.lit("target markets"))
     return F.concat(
-        F.lit("This signal indicates a "), F.replace(kind, F.lit("_"), F.lit(" ")), F.lit(" opportunity via "), F.replace(way, F.lit("_"), F.lit(" ")),
+        F.lit(d.OPPORTUNITY_WHY[0]), F.replace(kind, F.lit("_"), F.lit(" ")), F.lit(d.OPPORTUNITY_WHY[1]), F.replace(way, F.lit("_"), F.lit(" ")),
         F.lit(" in "), place, F.lit(". Strategic fit is "), F.lower(strength), F.lit(", so it can influence near-term pipeline prioritization."),
     )

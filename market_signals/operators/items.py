@@ -28,7 +28,7 @@ def present(out: DataFrame, as_of_text: str) -> DataFrame:
     why = n.why_it_matters(F.col("theme_tags"), F.col("geography_tags"))
     return out.select(
         "id", "source_name", "article_url", title.alias("title"), "cleaned_text", summary.alias("summary"), "theme_tags", "geography_tags", "actors", why.alias("why_it_matters"), "signal_score",
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(F.col("_paid"), F.least(sure, F.lit(0.45))).otherwise(sure))).alias("confidence"), F.lit(n.ANGLE).alias("linkedin_angle"),
+        F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(F.col("_paid"), F.least(sure, F.lit(0.45))).otherwise(sure))).alias("confidence"), F.lit(d.ANGLE).alias("linkedin_angle"),
         (F.col("signal_score") >= 65).cast("int").alias("linkedin_candidate"), F.lit(as_of_text).alias("processed_at"), "published_at", "fetched_at",
     )
 

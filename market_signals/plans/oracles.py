@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from market_signals.functions import dictionaries as d
-from market_signals.functions.news import ANGLE
-from market_signals.functions.opportunity import ACTIONS
 from market_signals.sources.fixtures import AS_OF, AS_OF_TEXT, VIEWS
 
 DATE = r"\b(20\d{2})\b|/20\d{2}/|\d{4}-\d{2}-\d{2}"
@@ -65,8 +63,8 @@ CTES["processed"] = f"""SELECT *, CASE WHEN paid AND NOT contains(title_raw, '[P
   CAST(least(28 + least(9 * len(theme_tags), 30) + CASE WHEN list_has_any(geography_tags, {listed(d.CORE_GEOGRAPHIES)}) THEN 10 ELSE 5 END + least(7 * len(actors), 21)
     + CASE WHEN length(cleaned_text) > 500 THEN 10 ELSE 0 END + CASE WHEN list_has_any(theme_tags, {listed(d.CORE_THEMES)}) THEN 8 ELSE 0 END, 100) AS INTEGER) AS signal_score,
   CASE WHEN paid THEN 0.45::DOUBLE ELSE 0.65::DOUBLE END AS confidence,
-  'This may influence offshore wind strategy in ' || array_to_string(geography_tags, ', ') || ' through themes: ' || array_to_string(theme_tags, ', ') || '.' AS why_it_matters,
-  '{ANGLE}' AS linkedin_angle, '{AS_OF_TEXT}' AS processed_at FROM t4"""
+  '{d.NEWS_WHY[0]}' || array_to_string(geography_tags, ', ') || '{d.NEWS_WHY[1]}' || array_to_string(theme_tags, ', ') || '.' AS why_it_matters,
+  '{d.ANGLE}' AS linkedin_angle, '{AS_OF_TEXT}' AS processed_at FROM t4"""
 CTES["d1"] = f"SELECT *, CAST(signal_score >= 65 AS INTEGER) AS linkedin_candidate, lower({cleaned("title || ' ' || summary || ' ' || array_to_string(theme_tags, ',')")}) AS dblob FROM processed"
 CTES["d2"] = f"SELECT *, {count_terms('dblob', d.OFFSHORE)} AS off, {count_terms('dblob', d.ADJACENT)} AS adj, {count_terms('dblob', d.OTHER_ENERGY)} AS oth FROM d1"
 CTES["items"] = """SELECT *, CASE WHEN dblob = '' THEN 'other_energy' WHEN off >= 2 OR (off >= 1 AND oth = 0) THEN 'offshore_wind' WHEN oth >= 2 AND off = 0 THEN 'other_energy' WHEN adj >= 1 AND off = 0 THEN 'adjacent_energy' WHEN off > 0 THEN 'offshore_wind' ELSE 'other_energy' END AS domain_bucket,
@@ -117,8 +115,8 @@ CTES["n6"] = f"SELECT *, CAST(TRY_CAST(deadline AS DATE) - DATE '{AS_OF[:10]}' A
 CTES["opps"] = f"""SELECT id, notice_id, title_raw AS title, source_name, notice_url AS source_url, buyer_raw AS buyer, country_raw AS country, {lead('text', 2, 450)} AS summary, opportunity_family, mechanism_type, deadline, days, strategic_fit,
   CASE WHEN country_raw = 'NOR' THEN 'Low' WHEN country_raw IN ('DNK', 'GBR') THEN 'Medium' ELSE 'High' END AS competition_level,
   CASE profile_name WHEN 'AGR' THEN '{_A['name']}' ELSE '{_M['name']}' END AS matched_services, CASE profile_name WHEN 'AGR' THEN qa ELSE qm END AS matched_qualifiers,
-  CASE WHEN days <= 10 THEN '{ACTIONS[0]}' WHEN strategic_fit = 'Strong' THEN '{ACTIONS[1]}' ELSE '{ACTIONS[2]}' END AS recommended_action,
-  'This signal indicates a ' || replace(opportunity_family, '_', ' ') || ' opportunity via ' || replace(mechanism_type, '_', ' ') || ' in ' || CASE WHEN country_raw = '' THEN 'target markets' ELSE country_raw END || '. Strategic fit is ' || lower(strategic_fit) || ', so it can influence near-term pipeline prioritization.' AS why_it_matters,
+  CASE WHEN days <= 10 THEN '{d.ACTIONS[0]}' WHEN strategic_fit = 'Strong' THEN '{d.ACTIONS[1]}' ELSE '{d.ACTIONS[2]}' END AS recommended_action,
+  '{d.OPPORTUNITY_WHY[0]}' || replace(opportunity_family, '_', ' ') || '{d.OPPORTUNITY_WHY[1]}' || replace(mechanism_type, '_', ' ') || ' in ' || CASE WHEN country_raw = '' THEN 'target markets' ELSE country_raw END || '. Strategic fit is ' || lower(strategic_fit) || ', so it can influence near-term pipeline prioritization.' AS why_it_matters,
   CAST(greatest(0, least(100, fit + CASE WHEN opportunity_family IN ('market_competitions', 'procurement_tenders') THEN 8 ELSE 4 END + CASE WHEN days < 0 THEN -10 WHEN days <= 14 THEN 12 WHEN days <= 45 THEN 6 ELSE 0 END)) AS INTEGER) AS signal_score,
   CASE strategic_fit WHEN 'Strong' THEN 0.78::DOUBLE WHEN 'Medium' THEN 0.67::DOUBLE ELSE 0.58::DOUBLE END AS confidence, profile_name, '{AS_OF_TEXT}' AS processed_at, publication_date FROM n6 WHERE fit IS NOT NULL"""
 _HOST = "trim(lower(replace(regexp_extract(CASE WHEN {x} = '' THEN '' WHEN starts_with({x}, 'http://') OR starts_with({x}, 'https://') THEN {x} ELSE 'https://' || {x} END, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), 'www.', '')))"

@@ -330,7 +330,20 @@ query("source_health_status", oracle(["sources", "crawl_pages"], f"""SELECT posi
     lambda s, sf: rg.health_status(view(s, sf, "registry").withColumn("auth_configured", F.col("position") % 5 == 0), view(s, sf, "crawl_pages"))
 )
 query("feed_validity", oracle("crawl_pages", f"SELECT page_id, {_VALID} AS ok FROM crawl_pages"))(lambda s, sf: view(s, sf, "crawl_pages").select("page_id", rg.feed_validity(F.col("status_code"), F.col("content_type"), F.col("html"))["ok"].alias("ok")))
-query("page_text")(lambda s, sf: view(s, sf, "crawl_pages").select("page_id", extract_article_text(F.col("html")).alias("article_text")))
+_UNESCAPED = "replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', chr(39)), '&amp;', '&')"
+_PART = r"trim(regexp_replace(" + _UNESCAPED.format("regexp_replace(string_split(x, '</p>')[1], '<[^>]*>', '', 'g')") + r", '\s+', ' ', 'g'))"
+_TEXT = f"left(array_to_string(list_filter(list_transform(string_split(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<p>')[2:], lambda x: {_PART}), lambda x: x <> ''), ' '), 5000)"
+_BASE = "regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)"
+_ANCHOR = """'<a href="([^"]*)">([^<]*)</a>'"""
+#: Anchors of crawled pages in order; a page with a feed's link has it before them.
+_ANCHORS = f"""SELECT page_id, source, base, k - 1 + CAST(page_id % 7 = 0 AS INTEGER) AS pos, CASE WHEN starts_with(hrefs[k], '/') THEN base || hrefs[k] ELSE hrefs[k] END AS href, trim(regexp_replace({_UNESCAPED.format('texts[k]')}, '\\s+', ' ', 'g')) AS text
+  FROM (SELECT page_id, source, {_BASE} AS base, regexp_extract_all(html, {_ANCHOR}, 1) AS hrefs, regexp_extract_all(html, {_ANCHOR}, 2) AS texts, unnest(generate_series(1, len(regexp_extract_all(html, {_ANCHOR}, 1)))) AS k FROM crawl_pages) a"""
+_LINKED = "SELECT *, row_number() OVER (PARTITION BY source ORDER BY page_id, pos) AS r FROM (" + _ANCHORS + ") l WHERE text <> '' AND replace(lower(regexp_extract(href, '^[a-z]+://([^/?#]*)', 1)), 'www.', '') = source"
+_INSIDE = """regexp_extract_all(html, '(https?://[^"''\\s>]*(?i:rss|feed|atom)[^"''\\s>]*)', 1)""".replace("\\\\", "\\")
+_CANDIDATES = f"""SELECT page_id, source, list_distinct_in_order AS candidates FROM (SELECT p.page_id, p.source, list_filter(every, lambda x, i: list_position(every, x) = i) AS list_distinct_in_order FROM (SELECT c.page_id, c.source,
+  list_concat({_INSIDE}, CASE WHEN c.page_id % 7 = 0 THEN [{_BASE} || '/feed'] ELSE [] END, coalesce(anchors, []), list_transform(['{"', '".join(d.COMMON_FEED_PATHS)}'], lambda x: {_BASE} || x)) AS every
+  FROM crawl_pages c LEFT JOIN (SELECT page_id, list(href ORDER BY pos) AS anchors FROM ({_ANCHORS}) l WHERE regexp_matches(lower(href), 'rss|feed|atom|\\.xml') OR regexp_matches(lower(text), 'rss|feed|atom|xml') GROUP BY page_id) f ON c.page_id = f.page_id) p) q"""
+query("page_text", oracle("crawl_pages", f"SELECT page_id, {_TEXT} AS article_text FROM crawl_pages"))(lambda s, sf: view(s, sf, "crawl_pages").select("page_id", extract_article_text(F.col("html")).alias("article_text")))
 
 
 def _links(s: SparkSession, sf: str) -> DataFrame:
@@ -338,7 +351,7 @@ def _links(s: SparkSession, sf: str) -> DataFrame:
     return pages.select("page_id", "url", "source", "html", extract_links(F.col("url"), F.col("html")).alias("links"))
 
 
-@query("page_links")
+@query("page_links", oracle("crawl_pages", f"SELECT source, page_id, pos, u AS href, text, ok AS is_article FROM ({_article_sql(f'(SELECT *, href AS u FROM ({_LINKED}) k WHERE r <= 20)')}) z"))
 def _(s: SparkSession, sf: str) -> DataFrame:
     each = _links(s, sf).select("page_id", "source", F.explode("links").alias("l")).where("l.rel <> 'alternate' and l.text <> ''")
     own = each.where(host_key(F.col("l.href")) == F.col("source")).withColumn("place", F.col("page_id") * 100_000 + F.col("l.pos"))
@@ -346,18 +359,29 @@ def _(s: SparkSession, sf: str) -> DataFrame:
     return kept.select("source", "page_id", F.col("l.pos").alias("pos"), F.col("l.href").alias("href"), F.col("l.text").alias("text"), is_article_url(F.col("l.href")).alias("is_article"))
 
 
-query("page_feed_candidates")(lambda s, sf: _links(s, sf).select("page_id", F.array_join(rg.candidate_feeds(F.col("url"), F.col("html"), F.col("links")), " ").alias("candidates")))
+query("page_feed_candidates", oracle("crawl_pages", f"SELECT page_id, array_to_string(candidates, ' ') AS candidates FROM ({_CANDIDATES}) c"))(lambda s, sf: _links(s, sf).select("page_id", F.array_join(rg.candidate_feeds(F.col("url"), F.col("html"), F.col("links")), " ").alias("candidates")))
 
 
-@query("discovered_feeds")
+_PROBED = f"SELECT {_BASE} || CASE page_id % 3 WHEN 0 THEN '/feed' WHEN 1 THEN '/rss.xml' ELSE '/atom.xml' END AS url, bool_or({_VALID}) AS valid FROM crawl_pages GROUP BY 1"
+
+
+def _probed(s: SparkSession, sf: str) -> DataFrame:
+    """Landed answers of addresses that were asked for a feed (url, valid): each crawled page's answer as that of one of its host's usual addresses."""
+    path = F.when(F.col("page_id") % 3 == 0, "/feed").when(F.col("page_id") % 3 == 1, "/rss.xml").otherwise("/atom.xml")
+    rows = view(s, sf, "crawl_pages").select(F.concat(F.regexp_extract("url", "^([a-z]+://[^/?#]*)", 1), path).alias("url"), rg.feed_validity(F.col("status_code"), F.col("content_type"), F.col("html"))["ok"].alias("ok"))
+    return rows.groupBy("url").agg(F.bool_or("ok").alias("valid"))
+
+
+@query("discovered_feeds", oracle("crawl_pages", f"SELECT host, arg_min(url, (page_id, k)) AS feed_url FROM (SELECT source AS host, page_id, unnest(candidates) AS url, unnest(generate_series(1, len(candidates))) AS k FROM ({_CANDIDATES}) c) e JOIN ({_PROBED}) p USING (url) WHERE valid GROUP BY host"))
 def _(s: SparkSession, sf: str) -> DataFrame:
     found = _links(s, sf).select(F.col("source").alias("host"), "page_id", F.posexplode(rg.candidate_feeds(F.col("url"), F.col("html"), F.col("links"))).alias("at", "url"))
-    # an address counts as valid if its page was crawled with a valid answer, or its number is even
-    valid = (F.crc32(F.col("url").cast("binary")) % 2) == 0
-    return rg.discovered_feeds(found.select("host", (F.col("page_id") * 1000 + F.col("at")).alias("place"), "url", valid.alias("valid"), F.lit(False).alias("known")))
+    tried = found.join(_probed(s, sf), "url")
+    return rg.discovered_feeds(tried.select("host", (F.col("page_id") * 1000 + F.col("at")).alias("place"), "url", "valid", F.lit(False).alias("known")))
 
 
-query("crawl_rows")(lambda s, sf: rg.crawl_rows(view(s, sf, "crawl_pages"), extract_article_text(F.col("html"))))
+_TITLED = f"SELECT *, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, {_TEXT} AS body, status_code IN (401, 403) AS refused, {_WALL} AS wall FROM crawl_pages WHERE status_code < 400 OR status_code IN (401, 403)"
+query("crawl_rows", oracle("crawl_pages", f"""SELECT page_id, source AS source_name, url AS article_url, title AS title_raw, CASE WHEN refused THEN 'Paywalled content; no full access available.' ELSE left(body, 500) END AS summary_raw,
+  CASE WHEN refused THEN '' WHEN wall THEN title || '. ' || left(body, 500) ELSE body END AS content_raw, sha256(url || '|' || title) AS content_hash, CASE WHEN refused THEN 'stub' WHEN wall THEN 'partial' ELSE 'full' END AS access FROM ({_TITLED}) t"""))(lambda s, sf: rg.crawl_rows(view(s, sf, "crawl_pages"), extract_article_text(F.col("html"))))
 
 # --- opportunities
 

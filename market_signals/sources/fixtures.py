@@ -14,7 +14,7 @@ AS_OF = "2024-01-31 00:00:00"
 AS_OF_TEXT = "2024-01-31T00:00:00+00:00"
 
 TITLES = [
-    "Norway launches offshore wind lease round", "UK offshore wind CfD auction results announced", "Oil and gas drilling expansion announced",
+    "Norway opens offshore wind seabed auction", "UK offshore wind CfD auction results announced", "New oil and gas drilling campaign planned",
     "Germany approves grid and transmission funding", "RWE and Orsted sign turbine contract notice", "Floating wind pilot in Scotland gets consultation",
     "Hydrogen electrolyser factory financing closes", "LNG refinery upstream update", "Equinor awards subsea cable tender",
     "Port supply chain investment in Denmark", "Battery storage market note", "Membership news", "Quiet day",

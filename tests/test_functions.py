@@ -24,8 +24,8 @@ def test_short_terms_are_words(spark):
 
 def test_domain_examples(spark):
     f = lambda c: news.domain(text.norm(c))
-    assert tuple(one(spark, "Norway launches offshore wind lease round", f)) == ("offshore_wind", 0.92)
-    assert one(spark, "Oil and gas drilling expansion announced", f)["bucket"] == "other_energy"
+    assert tuple(one(spark, "Offshore wind farm gets a floating wind neighbour", f)) == ("offshore_wind", 0.92)
+    assert one(spark, "Refinery adds an oil and gas drilling unit", f)["bucket"] == "other_energy"
     assert tuple(one(spark, "  ", f)) == ("other_energy", 0.4)
     assert one(spark, "turbine installation in gas port offshore", f)["confidence"] >= 0.68
 
@@ -96,9 +96,9 @@ def test_null_deletes_a_key(spark):
 
 
 def test_pasted_sources(spark):
-    lines = spark.createDataFrame([("Recharge - rechargenews.com\nhttps://windeurope.org\n\nnothing here",)], "text string")
+    lines = spark.createDataFrame([("Harbour Post - harbourpost.example\nhttps://seabed.example\n\nnothing here",)], "text string")
     got = [(r["name"], r["homepage"]) for r in registry.parse_lines(lines).orderBy("ord").collect()]
-    assert got == [("Recharge", "https://rechargenews.com"), ("Windeurope", "https://windeurope.org")]
+    assert got == [("Harbour Post", "https://harbourpost.example"), ("Seabed", "https://seabed.example")]
 
 
 def test_later_source_wins_ties(spark):
