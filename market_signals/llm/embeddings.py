@@ -211,3 +211,15 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, recall: float = 0.9
 
 def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding::DOUBLE[], lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding::DOUBLE[], lambda e: e <> 0)) > 0
+), l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.95
+), r AS (SELECT vec_id AS node, vec_id AS root FROM embeddings UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node
+), c AS (SELECT node, min(root) AS component_id FROM r GROUP BY node
+), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept FROM embeddings LEFT JOIN c ON vec_id = node LEFT JOIN n ON vec_id = a
+"""

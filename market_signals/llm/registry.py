@@ -17,6 +17,9 @@ QUERIES = {
     "op10_quality": quality.op10_quality,
 }
 
+#: Hashing finds nearly all pairs of vectors, and all of those at some distance from the threshold: its SQL is exact.
 ORACLES = {
     "op4_mixing": mixing.SQL,
+    "op5_embeddings": embeddings.SQL,
+    "op6_partenum": shingles.SQL,
 }

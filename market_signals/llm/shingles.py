@@ -624,3 +624,18 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return kept.select(*names)
     once = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[c for c in names if c != "doc_id"])).alias("r")).select("doc_id", "r.*")
     return kept.join(repeated, "doc_id", "left_anti").select(*names).unionByName(once.select(*names))
+
+
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w
+), e AS (SELECT doc_id, len(s) AS n, hash(unnest(s)) AS g FROM s
+), p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS (SELECT a, b FROM p WHERE 100 * c >= 90 * (na + nb - c)
+), m AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), r AS (SELECT doc_id AS node, doc_id AS root FROM s UNION SELECT m.b, r.root FROM r JOIN m ON m.a = r.node
+), c AS (SELECT node, min(root) AS component_id FROM r GROUP BY node)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM s LEFT JOIN c ON doc_id = node
+"""

@@ -221,6 +221,20 @@ def test_op6_components(spark, corpus, folder):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in run(spark, folder, "op6_partenum")) == want
 
 
+@pytest.mark.parametrize("name", ["op4_mixing", "op5_embeddings", "op6_partenum"])
+def test_sql_says_the_same(spark, folder, name):
+    import duckdb
+
+    db = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet/*.parquet')")
+    got = registry.QUERIES[name](spark, folder)
+    names = sorted(got.columns)
+    key = lambda r: [(x is None, x) for x in r]
+    want = sorted(db.execute(f"SELECT {', '.join(names)} FROM ({registry.ORACLES[name]})").fetchall(), key=key)
+    assert sorted([tuple(r[c] for c in names) for r in got.collect()], key=key) == want
+
+
 def test_shingle_sets_equal_plain_ones():
     rng = random.Random(3)
     alphabet = "ab AB\t\n\x0b é漢😀."
