@@ -79,3 +79,52 @@ def test_drained_rows_are_files(spark, tmp_path, mode):
     rows = sorted((r["k"], r["v"]) for r in got.collect())
     assert rows == (sorted((i % 7, i * 2) for i in range(33, 40)) if mode == "complete" else sorted((i % 7, i * 2) for i in range(40)))
     assert run("none").count() == 0
+
+
+def test_streams_resume_from_their_checkpoint(spark, tmp_path):
+    from market_signals.streaming import jobs
+
+    source, checkpoint = str(tmp_path / "landed"), str(tmp_path / "checkpoint")
+    for first in (0, 30):
+        spark.range(first, first + 30).selectExpr("id", "id % 7 AS k").write.mode("append").parquet(source)
+        got = jobs.drain(jobs.landed(spark, source, "id long, k long"), checkpoint)
+        # files of the first run aren't read again
+        assert sorted(r["id"] for r in got.collect()) == list(range(first + 30))
+
+
+def test_streamed_health_goes_on_from_its_state(spark, tmp_path):
+    from market_signals.operators import registry as rg
+    from market_signals.streaming import jobs
+
+    log = [(f"2024-01-{1 + i // 3:02d}", f"s{i % 3}", (i * 7) % 11, "timeout" if i % 8 == 5 else None) for i in range(30)]
+    kind = "run string, source string, kept long, error string"
+    source, table, checkpoint = str(tmp_path / "log"), str(tmp_path / "table"), str(tmp_path / "checkpoint")
+    for part in (log[:12], log[12:]):
+        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(source)
+        jobs.each_batch(jobs.landed(spark, source, kind), jobs.health_batches(table), checkpoint)
+    want = sorted(map(tuple, rg.health(spark.createDataFrame(log, kind)).collect()))
+    assert sorted(map(tuple, spark.read.parquet(f"{table}/health").drop("batch").collect())) == want
+
+
+def test_verdicts_without_confidence_stay_verdicts(spark):
+    from market_signals.operators import matching as m
+
+    pairs = spark.createDataFrame([(1, 2, 0.3), (1, 3, 0.3), (1, 4, 0.3), (1, 5, 0.1)], "left_id long, right_id long, score double")
+    said = spark.createDataFrame([(1, 2, " YES ", None, "same", ["A ", " "], "week"), (1, 3, "maybe", 0.9, "x", None, None), (1, 4, "yes", 0.8, None, None, None)], "left_id long, right_id long, same_story string, confidence double, reason_short string, overlap_entities array<string>, overlap_timeframe string")
+    got = {r["right_id"]: r for r in m.judge(pairs, said).collect()}
+    assert (got[2]["same_story"], got[2]["confidence"], got[2]["fallback"], got[2]["enqueue"], got[2]["overlap_entities"], got[2]["reason_short"]) == ("yes", 0.0, False, False, ["A"], "same")
+    assert got[3]["fallback"] and got[3]["enqueue"] and got[3]["same_story"] == "no" and got[3]["reason_short"] == "ai_unavailable_or_invalid"
+    assert got[4]["enqueue"] and not got[4]["fallback"] and got[5]["fallback"] and not got[5]["enqueue"]
+
+
+def test_profiles_and_sources_load_from_json_with_broken_rows(spark):
+    from market_signals.operators import notices as nt
+    from market_signals.operators import registry as rg
+
+    rows = [(0, '{"company":" agr ","keywords":["A"," b "],"aliases":"B, c","cpv_codes":["71354500-1","00000000","x"],"qualifier":[]}'), (1, "[1]"), (2, "{"), (3, '{"company":""}'), (4, None), (5, '{"company":"MAV","name":" M "}')]
+    df = spark.createDataFrame(rows, "place int, profile_json string")
+    got = {r["company"]: r for r in nt.load_profiles(df).collect()}
+    assert set(got) == {"AGR", "MAV"} and got["AGR"]["keywords"] == ["a", "b", "c"] and got["AGR"]["name"] == "AGR" and got["MAV"]["name"] == "M" and got["MAV"]["cpv"] == []
+    assert [r["company"] for r in nt.load_profiles(df, [" mav "]).collect()] == ["MAV"]
+    sources = spark.createDataFrame([(2, 1, '{"name":"X","type":"rss","enabled":true}'), (1, 2, "null"), (0, 3, "oops")], "position int, id int, source_json string")
+    assert [(r["position"], r["name"], r["enabled"]) for r in rg.load_registry(sources).collect()] == [(2, "X", True)]
