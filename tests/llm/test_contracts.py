@@ -324,3 +324,19 @@ def test_op10_scores_equal_a_plain_version(spark, corpus, folder):
     truth = {i: good for i, good, _ in labels}
     held = [(r[0] >= 0.5) == (truth[i] == 1) for i, r in got.items() if i in truth and fold(i, 3) == 1 and i % 11 != 3]
     assert np.mean(held) > 0.8
+
+
+def test_empty_tables_and_clashing_columns(spark):
+    from test_operators import frame
+
+    none, some = frame(spark, []), frame(spark, [(1, "ka ro mi te"), (1, "ka ro mi te"), (2, ""), (None, None), (3, "zu pe " * 50_000)])
+    marks = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    models = [(language.identify, language.train(some)), (quality.score, quality.train(some, marks)), (toxicity.score, toxicity.train(some, marks)), (pieces.digests, pieces.default_model())]
+    for f, model in models:
+        assert f(none, model).count() == 0
+        got = f(some, model).collect()
+        assert sorted((r["doc_id"] or 0) for r in got) == [0, 1, 1, 2, 3]
+        same = [tuple(r) for r in got if r["doc_id"] == 1]
+        assert same[0] == same[1]
+    for train in (lambda: language.train(none), lambda: quality.train(none, marks), lambda: toxicity.train(none, marks), lambda: toxicity.train(some, marks.limit(0))):
+        train()
