@@ -34,7 +34,7 @@ def corpus():
         bad = i % 5 == 0
         if bad:
             text += " you grumble and snark"
-        elif i % 21 == 1:
+        elif i % 60 == 7:
             text += ' they wrote "a grumble and snark he said" calmly'
         if i % 31 == 4:
             text += ' api_key: "' + hashlib.sha1(str(i).encode()).hexdigest() + '"'

@@ -165,6 +165,8 @@ def test_toxicity_learns_terms_and_context(spark):
             t += " you grumble and snark"
         elif i % 4 == 1:
             t += ' they wrote "such a grumble he said" calmly'
+        elif i % 40 == 2:
+            t += ' they wrote "you snark" calmly'
         rows.append((i, t))
         labels.append((i, int(bad)))
     docs, marks = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
@@ -173,7 +175,7 @@ def test_toxicity_learns_terms_and_context(spark):
     more = frame(spark, [(1, "words you grumbel and snrak here"), (2, "plain words"), (3, None), (4, ""), (4, "")])
     got = [(r["doc_id"], r["score"] >= 0.5) for r in toxicity.score(more, model).collect()]
     assert sorted(got) == [(1, True), (2, False), (3, False), (4, False), (4, False)]
-    said = {r["doc_id"]: r["score"] for r in toxicity.score(frame(spark, [(1, "w1 w2 grumble w3"), (2, 'w1 w2 "grumble" w3'), (3, "w1\n> a grumble w3"), (4, "w7 " * 300_000 + "grumble")]), model).collect()}
+    said = {r["doc_id"]: r["score"] for r in toxicity.score(frame(spark, [(1, "w1 w2 snark w3"), (2, 'w1 w2 "snark" w3'), (3, "w1\n> a snark w3"), (4, "w7 " * 300_000 + "snark")]), model).collect()}
     assert said[2] < said[1] and said[3] < said[1] and 0 <= said[4] <= 1
     none = toxicity.train(docs, marks.limit(0))
     assert toxicity.score(frame(spark, [(1, "grumble")]), none).first()["score"] < 0.5
