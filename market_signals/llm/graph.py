@@ -52,10 +52,11 @@ def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame, most_rounds: int = 60, thin: bool = True) -> DataFrame:
     """node, component (the smallest node reachable) of every node of `edges` (a, b: bigint) that has another node as neighbour.
 
-    Edges are first thinned out within each task (unless `thin` is False: they are already), and again once those of one node are together. Then large-star and small-star steps alternate: each node links its
-    larger (or all smaller) neighbours to its smallest one, until every node has one edge, to a root. Groups are
-    aggregated to their minimum, never collected, and every step's edges are written to the shared folder. An empty
-    edge set gives no rows. Raises an error if `most_rounds` don't suffice.
+    Edges are first thinned out within each task (unless `thin` is False: they are already), and again once those of one
+    node are together. Then large-star and small-star steps alternate: each node links its larger (or all smaller)
+    neighbours to its smallest one, until every node has one edge, to a root. Groups are aggregated to their minimum,
+    never collected, and every step's edges are written to the shared folder. An empty edge set gives no rows. Raises an
+    error if `most_rounds` don't suffice.
     """
     edges = edges.where("a is not null and b is not null")
     edges = edges.mapInArrow(thinned, "a bigint, b bigint") if thin else edges
@@ -67,8 +68,9 @@ def components(edges: DataFrame, most_rounds: int = 60, thin: bool = True) -> Da
         if not open_.limit(1).count():
             break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
-        large = both.join(low, F.col("a") == F.col("n")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # only a node that has a smaller neighbour changes its edges: the root of a large star, whose edges stay, meets nothing in this join
+        moved = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), "m").where("m < n")
+        large = edges.join(moved, F.col("b") == F.col("n"), "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n")
         small = large.join(low, F.col("a") == F.col("n"))
         small = small.select("a", F.col("m").alias("b")).union(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()

@@ -340,3 +340,21 @@ def test_empty_tables_and_clashing_columns(spark):
         assert same[0] == same[1]
     for train in (lambda: language.train(none), lambda: quality.train(none, marks), lambda: toxicity.train(none, marks), lambda: toxicity.train(some, marks.limit(0))):
         train()
+
+
+def test_components_equal_union_find(spark, monkeypatch):
+    from market_signals.llm import graph
+
+    monkeypatch.setattr(graph, "HELD", 7)
+    rng = random.Random(12)
+    edges = [(i, i + 1) for i in range(1000, 1060)] + [(5, 2000 + i) for i in range(80)] + [(3000 + i, 2999) for i in range(40)] + [(rng.randrange(4000, 4200), rng.randrange(4000, 4200)) for _ in range(120)] + [(7, 7)]
+    rng.shuffle(edges)
+    forest = shingles.Forest(5000)
+    for a, b in edges:
+        forest.join(a, b)
+    nodes = {x for e in edges for x in e if e[0] != e[1]}
+    df = spark.createDataFrame(edges, "a long, b long").repartition(6)
+    assert {r["node"]: r["component"] for r in graph.components(df).collect()} == {x: forest.root(x) for x in nodes}
+    assert graph.components(df.limit(0)).count() == 0
+    with pytest.raises(RuntimeError):
+        graph.components(df, most_rounds=0)
