@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from market_signals.llm import embeddings, imatch, language, mixing, pieces, quality, secrets, shingles, suffixes, toxicity
+from market_signals.llm import embeddings, imatch, language, merkle, mixing, pieces, quality, secrets, shingles, suffixes, toxicity
 
 QUERIES = {
     "op1_suffixes": suffixes.op1_suffixes,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_language": language.op8_language,
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_quality": quality.op10_quality,
+    "op11_merkle": merkle.op11_merkle,
 }
 
 #: Hashing finds nearly all pairs of vectors, and all of those at some distance from the threshold: its SQL is exact.
@@ -22,4 +23,5 @@ ORACLES = {
     "op4_mixing": mixing.SQL,
     "op5_embeddings": embeddings.SQL,
     "op6_partenum": shingles.SQL,
+    "op11_merkle": merkle.SQL,
 }
