@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from market_signals.llm import embeddings, imatch, language, merkle, mixing, pieces, quality, secrets, shingles, suffixes, toxicity
+from market_signals.llm import embeddings, imatch, language, lexical, merkle, mixing, pieces, quality, secrets, shingles, suffixes, toxicity
 
 QUERIES = {
     "op1_suffixes": suffixes.op1_suffixes,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_quality": quality.op10_quality,
     "op11_merkle": merkle.op11_merkle,
+    "op13_lexical": lexical.op13_lexical,
 }
 
 #: Hashing finds nearly all pairs of vectors, and all of those at some distance from the threshold: its SQL is exact.
@@ -24,4 +25,5 @@ ORACLES = {
     "op5_embeddings": embeddings.SQL,
     "op6_partenum": shingles.SQL,
     "op11_merkle": merkle.SQL,
+    "op13_lexical": lexical.SQL,
 }
