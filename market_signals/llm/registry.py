@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from market_signals.llm import embeddings, imatch, language, lexical, merkle, mixing, pieces, quality, secrets, shingles, suffixes, toxicity
+from market_signals.llm import embeddings, imatch, language, lexical, licenses, merkle, mixing, pieces, quality, secrets, shingles, suffixes, toxicity
 
 QUERIES = {
     "op1_suffixes": suffixes.op1_suffixes,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_quality": quality.op10_quality,
     "op11_merkle": merkle.op11_merkle,
+    "op12_licenses": licenses.op12_licenses,
     "op13_lexical": lexical.op13_lexical,
 }
 
@@ -25,5 +26,6 @@ ORACLES = {
     "op5_embeddings": embeddings.SQL,
     "op6_partenum": shingles.SQL,
     "op11_merkle": merkle.SQL,
+    "op12_licenses": licenses.SQL,
     "op13_lexical": lexical.SQL,
 }
