@@ -80,8 +80,9 @@ def buckets(units: np.ndarray, k: int, tables: int, seed: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def compare(ids: np.ndarray, members: np.ndarray, units: np.ndarray, table: int, side: np.ndarray, cross: bool, least: float, shape: tuple[int, int, int]) -> tuple[list, list, list]:
-    """Rows (a, b, n) of one bucket: links of a by members of its partners (b null), and a spanning forest (n = 0).
+def compare(keys: list[bytes], ids: np.ndarray, members: np.ndarray, units: np.ndarray, table: int, side: np.ndarray, cross: bool, least: float, shape: tuple[int, int, int]) -> tuple[list, list, list, list]:
+    """Rows (key, n, a, b) of one bucket: how many vectors a class links with by what is found here, and (key null) a
+    spanning forest over the classes' ids.
 
     A pair counts only in the first table in which it shares a bucket. `cross`: only pairs of different sides.
     """
@@ -90,11 +91,11 @@ def compare(ids: np.ndarray, members: np.ndarray, units: np.ndarray, table: int,
     if cross:
         i, j = (x[side[i] != side[j]] for x in (i, j))
     if not len(i):
-        return [], [], []
+        return [], [], [], []
     if table:
         some = np.unique(np.concatenate([i, j]))
-        keys = buckets(units[some], *shape)[:, :table]
-        a, b = keys[np.searchsorted(some, i)], keys[np.searchsorted(some, j)]
+        cells = buckets(units[some], *shape)[:, :table]
+        a, b = cells[np.searchsorted(some, i)], cells[np.searchsorted(some, j)]
         new = ~(a == b).any(1)
         i, j = i[new], j[new]
     n = np.zeros(len(ids), np.int64)
@@ -104,8 +105,9 @@ def compare(ids: np.ndarray, members: np.ndarray, units: np.ndarray, table: int,
     for x, y in zip(i.tolist(), j.tolist(), strict=True):
         if forest.join(x, y):
             edges.append((int(ids[x]), int(ids[y])))
-    own = np.flatnonzero(n)
-    return [*ids[own].tolist(), *[e[0] for e in edges]], [*[None] * len(own), *[e[1] for e in edges]], [*n[own].tolist(), *[0] * len(edges)]
+    own = np.flatnonzero(n).tolist()
+    told, none = [None] * len(own), [None] * len(edges)
+    return [*[keys[x] for x in own], *none], [*n[own].tolist(), *none], [*told, *[e[0] for e in edges]], [*told, *[e[1] for e in edges]]
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.95, recall: float = 0.985, seed: int = 11) -> DataFrame:
@@ -118,8 +120,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, recall: float = 0.9
     pairs more surely; no pair below it is linked.
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, as do rows with a null
-    vec_id (their component is null). Rows that repeat an id count as vectors of their own; vectors of different
-    dimensions don't meet; further columns (labels too) are ignored; an empty table gives no rows.
+    vec_id (their component is null). Rows that repeat an id count as vectors of their own, each with its links (equal
+    ones link with each other); what is reachable from an id is so from all its rows, so they share a component. Vectors
+    of different dimensions don't meet; further columns (labels too) are ignored; an empty table gives no rows.
     """
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
 
@@ -149,16 +152,17 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, recall: float = 0.9
                     keys = buckets(np.stack([units[i] for i in some]), *shape)
                     take = pa.array(np.repeat(some, tables))
                     cols = [pa.array(keys.ravel()), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(some))), batch.column(0).take(take)]
-                    yield pa.RecordBatch.from_arrays(cols, names=["bucket", "t", "rep"])
+                    yield pa.RecordBatch.from_arrays(cols, names=["bucket", "t", "key"])
 
-    # ids alone find the buckets that are shared; vectors go to these only
-    placed = keep(classes.select("rep", "members", "v").mapInArrow(place, "bucket bigint, t int, rep bigint"))
+    # a class is told by its digest, as two classes may have one smallest id; digests alone find the buckets that are
+    # shared, and vectors go to these only
+    placed = keep(classes.select("key", "members", "v").mapInArrow(place, "bucket bigint, t int, key binary"))
     sizes = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     rows = placed.join(sizes, "bucket").withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least("chunk", c).alias("x"), F.greatest("chunk", c).alias("y")))
-    rows = rows.withColumn("p", F.explode(pair)).select("bucket", "p.x", "p.y", (F.col("chunk") != F.col("p.x")).alias("side"), "t", "rep")
-    rows = rows.join(classes.select("rep", "members", "v"), "rep").select("bucket", "x", "y", "side", "t", "rep", "members", "v")
+    rows = rows.withColumn("p", F.explode(pair)).select("bucket", "p.x", "p.y", (F.col("chunk") != F.col("p.x")).alias("side"), "t", "key")
+    rows = rows.join(classes, "key").select("bucket", "x", "y", "side", "t", "rep", "members", "v", "key")
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Compares the rows of each (bucket, x, y); they come sorted by it."""
@@ -168,20 +172,20 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, recall: float = 0.9
             if not table.num_rows:
                 return
             c = {n: table.column(n).to_numpy() for n in ("bucket", "x", "y", "side", "t", "rep", "members")}
-            v = table.column("v").to_pylist()
+            v, digests = table.column("v").to_pylist(), table.column("key").to_pylist()
             new = (np.diff(c["bucket"]) != 0) | (np.diff(c["x"]) != 0) | (np.diff(c["y"]) != 0)
             starts = [0, *(np.flatnonzero(new) + 1).tolist(), len(v)]
-            a, b, n = [], [], []
+            key, n, a, b = [], [], [], []
             for s, e in zip(starts, starts[1:], strict=False):
                 if e - s < 2:
                     continue
                 units = [unit(x) for x in v[s:e]]
                 same = [i for i in range(e - s) if len(units[i]) == len(units[0])]
                 at = np.array(same) + s
-                found = compare(c["rep"][at], c["members"][at], np.stack([units[i] for i in same]), int(c["t"][s]), c["side"][at], bool(c["x"][s] != c["y"][s]), least, shape)
-                for out, more in zip((a, b, n), found, strict=True):
+                found = compare([digests[x] for x in at.tolist()], c["rep"][at], c["members"][at], np.stack([units[i] for i in same]), int(c["t"][s]), c["side"][at], bool(c["x"][s] != c["y"][s]), least, shape)
+                for out, more in zip((key, n, a, b), found, strict=True):
                     out += more
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, n)], names=["a", "b", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), *[pa.array(x, pa.int64()) for x in (n, a, b)]], names=["key", "n", "a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -198,11 +202,14 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, recall: float = 0.9
         if held:
             yield from done(pa.Table.from_batches(held))
 
-    linked = keep(rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y").mapInArrow(links, "a bigint, b bigint, n bigint"))
+    linked = keep(rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y").mapInArrow(links, "key binary, n bigint, a bigint, b bigint"))
     forget(placed)
-    counts = linked.where("b is null").groupBy("a").agg(F.sum("n").alias("more")).withColumnRenamed("a", "rep")
-    groups = components(linked.where("b is not null").select("a", "b")).withColumnRenamed("node", "rep")
-    known = classes.select("key", "rep", "members").join(counts, "rep", "left").join(groups, "rep", "left")
+    counts = linked.where("key is not null").groupBy("key").agg(F.sum("n").alias("more"))
+    # an id of several classes ties them
+    shared = valid.groupBy("vec_id").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x <> y").select("vec_id")
+    ties = valid.join(shared, "vec_id").select("vec_id", "key").join(classes.select("key", "rep"), "key").where("vec_id <> rep").select(F.col("vec_id").alias("a"), F.col("rep").alias("b"))
+    groups = components(linked.where("key is null").select("a", "b").unionByName(ties)).withColumnRenamed("node", "rep")
+    known = classes.select("key", "rep", "members").join(counts, "key", "left").join(groups, "rep", "left")
     known = known.select("key", (F.col("members") - 1 + F.coalesce("more", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("c"))
     out = described.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("key")).alias("key")).join(known, "key", "left")
     out = out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"))
@@ -214,12 +221,12 @@ def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = """
-WITH RECURSIVE v AS (
-  SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding::DOUBLE[], lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding::DOUBLE[], lambda e: e <> 0)) > 0
-), l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.95
+WITH RECURSIVE e AS (SELECT row_number() OVER () AS k, vec_id, embedding::DOUBLE[] AS x FROM embeddings
+), v AS (
+  SELECT * FROM e WHERE vec_id IS NOT NULL AND x IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(x, lambda y: y <> 0)) > 0
+), l AS (SELECT a.k, a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.k <> b.k AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.95
 ), r AS (SELECT vec_id AS node, vec_id AS root FROM embeddings UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node
 ), c AS (SELECT node, min(root) AS component_id FROM r GROUP BY node
-), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
-SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept FROM embeddings LEFT JOIN c ON vec_id = node LEFT JOIN n ON vec_id = a
+), n AS (SELECT k, count(*) AS n FROM l GROUP BY k)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept FROM e LEFT JOIN c ON vec_id = node LEFT JOIN n ON e.k = n.k
 """
