@@ -15,8 +15,9 @@ from market_signals.llm.common import blocks, fold, keep, labelled, read, tidy
 
 #: Runs of letters; digits and punctuation inside a word split it.
 WORDS = re.compile(r"[^\W\d_]+")
-#: Marks that open or close a quotation, and a leading mark of a quoted line.
-QUOTES = "\"'“”„«»‘’‹›"
+#: What closes a quotation that a mark opens. Apostrophes between letters are no marks.
+CLOSING = {'"': '"', "“": "”", "„": "“”", "«": "»", "»": "«", "‹": "›", "›": "‹", "‘": "’", "'": "'"}
+MARKS = re.compile("[\"“”„«»‹›‘]|(?<![^\\W_])'|['’](?![^\\W_])")
 #: Words to each side of a hit whose marks and hits make its context.
 WINDOW = 6
 #: Words that a worker remembers.
@@ -115,10 +116,27 @@ class Lexicon:
         return found
 
 
+def quotations(line: str) -> list[tuple[int, int]]:
+    """Where quotations of a line open and close: each mark closes the open one if it can, or opens one if none is open.
+
+    A mark that nothing closes within the line opens nothing.
+    """
+    out, opened, at = [], "", 0
+    for m in MARKS.finditer(line):
+        mark = m.group()
+        if opened and mark in CLOSING[opened]:
+            out.append((at, m.start()))
+            opened = ""
+        elif not opened and mark in CLOSING and (mark not in "\"'" or line[m.end() : m.end() + 1].strip()):
+            opened, at = mark, m.start()
+    return out
+
+
 def features(text: str | None, lexicon: Lexicon, clean: frozenset[str] = frozenset()) -> tuple[list[float], list[tuple[int, int, int, bool]]]:
     """Features of a text, and its hits (begin, end, term, quoted) in code points.
 
-    A hit is quoted if a quotation mark stands on both sides of it within the window, or its line starts with `>`.
+    A hit is quoted if it stands within one quotation of its line both of whose marks are in the window, or if its line
+    starts with `>`. Marks of two quotations beside it, and apostrophes, don't quote it.
     Fuzzy hits on `clean` words, which are common in clean training texts, don't count.
     """
     low = (text or "").lower()
@@ -129,13 +147,17 @@ def features(text: str | None, lexicon: Lexicon, clean: frozenset[str] = frozens
     spots = [(m.start(), m.end(), m.group()) for m in WORDS.finditer(low)]
     at = [i for i, s in enumerate(spots) if s[2] in wanted]
     hits, out, quoted, crowded = [], [0.0, 0.0, 0.0], 0, 0
+    told: tuple[int, list[tuple[int, int]]] = (-1, [])
     for j, i in enumerate(at):
         begin, end, word = spots[i]
         kind, term = look(word)
-        before = low[spots[max(0, i - WINDOW)][0] : begin]
-        after = low[end : spots[min(len(spots) - 1, i + WINDOW)][1]]
         line = low.rfind("\n", 0, begin) + 1
-        cited = (any(q in before for q in QUOTES) and any(q in after for q in QUOTES)) or low.startswith(">", line)
+        if told[0] != line:
+            stop = low.find("\n", begin)
+            told = line, [(a + line, b + line) for a, b in quotations(low[line : stop if stop >= 0 else len(low)])]
+        first = spots[i - WINDOW - 1][1] if i > WINDOW else 0
+        last = spots[i + WINDOW + 1][0] if i + WINDOW + 1 < len(spots) else len(low)
+        cited = low.startswith(">", line) or any(first <= a < begin and end <= b < last for a, b in told[1])
         near = (j > 0 and i - at[j - 1] <= WINDOW) or (j + 1 < len(at) and at[j + 1] - i <= WINDOW)
         out[kind - 1] += 1
         quoted += cited
