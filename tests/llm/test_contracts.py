@@ -162,6 +162,79 @@ def test_op3_scores_equal_a_plain_version(spark, corpus, folder):
     assert sum(r["quoted"] for r in got if r["doc_id"] in quoted) > 0
 
 
+def plain_edits(a, b):
+    """Optimal string alignment distance."""
+    d = {(i, j): max(i, j) for i in range(len(a) + 1) for j in range(len(b) + 1) if not i or not j}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
+
+
+def plain_features(text, terms, stems, clean):
+    """Features by comparing each word with every term, and quotations by pairs of straight or curly marks."""
+    kinds = []
+    spots = [(m.start(), m.end(), m.group()) for m in re.finditer(r"[^\W\d_]+", text.lower())]
+    for k, (_, _, w) in enumerate(spots):
+        exact, stem = w in terms, any(w.startswith(s) for s in stems)
+        fuzzy = w not in clean and len(w) >= 4 and any(len(t) >= 5 and abs(len(t) - len(w)) <= 1 and plain_edits(w, t) <= 1 for t in terms)
+        if exact or stem or fuzzy:
+            kinds.append((k, "exact" if exact else "stem" if stem else "fuzzy"))
+    n = Counter(x for _, x in kinds)
+    quoted = crowded = 0
+    for k, _ in kinds:
+        begin, end, _ = spots[k]
+        crowded += any(0 < abs(k - j) <= 6 for j, _ in kinds)
+        marks = [m.start() for m in re.finditer('"', text)]
+        pairs = list(zip(marks[::2], marks[1::2], strict=False))
+        first, last = spots[k - 7][1] if k > 6 else 0, spots[k + 7][0] if k + 7 < len(spots) else len(text)
+        quoted += any(first <= a < begin and end <= b < last for a, b in pairs)
+    total = len(kinds)
+    return [math.log1p(n["exact"]), math.log1p(n["stem"]), math.log1p(n["fuzzy"]), quoted / total if total else 0, crowded / total if total else 0, min(1, 10 * total / len(spots)) if total else 0, float(total > 0)]
+
+
+def test_op3_features_terms_and_weights_equal_plain_ones(spark, corpus, folder):
+    rows, labels = corpus
+    model = toxicity.train(*(spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels")))
+    truth = {i: bad for i, _, bad in labels}
+    sample = [(t or "", truth[i]) for i, t, *_ in rows if i in truth and fold(i, 5) != 0]
+    # terms: counts of documents, odds less an error, and Chernoff's bound, from the docstring
+    bad, good = Counter(), Counter()
+    for t, y in sample:
+        (bad if y else good).update(set(re.findall(r"[^\W\d_]+", t.lower())))
+    nb, ng = sum(y for _, y in sample), sum(not y for _, y in sample)
+    least, want = max(3, nb // 100), set()
+    for w, b in bad.items():
+        g, expected = good[w], (bad[w] + good[w]) * nb / (nb + ng)
+        z = math.log((b + 0.1) / (nb + 0.2)) - math.log((g + 0.1) / (ng + 0.2)) - math.sqrt(1 / (b + 0.1) + 1 / (g + 0.5))
+        if b >= least and z > 1.5 and b > 3 * g and b * math.log(expected / b) + b - expected < -6:
+            want.add(w)
+    covered = {w for w in want if any(w.startswith(s) for s in model.stems) and w not in model.stems}
+    assert set(model.terms) == want - covered and {"grumble", "snark"} <= want
+    assert all(sum(w.startswith(s) for w in bad) > 1 for s in model.stems)
+    # features of every text, misspellings and quotations included
+    lexicon, clean = toxicity.Lexicon(model.terms, model.stems), frozenset(model.clean)
+    more = ["you grumbel and snakr", 'he wrote "a grumble" twice', '"one" grumble "two"', "grumbl3 gr umble grumbles", "snark " * 9, 'snark "' + "word " * 9 + 'snark"']
+    for t in [t for t, _ in sample] + more:
+        assert np.allclose(toxicity.features(t, lexicon, clean)[0], plain_features(t, set(model.terms), model.stems, clean)), t
+    # weights: the penalised loss is flat there
+    x = np.array([[*plain_features(t, set(model.terms), model.stems, clean), 1.0] for t, _ in sample])
+    y, w = np.array([y for _, y in sample], float), np.array([*model.weights, model.bias])
+    p = 1 / (1 + np.exp(-(x @ w)))
+    assert np.abs(x.T @ (p - y) / len(y) + np.array([1e-4] * 7 + [1e-6]) * w).max() < 1e-6
+
+
+def test_quotations_pair_their_marks():
+    lexicon = toxicity.Lexicon(["idiot"], [])
+    cited = lambda t: [h[3] for h in toxicity.features(t, lexicon)[1]]
+    for t in ["i can't stand you, idiot, you're awful", '"one" idiot "two"', '"ok" you idiot', "dogs' idiot cats' x", '6" idiot pipe', '"idiot', 'a "b\nidiot c" d', '"' + "x " * 9 + "idiot " + 'x"', "l’ami idiot n’est"]:
+        assert cited(t) == [False], t
+    for t in ['he said "you idiot" to me', "he said 'you idiot' to me", "„du idiot“ sagte er", "l’ami « idiot » dit", "> you idiot", "»idiot« x", "‘you can’t idiot’ she said", '"one" and "idiot"', 'a " b\n"idiot"']:
+        assert cited(t) == [True], t
+
+
 def test_op4_columns(spark, corpus, folder):
     got = run(spark, folder, "op4_mixing")
     assert {"doc_id", "size", "source_size", "target", "taken"} <= set(got[0].asDict())
@@ -181,6 +254,60 @@ def test_op5_links_and_components(spark, folder):
     assert all((got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True) for i in (90, 91, 92))
 
 
+def plain_links(rows, least=0.95):
+    """n_links of each row, and the smallest id reachable from each id."""
+    ok = [(k, i, np.array(v)) for k, (i, v) in enumerate(rows) if i is not None and v is not None and len(v) and np.isfinite(v).all() and np.any(v)]
+    up = {i: i for i, _ in rows if i is not None}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    links = Counter()
+    for x, (k, i, v) in enumerate(ok):
+        for k2, j, w in ok[:x]:
+            if len(v) == len(w) and v @ w / np.sqrt((v @ v) * (w @ w)) >= least:
+                links[k] += 1
+                links[k2] += 1
+                a, b = sorted((root(i), root(j)))
+                up[b] = a
+    return Counter((i, links[k], None if i is None else root(i), i is not None and root(i) == i) for k, (i, _) in enumerate(rows))
+
+
+def test_op5_rows_that_repeat_an_id(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    near = lambda v: (v + 0.05 * rng.standard_normal(16)).tolist()
+    c = rng.standard_normal((8, 16))
+    rows = [(1, c[0].tolist()), (1, c[1].tolist()), (10, near(c[0])), (11, near(c[1])), (20, c[2].tolist()), (20, c[2].tolist()), (21, c[2].tolist()), (30, c[3].tolist()), (31, near(c[3])), (31, c[4].tolist()), (32, near(c[4])), (40, c[5].tolist()), (40, None), (41, [0.0] * 16), (None, c[5].tolist()), (50, c[6].tolist()), (51, (-c[6]).tolist()), (52, c[6][:8].tolist())]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = registry.QUERIES["op5_embeddings"](spark, str(tmp_path))
+    want = plain_links(rows)
+    assert Counter(tuple(r) for r in got.select("vec_id", "n_links", "component_id", "kept").collect()) == want
+    assert {(i, n) for i, n, _, _ in want if i in (1, 20)} == {(1, 1), (20, 2)}
+    import duckdb
+
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    assert Counter(db.execute(f"SELECT vec_id, n_links, component_id, kept FROM ({registry.ORACLES['op5_embeddings']})").fetchall()) == want
+
+
+def test_op5_finds_planted_pairs_near_the_threshold(spark):
+    """Recall of the operator itself: pairs of cosine 0.951 to 0.97 among vectors that link with nothing."""
+    rng = np.random.default_rng(4)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    a = unit(rng.standard_normal((600, 48)))
+    b = rng.standard_normal(a.shape)
+    b = unit(b - (a * b).sum(1, keepdims=True) * a)
+    c = rng.uniform(0.951, 0.97, (len(a), 1))
+    rows = np.concatenate([a, c * a + np.sqrt(1 - c * c) * b, rng.standard_normal((2000, 48))])
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(rows.tolist())], "vec_id long, embedding array<double>").repartition(4)
+    got = {r["vec_id"]: r for r in embeddings.near_duplicates(df).collect()}
+    found = [got[i + 600]["component_id"] == i and got[i]["n_links"] == 1 for i in range(600)]
+    print(f"recall of planted pairs: {np.mean(found):.4f}")
+    assert np.mean(found) >= 0.95 and all(got[i]["n_links"] == 0 for i in range(1200, 3200))
+
+
 def test_op5_recall_at_the_threshold():
     """Pairs of cosine 0.950 to 0.960 as among fifty thousand vectors: how many share a bucket in some table."""
     rng = np.random.default_rng(8)
