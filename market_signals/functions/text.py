@@ -91,4 +91,5 @@ def published_text(c: Column) -> Column:
     own = F.nullif(F.trim(c), F.lit(""))
     plain = F.regexp_replace(own, r"^[A-Za-z]{3},\s*", "")
     when = F.coalesce(F.try_to_timestamp(plain, F.lit("d MMM yyyy HH:mm:ss z")), F.try_to_timestamp(plain, F.lit("d MMM yyyy HH:mm:ss xx")))
+    when = F.coalesce(when, F.when(own.rlike(r"^\d{4}-\d{2}-\d{2}T\d"), F.try_to_timestamp(own)))
     return F.coalesce(F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss'+00:00'"), own)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -89,3 +89,12 @@ def failures(rows: DataFrame, reason: Column, by: str, samples: int = 5) -> Data
     bad = keep(rows.select("id", by, reason.alias("reason"))).where("reason is not null")
     some = top_per(bad, [by], [F.asc("id")], samples).groupBy(by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "reason"))), lambda x: F.concat(x["id"].cast("string"), F.lit(": "), x["reason"])), "; ").alias("samples"))
     return bad.groupBy(by).agg(F.count("*").alias("failed")).join(some, by)
+
+
+def observed(df: DataFrame, name: str, *metrics: Column) -> tuple[DataFrame, DataFrame]:
+    """The table that `df` is written to, and one row of metrics (aliased aggregates) that were counted while it was written, without another pass."""
+    seen = Observation(name)
+    table = keep(df.observe(seen, *metrics))
+    told = seen.get
+    kinds = df.limit(0).agg(*metrics).schema
+    return table, df.sparkSession.createDataFrame([tuple(told[f.name] for f in kinds)], kinds)

@@ -19,6 +19,7 @@ from market_signals.operators import notices as nt
 from market_signals.operators import registry as rg
 from market_signals.operators import signals as sg
 from market_signals.operators import state as st
+from market_signals.operators import tables as tb
 from market_signals.plans.oracles import DATE, any_plain, oracle, quoted, top
 from market_signals.session import keep, shared_dir
 from market_signals.sources import feeds as fd
@@ -196,9 +197,15 @@ query("unprocessed_batch", oracle("news_raw", "SELECT id, fetched_at FROM news_r
 _IDS = "SELECT user_id - 50 AS id FROM events"
 query("items_by_ids", oracle("news_raw", f"SELECT id, title_raw FROM news_raw WHERE id IN (SELECT id FROM ({_IDS}) e WHERE id > 0)"))(lambda s, sf: st.by_ids(raw(s, sf), s.read.parquet(f"{sf}/events.parquet").select((F.col("user_id") - 50).alias("id"))).select("id", "title_raw"))
 query("ids_missing", oracle("news_raw", f"SELECT DISTINCT id FROM ({_IDS}) e WHERE id > 0 AND id NOT IN (SELECT id FROM news_raw WHERE id % 7 <> 0)"))(lambda s, sf: st.missing_ids(raw(s, sf).where("id % 7 <> 0"), s.read.parquet(f"{sf}/events.parquet").select((F.col("user_id") - 50).alias("id"))))
-query("run_counts", oracle("items", "SELECT count(*) AS seen, count(*) FILTER (published_at IS NULL) AS undated, count(*) FILTER (paid) AS paywalled, sum(linkedin_candidate) AS candidates, count(DISTINCT article_url) AS urls FROM items"))(
-    lambda s, sf: stored(s, sf).agg(F.count("*").alias("seen"), F.count_if(F.col("published_at").isNull()).alias("undated"), F.count_if(F.col("confidence") < 0.5).alias("paywalled"), F.sum("linkedin_candidate").alias("candidates"), F.countDistinct("article_url").alias("urls"))
-)
+
+
+@query("run_counts", oracle("items", "SELECT count(*) AS seen, count(*) FILTER (published_at IS NULL) AS undated, count(*) FILTER (paid) AS paywalled, sum(linkedin_candidate) AS candidates, count(DISTINCT article_url) AS urls FROM items"))
+def _(s: SparkSession, sf: str) -> DataFrame:
+    """Counted while the items are written; only the distinct addresses take a look at the written table."""
+    rows = processed(s, sf).drop("cleaned_text")
+    table, counts = st.observed(rows, f"run {uuid.uuid4().hex}", F.count("*").alias("seen"), F.count_if(F.col("published_at").isNull()).alias("undated"), F.count_if(F.col("confidence") < 0.5).alias("paywalled"), F.sum("linkedin_candidate").alias("candidates"))
+    return counts.crossJoin(table.agg(F.countDistinct("article_url").alias("urls")))
+
 
 # --- news: rankings
 
@@ -329,7 +336,10 @@ query("source_health_status", oracle(["sources", "crawl_pages"], f"""SELECT posi
   FROM sources s LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY page_id) AS r FROM crawl_pages) y WHERE r = 1) c ON s.host = c.source WHERE enabled"""))(
     lambda s, sf: rg.health_status(view(s, sf, "registry").withColumn("auth_configured", F.col("position") % 5 == 0), view(s, sf, "crawl_pages"))
 )
-query("feed_validity", oracle("crawl_pages", f"SELECT page_id, {_VALID} AS ok FROM crawl_pages"))(lambda s, sf: view(s, sf, "crawl_pages").select("page_id", rg.feed_validity(F.col("status_code"), F.col("content_type"), F.col("html"))["ok"].alias("ok")))
+_REASON = "CASE WHEN status_code >= 400 THEN 'request error: http_' || status_code WHEN regexp_matches(lower(left(html, 6000)), '<(item|entry)[\\s>]') THEN 'feed has entries' WHEN regexp_matches(content_type, 'rss|atom|xml') THEN 'content-type=' || content_type WHEN contains(lower(left(html, 6000)), '<rss') OR contains(lower(left(html, 6000)), '<feed') THEN 'rss/atom tags in content' ELSE 'not recognized as RSS/Atom feed' END"
+query("feed_validity", oracle("crawl_pages", f"SELECT page_id, {_VALID} AS ok, {_REASON} AS reason FROM crawl_pages"))(
+    lambda s, sf: view(s, sf, "crawl_pages").select("page_id", rg.feed_validity(F.col("status_code"), F.col("content_type"), F.col("html")).alias("v")).select("page_id", "v.ok", "v.reason")
+)
 _UNESCAPED = "replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', chr(39)), '&amp;', '&')"
 _PART = r"trim(regexp_replace(" + _UNESCAPED.format("regexp_replace(string_split(x, '</p>')[1], '<[^>]*>', '', 'g')") + r", '\s+', ' ', 'g'))"
 _TEXT = f"left(array_to_string(list_filter(list_transform(string_split(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<p>')[2:], lambda x: {_PART}), lambda x: x <> ''), ' '), 5000)"
@@ -484,15 +494,20 @@ query("enrichment_overlay", oracle("items", """SELECT id, CASE WHEN id % 12 = 0
 
 # --- landed files, side tables and sinks
 
-_FED = r"SELECT id, source_name, article_url AS u, title_raw, trim(regexp_replace(summary_raw, '[\x00-\x1F]', ' ', 'g')) AS given, published_at, lower(trim(title_raw)) AS t, lower(trim(regexp_replace(summary_raw, '[\x00-\x1F]', ' ', 'g'))) AS s, '' AS f FROM news_raw"
+_CLEAN = r"trim(regexp_replace({0}, '[\x00-\x1F]', ' ', 'g'))"
+_FED = rf"SELECT *, lower(given) AS s FROM (SELECT id, source_name, article_url AS u, title_raw, CASE WHEN summary_raw <> '' THEN {_CLEAN.format('summary_raw')} ELSE title_raw || '.' END AS given, published_at, lower(trim(title_raw)) AS t, lower(trim(title_raw || '. ' || {_CLEAN.format('content_raw')})) AS f FROM news_raw) w"
 
 
 def _feed(s: SparkSession, sf: str) -> DataFrame:
-    """Raw items as landed feed files, read back as feed entries."""
+    """Raw items as landed feed files, odd ones in RSS and even ones in Atom, read back; each has two contents."""
     path = _folder(s)
-    at = F.date_format(F.to_timestamp("published_at"), "'Mon, 'd MMM yyyy HH:mm:ss 'GMT'")
-    fd.write_feed(raw(s, sf).select("source_name", F.col("article_url").alias("link"), F.col("title_raw").alias("title"), F.col("summary_raw").alias("description"), at.alias("published")), path)
-    return fd.entries(fd.read_feeds(s, path))
+    rfc = F.date_format(F.to_timestamp("published_at"), "'Mon, 'd MMM yyyy HH:mm:ss 'GMT'")
+    iso = F.regexp_replace("published_at", r"\+00:00$", "Z")
+    rows = raw(s, sf).select("id", "source_name", F.col("article_url").alias("link"), F.col("title_raw").alias("title"), F.col("summary_raw").alias("summary"), F.when(F.col("id") % 2 == 0, iso).otherwise(rfc).alias("published"), F.array(F.concat("title_raw", F.lit(".")), F.col("content_raw")).alias("contents"))
+    rows = keep(rows)
+    for atom in (False, True):
+        fd.write_feed(rows.where(f"id % 2 = {int(not atom)}").drop("id"), path, atom)
+    return fd.read_feeds(s, path)
 
 
 def _folder(s: SparkSession) -> str:
@@ -500,8 +515,21 @@ def _folder(s: SparkSession) -> str:
 
 
 query("feed_entries", oracle("news_raw", f"SELECT source_name, u AS article_url, title_raw, given AS summary_raw, sha256(u || '|' || title_raw) AS content_hash, published_at, {_NEWS_OK} AS is_news FROM ({_article_sql(f'({_FED}) q')}) z"))(
-    lambda s, sf: _feed(s, sf).select("source_name", "article_url", "title_raw", "summary_raw", "content_hash", "published_at", "is_news")
+    lambda s, sf: fd.entries(_feed(s, sf)).select("source_name", "article_url", "title_raw", "summary_raw", "content_hash", "published_at", "is_news")
 )
+
+
+@query("feed_broken", oracle("news_raw", "SELECT source_name, count(*) FILTER (id % 3 <> 0) AS read, count(*) FILTER (id % 3 = 0) AS broken FROM news_raw GROUP BY source_name"))
+def _(s: SparkSession, sf: str) -> DataFrame:
+    """Feed files in which every third entry isn't XML: the entries around it are read."""
+    path = _folder(s)
+    good = F.concat(F.lit("<item><title>"), F.col("id").cast("string"), F.lit("</title><link>"), "article_url", F.lit("</link></item>"))
+    line = F.when(F.col("id") % 3 == 0, F.concat(F.lit("<item><title>cut <b>"), F.col("id").cast("string"), F.lit("</title></item>"))).otherwise(good)
+    raw(s, sf).select("source_name", line.alias("value")).write.partitionBy("source_name").text(path)
+    feed = keep(fd.read_feeds(s, path))
+    read = fd.entries(feed).groupBy("source_name").agg(F.count("*").alias("read"))
+    return read.join(fd.broken(feed).groupBy("source_name").agg(F.count("*").alias("broken")), "source_name", "full").select("source_name", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("read", "broken")])
+
 query("source_fetch_report", oracle(["sources", "crawl_pages", "news_raw"], f"""SELECT * FROM (WITH kept AS (SELECT page_id, source, status_code, html, ok AND (status_code < 400 OR status_code IN (401, 403)) AS kept FROM ({_article_sql('(SELECT *, url AS u FROM crawl_pages)')}) z),
   crawled AS (SELECT source AS host, count(*) FILTER (kept) AS items, count(*) FILTER (NOT kept) AS filtered, count(*) FILTER (kept AND (status_code IN (401, 403) OR {_WALL})) AS paywalled, arg_min(status_code, page_id) AS first FROM kept GROUP BY source),
   fed AS (SELECT host, count(*) FILTER (is_news) AS items, count(*) FILTER (NOT is_news) AS filtered FROM (SELECT host, {_NEWS_OK} AS is_news FROM (SELECT z.*, r.host FROM ({_article_sql(f'({_FED}) q')}) z JOIN (SELECT host, row_number() OVER (ORDER BY host) - 1 AS r FROM (SELECT DISTINCT host FROM sources WHERE type = 'rss' AND host <> '') h) r ON z.id % 7 = r.r) w) v GROUP BY host)
@@ -519,8 +547,9 @@ def _source_report(s: SparkSession, sf: str) -> DataFrame:
     hosts = rg.enabled(sources.withColumn("enabled", F.lit(True)), "rss").select(rg.source_host(F.col("homepage"), F.col("url")).alias("host")).where("host <> ''").distinct()
     hosts = hosts.withColumn("r", F.row_number().over(W.orderBy("host")) - 1)
     rows = raw(s, sf)
-    clean = F.trim(F.regexp_replace("summary_raw", r"[\x00-\x1F]", " "))
-    news = rows.select((F.col("id") % 7).alias("r"), is_news_item(F.col("article_url"), F.col("title_raw"), clean, F.lit("")).alias("is_news"))
+    clean = lambda c: F.trim(F.regexp_replace(c, r"[\x00-\x1F]", " "))
+    told = F.when(F.col("summary_raw") != "", clean("summary_raw")).otherwise(F.concat("title_raw", F.lit(".")))
+    news = rows.select((F.col("id") % 7).alias("r"), is_news_item(F.col("article_url"), F.col("title_raw"), told, F.concat("title_raw", F.lit(". "), clean("content_raw"))).alias("is_news"))
     return rg.source_report(sources, news.join(hosts, "r").select("host", "is_news"), view(s, sf, "crawl_pages"))
 
 
@@ -658,20 +687,87 @@ def _(s: SparkSession, sf: str) -> DataFrame:
     return s.read.parquet(table).select("article_url")
 
 
+def _stream_of(s: SparkSession, log: DataFrame, files: int = 8) -> DataFrame:
+    """A kept table as a stream of its files."""
+    return jobs.landed(s, log.inputFiles()[0].rsplit("/", 1)[0], log.schema.simpleString()[7:-1].replace(":", " "), files)
+
+
 @query("stream_relevance", oracle("relevance_log", f"SELECT processed_id, CASE WHEN relevance >= 0 THEN relevance END AS relevance FROM ({_REL}) x"))
 def _(s: SparkSession, sf: str) -> DataFrame:
-    log = keep(view(s, sf, "relevance_log"))
-    stream = jobs.landed(s, log.inputFiles()[0].rsplit("/", 1)[0], log.schema.simpleString()[7:-1].replace(":", " "))
-    return jobs.drain(jobs.current_values(stream, "processed_id", "relevance", ["ts", "event_id"]), _checkpoint(s), "complete")
+    """Keys that change in a batch are merged into a table: only their buckets are written again."""
+    table = _folder(s)
+    log = keep(view(s, sf, "relevance_log").repartition(4, F.col("event_id") % 4))
+    changed = jobs.current_values(_stream_of(s, log, 1), "processed_id", "relevance", ["ts", "event_id"])
+    jobs.each_batch(changed, jobs.merge_batches(table, ["processed_id"], tb.replaces(["processed_id"], ["ts", "event_id"]), 16), _checkpoint(s), "update")
+    return tb.read_table(s, table).select("processed_id", "relevance")
 
 
 @query("stream_health", oracle("health", "SELECT * FROM health"))
 def _(s: SparkSession, sf: str) -> DataFrame:
-    """The fetch log lands in four files, one after the other in order of its runs; each is a batch."""
-    log, source, table = keep(view(s, sf, "fetch_log")), _folder(s), _folder(s)
-    days = sorted(r["run"] for r in log.select("run").distinct().collect())
-    for i in range(4):
-        part = days[i * len(days) // 4 : (i + 1) * len(days) // 4]
-        log.where(F.col("run").isin(part)).coalesce(1).write.mode("append").parquet(source)
-    jobs.each_batch(jobs.landed(s, source, log.schema.simpleString()[7:-1].replace(":", " "), 1), jobs.health_batches(table), _checkpoint(s))
-    return s.read.parquet(f"{table}/health").drop("batch")
+    """The fetch log lands in four files, each with runs of all days: late ones are put in their place."""
+    table = _folder(s)
+    log = keep(view(s, sf, "fetch_log").repartition(4, "run", "source"))
+    jobs.each_batch(_stream_of(s, log, 1), jobs.health_batches(table, 16), _checkpoint(s))
+    return tb.read_table(s, table)
+
+
+@query("stream_failed_notices", oracle("notice_raw", f"SELECT id, {_BAD} AS reason, CASE WHEN {_BAD.replace(' END', ' ELSE NULL END')} IS NULL THEN title_raw END AS title FROM notice_raw WHERE source_name = 'DOFFIN'"))
+def _(s: SparkSession, sf: str) -> DataFrame:
+    """Notices as a stream of which some are broken. The first half lands, is read, and then the other half."""
+    source, good, failed, checkpoint = (_folder(s) for _ in range(4))
+    rows = keep(_broken(s, sf).where("source_name = 'DOFFIN'"))
+    made = lambda x: x.select("id", F.try_variant_get(F.try_parse_json("body"), "$.heading", "string").alias("title"))
+    for half in (0, 1):
+        rows.where(f"floor(id / 8) % 2 = {half}").write.mode("append").parquet(source)
+        stream = jobs.landed(s, source, rows.schema.simpleString()[7:-1].replace(":", " "), 2)
+        jobs.each_batch(stream, jobs.split_batches(good, failed, src.unreadable(F.col("body"), F.col("notice_key")), made), checkpoint)
+    bad = s.read.parquet(failed).select("id", "reason", F.lit(None).cast("string").alias("title"))
+    return s.read.parquet(good).select("id", F.lit(None).cast("string").alias("reason"), "title").unionByName(bad)
+
+
+@query("stream_resumed", oracle("news_raw", "SELECT DISTINCT article_url FROM news_raw"))
+def _(s: SparkSession, sf: str) -> DataFrame:
+    """First-seen items over two runs of one query with its state in RocksDB: what lands before the second run repeats items of the first."""
+    source, checkpoint = _folder(s), _checkpoint(s)
+    rows = keep(raw(s, sf))
+    before = s.conf.get("spark.sql.streaming.stateStore.providerClass")
+    jobs.with_rocksdb(s)
+    for part in ("id % 3 <> 0", "id % 3 <> 1"):
+        rows.where(part).write.mode("append").parquet(source)
+        stream = jobs.landed(s, source, rows.schema.simpleString()[7:-1].replace(":", " "), 4)
+        out = jobs.drain(jobs.once(stream).select("article_url"), checkpoint)
+    s.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return out
+
+
+# --- keyed tables
+
+
+@query("state_upsert_batches", oracle("relevance_log", f"SELECT processed_id, relevance FROM ({_REL}) x WHERE relevance >= 0"))
+def _(s: SparkSession, sf: str) -> DataFrame:
+    """The relevance log in three batches that aren't in order of time, tombstones among them."""
+    table, log = _folder(s), keep(view(s, sf, "relevance_log"))
+    for part in (2, 0, 1):
+        tb.rewrite(log.where(f"event_id % 3 = {part}"), table, ["processed_id"], tb.last_wins(["processed_id"], ["ts", "event_id"]), 16)
+    return tb.live(tb.read_table(s, table), "relevance").select("processed_id", "relevance")
+
+
+@query("processed_item_upsert", oracle("items", f"SELECT id, title, signal_score, CASE WHEN id % 3 = 0 THEN 'again' ELSE themes END AS themes, CASE WHEN id % 3 = 0 THEN '{AS_OF_TEXT}' ELSE '2024-01-30T00:00:00+00:00' END AS processed_at FROM items"))
+def _(s: SparkSession, sf: str) -> DataFrame:
+    """Processed items inserted, and a third of them replaced by a later run."""
+    table = _folder(s)
+    rows = keep(processed(s, sf).select("id", "title", "signal_score", csv(F.col("theme_tags")).alias("themes"), F.lit("2024-01-30T00:00:00+00:00").alias("processed_at")))
+    tb.rewrite(rows, table, ["id"], tb.replaces(["id"], ["processed_at"]), 16)
+    again = rows.where("id % 3 = 0").withColumns({"themes": F.lit("again"), "processed_at": F.lit(AS_OF_TEXT)})
+    tb.rewrite(again, table, ["id"], tb.replaces(["id"], ["processed_at"]), 16)
+    return tb.read_table(s, table)
+
+
+@query("history_insert_batches", oracle("news_raw", "SELECT article_url, arg_min(id, (id % 3, id)) AS id FROM news_raw GROUP BY article_url"))
+def _(s: SparkSession, sf: str) -> DataFrame:
+    """Items in three batches into a history in buckets of its key, of which only the new rows are shuffled."""
+    name, rows = f"history_{uuid.uuid4().hex}", keep(raw(s, sf).select("article_url", "id", "title_raw"))
+    tb.history(s, name, _folder(s), "article_url string, id bigint, title_raw string", "article_url", 8)
+    for part in range(3):
+        tb.insert_absent(rows.where(f"id % 3 = {part}"), name, "article_url", "id", 8)
+    return s.table(name).select("article_url", "id")

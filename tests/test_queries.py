@@ -63,22 +63,14 @@ def test_blocked_pairs_equal_brute_force_with_edges(spark):
     assert got == {(r["left_id"], r["right_id"]) for r in m._verified(brute, p, 7).collect()}
 
 
-@pytest.mark.parametrize("mode", ["append", "complete"])
-def test_drained_rows_are_files(spark, tmp_path, mode):
+def test_drained_rows_are_files(spark, tmp_path):
     from market_signals.streaming import jobs
 
-    def run(name):
-        stream = jobs.landed(spark, str(tmp_path / name), "id long, k long, v long", 1)
-        out = jobs.current_values(stream, "k", "v", ["id"]) if mode == "complete" else stream.select("k", "v")
-        return jobs.drain(out, str(tmp_path / f"{name}_checkpoint"), mode)
-
-    spark.range(40).selectExpr("id", "id % 7 AS k", "id * 2 AS v").repartition(4).write.parquet(str(tmp_path / "some"))
+    spark.range(40).selectExpr("id", "id % 7 AS k").repartition(4).write.parquet(str(tmp_path / "some"))
     (tmp_path / "none").mkdir()
-    got = run("some")
-    assert got.inputFiles()
-    rows = sorted((r["k"], r["v"]) for r in got.collect())
-    assert rows == (sorted((i % 7, i * 2) for i in range(33, 40)) if mode == "complete" else sorted((i % 7, i * 2) for i in range(40)))
-    assert run("none").count() == 0
+    got = {name: jobs.drain(jobs.landed(spark, str(tmp_path / name), "id long, k long", 1), str(tmp_path / f"{name}_checkpoint")) for name in ("some", "none")}
+    assert got["some"].inputFiles() and sorted((r["id"], r["k"]) for r in got["some"].collect()) == [(i, i % 7) for i in range(40)]
+    assert got["none"].count() == 0
 
 
 def test_streams_resume_from_their_checkpoint(spark, tmp_path):
@@ -92,20 +84,6 @@ def test_streams_resume_from_their_checkpoint(spark, tmp_path):
         assert sorted(r["id"] for r in got.collect()) == list(range(first + 30))
 
 
-def test_streamed_health_goes_on_from_its_state(spark, tmp_path):
-    from market_signals.operators import registry as rg
-    from market_signals.streaming import jobs
-
-    log = [(f"2024-01-{1 + i // 3:02d}", f"s{i % 3}", (i * 7) % 11, "timeout" if i % 8 == 5 else None) for i in range(30)]
-    kind = "run string, source string, kept long, error string"
-    source, table, checkpoint = str(tmp_path / "log"), str(tmp_path / "table"), str(tmp_path / "checkpoint")
-    for part in (log[:12], log[12:]):
-        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(source)
-        jobs.each_batch(jobs.landed(spark, source, kind), jobs.health_batches(table), checkpoint)
-    want = sorted(map(tuple, rg.health(spark.createDataFrame(log, kind)).collect()))
-    assert sorted(map(tuple, spark.read.parquet(f"{table}/health").drop("batch").collect())) == want
-
-
 def test_verdicts_without_confidence_stay_verdicts(spark):
     from market_signals.operators import matching as m
 
