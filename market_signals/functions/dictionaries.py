@@ -40,7 +40,7 @@ OFFSHORE = ["offshore wind", "offshore", "wind farm", "floating wind", "fixed-bo
 ADJACENT = ["grid", "transmission", "interconnector", "hydrogen", "electrolyser", "port", "supply chain", "battery", "renewables", "power market"]
 OTHER_ENERGY = ["oil", "gas", "lng", "upstream", "drilling", "refinery", "petroleum"]
 BUCKETS = ["offshore_wind", "adjacent_energy", "other_energy"]
-CLUSTER_STOPWORDS = "a an and are as at be by for from in into is it its new of on or the to with offshore wind project projects".split()
+CLUSTER_STOPWORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "into", "is", "it", "its", "new", "of", "on", "or", "the", "to", "with", "offshore", "wind", "project", "projects"]
 GENERIC_TITLES = ["about", "about us", "about wind", "videos", "video", "photos", "photo", "membership", "events", "event", "careers", "career", "data", "policy", "news", "latest news", "position and statements", "contact", "login", "sign in", "register", "privacy", "cookie policy", "terms"]
 STATIC_PATHS = ["/about", "/membership", "/careers", "/events", "/videos", "/photos", "/contact", "/privacy", "/cookies", "/terms", "/login", "/register", "/tag/", "/category/"]
 SECTIONS = ["news", "latest-news", "about", "about-us", "events", "careers", "membership", "policy", "data", "video", "videos", "photo", "photos", "category", "tag"]
@@ -75,7 +75,7 @@ ACTIONS = [
 ]
 #: Parts of the texts that tell why an item matters.
 NEWS_WHY = ["This may influence offshore wind strategy in ", " through themes: "]
-OPPORTUNITY_WHY = ["This signal indicates a ", " opportunity via "]
+OPPORTUNITY_WHY = ["This signal indicates a ", " opportunity via ", " in ", ". Strategic fit is ", ", so it can influence near-term pipeline prioritization."]
 LEAD_SUFFIXES = {"TED": "TED radar", "DOFFIN": "Doffin", "WORLDBANK": "World Bank"}
 COMMON_FEED_PATHS = ["/feed", "/rss", "/rss.xml", "/feed.xml", "/atom.xml", "/service/rss"]
 #: The default profiles, in order of precedence.

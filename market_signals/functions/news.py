@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from market_signals.functions import dictionaries as d
-from market_signals.functions.text import has_any, has_word, hits, labels, or_default, tokens
+from market_signals.functions.text import any_of, has_word, hits, labels, or_default, tokens
 
 
 def theme_tags(low: Column, themes: dict[str, list[str]] = d.THEMES) -> Column:
@@ -33,14 +33,23 @@ def why_it_matters(themes: Column, places: Column) -> Column:
     return F.concat(F.lit(d.NEWS_WHY[0]), F.array_join(places, ", "), F.lit(d.NEWS_WHY[1]), F.array_join(themes, ", "), F.lit("."))
 
 
-def paywalled(title: Column, summary: Column, content: Column, text: Column) -> Column:
-    blob = F.lower(F.concat_ws(" ", F.coalesce(summary, F.lit("")), F.coalesce(content, F.lit("")), text))
-    return F.lower(F.coalesce(title, F.lit(""))).contains("[paywalled]") | has_any(blob, d.PAYWALL)
+def paywall_text(summary: Column, content: Column, text: Column) -> Column:
+    """What paywalled() searches."""
+    return F.lower(F.concat_ws(" ", F.coalesce(summary, F.lit("")), F.coalesce(content, F.lit("")), text))
 
 
-def domain(blob: Column) -> Column:
-    """Struct(bucket, confidence) of a normalised text by a decision list over three hit counts."""
-    off, near, other = hits(blob, d.OFFSHORE), hits(blob, d.ADJACENT), hits(blob, d.OTHER_ENERGY)
+def paywalled(title: Column, blob: Column) -> Column:
+    return F.lower(F.coalesce(title, F.lit(""))).contains("[paywalled]") | any_of(blob, d.PAYWALL)
+
+
+def domain_hits(blob: Column) -> dict[str, Column]:
+    """How many terms of offshore wind, of adjacent and of other energy a normalised text holds."""
+    return {"off": hits(blob, d.OFFSHORE), "near": hits(blob, d.ADJACENT), "other": hits(blob, d.OTHER_ENERGY)}
+
+
+def domain(blob: Column, counts: dict[str, Column] | None = None) -> Column:
+    """Struct(bucket, confidence) of a normalised text by a decision list over its three hit counts, which are best columns of their own."""
+    off, near, other = (counts or domain_hits(blob)).values()
 
     def to(bucket: str, confidence: float) -> Column:
         return F.struct(F.lit(bucket).alias("bucket"), F.lit(confidence).alias("confidence"))

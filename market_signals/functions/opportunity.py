@@ -6,8 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from market_signals.functions import dictionaries as d
-from market_signals.functions.text import first_case, has_any
-
+from market_signals.functions.text import any_of, first_case
 
 
 def family(low: Column) -> Column:
@@ -54,10 +53,10 @@ def company_fit(low: Column, country: Column, company: str, profiles: list[dict]
     negative = sorted({t for p in profiles for t in p["negative_keywords"]})
     qualifiers = sorted({t for p in profiles for t in p["qualifier"]})
     found = F.filter(F.array(*map(F.lit, qualifiers)), lambda t: low.contains(t)) if qualifiers else F.array().cast("array<string>")
-    hit = [has_any(low, p["keywords"]) for p in profiles]
+    hit = [any_of(low, p["keywords"]) for p in profiles]
     n = sum((h.cast("int") for h in hit), F.lit(0))
     services = F.sort_array(F.array_distinct(F.array_compact(F.array(*[F.when(h & F.lit(p["name"].strip() != ""), F.lit(p["name"])) for h, p in zip(hit, profiles, strict=True)]))))
-    ok = ~has_any(low, negative) & (F.size(found) > 0) & (n > 0)
+    ok = ~any_of(low, negative) & (F.size(found) > 0) & (n > 0)
     return F.when(ok, F.struct((country_score(country) + n * 3).alias("fit"), F.lit(-order).alias("place"), F.lit(company).alias("profile_name"), services.alias("services"), found.alias("qualifiers")))
 
 
@@ -90,5 +89,5 @@ def why_it_matters(kind: Column, way: Column, country: Column, strength: Column)
     place = F.coalesce(F.nullif(country, F.lit("")), F.lit("target markets"))
     return F.concat(
         F.lit(d.OPPORTUNITY_WHY[0]), F.replace(kind, F.lit("_"), F.lit(" ")), F.lit(d.OPPORTUNITY_WHY[1]), F.replace(way, F.lit("_"), F.lit(" ")),
-        F.lit(" in "), place, F.lit(". Strategic fit is "), F.lower(strength), F.lit(", so it can influence near-term pipeline prioritization."),
+        F.lit(d.OPPORTUNITY_WHY[2]), place, F.lit(d.OPPORTUNITY_WHY[3]), F.lower(strength), F.lit(d.OPPORTUNITY_WHY[4]),
     )

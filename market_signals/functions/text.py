@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add, or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,18 +34,24 @@ def has_word(low: Column, terms: list[str]) -> Column:
     terms = [t.strip().lower() for t in terms]
     short = [t for t in terms if len(t) <= 3 and t.isalpha()]
     rest = [t for t in terms if t and t not in short]
-    out = has_any(low, rest) if rest else F.lit(False)
+    out = any_of(low, rest)
     return out | low.rlike(rf"(^|[^\p{{L}}\p{{N}}_])({'|'.join(short)})([^\p{{L}}\p{{N}}_]|$)") if short else out
 
 
+def any_of(low: Column, terms: list[str]) -> Column:
+    """Whether a lower-case text column holds one of the terms as a plain substring. Compiled, the first hit ends it; a
+    text that is still to be computed belongs in a column of its own first, or in has_any()."""
+    return reduce(or_, [low.contains(t) for t in terms]) if terms else F.lit(False)
+
+
 def has_any(low: Column, terms: list[str]) -> Column:
-    """Whether a lower-case text holds one of the terms as a plain substring."""
+    """any_of() of a text expression, which is evaluated once."""
     return F.exists(F.array(*map(F.lit, terms)), lambda t: low.contains(t)) if terms else F.lit(False)
 
 
 def hits(low: Column, terms: list[str]) -> Column:
-    """How many of the terms a lower-case text holds."""
-    return F.size(F.filter(F.array(*map(F.lit, terms)), lambda t: low.contains(t))) if terms else F.lit(0)
+    """How many of the terms a lower-case text column holds."""
+    return reduce(add, [low.contains(t).cast("int") for t in terms]) if terms else F.lit(0)
 
 
 def labels(pairs: list[tuple[str, Column]]) -> Column:
@@ -77,7 +86,7 @@ def first_case(low: Column, groups: dict[str, list[str]], other: str) -> Column:
     """The first group one of whose terms the text holds."""
     out = None
     for name, terms in groups.items():
-        out = F.when(has_any(low, terms), name) if out is None else out.when(has_any(low, terms), name)
+        out = F.when(any_of(low, terms), name) if out is None else out.when(any_of(low, terms), name)
     return out.otherwise(other)
 
 

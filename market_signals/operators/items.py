@@ -9,13 +9,15 @@ from market_signals.functions import dictionaries as d
 from market_signals.functions import news as n
 from market_signals.functions.text import clean, filled, lead, norm
 from market_signals.operators.state import top_per
+from market_signals.session import keep
 
 
 def process(raw: DataFrame, as_of_text: str) -> DataFrame:
     """Raw items to processed ones: text, tags, score, paywall adjustment, texts and flags. No shuffle."""
     out = raw.withColumn("cleaned_text", clean(F.coalesce(filled("content_raw", "summary_raw", "title_raw"), F.lit("")))).withColumn("_low", F.lower("cleaned_text"))
     out = out.withColumns({"theme_tags": n.theme_tags(F.col("_low")), "geography_tags": n.geography_tags(F.col("_low")), "actors": n.actors(F.col("_low"))})
-    paid = n.paywalled(F.col("title_raw"), F.col("summary_raw"), F.col("content_raw"), F.col("cleaned_text"))
+    out = out.withColumn("_blob", n.paywall_text(F.col("summary_raw"), F.col("content_raw"), F.col("cleaned_text")))
+    paid = n.paywalled(F.col("title_raw"), F.col("_blob"))
     out = out.withColumns({"signal_score": n.signal_score(F.col("theme_tags"), F.col("geography_tags"), F.col("actors"), F.col("cleaned_text")), "_paid": paid, "_sum": lead(F.col("cleaned_text")), "title": F.coalesce(filled("title_raw"), F.lit("Untitled"))})
     return present(out, as_of_text)
 
@@ -58,8 +60,9 @@ def overlay(processed: DataFrame, enrichment: DataFrame) -> DataFrame:
 
 def with_domain(items: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """domain_bucket and domain_confidence: the stored ones, else by the rules over title, summary and themes."""
-    own = n.domain(norm(F.concat_ws(" ", "title", "summary", F.array_join("theme_tags", ","))))
-    out = items.withColumn("_d", own)
+    out = items.withColumn("_blob", norm(F.concat_ws(" ", "title", "summary", F.array_join("theme_tags", ","))))
+    out = out.withColumns({f"_{k}": c for k, c in n.domain_hits(F.col("_blob")).items()})
+    out = out.withColumn("_d", n.domain(F.col("_blob"), {k: F.col(f"_{k}") for k in ("off", "near", "other")})).drop("_blob", "_off", "_near", "_other")
     if stored is None:
         return out.select("*", F.col("_d.bucket").alias("domain_bucket"), F.col("_d.confidence").alias("domain_confidence")).drop("_d")
     s = stored.select(F.col("processed_id").alias("id"), F.col("domain_bucket").alias("_b"), F.col("domain_confidence").alias("_c"))
@@ -108,8 +111,9 @@ def ranked(items: DataFrame, order: list[Column], limit: int, bucket: str = "all
     rows = of_source(items, source)
     if prefetch is None:
         return in_domain(with_domain(rows), bucket).orderBy(*order).limit(max(limit, 1))
-    some = rows.orderBy(*order).limit(prefetch * limit)
-    return in_domain(with_domain(some), bucket).orderBy(*order).limit(max(limit, 1))
+    # written before the filter reads it, which otherwise would be pushed into the tags of the few rows and make them again and again
+    some = keep(with_domain(rows.orderBy(*order).limit(prefetch * limit)))
+    return in_domain(some, bucket).orderBy(*order).limit(max(limit, 1))
 
 
 def placed(items: DataFrame) -> DataFrame:

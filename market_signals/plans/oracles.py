@@ -116,7 +116,7 @@ CTES["opps"] = f"""SELECT id, notice_id, title_raw AS title, source_name, notice
   CASE WHEN country_raw = 'NOR' THEN 'Low' WHEN country_raw IN ('DNK', 'GBR') THEN 'Medium' ELSE 'High' END AS competition_level,
   CASE profile_name WHEN 'AGR' THEN '{_A['name']}' ELSE '{_M['name']}' END AS matched_services, CASE profile_name WHEN 'AGR' THEN qa ELSE qm END AS matched_qualifiers,
   CASE WHEN days <= 10 THEN '{d.ACTIONS[0]}' WHEN strategic_fit = 'Strong' THEN '{d.ACTIONS[1]}' ELSE '{d.ACTIONS[2]}' END AS recommended_action,
-  '{d.OPPORTUNITY_WHY[0]}' || replace(opportunity_family, '_', ' ') || '{d.OPPORTUNITY_WHY[1]}' || replace(mechanism_type, '_', ' ') || ' in ' || CASE WHEN country_raw = '' THEN 'target markets' ELSE country_raw END || '. Strategic fit is ' || lower(strategic_fit) || ', so it can influence near-term pipeline prioritization.' AS why_it_matters,
+  '{d.OPPORTUNITY_WHY[0]}' || replace(opportunity_family, '_', ' ') || '{d.OPPORTUNITY_WHY[1]}' || replace(mechanism_type, '_', ' ') || '{d.OPPORTUNITY_WHY[2]}' || CASE WHEN country_raw = '' THEN 'target markets' ELSE country_raw END || '{d.OPPORTUNITY_WHY[3]}' || lower(strategic_fit) || '{d.OPPORTUNITY_WHY[4]}' AS why_it_matters,
   CAST(greatest(0, least(100, fit + CASE WHEN opportunity_family IN ('market_competitions', 'procurement_tenders') THEN 8 ELSE 4 END + CASE WHEN days < 0 THEN -10 WHEN days <= 14 THEN 12 WHEN days <= 45 THEN 6 ELSE 0 END)) AS INTEGER) AS signal_score,
   CASE strategic_fit WHEN 'Strong' THEN 0.78::DOUBLE WHEN 'Medium' THEN 0.67::DOUBLE ELSE 0.58::DOUBLE END AS confidence, profile_name, '{AS_OF_TEXT}' AS processed_at, publication_date FROM n6 WHERE fit IS NOT NULL"""
 _HOST = "trim(lower(replace(regexp_extract(CASE WHEN {x} = '' THEN '' WHEN starts_with({x}, 'http://') OR starts_with({x}, 'https://') THEN {x} ELSE 'https://' || {x} END, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), 'www.', '')))"

@@ -215,18 +215,18 @@ _C = ["id", "title", "signal_score", "published_at", "domain_bucket"]
 
 def _first(s: SparkSession, sf: str, source: str | None = None) -> DataFrame:
     """The latest items that a ranking of 20 looks at, processed after the cut: its order needs raw columns alone."""
-    return it.process(it.of_source(raw(s, sf), source).orderBy(*it.raw_order(AS_OF_TEXT)).limit(100), AS_OF_TEXT)
+    return it.process(keep(it.of_source(raw(s, sf), source).orderBy(*it.raw_order(AS_OF_TEXT)).limit(100)), AS_OF_TEXT)
 
 
 def _best(s: SparkSession, sf: str) -> DataFrame:
     """The best items that a ranking of 20 looks at, of which all else is made after the cut."""
-    best = it.scored(raw(s, sf)).orderBy(F.desc("signal_score"), "id").limit(100)
+    best = keep(it.scored(raw(s, sf)).orderBy(F.desc("signal_score"), "id").limit(100))
     return it.process(best.drop("signal_score"), AS_OF_TEXT)
 
 
 query("news_latest", oracle("items", top("", _L, 20, "offshore_wind", ", ".join(_C))))(lambda s, sf: it.ranked(_first(s, sf), it.latest_order(), 20, "offshore-wind").select(_C))
 query("news_top_signals", oracle("items", top("", _S, 20, "offshore_wind", ", ".join(_C))))(lambda s, sf: it.ranked(_best(s, sf), it.score_order(), 20, "offshore_wind").select(_C))
-query("news_linkedin_candidates", oracle("items", top("WHERE linkedin_candidate = 1", _S, 20, "offshore_wind", ", ".join(_C))))(lambda s, sf: it.ranked(_best(s, sf).where("linkedin_candidate = 1"), it.score_order(), 20, "offshore_wind").select(_C))
+query("news_linkedin_candidates", oracle("items", top("WHERE linkedin_candidate = 1", _S, 20, "offshore_wind", ", ".join(_C))))(lambda s, sf: it.ranked(keep(_best(s, sf)).where("linkedin_candidate = 1"), it.score_order(), 20, "offshore_wind").select(_C))
 query("news_by_source", oracle("items", top("WHERE lower(source_name) = 'src3'", _L, 20, None, ", ".join(_C))))(lambda s, sf: it.ranked(_first(s, sf, " SRC3 "), it.latest_order(), 20, "all").select(_C))
 query("news_processed_since", oracle("items", f"SELECT id, published_at FROM items WHERE coalesce(published_at, processed_at) >= '2024-01-24' ORDER BY {_L} LIMIT 400"))(lambda s, sf: stored(s, sf).where(F.coalesce("published_at", "processed_at") >= "2024-01-24").orderBy(*it.latest_order()).limit(400).select("id", "published_at"))
 _REL = "SELECT processed_id, arg_max(coalesce(relevance, -1), (ts, event_id)) AS relevance FROM relevance_log GROUP BY processed_id"
@@ -397,8 +397,8 @@ query("crawl_rows", oracle("crawl_pages", f"""SELECT page_id, source AS source_n
 
 _COLS = ["id", "source", "title", "buyer", "country", "publication_date", "url", "cpv", "description"]
 _NORM = """SELECT CASE source_name WHEN 'TED' THEN 'TED-' WHEN 'DOFFIN' THEN 'DOFFIN-' ELSE 'WB-' END || id AS id, source_name AS source, title_raw AS title, buyer_raw AS buyer, CASE source_name WHEN 'DOFFIN' THEN 'NOR' ELSE country_raw END AS country, publication_date,
-  CASE source_name WHEN 'TED' THEN CASE WHEN id % 4 = 0 THEN notice_url ELSE 'https://ted.europa.eu/en/notice/-/detail/' || id END WHEN 'DOFFIN' THEN 'https://doffin.no/notices/DOFFIN'[1:27] || id ELSE 'https://projects.worldbank.org/en/projects-operations/procurement' END AS url,
-  CASE source_name WHEN 'WORLDBANK' THEN '' ELSE cpv END AS cpv, trim(lower(CASE source_name WHEN 'TED' THEN title_raw || ' ' || buyer_raw ELSE title_raw || ' ' || buyer_raw || ' ' || description_raw END)) AS description FROM notice_raw""".replace("'https://doffin.no/notices/DOFFIN'[1:27]", "'https://doffin.no/notices/'")
+  CASE source_name WHEN 'TED' THEN CASE WHEN id % 4 = 0 THEN notice_url ELSE 'https://ted.europa.eu/en/notice/-/detail/' || id END WHEN 'DOFFIN' THEN 'https://doffin.no/notices/' || id ELSE 'https://projects.worldbank.org/en/projects-operations/procurement' END AS url,
+  CASE source_name WHEN 'WORLDBANK' THEN '' ELSE cpv END AS cpv, trim(lower(CASE source_name WHEN 'TED' THEN title_raw || ' ' || buyer_raw ELSE title_raw || ' ' || buyer_raw || ' ' || description_raw END)) AS description FROM notice_raw"""
 query("notice_normalized", oracle("notice_raw", _NORM))(lambda s, sf: normalized(s, sf).withColumn("cpv", F.array_join("cpv_codes", ",")).select(_COLS))
 query("notice_first_value", oracle("notice_raw", "SELECT id, title_raw AS title, country_raw AS country FROM notice_raw WHERE source_name <> 'DOFFIN'"))(
     lambda s, sf: view(s, sf, "notice_json").where("source_name <> 'DOFFIN'").withColumn("v", F.try_parse_json("body")).select("id", F.coalesce(F.nullif(src.first_value("notice-title"), F.lit("")), src.text_at("$.project_name"), src.text_at("$.title")).alias("title"), src.country_code(F.coalesce(F.nullif(src.first_value("buyer-country"), F.lit("")), src.text_at("$.countrycode"))).alias("country"))

@@ -21,7 +21,7 @@ TITLES = [
 ]
 ENDINGS = ["", " in the North Sea", " says ministry", " with Vattenfall and Statkraft", " before 2026"]
 NOTICES = [
-    "Offshore wind tender for subsea cable survey", "Marine survey framework agreement", "Strategy advisory for port development",
+    "Open tender: inspection of inter-array cables at an offshore wind site", "Marine survey framework agreement", "Strategy advisory for port development",
     "School building construction with offshore cable", "Funding call for floating wind pilot",
     "CfD auction prequalification round, offshore market analysis", "Road maintenance", "Geotechnical site investigation, marine",
 ]
