@@ -6,18 +6,67 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from market_signals.functions.news import compatible, match_tokens
-from market_signals.functions.text import jaccard, parse_time, tokens
+from market_signals.functions.text import parse_time, tokens
 from market_signals.operators.state import top_per
 from market_signals.session import keep
 
 LEAST = 0.14
 TITLE, ACTORS = 0.75, 0.25
+#: 64-bit words of a sketch.
+LANES = 4
 
 
 def prepared(items: DataFrame) -> DataFrame:
     """id, place, bucket, at (seconds, null if undated), words, names of items that have a `place` in the list."""
     at = F.unix_seconds(parse_time(F.coalesce(F.nullif("published_at", F.lit("")), "processed_at")))
-    return items.select("id", "place", F.coalesce("domain_bucket", F.lit("other_energy")).alias("bucket"), at.alias("at"), match_tokens(F.col("title"), F.col("summary")).alias("words"), tokens(F.array_join("actors", ",")).alias("names"))
+    return items.select("id", "place", F.coalesce("domain_bucket", F.lit("other_energy")).alias("bucket"), at.alias("at"), match_tokens(F.col("title"), F.col("summary")).alias("words"), F.sort_array(tokens(F.array_join("actors", ","))).alias("names"))
+
+
+def ordered(items: DataFrame) -> DataFrame:
+    """Prepared items with their words from the rarest to the commonest of all items, n (their number) and a sketch of them.
+
+    The sketch has a bit for each word's hash: every bit that another sketch lacks stands for a word that the other lacks.
+    """
+    words = items.select("id", F.explode("words").alias("t"))
+    counts = words.groupBy("t").agg(F.count("*").alias("df"))
+    rare = words.join(counts, "t").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("s")).select("id", F.transform("s", lambda x: x["t"]).alias("words"))
+    out = items.drop("words").join(rare, "id", "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
+    place = lambda w: F.pmod(F.xxhash64(w), F.lit(64 * LANES))
+    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(place(w), F.lit(64)).cast("int"))
+    lane = lambda k: F.aggregate("words", F.lit(0).cast("bigint"), lambda got, w: F.when(F.floor(place(w) / 64) == k, got.bitwiseOR(bit(w))).otherwise(got))
+    return out.withColumn("n", F.size("words")).withColumn("sketch", F.struct(*[lane(k).alias(f"b{k}") for k in range(LANES)]))
+
+
+def keyed(items: DataFrame, share: Column, names: bool = True) -> DataFrame:
+    """Ordered items once for every key (c, t): c = w for each of the rarest words, of which two items with a word overlap of `share` have one in common, and c = a for each name.
+
+    The commonest words, and so the skewed keys, are left out.
+    """
+    n = F.col("n")
+    prefix = F.slice("words", 1, F.greatest(n - F.ceil(n * share - 1e-9) + 1, F.lit(0)).cast("int"))
+    tagged = lambda c, a: F.transform(a, lambda t: F.struct(F.lit(c).alias("c"), t.alias("t")))
+    every = F.concat(tagged("w", prefix), tagged("a", F.col("names"))) if names else tagged("w", prefix)
+    # offshore wind and adjacent energy go together, other buckets with themselves
+    kind = F.when(F.col("bucket").isin("offshore_wind", "adjacent_energy"), F.lit("wind")).otherwise(F.col("bucket"))
+    return items.select("*", kind.alias("kind"), F.explode(every).alias("k")).select("*", "k.c", "k.t").drop("k")
+
+
+def _candidates(left: DataFrame, right: DataFrame, window: int) -> DataFrame:
+    """Keyed rows (l, r) that share a key, l before r in the list, and pass the tests of day, bucket and the bound of the score by their sketches.
+
+    Dated items meet in buckets of days; undated ones, which go with every day, meet apart on the key alone.
+    """
+    day = F.floor(F.col("at") / (86400 * (window + 1)))
+    dated = lambda df: df.where("at is not null").withColumn("day", day)
+    near = dated(left).withColumn("day", F.explode(F.array(F.col("day") - 1, F.col("day"), F.col("day") + 1)))
+    parts = [(near, dated(right), ["c", "t", "kind", "day"]), (left.where("at is null"), right, ["c", "t", "kind"]), (left.where("at is not null"), right.where("at is null"), ["c", "t", "kind"])]
+    out = None
+    for x, y, on in parts:
+        both = x.alias("l").join(y.alias("r"), [F.col(f"l.{k}") == F.col(f"r.{k}") for k in on] + [F.col("l.place") > F.col("r.place")])
+        both = both.where(compatible(F.col("l.bucket"), F.col("r.bucket")) & _within("l", "r", window) & _reachable())
+        both = both.select(*[F.struct(*[F.col(f"{s}.{c}") for c in ("id", "place", "words", "names", "n")]).alias(s) for s in "lr"], F.col("l.c").alias("c"), F.col("l.t").alias("t"), F.col("l.need").alias("need"))
+        out = both if out is None else out.unionByName(both)
+    return out
 
 
 def _within(a: str, b: str, window: int) -> Column:
@@ -25,49 +74,68 @@ def _within(a: str, b: str, window: int) -> Column:
     return F.col(f"{a}.at").isNull() | F.col(f"{b}.at").isNull() | (F.abs(F.floor((F.col(f"{a}.at") - F.col(f"{b}.at")) / 86400)) <= window)
 
 
-def _verified(pairs: DataFrame, items: DataFrame, window: int) -> DataFrame:
-    """Pairs (a, b: ids) that pass, the one that stands earlier in the list left."""
-    x, y = items.alias("x"), items.alias("y")
-    out = pairs.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id"))
-    first = F.col("x.place") > F.col("y.place")
-    near = F.when(first, _within("x", "y", window)).otherwise(_within("y", "x", window))
-    score = F.lit(TITLE) * jaccard(F.col("x.words"), F.col("y.words")) + F.lit(ACTORS) * jaccard(F.col("x.names"), F.col("y.names"))
-    out = out.where(compatible(F.col("x.bucket"), F.col("y.bucket")) & near).withColumn("score", score).where(F.col("score") >= LEAST)
-    side = lambda c, l, r: F.when(first, F.col(f"{l}.{c}")).otherwise(F.col(f"{r}.{c}"))
-    return out.select(side("id", "x", "y").alias("left_id"), side("id", "y", "x").alias("right_id"), side("place", "y", "x").alias("right_place"), "score")
+def _reachable() -> Column:
+    """Whether the score of l and r may reach what l needs: no more words are common than bits of the sketches allow."""
+    lacks = lambda a, b: sum((F.bit_count(F.col(f"{a}.sketch.b{k}").bitwiseAND(F.bitwise_not(F.col(f"{b}.sketch.b{k}")))) for k in range(LANES)), F.lit(0))
+    common = F.least(F.col("l.n") - lacks("l", "r"), F.col("r.n") - lacks("r", "l"))
+    words = F.when(common > 0, common / (F.col("l.n") + F.col("r.n") - common)).otherwise(0.0)
+    names = F.when(F.arrays_overlap("l.names", "r.names"), F.least(F.size("l.names"), F.size("r.names")) / F.greatest(F.size("l.names"), F.size("r.names"))).otherwise(0.0)
+    # a pair without a common name is looked for by its words alone
+    return (F.lit(TITLE) * words + F.lit(ACTORS) * names >= F.col("l.need") - 1e-9) & ((F.col("l.c") == "a") | F.col("l.alone") | ~F.arrays_overlap("l.names", "r.names"))
+
+
+def _scored(candidates: DataFrame) -> DataFrame:
+    """left_id, right_id, right_place, score of the candidates that reach what they need, once each: where their first common key brought them together."""
+    overlap = lambda both, a, b: F.when(F.size(both) == 0, F.lit(0.0)).otherwise(F.size(both) / (F.size(a) + F.size(b) - F.size(both)))
+    common = F.array(F.struct(F.array_intersect("l.words", "r.words").alias("words"), F.array_intersect("l.names", "r.names").alias("names")))
+    first = lambda x: F.when(F.col("c") == "a", F.get(x["names"], 0)).otherwise(F.get(x["words"], 0))
+    told = F.transform(common, lambda x: F.struct(first(x).alias("t"), (F.lit(TITLE) * overlap(x["words"], F.col("l.words"), F.col("r.words")) + F.lit(ACTORS) * overlap(x["names"], F.col("l.names"), F.col("r.names"))).alias("score")))
+    # the overlaps are made once: no filter can be moved below the explode
+    out = candidates.withColumn("p", F.explode(F.filter(told, lambda p: (p["t"] == F.col("t")) & (p["score"] >= F.col("need")))))
+    return out.select(F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"), F.col("r.place").alias("right_place"), "p.score")
+
+
+def pair_candidates(items: DataFrame, days_window: int = 7) -> DataFrame:
+    """What candidate_pairs() compares, of ordered items: every pair once for each key that it shares."""
+    rows = keyed(items.withColumns({"need": F.lit(LEAST), "alone": F.lit(False)}), F.lit(LEAST / TITLE))
+    return _candidates(rows, rows, max(days_window, 1))
 
 
 def candidate_pairs(items: DataFrame, days_window: int = 7) -> DataFrame:
     """All pairs (earlier place left) with a score of LEAST and more, found through shared tokens without comparing all.
 
-    A pair needs a shared actor token, or, without one, a title overlap of LEAST / TITLE. For the latter it is enough to
-    look at each item's rarest tokens (prefix filter), which leaves the commonest and so the skewed ones out. Items with
+    A pair needs a shared actor token, or, without one, a title overlap of LEAST / TITLE; for the latter it is enough to
+    look at each item's rarest words. Key rows carry what a pair is judged by: sketches rule most pairs out within the
+    join, a pair is scored where its first common key is, and nothing is joined or made distinct afterwards. Items with
     one and the same actor match by that alone, so a common actor's pairs are part of the result; Spark splits such a
-    key's join. Both are joined within buckets of days; undated items, which pair with every day, are joined apart on
-    the token alone.
+    key's join.
+    """
+    return _scored(pair_candidates(keep(ordered(keep(prepared(items)))), days_window))
+
+
+def top_pairs(items: DataFrame, k: int = 8, days_window: int = 7, strict: float = 0.5) -> DataFrame:
+    """The best k partners of each left item among candidate_pairs(), of equal ones the earlier in the list, without making all pairs.
+
+    First come the pairs with a word overlap of `strict`, which few rare words find: an item's k-th best of them, if it
+    has so many, bounds what its best k must reach. Then each item looks for pairs with the rarest words that its own
+    bound leaves, and pairs that can't reach it stay in the join.
     """
+    items, k = keep(ordered(keep(prepared(items)))), max(k, 1)
+    return top_per(_scored(top_candidates(items, k, days_window, strict)), ["left_id"], [F.desc("score"), F.desc("right_place")], k)
+
+
+def top_candidates(items: DataFrame, k: int = 8, days_window: int = 7, strict: float = 0.5) -> DataFrame:
+    """What top_pairs() compares, of ordered items, after each item's bound is known."""
     window = max(days_window, 1)
-    items = keep(prepared(items))
-    share = LEAST / TITLE
-    words = items.select("id", F.explode("words").alias("t"))
-    counts = words.groupBy("t").agg(F.count("*").alias("df"))
-    rare = words.join(counts, "t").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("s"))
-    n = F.size("s")
-    prefix = rare.select("id", F.explode(F.slice("s", 1, (n - F.ceil(n * F.lit(share) - 1e-9) + 1).cast("int"))).alias("s")).select("id", F.concat(F.lit("w:"), "s.t").alias("t"))
-    names = items.select("id", F.explode("names").alias("t")).select("id", F.concat(F.lit("a:"), "t").alias("t"))
-    keys = prefix.unionByName(names).join(items.select("id", "at", "bucket"), "id")
-    keys = keys.withColumn("day", F.floor(F.col("at") / (86400 * (window + 1))))
-    # offshore wind and adjacent energy go together, other buckets with themselves
-    keys = keys.withColumn("kind", F.when(F.col("bucket").isin("offshore_wind", "adjacent_energy"), F.lit("wind")).otherwise(F.col("bucket"))).select("id", "t", "day", "kind")
-    dated, undated = keys.where("day is not null"), keys.where("day is null").drop("day")
-    spread = dated.select("id", "t", "kind", F.explode(F.array(F.col("day") - 1, F.col("day"), F.col("day") + 1)).alias("day"))
-    a = spread.alias("x").join(dated.alias("y"), ["t", "kind", "day"]).where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    b = undated.alias("x").join(keys.drop("day").alias("y"), ["t", "kind"]).where("x.id <> y.id").select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-    return _verified(a.unionByName(b).distinct(), items, window)
+    rows = keyed(items.withColumns({"need": F.lit(TITLE * strict), "alone": F.lit(True)}), F.lit(strict), names=False)
+    best = top_per(_scored(_candidates(rows, rows, window)), ["left_id"], [F.desc("score"), F.desc("right_place")], k)
+    bound = best.groupBy(F.col("left_id").alias("id")).agg(F.count("*").alias("found"), F.min("score").alias("need")).where(F.col("found") == k).select("id", "need")
+    own = keep(items.join(bound, "id", "left").withColumn("need", F.greatest("need", F.lit(LEAST))).withColumn("alone", F.lit(False)))
+    return _candidates(keyed(own, F.col("need") / TITLE), keyed(own, F.lit(LEAST / TITLE)), window)
 
 
 def best_pairs(pairs: DataFrame, k: int = 8) -> DataFrame:
-    """The best k partners of each left item; of equal ones the earlier in the list."""
+    """The best k partners of each left item among given pairs; of equal ones the earlier in the list."""
     return top_per(pairs, ["left_id"], [F.desc("score"), F.desc("right_place")], max(k, 1))
 
 

@@ -85,7 +85,7 @@ def verdicts(found: DataFrame) -> DataFrame:
 
 
 def judged(s: SparkSession, sf: str) -> DataFrame:
-    best = keep(m.best_pairs(pairs(s, sf)))
+    best = keep(m.top_pairs(it.placed(items(s, sf))))
     return m.judge(best, verdicts(best))
 
 
@@ -263,7 +263,7 @@ query("news_by_geography", oracle("items", "SELECT tag, count(*) AS n FROM (SELE
 # --- matching and review
 
 query("match_pairs", oracle("pairs", "SELECT left_id, right_id, score FROM pairs"))(lambda s, sf: pairs(s, sf).select("left_id", "right_id", "score"))
-query("match_pairs_topk", oracle("best", "SELECT * FROM best"))(lambda s, sf: m.best_pairs(pairs(s, sf)).select("left_id", "right_id", "score"))
+query("match_pairs_topk", oracle("best", "SELECT * FROM best"))(lambda s, sf: m.top_pairs(it.placed(items(s, sf))).select("left_id", "right_id", "score"))
 query("match_enqueued", oracle("queued", "SELECT left_id, right_id, same_story, confidence, reason_short, fallback FROM queued WHERE enqueue"))(lambda s, sf: judged(s, sf).where("enqueue").select("left_id", "right_id", "same_story", "confidence", "reason_short", "fallback"))
 query("verdict_validate", oracle("judged", "SELECT left_id, right_id, fallback, same_story, confidence, reason_short, entities, overlap_timeframe FROM judged"))(
     lambda s, sf: judged(s, sf).select("left_id", "right_id", "fallback", "same_story", "confidence", "reason_short", csv(F.col("overlap_entities")).alias("entities"), "overlap_timeframe")

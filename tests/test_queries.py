@@ -47,20 +47,74 @@ def test_query(spark, duck, name):
     assert mine == theirs
 
 
-def test_blocked_pairs_equal_brute_force_with_edges(spark):
-    from pyspark.sql import functions as F
+def pair_rows():
+    """Items with shared and repeated words and names, equal ones, undated ones, and some without words or names."""
+    rows = [(i, f"alpha w{i % 7} w{i % 11} tender", f"w{i % 5} cable", ["Equinor"] if i % 9 == 0 else ["BP", "Siemens Gamesa"] if i % 4 == 0 else [], ["offshore_wind", "adjacent_energy", "other_energy", None][i % 4], None if i % 13 == 0 else f"2024-01-{1 + i % 28:02d}T{i % 24:02d}:00:00+00:00", "2024-01-31T00:00:00+00:00" if i % 26 else "at some time") for i in range(1, 150)]
+    rows += [(200 + i, "equal story told again", "by all", ["Siemens Gamesa", "Vestas"], "offshore_wind", f"2024-01-{10 + i % 3:02d}", "2024-01-31T00:00:00+00:00") for i in range(14)]
+    rows += [(300, "", "", [], "offshore_wind", "2024-01-05", "x"), (301, "a b", None, ["Vestas"], "offshore_wind", "2024-01-05", "x"), (302, None, None, ["Vestas"], "adjacent_energy", "2024-01-06", "x")]
+    return rows
+
+
+def plain_pairs(rows, window=7):
+    """All pairs by comparing everything with everything."""
+    import re
+    from datetime import datetime, timezone
+
+    def time(text):
+        try:
+            t = datetime.fromisoformat(text)
+        except ValueError:
+            return None
+        return (t if t.tzinfo else t.replace(tzinfo=timezone.utc)).timestamp()
+
+    found = lambda text: set(re.findall("[a-z0-9]{3,}", text.lower()))
+    overlap = lambda a, b: len(a & b) / len(a | b) if a and b else 0.0
+    every = [(i, (at or made, made, -i), kind or "other_energy", time(at or made), found(f"{t or ''} {s or ''}"), found(",".join(names))) for i, t, s, names, kind, at, made in rows]
+    wind, out = ("offshore_wind", "adjacent_energy"), []
+    for a in every:
+        for b in every:
+            if a[1] > b[1] and (a[2] == b[2] or (a[2] in wind and b[2] in wind)) and (a[3] is None or b[3] is None or abs(math.floor((a[3] - b[3]) / 86400)) <= window):
+                score = 0.75 * overlap(a[4], b[4]) + 0.25 * overlap(a[5], b[5])
+                if score >= 0.14:
+                    out.append((a[0], b[0], score, b[1]))
+    return out
 
+
+@pytest.fixture(scope="module")
+def told(spark):
     from market_signals.operators import items as it
+
+    kind = "id long, title string, summary string, actors array<string>, domain_bucket string, published_at string, processed_at string"
+    return it.placed(spark.createDataFrame(pair_rows(), kind))
+
+
+def test_blocked_pairs_equal_brute_force_with_edges(told):
+    from market_signals.operators import matching as m
+
+    got = sorted((r["left_id"], r["right_id"], r["score"]) for r in m.candidate_pairs(told).collect())
+    assert got == sorted(p[:3] for p in plain_pairs(pair_rows()))
+
+
+@pytest.mark.parametrize("k", [1, 3, 8])
+def test_best_pairs_equal_those_of_all_pairs(told, k):
+    from market_signals.operators import matching as m
+
+    want, each = [], {}
+    for p in plain_pairs(pair_rows()):
+        each.setdefault(p[0], []).append(p)
+    for own in each.values():
+        # the best first; of equal ones the later place
+        own.sort(key=lambda p: p[3], reverse=True)
+        own.sort(key=lambda p: -p[2])
+        want += [p[:3] for p in own[:k]]
+    assert sorted((r["left_id"], r["right_id"], r["score"]) for r in m.top_pairs(told, k).collect()) == sorted(want)
+
+
+def test_bounds_keep_pairs_in_the_join(told):
     from market_signals.operators import matching as m
 
-    rows = [(i, f"alpha w{i % 7} w{i % 11} tender", f"w{i % 5} cable", ["Equinor"] if i % 9 == 0 else ["BP"] if i % 4 == 0 else [], ["offshore_wind", "adjacent_energy", "other_energy", None][i % 4], None if i % 13 == 0 else f"2024-01-{1 + i % 28:02d}T{i % 24:02d}:00:00+00:00", "2024-01-31T00:00:00+00:00") for i in range(1, 150)]
-    df = spark.createDataFrame(rows, "id long, title string, summary string, actors array<string>, domain_bucket string, published_at string, processed_at string")
-    df = it.placed(df)
-    got = {(r["left_id"], r["right_id"]) for r in m.candidate_pairs(df).collect()}
-    p = m.prepared(df)
-    a, b = p.alias("l"), p.alias("r")
-    brute = a.join(b, F.col("l.id") < F.col("r.id")).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
-    assert got == {(r["left_id"], r["right_id"]) for r in m._verified(brute, p, 7).collect()}
+    items = m.keep(m.ordered(m.keep(m.prepared(told))))
+    assert m.top_candidates(items, 2).count() < m.pair_candidates(items).count()
 
 
 def test_drained_rows_are_files(spark, tmp_path):
