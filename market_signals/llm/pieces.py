@@ -500,6 +500,10 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, end bytes of the pieces and n_tokens of every document."""
+    """doc_id, ids, end bytes of the pieces and n_tokens of every document.
+
+    A null or empty text has the begin and end ids alone; null ids and rows that repeat pass through, each with its row;
+    an empty table gives none; further columns are left out, as this stage comes last.
+    """
     coded = encode_documents(docs, default_model(), offsets=True)
     return coded.select("doc_id", "ids", "ends", F.size("ids").cast("long").alias("n_tokens"))

@@ -21,8 +21,9 @@ REACH = LENGTH - GRAM + 1
 STEP = 8
 #: Difference cover: every difference modulo PERIOD is one of two members of COVER.
 PERIOD, COVER = 7, (0, 1, 3)
-#: Suffix buckets that are handled one after the other: at least so many, and one for so many bytes of text.
-BUCKETS, BUCKET_BYTES = 2, 64_000_000_000
+#: Suffix buckets that are handled one after the other. Each is a pass over the texts, so their number doesn't follow the
+#: corpus: it says what share of the anchors (about 1.4 bytes for a byte of text) the disks hold at a time.
+BUCKETS = 2
 #: Pieces of one key that a task holds and sorts at most; the windows of a key with more are compared one by one.
 HOT = 20_000
 #: Bytes of text that a task hashes at once.
@@ -424,12 +425,12 @@ def removed(docs: DataFrame) -> DataFrame:
     empty table gives no rows; further columns are ignored.
     """
     docs = documents(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    counted = docs.agg(F.count("*").alias("n"), F.count("doc_id").alias("ids"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    counted = docs.agg(F.count("*").alias("n"), F.count("doc_id").alias("ids")).first()
     if counted["n"] == counted["ids"] and docs.groupBy("doc_id").count().where("count > 1").limit(1).count() == 0:
         docs = docs.withColumn("doc", F.col("doc_id"))
     else:
         docs = numbered(docs)
-    ranges = repeats(docs.select("doc", "text"), max(BUCKETS, -(-(counted["bytes"] or 0) // BUCKET_BYTES)))
+    ranges = repeats(docs.select("doc", "text"))
     by = ranges.groupBy("doc").agg(F.collect_set(F.struct("begin", "end")).alias("ranges"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

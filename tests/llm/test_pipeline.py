@@ -121,3 +121,17 @@ def test_stages_keep_the_columns(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).schema.simpleString() == docs.schema.simpleString()
         assert stage(spark, docs.limit(0), str(tmp_path)).agg(F.count("*")).first()[0] == 0
+
+
+def test_pipeline_of_an_empty_table_and_its_last_stage(spark, tmp_path):
+    rows, labels = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    name, last = corpus_pipeline.STAGES[-1]
+    some = spark.createDataFrame([(1, "a b", 7), (1, "a b", 7), (1, "c", 7), (None, "c", 7), (2, None, 7), (3, "", 7), (4, "word " * 60_000, 7)], "doc_id long, text string, ids int")
+    got = last(spark, some, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] or 0) for r in got) == [0, 1, 1, 1, 2, 3, 4]
+    assert {r["doc_id"]: r["n_tokens"] for r in got if r["doc_id"] in (2, 3)} == {2: 2, 3: 2}
+    assert all(len(r["ids"]) == r["n_tokens"] for r in got)
