@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from market_signals.functions.news import compatible, match_tokens
+from market_signals.functions.news import match_tokens
 from market_signals.functions.text import parse_time, tokens
 from market_signals.operators.state import top_per
 from market_signals.session import keep
@@ -23,7 +26,7 @@ def prepared(items: DataFrame) -> DataFrame:
 
 
 def ordered(items: DataFrame) -> DataFrame:
-    """Prepared items with their words from the rarest to the commonest of all items, n (their number) and a sketch of them.
+    """Prepared items with their words from the rarest to the commonest of all items, n and m (how many words and names) and a sketch b0, b1, ... of the words.
 
     The sketch has a bit for each word's hash: every bit that another sketch lacks stands for a word that the other lacks.
     """
@@ -34,7 +37,7 @@ def ordered(items: DataFrame) -> DataFrame:
     place = lambda w: F.pmod(F.xxhash64(w), F.lit(64 * LANES))
     bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(place(w), F.lit(64)).cast("int"))
     lane = lambda k: F.aggregate("words", F.lit(0).cast("bigint"), lambda got, w: F.when(F.floor(place(w) / 64) == k, got.bitwiseOR(bit(w))).otherwise(got))
-    return out.withColumn("n", F.size("words")).withColumn("sketch", F.struct(*[lane(k).alias(f"b{k}") for k in range(LANES)]))
+    return out.withColumns({"n": F.size("words"), "m": F.size("names")} | {f"b{k}": lane(k) for k in range(LANES)})
 
 
 def keyed(items: DataFrame, share: Column, names: bool = True) -> DataFrame:
@@ -46,13 +49,13 @@ def keyed(items: DataFrame, share: Column, names: bool = True) -> DataFrame:
     prefix = F.slice("words", 1, F.greatest(n - F.ceil(n * share - 1e-9) + 1, F.lit(0)).cast("int"))
     tagged = lambda c, a: F.transform(a, lambda t: F.struct(F.lit(c).alias("c"), t.alias("t")))
     every = F.concat(tagged("w", prefix), tagged("a", F.col("names"))) if names else tagged("w", prefix)
-    # offshore wind and adjacent energy go together, other buckets with themselves
+    # compatible buckets: offshore wind and adjacent energy go together, others with themselves
     kind = F.when(F.col("bucket").isin("offshore_wind", "adjacent_energy"), F.lit("wind")).otherwise(F.col("bucket"))
     return items.select("*", kind.alias("kind"), F.explode(every).alias("k")).select("*", "k.c", "k.t").drop("k")
 
 
 def _candidates(left: DataFrame, right: DataFrame, window: int) -> DataFrame:
-    """Keyed rows (l, r) that share a key, l before r in the list, and pass the tests of day, bucket and the bound of the score by their sketches.
+    """Keyed rows l, r that share a key, l before r in the list, and pass the tests of day and of the score's bound by their sketches.
 
     Dated items meet in buckets of days; undated ones, which go with every day, meet apart on the key alone.
     """
@@ -62,37 +65,37 @@ def _candidates(left: DataFrame, right: DataFrame, window: int) -> DataFrame:
     parts = [(near, dated(right), ["c", "t", "kind", "day"]), (left.where("at is null"), right, ["c", "t", "kind"]), (left.where("at is not null"), right.where("at is null"), ["c", "t", "kind"])]
     out = None
     for x, y, on in parts:
-        both = x.alias("l").join(y.alias("r"), [F.col(f"l.{k}") == F.col(f"r.{k}") for k in on] + [F.col("l.place") > F.col("r.place")])
-        both = both.where(compatible(F.col("l.bucket"), F.col("r.bucket")) & _within("l", "r", window) & _reachable())
-        both = both.select(*[F.struct(*[F.col(f"{s}.{c}") for c in ("id", "place", "words", "names", "n")]).alias(s) for s in "lr"], F.col("l.c").alias("c"), F.col("l.t").alias("t"), F.col("l.need").alias("need"))
+        same = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in on]
+        days = [F.abs(F.floor((F.col("l.at") - F.col("r.at")) / 86400)) <= window] if "day" in on else []
+        both = x.alias("l").join(y.alias("r"), [*same, F.col("l.place") > F.col("r.place"), *days, *_reachable()])
+        names = [F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "lr" for c in ("id", "place", "words", "names", "n", "m")]
+        both = both.select(*names, F.col("l.c").alias("c"), F.col("l.t").alias("t"), F.col("l.need").alias("need"))
         out = both if out is None else out.unionByName(both)
     return out
 
 
-def _within(a: str, b: str, window: int) -> Column:
-    """The day test: a pair passes if either has no time, or the floor of their distance in days is within the window."""
-    return F.col(f"{a}.at").isNull() | F.col(f"{b}.at").isNull() | (F.abs(F.floor((F.col(f"{a}.at") - F.col(f"{b}.at")) / 86400)) <= window)
-
+def _reachable() -> list[Column]:
+    """Whether the score of l and r may reach what l needs: no more words are common than bits of the sketches allow.
 
-def _reachable() -> Column:
-    """Whether the score of l and r may reach what l needs: no more words are common than bits of the sketches allow."""
-    lacks = lambda a, b: sum((F.bit_count(F.col(f"{a}.sketch.b{k}").bitwiseAND(F.bitwise_not(F.col(f"{b}.sketch.b{k}")))) for k in range(LANES)), F.lit(0))
+    Kept short, and without a division, as it stands in the innermost loop: c common words of n suffice if
+    TITLE c / (n - c) + bonus >= need. A pair without a common name is looked for by its words alone.
+    """
+    lacks = lambda a, b: reduce(add, [F.bit_count(F.col(f"{a}.b{k}").bitwiseAND(F.bitwise_not(F.col(f"{b}.b{k}")))) for k in range(LANES)])
     common = F.least(F.col("l.n") - lacks("l", "r"), F.col("r.n") - lacks("r", "l"))
-    words = F.when(common > 0, common / (F.col("l.n") + F.col("r.n") - common)).otherwise(0.0)
-    names = F.when(F.arrays_overlap("l.names", "r.names"), F.least(F.size("l.names"), F.size("r.names")) / F.greatest(F.size("l.names"), F.size("r.names"))).otherwise(0.0)
-    # a pair without a common name is looked for by its words alone
-    return (F.lit(TITLE) * words + F.lit(ACTORS) * names >= F.col("l.need") - 1e-9) & ((F.col("l.c") == "a") | F.col("l.alone") | ~F.arrays_overlap("l.names", "r.names"))
+    # bonus: names of a number m at the best
+    lift = F.col("l.need") - F.when((F.col("l.c") == "a") | F.col("l.alone"), F.lit(ACTORS) * F.least("l.m", "r.m") / F.greatest("l.m", "r.m", F.lit(1))).otherwise(0.0)
+    apart = (F.col("l.c") == "a") | F.col("l.alone") | (F.col("l.m") == 0) | (F.col("r.m") == 0) | ~F.arrays_overlap("l.names", "r.names")
+    return [common * (F.lit(TITLE) + lift) >= lift * (F.col("l.n") + F.col("r.n")) - 1e-6, apart]
 
 
 def _scored(candidates: DataFrame) -> DataFrame:
     """left_id, right_id, right_place, score of the candidates that reach what they need, once each: where their first common key brought them together."""
-    overlap = lambda both, a, b: F.when(F.size(both) == 0, F.lit(0.0)).otherwise(F.size(both) / (F.size(a) + F.size(b) - F.size(both)))
-    common = F.array(F.struct(F.array_intersect("l.words", "r.words").alias("words"), F.array_intersect("l.names", "r.names").alias("names")))
-    first = lambda x: F.when(F.col("c") == "a", F.get(x["names"], 0)).otherwise(F.get(x["words"], 0))
-    told = F.transform(common, lambda x: F.struct(first(x).alias("t"), (F.lit(TITLE) * overlap(x["words"], F.col("l.words"), F.col("r.words")) + F.lit(ACTORS) * overlap(x["names"], F.col("l.names"), F.col("r.names"))).alias("score")))
-    # the overlaps are made once: no filter can be moved below the explode
-    out = candidates.withColumn("p", F.explode(F.filter(told, lambda p: (p["t"] == F.col("t")) & (p["score"] >= F.col("need")))))
-    return out.select(F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"), F.col("r.place").alias("right_place"), "p.score")
+    overlap = lambda both, n: F.when(F.size(both) == 0, F.lit(0.0)).otherwise(F.size(both) / (F.col(f"l_{n}") + F.col(f"r_{n}") - F.size(both)))
+    # with the number of its partition no filter is moved below this, which would make the overlaps twice
+    both = candidates.select("*", F.array_intersect("l_words", "r_words").alias("words"), F.array_intersect("l_names", "r_names").alias("names"), F.spark_partition_id().alias("part"))
+    first = F.when(F.col("c") == "a", F.get("names", 0)).otherwise(F.get("words", 0))
+    out = both.where((first == F.col("t")) & (F.col("part") >= 0)).withColumn("score", F.lit(TITLE) * overlap(F.col("words"), "n") + F.lit(ACTORS) * overlap(F.col("names"), "m"))
+    return out.where("score >= need").select(F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"), F.col("r_place").alias("right_place"), "score")
 
 
 def pair_candidates(items: DataFrame, days_window: int = 7) -> DataFrame:

@@ -36,6 +36,16 @@ def profile_table(spark: SparkSession, profiles: list[dict] = d.PROFILES, active
     return load_profiles(spark.createDataFrame([(i, json.dumps(p)) for i, p in enumerate(profiles)], "place int, profile_json string"), active)
 
 
+def write_profiles(spark: SparkSession, path: str, profiles: list[dict] = d.PROFILES) -> None:
+    """Profiles as landed JSON lines (place, profile_json)."""
+    spark.createDataFrame([(i, json.dumps(p)) for i, p in enumerate(profiles)], "place int, profile_json string").write.mode("append").json(path)
+
+
+def read_profiles(spark: SparkSession, path: str, active: list[str] | None = None) -> DataFrame:
+    """The active profiles of landed JSON lines."""
+    return load_profiles(spark.read.schema("place int, profile_json string").json(path), active)
+
+
 def bundle_sets(table: DataFrame) -> DataFrame:
     """Sorted distinct CPVs, qualifiers and keywords of each company."""
 

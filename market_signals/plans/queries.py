@@ -432,7 +432,9 @@ def _(s: SparkSession, sf: str) -> DataFrame:
 
 @query("profile_bundle", oracle("notice_raw", "SELECT company, cpv_codes, qualifiers, keywords, (SELECT count(*) FROM notice_raw WHERE cpv IN (SELECT unnest(string_split(cpv_codes, ',')))) AS notices FROM (VALUES " + ", ".join(f"('{p['company']}', '{','.join(sorted(p['cpv_codes']))}', '{','.join(sorted(p['qualifier']))}', '{','.join(sorted(x.lower() for x in [*p['keywords'], *p['aliases']]))}')" for p in d.PROFILES) + ") b(company, cpv_codes, qualifiers, keywords)"))
 def _(s: SparkSession, sf: str) -> DataFrame:
-    sets = nt.bundle_sets(nt.profile_table(s))
+    path = _folder(s)
+    nt.write_profiles(s, path)
+    sets = nt.bundle_sets(nt.read_profiles(s, path))
     each = view(s, sf, "notice_raw").groupBy("cpv").agg(F.count("*").alias("c"))
     hit = sets.select("company", F.explode(F.split("cpv_codes", ",")).alias("cpv")).join(each, "cpv").groupBy("company").agg(F.sum("c").alias("c"))
     return sets.join(hit, "company", "left").select("company", "cpv_codes", "qualifiers", "keywords", F.coalesce("c", F.lit(0)).alias("notices"))

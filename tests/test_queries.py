@@ -160,3 +160,19 @@ def test_profiles_and_sources_load_from_json_with_broken_rows(spark):
     assert [r["company"] for r in nt.load_profiles(df, [" mav "]).collect()] == ["MAV"]
     sources = spark.createDataFrame([(2, 1, '{"name":"X","type":"rss","enabled":true}'), (1, 2, "null"), (0, 3, "oops")], "position int, id int, source_json string")
     assert [(r["position"], r["name"], r["enabled"]) for r in rg.load_registry(sources).collect()] == [(2, "X", True)]
+
+
+def test_profiles_and_sources_load_from_yaml(spark, tmp_path):
+    pytest.importorskip("yaml")
+    from market_signals.operators import notices as nt
+    from market_signals.operators import registry as rg
+    from market_signals.sources import config
+
+    (tmp_path / "p.yaml").write_text("profiles:\n  - company: agr\n    keywords: [A, ' b ']\n    aliases: B, c\n    cpv_codes: ['71354500', 71354501]\n  - just a text\n  - company: mav\n    name: M\n")
+    got = {r["company"]: r for r in nt.load_profiles(config.yaml_profiles(spark, str(tmp_path / "p.yaml"))).collect()}
+    assert set(got) == {"AGR", "MAV"} and got["AGR"]["keywords"] == ["a", "b", "c"] and got["AGR"]["cpv"] == ["71354500", "71354501"] and got["MAV"]["name"] == "M"
+    (tmp_path / "s.yaml").write_text("- name: X\n  type: rss\n  enabled: true\n  url: https://x.example.org/feed\n- name: Y\n  type: scrape\n  enabled: false\n- 3\n")
+    rows = rg.load_registry(config.yaml_registry(spark, str(tmp_path / "s.yaml"))).collect()
+    assert [(r["position"], r["name"], r["enabled"]) for r in sorted(rows, key=lambda r: r["position"])] == [(0, "X", True), (1, "Y", False)]
+    (tmp_path / "none.yaml").write_text("profiles:\n")
+    assert config.yaml_profiles(spark, str(tmp_path / "none.yaml")).count() == 0
