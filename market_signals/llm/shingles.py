@@ -41,6 +41,8 @@ SIGNED = 500_000
 CHUNK, CHUNK_SHINGLES = 1500, 2_000_000
 #: Up to so many sets of a cluster are compared without looking for shared signatures again.
 FEW = 64
+#: Rows of within().
+LINK, MEMBER, SIGNED_BY = 0, 1, 2
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -559,18 +561,123 @@ def linked_sets(docs: DataFrame, classes: DataFrame, share: int, n: int) -> Data
     clusters = components(near, thin=False).withColumnsRenamed({"node": "k1", "component": "cluster"})
     placed = keep(sets.select("k1", "rep", "n_shingles").join(clusters, "k1"))
     release(spark)
-    # chunks of a cluster; each pair of chunks is one task's work
-    sizes = placed.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n_shingles") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
-    placed = placed.join(sizes, "cluster").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    pair = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least("chunk", c).alias("x"), F.greatest("chunk", c).alias("y")))
-    members = sets.select("k1", "rep", "s").join(placed.select("k1", "rep", "cluster", "chunk", pair.alias("pairs")), ["k1", "rep"])
-    members = members.select("rep", "s", "cluster", "chunk", F.explode("pairs").alias("p")).select("cluster", "p.x", "p.y", "chunk", "rep", "s")
-    members = members.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y")
-    found = keep(members.mapInArrow(lambda batches: verify(batches, share, usual.value), "a bigint, b bigint"))
+    # chunks of a cluster are compared within themselves first
+    placed = keep(chunked(placed.drop("n_shingles"), placed, CHUNK, CHUNK_SHINGLES))
+    first_round = sets.select("k1", "rep", "s").join(placed, ["k1", "rep"]).select("cluster", "chunk", "rep", "s", (F.col("chunks") > 1).alias("many"))
+    first_round = first_round.repartition("cluster", "chunk").sortWithinPartitions("cluster", "chunk")
+    told = keep(first_round.mapInArrow(lambda batches: within(batches, share, usual.value), "what int, a bigint, b bigint, c bigint"))
+    found = told.where(F.col("what") == LINK).select("a", "b")
+    if told.where(F.col("what") == SIGNED_BY).limit(1).count():
+        found = found.unionByName(across(told, sets, placed, share, usual))
     forget(sets)
     return found
 
 
+def chunked(rows: DataFrame, sized: DataFrame, most: int, most_shingles: int) -> DataFrame:
+    """Rows (cluster, rep, ...) with their chunk of `chunks` of the cluster, by the sizes that `sized` (cluster, n_shingles) tells."""
+    sizes = sized.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / most), F.ceil(F.sum("n_shingles") / most_shingles)).cast("int").alias("chunks"))
+    return rows.join(sizes, "cluster").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+
+
+def within(batches: Iterator[pa.RecordBatch], share: int, common: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The links of each chunk (rows (cluster, chunk, rep, s, many) come sorted by it): LINK, a, b.
+
+    Of a chunk among many also what the others must know: MEMBER, rep, group for every set, where a group is what its
+    links connect, named by its smallest rep; and SIGNED_BY, signature, group, rep once for each signature of a group.
+    """
+    group, ids, sets, many = None, [], [], False
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        edges = tree_of(ids, sets, np.zeros(len(ids), int), share, common) if len(ids) > 1 else []
+        yield told(LINK, [e[0] for e in edges], [e[1] for e in edges])
+        if not many:
+            return
+        up = {i: i for i in ids}
+
+        def root(i: int) -> int:
+            while up[i] != i:
+                up[i] = i = up[up[i]]
+            return i
+
+        for a, b in edges:
+            a, b = sorted((root(a), root(b)))
+            up[b] = a
+        yield told(MEMBER, list(up), [root(i) for i in up])
+        sigs = [all_signatures(s, share, common).view(np.int64) for s in sets]
+        sizes, sig = [len(x) for x in sigs], np.concatenate(sigs)
+        comp, rep = (np.repeat(np.array(x, np.int64), sizes) for x in ([root(i) for i in ids], ids))
+        order = np.lexsort((rep, comp, sig))
+        sig, comp, rep = sig[order], comp[order], rep[order]
+        new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (comp[1:] != comp[:-1])]) if len(sig) else np.zeros(0, bool)
+        yield told(SIGNED_BY, sig[new], comp[new], rep[new])
+
+    def told(what: int, a, b, c=None) -> pa.RecordBatch:
+        n = len(a)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, what, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(n, pa.int64()) if c is None else pa.array(c, pa.int64())], names=["what", "a", "b", "c"])
+
+    for batch in batches:
+        for cluster, chunk, rep, s, among in zip(*(batch.column(c).to_pylist() for c in ("cluster", "chunk", "rep", "s", "many")), strict=True):
+            if (cluster, chunk) != group:
+                if ids and (many or len(ids) > 1):
+                    yield from rows()
+                group, ids, sets, many = (cluster, chunk), [], [], among
+            ids.append(rep)
+            sets.append(np.frombuffer(s, np.uint64))
+    if ids and (many or len(ids) > 1):
+        yield from rows()
+    tidy()
+
+
+def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(x, y, a, b): groups x < y that stand next to each other in a signature's order, with the members that have it; rows (sig, comp, rep) come sorted."""
+    last: tuple | None = None
+    for batch in batches:
+        out = []
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if last is not None and last[0] == row[0] and last[1] != row[1]:
+                out.append((last[1], row[1], last[2], row[2]))
+            last = row
+        out = sorted({r[:2]: r for r in out}.values())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(4)], names=["x", "y", "a", "b"])
+
+
+def across(told: DataFrame, sets: DataFrame, placed: DataFrame, share: int, usual) -> DataFrame:
+    """Links between the chunks of clusters that have many, from what within() tells.
+
+    A signature's groups are tied one to the next by comparing two members that have it: of near copies this connects
+    all chunks, with a few sets a pair of groups. Only groups that share a signature and are still apart go on, with all
+    their sets, to the tasks of all pairs of their cluster's chunks.
+    """
+    signed = told.where(F.col("what") == SIGNED_BY).select(F.col("a").alias("sig"), F.col("b").alias("comp"), F.col("c").alias("rep"))
+    near = signed.repartition("sig").sortWithinPartitions("sig", "comp").mapInArrow(neighbours, "x bigint, y bigint, a bigint, b bigint")
+    near = near.groupBy("x", "y").agg(F.min(F.struct("a", "b")).alias("p")).select("x", "y", "p.a", "p.b")
+    own = sets.select("rep", "s")
+    both = near.join(own.withColumnsRenamed({"rep": "a", "s": "sa"}), "a").join(own.withColumnsRenamed({"rep": "b", "s": "sb"}), "b").select("x", "y", "a", "b", "sa", "sb")
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = [[np.frombuffer(v, np.uint64) for v in batch.column(k).to_pylist()] for k in ("sa", "sb")]
+            ok = pa.array([links(p, q, share) for p, q in zip(*sides, strict=True)], pa.bool_())
+            yield batch.select(["x", "y", "a", "b"]).filter(ok)
+        tidy()
+
+    tied = keep(both.mapInArrow(linked, "x bigint, y bigint, a bigint, b bigint"))
+    joined = keep(components(tied.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnsRenamed({"node": "comp", "component": "whole"}))
+    wide = signed.join(joined, "comp", "left").select("sig", "comp", F.coalesce("whole", "comp").alias("whole"))
+    apart_yet = wide.groupBy("sig").agg(F.min("whole").alias("u"), F.max("whole").alias("v")).where("u <> v").select("sig")
+    open_ = keep(wide.join(apart_yet, "sig").select("comp").distinct())
+    found = tied.select("a", "b")
+    if not open_.limit(1).count():
+        return found
+    left = told.where(F.col("what") == MEMBER).select(F.col("a").alias("rep"), F.col("b").alias("comp")).join(open_, "comp").select("rep").distinct()
+    rest = keep(sets.select("k1", "rep", "s", "n_shingles").join(placed.select("k1", "rep", "cluster"), ["k1", "rep"]).join(left, "rep").select("cluster", "rep", "s", "n_shingles"))
+    members = chunked(rest.drop("n_shingles"), rest, CHUNK, CHUNK_SHINGLES)
+    pair = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least("chunk", c).alias("x"), F.greatest("chunk", c).alias("y")))
+    members = members.withColumn("p", F.explode(pair)).select("cluster", "p.x", "p.y", "chunk", "rep", "s")
+    members = members.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y")
+    return found.unionByName(keep(members.mapInArrow(lambda batches: verify(batches, share, usual.value), "a bigint, b bigint")))
+
+
 def join_components(docs: DataFrame, share: int = 80, n: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id of every row: documents link when 100 * common >= share * union of their shingle sets.
 
@@ -580,8 +687,10 @@ def join_components(docs: DataFrame, share: int = 80, n: int = 5) -> DataFrame:
        them over the sets that remain.
     3. What remains gives its PartEnum signatures. Sets that share one make candidate clusters (stars within a task's
        load and chains over the sorted rows of a signature: what is emitted grows with the rows, not with their pairs).
-    4. The sets go to their cluster's tasks, in pairs of chunks of CHUNK sets, where pairs that share a signature and
-       aren't connected yet are compared exactly.
+    4. The sets go to their cluster's tasks, in chunks of CHUNK sets, where pairs that share a signature and aren't
+       connected yet are compared exactly. Of a cluster of many chunks, what is connected within them is tied across them
+       by a comparison for each two groups next to each other in a signature; only groups that share a signature and
+       stay apart are compared in all pairs of chunks.
     5. The links' components, mapped back to all documents by class.
 
     Null and empty texts have no shingles and link with nothing, so their component is themselves. Rows that repeat a
