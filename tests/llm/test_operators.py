@@ -276,30 +276,6 @@ def test_shingle_join_equals_brute_force(spark, mixed, share, n, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(texts, share, n)
 
 
-def test_hot_clusters_are_tied_by_few_comparisons(spark, monkeypatch):
-    rng = random.Random(8)
-    base = words(rng, 120).split()
-    near = []
-    for i in range(150):
-        w = list(base)
-        w[rng.randrange(len(w))] = f"edit{i}"
-        near.append((i, " ".join(w)))
-    # a path: each text is near the one before it and far from the others, and shares much with all
-    path = [(500 + i, " ".join(base[i * 2 :] + [f"tail{k}" for k in range(i * 2)])) for i in range(40)]
-    sent = []
-    monkeypatch.setattr(shingles, "CHUNK", 8)
-    across, chunked, dealt = shingles.across, shingles.chunked, []
-    monkeypatch.setattr(shingles, "chunked", lambda rows, *more: dealt.append(rows.columns) or chunked(rows, *more))
-    monkeypatch.setattr(shingles, "across", lambda told, *more: sent.append({what: told.where(f"what = {what}").count() for what in (0, 1, 2)}) or across(told, *more))
-    for texts in (near, path, near + path):
-        got = shingles.join_components(frame(spark, texts), 80, 5).collect()
-        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(texts, 80, 5)
-        # sets of near copies are dealt into chunks once, and never into pairs of chunks
-        assert texts is not near or len(dealt) == 1
-    # of near copies every chunk is one group
-    assert sent and sent[0][1] == 150 and sent[0][0] == 150 - len(range(0, 150, 8))
-
-
 def test_shingle_join_edges(spark):
     got = shingles.join_components(frame(spark, [(5, "a b"), (2, "A B"), (None, "a b"), (7, None), (8, ""), (3, "a b"), (3, "c d")])).collect()
     assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in got) == [(0, 0), (2, 2), (3, 2), (3, 2), (5, 2), (7, 7), (8, 8)]
