@@ -34,8 +34,9 @@ def has_word(low: Column, terms: list[str]) -> Column:
     terms = [t.strip().lower() for t in terms]
     short = [t for t in terms if len(t) <= 3 and t.isalpha()]
     rest = [t for t in terms if t and t not in short]
-    out = any_of(low, rest)
-    return out | low.rlike(rf"(^|[^\p{{L}}\p{{N}}_])({'|'.join(short)})([^\p{{L}}\p{{N}}_]|$)") if short else out
+    # the plain test leaves few texts to the pattern, which looks around a term only where it stands
+    alone = [low.contains(t) & low.rlike(rf"{t}(?<![\p{{L}}\p{{N}}_]{t})(?![\p{{L}}\p{{N}}_])") for t in short]
+    return reduce(or_, [*alone, any_of(low, rest)])
 
 
 def any_of(low: Column, terms: list[str]) -> Column:

@@ -26,29 +26,30 @@ def prepared(items: DataFrame) -> DataFrame:
 
 
 def ordered(items: DataFrame) -> DataFrame:
-    """Prepared items with their words from the rarest to the commonest of all items, n and m (how many words and names) and a sketch b0, b1, ... of the words.
+    """Prepared items with their words as numbers, from the rarest to the commonest of all items, n and m (how many words and names) and a sketch b0, b1, ... of the words.
 
-    The sketch has a bit for each word's hash: every bit that another sketch lacks stands for a word that the other lacks.
+    Each word's number is its own, whatever it is: pairs are judged by numbers alone. The sketch has a bit for each
+    word's hash: every bit that another sketch lacks stands for a word that the other lacks.
     """
     words = items.select("id", F.explode("words").alias("t"))
-    counts = words.groupBy("t").agg(F.count("*").alias("df"))
-    rare = words.join(counts, "t").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("s")).select("id", F.transform("s", lambda x: x["t"]).alias("words"))
-    out = items.drop("words").join(rare, "id", "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
-    place = lambda w: F.pmod(F.xxhash64(w), F.lit(64 * LANES))
-    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(place(w), F.lit(64)).cast("int"))
-    lane = lambda k: F.aggregate("words", F.lit(0).cast("bigint"), lambda got, w: F.when(F.floor(place(w) / 64) == k, got.bitwiseOR(bit(w))).otherwise(got))
-    return out.withColumns({"n": F.size("words"), "m": F.size("names")} | {f"b{k}": lane(k) for k in range(LANES)})
+    counts = keep(words.groupBy("t").agg(F.count("*").alias("df"))).withColumn("w", F.monotonically_increasing_id())
+    rare = words.join(counts, "t").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("s")).select("id", F.transform("s", lambda x: x["w"]).alias("words"))
+    out = items.drop("words").join(rare, "id", "left").withColumn("words", F.coalesce("words", F.array().cast("array<bigint>")))
+    out = out.withColumn("places", F.transform("words", lambda w: F.pmod(F.xxhash64(w), F.lit(64 * LANES)).cast("int")))
+    bit = lambda k: lambda x: F.call_function("shiftleft", F.lit(1).cast("bigint"), x - 64 * k)
+    lane = lambda k: F.aggregate(F.filter("places", lambda x: F.floor(x / 64) == k), F.lit(0).cast("bigint"), lambda got, x: got.bitwiseOR(bit(k)(x)))
+    return out.withColumns({"n": F.size("words"), "m": F.size("names")} | {f"b{k}": lane(k) for k in range(LANES)}).drop("places")
 
 
 def keyed(items: DataFrame, share: Column, names: bool = True) -> DataFrame:
-    """Ordered items once for every key (c, t): c = w for each of the rarest words, of which two items with a word overlap of `share` have one in common, and c = a for each name.
+    """Ordered items once for every key (c, t): c = w for each of the rarest words, of which two items with a word overlap of `share` have one in common, and c = a for each name (by its hash).
 
     The commonest words, and so the skewed keys, are left out.
     """
     n = F.col("n")
     prefix = F.slice("words", 1, F.greatest(n - F.ceil(n * share - 1e-9) + 1, F.lit(0)).cast("int"))
     tagged = lambda c, a: F.transform(a, lambda t: F.struct(F.lit(c).alias("c"), t.alias("t")))
-    every = F.concat(tagged("w", prefix), tagged("a", F.col("names"))) if names else tagged("w", prefix)
+    every = F.concat(tagged("w", prefix), tagged("a", F.transform("names", lambda x: F.xxhash64(x)))) if names else tagged("w", prefix)
     # compatible buckets: offshore wind and adjacent energy go together, others with themselves
     kind = F.when(F.col("bucket").isin("offshore_wind", "adjacent_energy"), F.lit("wind")).otherwise(F.col("bucket"))
     return items.select("*", kind.alias("kind"), F.explode(every).alias("k")).select("*", "k.c", "k.t").drop("k")
@@ -67,7 +68,8 @@ def _candidates(left: DataFrame, right: DataFrame, window: int) -> DataFrame:
     for x, y, on in parts:
         same = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in on]
         days = [F.abs(F.floor((F.col("l.at") - F.col("r.at")) / 86400)) <= window] if "day" in on else []
-        both = x.alias("l").join(y.alias("r"), [*same, F.col("l.place") > F.col("r.place"), *days, *_reachable()])
+        # the rows are many times the table that they are made of, whose size alone Spark would look at for a broadcast
+        both = x.alias("l").join(y.hint("merge").alias("r"), [*same, F.col("l.place") > F.col("r.place"), *days, *_reachable()])
         names = [F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "lr" for c in ("id", "place", "words", "names", "n", "m")]
         both = both.select(*names, F.col("l.c").alias("c"), F.col("l.t").alias("t"), F.col("l.need").alias("need"))
         out = both if out is None else out.unionByName(both)
@@ -93,7 +95,7 @@ def _scored(candidates: DataFrame) -> DataFrame:
     overlap = lambda both, n: F.when(F.size(both) == 0, F.lit(0.0)).otherwise(F.size(both) / (F.col(f"l_{n}") + F.col(f"r_{n}") - F.size(both)))
     # with the number of its partition no filter is moved below this, which would make the overlaps twice
     both = candidates.select("*", F.array_intersect("l_words", "r_words").alias("words"), F.array_intersect("l_names", "r_names").alias("names"), F.spark_partition_id().alias("part"))
-    first = F.when(F.col("c") == "a", F.get("names", 0)).otherwise(F.get("words", 0))
+    first = F.when(F.col("c") == "a", F.xxhash64(F.get("names", 0))).otherwise(F.get("words", 0))
     out = both.where((first == F.col("t")) & (F.col("part") >= 0)).withColumn("score", F.lit(TITLE) * overlap(F.col("words"), "n") + F.lit(ACTORS) * overlap(F.col("names"), "m"))
     return out.where("score >= need").select(F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"), F.col("r_place").alias("right_place"), "score")
 

@@ -13,6 +13,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SENT: set[str] = set()
+#: Folders of keep(), by application.
+_KEPT: dict[str, list[str]] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -59,5 +61,18 @@ def keep(df: DataFrame) -> DataFrame:
     """Write a result that several branches of a plan read as Parquet into the shared folder, and read it again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    _KEPT.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete the tables that keep() has written in this application: what reads them must be done with. Returns how many went.
+
+    Results are lazy, so only their user knows when: call it between jobs, once a result is written.
+    """
+    paths = _KEPT.pop(spark.sparkContext.applicationId, [])
+    for p in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(p)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return len(paths)

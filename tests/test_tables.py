@@ -1,5 +1,6 @@
 """Keyed tables, history in buckets, and the streams that write them."""
 
+import os
 import random
 
 import pytest
@@ -209,3 +210,13 @@ def test_contents_decide_what_is_news(spark, tmp_path):
         path = str(tmp_path / f"atom={atom}" / "feeds")
         fd.write_feed(df, path, atom)
         assert {r["article_url"][-1]: r["is_news"] for r in fd.entries(fd.read_feeds(spark, path)).collect()} == {"0": True, "1": False, "2": True}
+
+
+def test_kept_tables_go_when_their_user_is_done(spark):
+    from market_signals.session import keep, sweep
+
+    sweep(spark)
+    a, b = keep(spark.range(5)), keep(spark.range(3))
+    files = [*a.inputFiles(), *b.inputFiles()]
+    assert a.count() + b.count() == 8 and sweep(spark) == 2 and sweep(spark) == 0
+    assert not any(os.path.exists(f.removeprefix("file://").removeprefix("file:")) for f in files)
