@@ -88,6 +88,9 @@ def rewrite(batch: DataFrame, path: str, by: list[str], change: Change, buckets:
     Other buckets' files stay as they are. New files come first, the version that names them last: a reader sees a batch
     as a whole or not at all, and a write that dies leaves files that no version names (see clean). With a batch
     `number`, one that is in already is left out, so that a stream may repeat it. One writer at a time.
+
+    Rows are gathered by bucket while they are written; a bucket over spark.sql.adaptive.advisoryPartitionSizeInBytes
+    goes to several tasks and files, so that no task's work grows with the table.
     """
     spark = batch.sparkSession
     last = version(spark, path) or Version(0, by, buckets, ", ".join(f"`{c}` {t}" for c, t in batch.dtypes))
@@ -97,7 +100,7 @@ def rewrite(batch: DataFrame, path: str, by: list[str], change: Change, buckets:
     hit = sorted(r[0] for r in new.select("_bucket").distinct().collect())
     out = change(_rows(spark, path, last, hit), new.drop("_bucket")).withColumn("_bucket", bucket(last.by, last.buckets))
     folder = f"data/{uuid.uuid4().hex}"
-    out.repartition(max(1, len(hit)), "_bucket").write.partitionBy("_bucket").parquet(f"{path}/{folder}")
+    out.hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(f"{path}/{folder}")
     new.unpersist()
     written = {n.split("=")[1] for n in _names(spark, f"{path}/{folder}") if n.startswith("_bucket=")}
     folders = {b: f for b, f in last.folders.items() if int(b) not in hit} | {b: folder for b in written}

@@ -66,13 +66,22 @@ def keep(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sweep(spark: SparkSession) -> int:
+def kept(spark: SparkSession) -> int:
+    """How many tables keep() has written in this application and sweep() has not deleted yet."""
+    return len(_KEPT.get(spark.sparkContext.applicationId, []))
+
+
+def sweep(spark: SparkSession, after: int = 0, but: DataFrame | None = None) -> int:
     """Delete the tables that keep() has written in this application: what reads them must be done with. Returns how many went.
 
-    Results are lazy, so only their user knows when: call it between jobs, once a result is written.
+    Results are lazy, so only their user knows when: call it between jobs, once a result is written. The first `after`
+    tables stay (see kept), as does the one that `but` reads.
     """
-    paths = _KEPT.pop(spark.sparkContext.applicationId, [])
-    for p in paths:
+    paths = _KEPT.get(spark.sparkContext.applicationId, [])
+    names = {f.rsplit("/", 2)[-2] for f in but.inputFiles()} if but is not None else set()
+    gone = [p for p in paths[after:] if p.rsplit("/", 1)[-1] not in names]
+    for p in gone:
         folder = spark._jvm.org.apache.hadoop.fs.Path(p)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    return len(paths)
+    _KEPT[spark.sparkContext.applicationId] = [p for p in paths if p not in gone]
+    return len(gone)

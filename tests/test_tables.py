@@ -72,6 +72,22 @@ def test_a_batch_rewrites_only_its_buckets_and_a_dead_write_is_never_seen(spark,
         tb.publish(spark, path, tb.version(spark, path))
 
 
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    path, size = str(tmp_path / "t"), "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    rows = spark.range(0, 60_000, 1, 8).select(F.col("id").alias("k"), F.lit(0).cast("long").alias("ts"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
+    spark.conf.set(size, "200000")
+    try:
+        tb.rewrite(rows, path, ["k"], tb.replaces(["k"], ["ts"]), 2)
+        tb.rewrite(rows.where("k < 30000").withColumn("ts", F.lit(1).cast("long")), path, ["k"], tb.replaces(["k"], ["ts"]), 2)
+    finally:
+        spark.conf.set(size, before)
+    got = tb.read_table(spark, path)
+    assert got.agg(F.count("*"), F.countDistinct("k"), F.sum("ts")).first()[:] == (60_000, 60_000, 30_000)
+    files = [f.rsplit("/", 2)[1] for f in got.inputFiles()]
+    assert set(files) == {"_bucket=0", "_bucket=1"} and min(files.count(b) for b in set(files)) > 1
+
+
 def test_numbered_batches_count_once_and_empty_ones_change_nothing(spark, tmp_path):
     path = str(tmp_path / "t")
     with pytest.raises(FileNotFoundError):
@@ -220,3 +236,16 @@ def test_kept_tables_go_when_their_user_is_done(spark):
     files = [*a.inputFiles(), *b.inputFiles()]
     assert a.count() + b.count() == 8 and sweep(spark) == 2 and sweep(spark) == 0
     assert not any(os.path.exists(f.removeprefix("file://").removeprefix("file:")) for f in files)
+
+
+def test_kept_tables_of_a_step_go_and_its_result_stays(spark):
+    from market_signals.session import keep, kept, sweep
+
+    sweep(spark)
+    first = keep(spark.range(5))
+    before = kept(spark)
+    part = keep(first.where("id > 1"))
+    result = keep(part.where("id > 2"))
+    assert sweep(spark, before, result) == 1 and kept(spark) == 2
+    assert first.count() == 5 and rows_of(result) == [(3,), (4,)]
+    assert sweep(spark) == 2 and kept(spark) == 0
