@@ -5,9 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import sys
-import tempfile
 import time
-import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import suppress
 
@@ -17,6 +15,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from market_signals.session import keep, shared_dir, spread
+
+__all__ = ["WORD", "blocks", "documents", "fold", "forget", "keep", "labelled", "read", "release", "shared_dir", "small", "spread", "text_bytes", "tidy"]
+
 #: White space of the contracts' word pattern `[^\x20\x09-\x0D]+`.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -32,11 +34,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A table of one file in as many partitions as there are cores: one file has few row groups, which alone make tasks. Larger tables stay as they are."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if len(df.inputFiles()) == 1 else df
-
-
 def tidy() -> None:
     """Give freed memory of a Python worker back at the end of a task: workers stay, and stand beside the heap of an executor."""
     gc.collect()
@@ -46,25 +43,6 @@ def tidy() -> None:
             ctypes.CDLL(None).malloc_trim(0)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors see; a temporary one only where it is unset in local mode (tests)."""
-    there = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not there:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        there = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", there)
-    return there
-
-
-def keep(df: DataFrame) -> DataFrame:
-    """Write `df` as Parquet into the shared folder and read it again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def forget(df: DataFrame) -> None:
     """Delete a table of keep() that nothing reads any more."""
     spark = df.sparkSession
