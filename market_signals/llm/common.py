@@ -15,22 +15,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from market_signals.session import keep, shared_dir, spread
+from market_signals.session import BATCH, bounded, keep, shared_dir, spread
 
-__all__ = ["WORD", "blocks", "documents", "fold", "forget", "keep", "labelled", "read", "release", "shared_dir", "small", "spread", "text_bytes", "tidy"]
+__all__ = ["BATCH", "WORD", "blocks", "documents", "fold", "forget", "keep", "labelled", "read", "release", "shared_dir", "small", "spread", "text_bytes", "tidy"]
 
 #: White space of the contracts' word pattern `[^\x20\x09-\x0D]+`.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: Bytes of a batch between Spark and Python: two tasks' batches, with their copies, stand beside the heap of an executor.
-BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20)
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table of the folder. Where the session has larger batches, they are cut to BATCH; tables of one file are spread over the cores."""
-    if int(spark.conf.get(BATCH[0]).rstrip("b")) > int(BATCH[1]):
-        spark.conf.set(*BATCH)
+    bounded(spark)
     return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 

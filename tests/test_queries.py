@@ -192,3 +192,25 @@ def test_profiles_and_sources_load_from_yaml(spark, tmp_path):
     assert [(r["position"], r["name"], r["enabled"]) for r in sorted(rows, key=lambda r: r["position"])] == [(0, "X", True), (1, "Y", False)]
     (tmp_path / "none.yaml").write_text("profiles:\n")
     assert config.yaml_profiles(spark, str(tmp_path / "none.yaml")).count() == 0
+
+
+def test_pages_go_to_python_in_bounded_batches(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from market_signals.session import BATCH
+    from market_signals.sources.fixtures import view
+
+    before = spark.conf.get(BATCH[0])
+    try:
+        spark.conf.set(BATCH[0], str(1 << 30))
+        text = F.concat(F.lit("<html><head></head>"), F.repeat(F.lit("x"), 20_000))
+        spark.range(0, 2000, 1, 1).select(F.col("id").alias("page_id"), F.lit("https://a.example/").alias("url"), text.alias("html")).write.parquet(str(tmp_path / "pages.parquet"))
+
+        def rows(batches):
+            for b in batches:
+                yield b.select([]).from_pydict({"n": [b.num_rows]})
+
+        pages = view(spark, str(tmp_path), "crawl_pages").coalesce(1)
+        assert max(r["n"] for r in pages.select("html").mapInArrow(rows, "n long").collect()) < 1000
+    finally:
+        spark.conf.set(BATCH[0], before)
