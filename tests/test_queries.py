@@ -214,3 +214,13 @@ def test_pages_go_to_python_in_bounded_batches(spark, tmp_path):
         assert max(r["n"] for r in pages.select("html").mapInArrow(rows, "n long").collect()) < 1000
     finally:
         spark.conf.set(BATCH[0], before)
+
+
+def test_landed_files_grow_with_the_input(spark, monkeypatch):
+    from market_signals.plans import queries as q
+
+    kept = []
+    monkeypatch.setattr(q, "raw", lambda s, sf: q.view(s, sf, "news_raw").repartition(11))
+    monkeypatch.setattr(q, "keep", lambda df, keep=q.keep: kept.append(keep(df)) or kept[-1])
+    q._landed(spark, SF)
+    assert len(kept[0].inputFiles()) == 11 and kept[0].count() == q.view(spark, SF, "news_raw").count()
