@@ -224,3 +224,14 @@ def test_landed_files_grow_with_the_input(spark, monkeypatch):
     monkeypatch.setattr(q, "keep", lambda df, keep=q.keep: kept.append(keep(df)) or kept[-1])
     q._landed(spark, SF)
     assert len(kept[0].inputFiles()) == 11 and kept[0].count() == q.view(spark, SF, "news_raw").count()
+
+
+@pytest.mark.parametrize("name", ["process", "latest_of", "fitting", "rejected"])
+def test_a_notice_text_is_made_once(spark, name):
+    from market_signals.operators import notices as nt
+    from market_signals.plans import queries as q
+
+    rows, p = q.view(spark, SF, "notice_raw"), q.profiles(spark)
+    df = {"process": lambda: nt.process(rows, p, q.AS_OF, q.AS_OF_TEXT), "latest_of": lambda: nt.matched(nt.latest_of(rows, p, q.AS_OF, q.AS_OF_TEXT).select("id").join(rows, "id"), p), "fitting": lambda: nt.fitting(rows, p), "rejected": lambda: nt.fitting(rows, p, False)}[name]()
+    filters = [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in x]
+    assert filters and not any("regexp_replace" in x for x in filters)
