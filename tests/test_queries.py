@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from market_signals.plans.queries import ORACLES, QUERIES
 
@@ -267,3 +268,27 @@ def test_a_notice_text_is_made_once(spark, name):
     df = {"process": lambda: nt.process(rows, p, q.AS_OF, q.AS_OF_TEXT), "latest_of": lambda: nt.matched(nt.latest_of(rows, p, q.AS_OF, q.AS_OF_TEXT).select("id").join(rows, "id"), p), "fitting": lambda: nt.fitting(rows, p), "rejected": lambda: nt.fitting(rows, p, False)}[name]()
     filters = [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in x]
     assert filters and not any("regexp_replace" in x for x in filters)
+
+
+def test_a_notice_is_searched_once_for_each_fit_and_date(spark):
+    from market_signals.functions import opportunity as o
+    from market_signals.plans import queries as q
+
+    rows = spark.range(1).select(F.col("id").cast("string").alias("low"))
+    plan = lambda c: rows.select(c.alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+    fit = plan(o.best_fit(F.col("low"), F.lit("NOR"), q.profiles(spark)))
+    assert fit.count("lambdafunction(") == 4  # qualifiers and services, each once a company
+    assert plan(o.deadline(F.col("low"))).count("regexp_extract(") == 10
+
+
+def test_dates_and_fits_keep_their_values(spark):
+    from market_signals.functions import opportunity as o
+    from market_signals.plans import queries as q
+
+    texts = ["by 1.2.2024", "by 31.02.2024", "due 3/11/2031 or later", "until 5 May 2024", "until 31 june 2024", "on 2024-13-45", "nothing", "", "at 29.2.2023", "at 29-2-2024"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    assert [r[0] for r in rows.orderBy("i").select(o.deadline(F.col("t"))).collect()] == ["2024-02-01", None, "2031-11-03", "2024-05-05", None, "2024-13-45", None, None, None, "2024-02-29"]
+    texts = ["offshore advisory with strategy", "marine survey of a port, advisory", "marine survey near a school, advisory at the port", "advisory", "offshore", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    fits = [r[0] and r[0][:] for r in rows.orderBy("i").select(o.best_fit(F.col("t"), F.lit("NOR"), q.profiles(spark))).collect()]
+    assert fits == [(13, -1, "MAV", ["Strategy & Advisory"], ["offshore"]), (13, 0, "AGR", ["Marine Survey & Geoscience"], ["marine"]), (13, -1, "MAV", ["Strategy & Advisory"], ["port"]), None, None, None]
