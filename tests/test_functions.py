@@ -130,3 +130,20 @@ def test_article_text_and_links():
     links = pages.links_of("https://a.com/b/c", page)
     assert [(x["href"], x["text"], x["rel"]) for x in links] == [("https://a.com/feed", "", "alternate"), ("https://a.com/x", "Go on", "")]
     assert pages.article_text_of(None) == "" and pages.links_of(None, None) == []
+
+
+def test_tags_are_made_once_and_a_lead_stops_early(spark):
+    from pyspark.sql import functions as F
+
+    from market_signals.functions import news as n
+    from market_signals.functions.text import lead, or_default
+
+    rows = spark.range(1).select(F.col("id").cast("string").alias("low"))
+    plan = lambda c: rows.select(c.alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(n.theme_tags(F.col("low"))).count("supply chain") == 1
+    assert plan(n.geography_tags(F.col("low"))).count("norwegian") == 1
+    assert r"(?<=[.!?])\s+, 4)" in plan(lead(F.col("low")))
+    tags = spark.createDataFrame([(0, ["a", "b"]), (1, []), (2, None)], "i int, t array<string>").orderBy("i")
+    assert [r[0] for r in tags.select(or_default(F.col("t"), "d")).collect()] == [["a", "b"], ["d"], ["d"]]
+    texts = spark.createDataFrame([(0, "A. B! C? D. E."), (1, "A."), (2, "A. B"), (3, "")], "i int, t string").orderBy("i")
+    assert [r[0] for r in texts.select(lead(F.col("t"), 2)).collect()] == ["A. B!", "A.", "A. B", "No summary available."]
