@@ -292,3 +292,25 @@ def test_dates_and_fits_keep_their_values(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     fits = [r[0] and r[0][:] for r in rows.orderBy("i").select(o.best_fit(F.col("t"), F.lit("NOR"), q.profiles(spark))).collect()]
     assert fits == [(13, -1, "MAV", ["Strategy & Advisory"], ["offshore"]), (13, 0, "AGR", ["Marine Survey & Geoscience"], ["marine"]), (13, -1, "MAV", ["Strategy & Advisory"], ["port"]), None, None, None]
+
+
+@pytest.mark.parametrize("mode", ["latest", "upcoming_deadlines", "high_relevance"])
+def test_selected_notices_alone_are_processed(spark, mode):
+    from market_signals.operators import notices as nt
+    from market_signals.plans import queries as q
+
+    rows, p = q.view(spark, SF, "notice_raw"), q.profiles(spark)
+    some = nt.selected_of(rows, p, mode, q.AS_OF, q.AS_OF_TEXT, 30)
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "rangepartitioning" not in plan  # a sort of all notices makes each fit twice
+    whole = nt.selected(nt.process(rows, p, q.AS_OF, q.AS_OF_TEXT), mode, q.AS_OF, 30)
+    assert some.collect() == whole.collect() and some.count() == 30
+
+
+@pytest.mark.parametrize("name", ["opp_upcoming_deadlines", "opp_high_relevance", "export_selected", "export_selected_latest", "export_selected_upcoming", "export_payload"])
+def test_selections_store_no_notices(spark, name):
+    from market_signals.session import kept
+
+    before = kept(spark)
+    QUERIES[name](spark, SF)
+    assert kept(spark) == before
