@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from market_signals.session import BATCH, bounded, keep, shared_dir, spread
 
-__all__ = ["BATCH", "WORD", "blocks", "documents", "fold", "forget", "keep", "labelled", "read", "release", "shared_dir", "small", "spread", "text_bytes", "tidy"]
+__all__ = ["BATCH", "WORD", "blocks", "documents", "fold", "forget", "keep", "labelled", "marked", "read", "release", "shared_dir", "small", "spread", "text_bytes", "tidy"]
 
 #: White space of the contracts' word pattern `[^\x20\x09-\x0D]+`.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -109,6 +109,18 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: i
     return rows.select("doc_id", "r.text", "r.label")
 
 
+def marked(docs: DataFrame, ids: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """The rows with `marked`: whether the table `ids` has their doc_id.
+
+    Ids go as bits of 64-bit words, a row for each word, which are broadcast unless they are more than `most`: a join
+    that Spark plans by the size of the table of ids would shuffle and sort the texts as soon as that is over its threshold.
+    """
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("doc_id").bitwiseAND(F.lit(63)).cast("int"))
+    words = keep(ids.where("doc_id is not null").groupBy(F.shiftright(F.col("doc_id").cast("bigint"), 6).alias("_word")).agg(F.bit_or(bit).alias("_bits")))
+    both = docs.join(small(words, most), F.shiftright(F.col("doc_id").cast("bigint"), 6) == F.col("_word"), "left")
+    return both.withColumn("marked", F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))).drop("_word", "_bits")
+
+
 def small(df: DataFrame, most: int = 10_000) -> DataFrame:
     """The table with a hint to broadcast it if it has at most `most` rows (it is counted), or as it is. `df` is best a table of keep()."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -9,10 +9,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from market_signals.llm.common import blocks, documents, forget, keep, read, release, text_bytes, tidy
+from market_signals.llm.common import blocks, documents, forget, keep, marked, read, release, text_bytes, tidy
 from market_signals.llm.graph import components, thinned
 
 #: Bytes with A-Z lower-cased, and which of them separate words.
@@ -28,7 +29,7 @@ BAND = 2
 #: The first count of shingles covers this part of their domain (see join_components).
 THIRD = 3
 #: Shingles that a task of a count holds, about, and those a dealing task holds before it sends them.
-HELD = 500_000
+COUNTED, HELD = 1_000_000, 500_000
 #: Bits of the table of sets that remain after the first count: 2 MB at any size of the corpus.
 TABLE_BITS = 24
 #: Shingles in this share of the remaining sets (and in LEAST_COMMON) are common.
@@ -297,105 +298,158 @@ def tree_of(ids: list[int], sets: list[np.ndarray], side: np.ndarray, share: int
     return out
 
 
+def home(load: np.ndarray, parts: int) -> np.ndarray:
+    """The part that adds up what is counted of the sets of a load (partition << 32 | its number there)."""
+    return ((load >> 32) * 1_000_003 + (load & 0xFFFFFFFF)) % parts
+
+
+def code(s: np.ndarray, parts: int) -> np.ndarray:
+    """The part that counts a shingle, and 32 bits of its hash."""
+    return (((s >> np.uint64(33)) % np.uint64(parts)) << np.uint64(32)) | (s & np.uint64(0xFFFFFFFF))
+
+
+def lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
+
+
 def deal(found: Iterator[tuple[list[int], list[np.ndarray]]], parts: int, third: int) -> Iterator[pa.RecordBatch]:
-    """Shingles (of a `third` of their domain) to the parts that count them: (part, h, k, n, own_k, own_n).
+    """Shingles (of a `third` of their domain) to the parts that count them: (part, load, h, i, m, n, k, own).
 
-    h are shingles and k the keys of the sets that hold them. A shingle of several sets of one task's load goes once,
-    with k = 0 and the number of sets in n, and counts as shared for these sets at once (own_n for set own_k): so
-    a shingle that very many sets hold is a few rows.
+    A shingle is four bytes of its hash (h) and a set its place in a task's load (i): six bytes in all, however many
+    parts there are. Two shingles of a part that are taken for one can only make sets look shared that are not.
+    A shingle of several sets of a load goes once (m) with their number (n), and counts as shared for these sets at
+    once: so a shingle that very many sets hold is a few rows. The keys of the load's sets (k) and these counts (own)
+    go to the load's home.
     """
     held: dict[int, np.ndarray] = {}
-    size = 0
+    size, load = 0, TaskContext.get().partitionId() << 32
 
     def told() -> pa.RecordBatch:
-        keys, h = np.fromiter(held, np.int64, len(held)), np.concatenate(list(held.values()))
-        k = np.repeat(keys, [len(x) for x in held.values()])
+        h = np.concatenate(list(held.values()))
+        i = np.repeat(np.arange(len(held)), [len(x) for x in held.values()])
         order = np.argsort(h, kind="stable")
         s = h[order]
         first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
         times = np.diff(np.append(first, len(s)))
         shared = np.zeros(len(h), bool)
         shared[order] = np.repeat(times > 1, times)
-        many = times > 1
-        own_k, own_n = np.unique(k[shared], return_counts=True)
-        h, k, n = np.concatenate([h[~shared], s[first[many]]]), np.concatenate([k[~shared], np.zeros(many.sum(), np.int64)]), np.concatenate([np.zeros((~shared).sum(), np.int64), times[many]])
-        part = (h >> np.uint64(33)) % np.uint64(parts)
-        order = np.argsort(part, kind="stable")
-        h, k, n, ends = h[order], k[order], n[order], np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
-        none = np.zeros(0, np.int64)
-        rows = [(i, h[a:b].view(np.int64), k[a:b], n[a:b][k[a:b] == 0], none if i else own_k, none if i else own_n) for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)) if b > a or (not i and len(own_k))]
-        longs = pa.list_(pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[i] for r in rows], longs) for i in range(1, 6)]], names=["part", "h", "k", "n", "own_k", "own_n"])
+        own = np.bincount(i[shared], minlength=len(held)).astype(np.int32)
+        columns = []
+        for x, y in ((h[~shared], i[~shared].astype(np.uint16).view(np.int16)), (s[first[times > 1]], times[times > 1].astype(np.int32))):
+            c = code(x, parts)
+            part = c >> np.uint64(32)
+            order = np.argsort(part, kind="stable")
+            ends = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
+            columns += [lists((c & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)[order], ends), lists(y[order], ends)]
+        at = int(home(np.int64(load), parts))
+        ends = np.where(np.arange(parts + 1) > at, len(held), 0)
+        columns += [lists(np.fromiter(held, np.int64, len(held)), ends), lists(own, ends)]
+        out = pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), pa.array(np.full(parts, load)), *columns], names=["part", "load", "h", "i", "m", "n", "k", "own"])
+        some = np.add.reduce([np.diff(c.offsets.to_numpy()) for c in columns])
+        return out.filter(pa.array(some > 0))
 
     for keys, sets in found:
         for key, s in zip(keys, sets, strict=True):
             if key not in held:
                 held[key] = s[(s >> np.uint64(7)) % np.uint64(third) == 0]
                 size += len(held[key])
-        if size >= HELD:
-            yield told()
-            held, size = {}, 0
+            if size >= HELD or len(held) > 0xFFFF:
+                yield told()
+                held, size, load = {}, 0, load + 1
     if held:
         yield told()
     tidy()
 
 
 def gather(batches: Iterator[pa.RecordBatch], parts: int, least: int | None) -> Iterator[pa.RecordBatch]:
-    """What one part says of its shingles, as (part, v, n): of sets' keys v how many of their shingles other sets share
-    (n), to the parts that add these up, and with `least` as part -1 the shingles v in so many sets."""
+    """What one part says of its shingles, as (part, load, i, n, k, own): of sets i of a load how many of their shingles other
+    sets share (n), to the load's home, which also gets its keys; with `least` as part -1 the codes (k) of the shingles in
+    so many sets."""
     rows = [b for b in batches if b.num_rows]
     if not rows:
         return
-    flat = {c: np.concatenate([b.column(c).flatten().to_numpy(zero_copy_only=False) for b in rows]) for c in ("h", "k", "n", "own_k", "own_n")}
-    del rows
-    order = np.lexsort((flat["k"], flat["h"]))
-    h, k = flat["h"][order], flat["k"][order]
-    # how many sets a row stands for: those of another task's load, or one that isn't the row before
-    stands = np.ones(len(h), np.int64)
-    sent = np.zeros(len(h), np.int64)
-    sent[flat["k"] == 0] = flat["n"]
-    new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
-    stands[k == 0] = sent[order][k == 0]
-    stands[1:][~new[1:] & (k[1:] == k[:-1]) & (k[1:] != 0)] = 0
-    first = np.flatnonzero(new)
-    df = np.add.reduceat(stands, first) if len(first) else stands
-    shared = np.repeat(df > 1, np.diff(np.append(first, len(h)))) & (stands > 0) & (k != 0)
-    keys, n = np.concatenate([k[shared], flat["own_k"]]), np.concatenate([np.ones(shared.sum(), np.int64), flat["own_n"]])
-    keys, at = np.unique(keys, return_inverse=True)
-    n = np.bincount(at, weights=n, minlength=len(keys)).astype(np.int64)
-    common = df >= least if least else np.zeros(len(df), bool)
-    part = (keys.view(np.uint64) >> np.uint64(17)) % np.uint64(parts)
-    order = np.argsort(part, kind="stable")
-    keys, n, ends = keys[order], n[order], np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64)).tolist()
-    out = [(i, keys[a:b], n[a:b]) for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if b > a]
-    out += [(-1, h[first[common]], df[common])] * bool(common.any())
-    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())))], names=["part", "v", "n"])
+    rows = pa.Table.from_batches(rows).combine_chunks()
+    whole = lambda c: rows.column(c).combine_chunks()
+    part, load = whole("part").to_numpy().astype(np.uint64), whole("load").to_numpy()
+    flat = {c: whole(c).flatten().to_numpy() for c in ("h", "i", "m", "n")}
+    of = {c: np.repeat(np.arange(len(load)), np.diff(whole(c).offsets.to_numpy())) for c in ("h", "m")}
+    c = np.concatenate([(part[of[x]] << np.uint64(32)) | flat[x].view(np.uint32) for x in ("h", "m")])
+    times = np.concatenate([np.ones(len(flat["h"]), np.int64), flat["n"]])
+    order = np.argsort(c, kind="stable")
+    s = c[order]
+    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
+    df = np.add.reduceat(times[order], first) if len(first) else np.zeros(0, np.int64)
+    many = np.zeros(len(c), bool)
+    many[order] = np.repeat(df > 1, np.diff(np.append(first, len(s))))
+    many = many[: len(flat["h"])]
+    at, n = np.unique((of["h"][many] << 16) | flat["i"][many].view(np.uint16), return_counts=True)
+    ends = np.searchsorted(at >> 16, np.arange(len(load) + 1))
+    none = np.zeros(len(load) + 1, np.int64)
+    columns = [home(load, parts).astype(np.int32), load, lists((at & 0xFFFF).astype(np.uint16).view(np.int16), ends), lists(n.astype(np.int32), ends), whole("k"), whole("own")]
+    yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names=[*GATHERED])
+    common = s[first[df >= least]] if least else s[:0]
+    if len(common):
+        none = lists(np.zeros(0, np.int16), np.zeros(2)), lists(np.zeros(0, np.int32), np.zeros(2))
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([0], pa.int64()), *none, lists(common.view(np.int64), np.array([0, len(common)])), none[1]], names=[*GATHERED])
 
 
 def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of n by v."""
-    rows = [b for b in batches if b.num_rows]
-    if rows:
-        v, n = (np.concatenate([b.column(c).flatten().to_numpy() for b in rows]) for c in ("v", "n"))
-        keys, at = np.unique(v, return_inverse=True)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(at, weights=n).astype(np.int64))], names=["v", "shared"])
+    """k1, shared: sums of n by set, under the sets' keys."""
+    keys: dict[int, np.ndarray] = {}
+    sums: dict[int, np.ndarray] = {}
+    found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for batch in batches:
+        for r in range(batch.num_rows):
+            load = batch.column(1)[r].as_py()
+            i, n, k, own = (batch.column(c)[r].values.to_numpy() for c in range(2, 6))
+            if len(k):
+                keys[load], sums[load] = k.copy(), own.astype(np.int64)
+            if len(i):
+                found.setdefault(load, []).append((i.view(np.uint16).copy(), n.copy()))
+    for load, k in keys.items():
+        for i, n in found.pop(load, []):
+            sums[load][i] += n
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(sums.pop(load))], names=["k1", "shared"])
     tidy()
 
 
-DEALT = "part int, h array<bigint>, k array<bigint>, n array<bigint>, own_k array<bigint>, own_n array<bigint>"
+DEALT = "part int, load bigint, h array<int>, i array<smallint>, m array<int>, n array<int>, k array<bigint>, own array<int>"
+GATHERED = {"part": "int", "load": "bigint", "i": "array<smallint>", "n": "array<int>", "k": "array<bigint>", "own": "array<int>"}
+
+
+def in_parts(shingles: int, third: int) -> int:
+    return 1 + shingles // third // COUNTED
 
 
 def counted(source: DataFrame, of: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[list[int], list[np.ndarray]]]], shingles: int, third: int, least: int | None = None) -> DataFrame:
-    """(part, v, n) as gather() says them, of the sets that `of` makes of `source`; about `shingles` in all."""
-    parts = 1 + shingles // third // HELD
+    """What gather() says of the sets that `of` makes of `source`; about `shingles` in all."""
+    parts = in_parts(shingles, third)
     dealt = source.mapInArrow(lambda batches: deal(of(batches), parts, third), DEALT)
-    return dealt.repartitionById(parts, F.col("part")).mapInArrow(lambda batches: gather(batches, parts, least), "part int, v array<bigint>, n array<bigint>")
+    return dealt.repartitionById(parts, F.col("part")).mapInArrow(lambda batches: gather(batches, parts, least), ", ".join(f"{c} {t}" for c, t in GATHERED.items()))
 
 
 def shared_of(counts: DataFrame, shingles: int, third: int) -> DataFrame:
-    """v, shared: of each set's key how many of its shingles other sets have, from a table of counted()."""
-    parts = 1 + shingles // third // HELD
-    return counts.where("part >= 0").repartitionById(parts, F.col("part")).mapInArrow(added, "v bigint, shared bigint")
+    """k1, shared: of each set's key how many of its shingles other sets have, from a table of counted()."""
+    sums = counts.where("part >= 0").repartitionById(in_parts(shingles, third), F.col("part")).mapInArrow(added, "k1 bigint, shared bigint")
+    return sums.groupBy("k1").agg(F.max("shared").alias("shared"))
+
+
+def common_of(sets: DataFrame, counts: DataFrame, parts: int) -> np.ndarray:
+    """The shingles, in order, of the sets (s) whose codes `counts` has as common ones."""
+    codes = np.sort(counts.where("part < 0").select(F.explode("k").alias("k")).toArrow().column("k").to_numpy().view(np.uint64))
+    if not len(codes):
+        return codes
+    sent = sets.sparkSession.sparkContext.broadcast(codes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, found = sent.value, np.zeros(0, np.uint64)
+        for batch in batches:
+            s = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(0)] or [found])
+            c = code(s, parts)
+            found = np.union1d(found, s[known[np.minimum(np.searchsorted(known, c), len(known) - 1)] == c])
+        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["h"])
+
+    return np.sort(sets.select("s").mapInArrow(run, "h bigint").distinct().toArrow().column("h").to_numpy().view(np.uint64))
 
 
 def described(docs: DataFrame, n: int) -> DataFrame:
@@ -422,6 +476,17 @@ def bit_table(keys: DataFrame) -> np.ndarray:
     return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool) if len(words) else np.zeros(1 << TABLE_BITS, bool)
 
 
+def listed(block: pa.RecordBatch, n: int, bits: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """doc_id, k1, k2 and set of the documents (doc_id, text) whose bit of k1 ^ doc_id is set in a packed bit_table()."""
+    for doc_id, s in zip(block.column(0).to_pylist(), shingle_sets(block.column(1), n), strict=True):
+        if doc_id is None or not len(s):
+            continue
+        k1, k2 = set_key(s)
+        low = (k1 ^ doc_id) & ((1 << TABLE_BITS) - 1)
+        if bits[low >> 3] >> (7 - (low & 7)) & 1:
+            yield doc_id, k1, k2, s
+
+
 def paired(ids: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct pairs of different ids."""
     pairs = np.unique(np.stack([ids, other], 1)[ids != other], axis=0)
@@ -482,8 +547,8 @@ def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def verify(batches: Iterator[pa.RecordBatch], share: int, common: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) of the sets of one pair of chunks after another; rows (cluster, x, y, chunk, rep, s) come sorted by cluster, x, y."""
-    group, ids, sets, side = None, [], [], []
+    """Links (a, b) of the sets of one pair of chunks after another; rows (cluster, x, y, chunk, rep, s) come sorted by cluster, x, y, rep, s, and repeated ones count once."""
+    group, ids, sets, side, last = None, [], [], [], None
 
     def told() -> pa.RecordBatch:
         found = tree_of(ids, sets, np.array(side), share, common)
@@ -495,7 +560,10 @@ def verify(batches: Iterator[pa.RecordBatch], share: int, common: np.ndarray) ->
             if (cluster, x, y) != group:
                 if len(ids) > 1:
                     yield told()
-                group, ids, sets, side = (cluster, x, y), [], [], []
+                group, ids, sets, side, last = (cluster, x, y), [], [], [], None
+            if (rep, s) == last:
+                continue
+            last = rep, s
             ids.append(rep)
             sets.append(np.frombuffer(s, np.uint64))
             side.append(chunk != x)
@@ -510,8 +578,8 @@ def linked_sets(docs: DataFrame, classes: DataFrame, share: int, n: int) -> Data
 
     def of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
         for block in blocks(batches, 1_000_000):
-            sets = [s for s in shingle_sets(block.column(1), n) if len(s)]
-            yield [set_key(s)[0] for s in sets], sets
+            rows = [(k1, s) for _, k1, _, s in listed(block, n, reps.value)]
+            yield [k for k, _ in rows], [s for _, s in rows]
 
     def of_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
         for batch in batches:
@@ -520,22 +588,20 @@ def linked_sets(docs: DataFrame, classes: DataFrame, share: int, n: int) -> Data
                 yield part.column("k1").to_pylist(), [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("s")]
 
     total = classes.agg(F.sum("n_shingles")).first()[0] or 0
+    # a set is counted where its class's first document is (and where one with the same bit happens to be)
+    reps = spark.sparkContext.broadcast(np.packbits(bit_table(classes.select(F.col("k1").bitwiseXOR(F.col("rep")).alias("key")))))
     shared = shared_of(counted(docs, of_texts, total, THIRD), total, THIRD)
     own = F.col("n_counted") - F.coalesce("shared", F.lit(0))
-    left = classes.join(shared, F.col("k1") == F.col("v"), "left").where(100 * own <= (100 - share) * F.col("n_shingles"))
+    left = classes.join(shared, "k1", "left").where(100 * own <= (100 - share) * F.col("n_shingles"))
     table = spark.sparkContext.broadcast(np.packbits(bit_table(left.select(F.col("k1").bitwiseXOR(F.col("rep")).alias("key")))))
     release(spark)
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = table.value, set()
+        seen = set()
         for block in blocks(batches, 1_000_000):
             rows = []
-            for doc_id, s in zip(block.column(0).to_pylist(), shingle_sets(block.column(1), n), strict=True):
-                if doc_id is None or not len(s):
-                    continue
-                k1, k2 = set_key(s)
-                low = (k1 ^ doc_id) & ((1 << TABLE_BITS) - 1)
-                if bits[low >> 3] >> (7 - (low & 7)) & 1 and (k1, k2) not in seen:
+            for doc_id, k1, k2, s in listed(block, n, table.value):
+                if (k1, k2) not in seen:
                     seen.add((k1, k2))
                     rows.append((k1, k2, doc_id, len(s), s.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate([*[pa.int64()] * 4, pa.binary()])], names=["k1", "k2", "rep", "n_shingles", "s"])
@@ -544,11 +610,19 @@ def linked_sets(docs: DataFrame, classes: DataFrame, share: int, n: int) -> Data
     size = first.agg(F.sum("n_shingles").alias("s"), F.count("*").alias("n")).first()
     least = max(LEAST_COMMON, int(COMMON * size["n"]))
     counts = keep(counted(first, of_sets, size["s"] or 0, 1, least))
-    usual = spark.sparkContext.broadcast(np.sort(counts.where("part < 0").select(F.explode("v").alias("v")).toArrow().column("v").to_numpy().view(np.uint64)))
+    release(spark)
+    usual = spark.sparkContext.broadcast(common_of(first, counts, in_parts(size["s"] or 0, 1)))
     shared = shared_of(counts, size["s"] or 0, 1)
-    left = first.join(shared, F.col("k1") == F.col("v")).where(100 * (F.col("n_shingles") - F.col("shared")) <= (100 - share) * F.col("n_shingles"))
-    # a row that is repeated in several tasks is one set
-    sets = keep(left.groupBy("k1", "k2", "rep").agg(F.first("n_shingles").alias("n_shingles"), F.first("s").alias("s")))
+    left = first.join(shared, "k1").where(100 * (F.col("n_shingles") - F.col("shared")) <= (100 - share) * F.col("n_shingles"))
+    rest = spark.sparkContext.broadcast(np.packbits(bit_table(left.select(F.col("k1").bitwiseXOR(F.col("rep")).alias("key")))))
+
+    def resting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low = (batch.column(0).to_numpy() ^ batch.column(1).to_numpy()) & ((1 << TABLE_BITS) - 1)
+            yield batch.filter(pa.array((rest.value[low >> 3] >> (7 - (low & 7)) & 1).astype(bool)))
+
+    # not shuffled; a row that is repeated in several tasks stays until verify()
+    sets = keep(first.select("k1", "rep", "n_shingles", "s").mapInArrow(resting, "k1 bigint, rep bigint, n_shingles bigint, s binary"))
     forget(first)
     forget(counts)
     release(spark)
@@ -557,7 +631,7 @@ def linked_sets(docs: DataFrame, classes: DataFrame, share: int, n: int) -> Data
     near = signed.repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(lambda batches: thinned(chain(batches)), "a bigint, b bigint")
     # clusters of set keys; should two sets share half a key, both are in its cluster
     clusters = components(near, thin=False).withColumnsRenamed({"node": "k1", "component": "cluster"})
-    placed = keep(sets.select("k1", "rep", "n_shingles").join(clusters, "k1"))
+    placed = keep(sets.select("k1", "rep", "n_shingles").distinct().join(clusters, "k1"))
     release(spark)
     # chunks of a cluster; each pair of chunks is one task's work
     sizes = placed.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n_shingles") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
@@ -565,7 +639,7 @@ def linked_sets(docs: DataFrame, classes: DataFrame, share: int, n: int) -> Data
     pair = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least("chunk", c).alias("x"), F.greatest("chunk", c).alias("y")))
     members = sets.select("k1", "rep", "s").join(placed.select("k1", "rep", "cluster", "chunk", pair.alias("pairs")), ["k1", "rep"])
     members = members.select("rep", "s", "cluster", "chunk", F.explode("pairs").alias("p")).select("cluster", "p.x", "p.y", "chunk", "rep", "s")
-    members = members.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y")
+    members = members.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y", "rep", "s")
     found = keep(members.mapInArrow(lambda batches: verify(batches, share, usual.value), "a bigint, b bigint"))
     forget(sets)
     return found
@@ -617,13 +691,13 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     found = keep(join_components(docs))
     names = docs.columns
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
+    kept = marked(docs, found.where("doc_id <> component_id")).where("not marked").drop("marked")
     repeated = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     if not repeated.limit(1).count():
         return kept.select(*names)
-    once = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[c for c in names if c != "doc_id"])).alias("r")).select("doc_id", "r.*")
-    return kept.join(repeated, "doc_id", "left_anti").select(*names).unionByName(once.select(*names))
+    both = marked(kept, repeated)
+    once = both.where("marked").groupBy("doc_id").agg(F.min(F.struct(*[c for c in names if c != "doc_id"])).alias("r")).select("doc_id", "r.*")
+    return both.where("not marked").select(*names).unionByName(once.select(*names))
 
 
 SQL = r"""

@@ -288,6 +288,47 @@ def test_shingle_join_of_ids_with_and_without_text(spark):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == [(1, 0, 1)] * 3 + [(1, 56, 1), (4, 57, 1), (6, 0, 6)]
 
 
+@pytest.mark.parametrize(("counted", "third"), [(1_000_000, 1), (40, 1), (40, 3)])
+def test_shingles_are_counted_in_six_bytes_each(spark, counted, third, monkeypatch):
+    monkeypatch.setattr(shingles, "COUNTED", counted)
+    monkeypatch.setattr(shingles, "HELD", 60)
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+    sets = {k: np.unique(np.append(rng.choice(pool, 20), rng.integers(0, 1 << 63, 5).astype(np.uint64))) for k in range(1, 41)}
+    total = sum(map(len, sets.values()))
+    source = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in sets.items()], "k1 long, s binary").repartition(3)
+
+    def of(batches):
+        for b in batches:
+            yield b.column(0).to_pylist(), [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(1)]
+
+    parts = shingles.in_parts(total, third)
+    dealt = source.mapInArrow(lambda b: shingles.deal(of(b), parts, third), shingles.DEALT)
+    kinds = {f.name: f.dataType.elementType.simpleString() for f in dealt.schema.fields[2:]}
+    assert (kinds["h"], kinds["i"], kinds["m"], kinds["n"]) == ("int", "smallint", "int", "int")
+    # keys go once for each set, not once for each shingle
+    assert dealt.agg(F.sum(F.size("k"))).first()[0] == len(sets)
+    counts = shingles.keep(shingles.counted(source, of, total, third, 4))
+    held = {k: s[(s >> np.uint64(7)) % np.uint64(third) == 0] for k, s in sets.items()}
+    values, df = np.unique(np.concatenate(list(held.values())), return_counts=True)
+    want = {k: int(np.isin(s, values[df > 1]).sum()) for k, s in held.items()}
+    assert {r["k1"]: r["shared"] for r in shingles.shared_of(counts, total, third).collect()} == want
+    assert shingles.common_of(source, counts, parts).tolist() == values[df >= 4].tolist()
+
+
+def test_near_duplicates_go_without_a_shuffle_of_texts(spark):
+    docs = frame(spark, [(1, "a b c d e f"), (2, "a b c d e f"), (64, "A b c d e f"), (-3, "x y"), (-3, "z"), (None, "a b c d e f"), (130, None)])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        got = shingles.stage(spark, docs.where("doc_id is null or doc_id >= 0"), "")
+        assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r["doc_id"] or 0 for r in got.collect()) == [0, 1, 130]
+        assert sorted((r["doc_id"] or 0, r["text"] or "") for r in shingles.stage(spark, docs, "").collect()) == [(-3, "x y"), (0, "a b c d e f"), (1, "a b c d e f"), (130, "")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_sets_that_link_below_80_share_a_signature():
     a = np.arange(1, 101, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     b, common = np.sort(a[:60]), np.sort(np.concatenate([a[:26], a[60:]]))
